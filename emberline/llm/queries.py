@@ -7,7 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import held_out_rest, table
+
+def tokenizer_path() -> str:
+    """The public byte-level vocabulary; the packing operator takes any such file."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +33,13 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    packed = pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import group_equal
 
@@ -43,8 +57,29 @@ def op6_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import sample, score, train
+
+    held = (held_out_rest(F.col("doc_id"), 3) == 1).alias("held_out")
+    docs = table(spark, sf_dir, "documents").select("doc_id", held, "text")
+    model = train(*sample(docs.filter("not held_out"), table(spark, sf_dir, "labels")))
+    scored = score(docs, model)
+    return scored.select("doc_id", "held_out", F.col("__tx_score").alias("score"), (F.col("__tx_score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify, learnable, sample, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(sample(learnable(docs, 4, 2)))
+    return identify(docs.select("doc_id", (held_out_rest(F.col("doc_id"), 4) == 2).alias("held_out"), "text"), model)
+
+
 QUERIES: dict[str, Query] = {
     "op3_chat_format": op3_chat_format,
+    "op4_pack": op4_pack,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_warc_bundles": op6_warc_bundles,
+    "op9_toxicity": op9_toxicity,
+    "op10_language_id": op10_language_id,
 }
