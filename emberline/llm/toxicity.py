@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 from .common import byte_values, chunks, prefix_hash, runs, span_hash, text_or_empty, values
 
 #: The training sample: rows of each label at most, and bytes of each text.
-TRAIN_ROWS, TRAIN_BYTES = 4000, 6000
+TRAIN_ROWS, TRAIN_BYTES = 1600, 3000
+#: A term needs so many toxic texts, different words before it (also as a share of the toxic texts), and nats of evidence against chance.
+MIN_TEXTS, MIN_BEFORE, SHARE, EVIDENCE = 4, 6, 0.01, 8.0
 #: Terms at most; bounds the automaton that is broadcast.
 TERMS = 400
 #: Prefix lengths tried for stems, and bytes of a word that the automaton reads.
@@ -39,6 +41,8 @@ STEMS, WORD = (4, 5, 6, 7, 8), 32
 #: A quotation mark counts if it opens at most so many bytes before the hit.
 WINDOW = 300
 QUOTED, FUZZY = 0.1, 0.5
+#: A text with a hit in every so many bytes is toxic throughout.
+TOXIC_BYTES = 600
 SLICE_BYTES = 4 << 20
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -232,14 +236,15 @@ def hits(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarra
 
 
 def amounts(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Summed weight of the hits of each text."""
+    """For each text the summed weight of its hits, and that sum over the hits that a wholly toxic text of its length would have."""
     doc, term, edits, quoted = hits(model, data, offsets)
     weight = np.where(edits == 0, 1.0, model.fuzzy[term]) * np.where(quoted, QUOTED, 1.0) if len(doc) else np.zeros(0)
-    return np.bincount(doc, weight, minlength=len(offsets) - 1)
+    amount = np.bincount(doc, weight, minlength=len(offsets) - 1)
+    return np.stack([amount, np.minimum(1, amount / np.maximum(1, np.diff(offsets) / TOXIC_BYTES))], axis=1)
 
 
 def _features(amount: np.ndarray) -> np.ndarray:
-    return np.stack([np.ones(len(amount)), np.minimum(amount, 1), np.log1p(amount)], axis=1)
+    return np.stack([np.ones(len(amount)), amount[:, 1], np.log1p(amount[:, 0])], axis=1)
 
 
 def scores(model: Model, amount: np.ndarray) -> np.ndarray:
@@ -261,36 +266,51 @@ def _join(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
 
 
+def _texts_by_stem(w: Words, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """First n bytes (as a number) of the words that have so many, and how many texts hold each."""
+    head = np.ascontiguousarray(w.rows[:, :8]).view(">u8").ravel().astype(np.uint64) >> np.uint64(8 * (8 - n))
+    long = (w.rows[:, n - 1] != 0)[w.which]
+    doc = np.searchsorted(offsets, w.starts[long], "right") - 1
+    stem, of = np.unique(head[w.which[long]], return_inverse=True)
+    pairs = np.unique(of * len(offsets) + doc) // len(offsets)
+    return stem, np.bincount(pairs, minlength=len(stem))
+
+
 def learn_terms(toxic: list[bytes], clean: list[bytes]) -> tuple[list[bytes], list[bytes]]:
-    """Terms and stems that texts marked toxic hold and others almost never."""
-    tables = []
-    for texts in (toxic, clean):
-        words, stems, uses = Counter(), Counter(), Counter()
-        data, offsets = _join(texts)
-        w = words_of(data, offsets)
-        rows = [bytes(r).rstrip(b"\0") for r in w.rows]
-        doc = np.searchsorted(offsets, w.starts, "right") - 1
-        for d in np.split(w.which, np.flatnonzero(np.diff(doc)) + 1) if len(doc) else []:
-            own = {rows[i] for i in d.tolist()}
-            words.update(own)
-            stems.update({r[:n] for r in own for n in STEMS if len(r) >= n})
-            uses.update(rows[i] for i in d.tolist())
-        tables.append((words, stems, uses))
-    (_, stems1, uses1), (_, stems0, _) = tables
-    ratio = len(clean) / max(len(toxic), 1)
-    # as often among clean texts it would have come so many times; it came at most a fiftieth of that
-    pure = lambda s: stems1[s] >= 3 and stems1[s] * ratio >= 8 and stems0[s] <= stems1[s] * ratio / 50
-    found = sorted((s for s in stems1 if pure(s)), key=lambda s: (len(s), s))
-    chosen = [s for s in found if not any(s[:n] in set(found) for n in STEMS if n < len(s))]
-    by_stem: dict[bytes, Counter] = {s: Counter() for s in chosen}
-    for word, n in uses1.items():
-        for k in STEMS:
-            if word[:k] in by_stem and len(word) >= k:
-                by_stem[word[:k]][word] += n
+    """Terms and stems that many toxic texts hold, each time after other words, and clean texts almost never.
+
+    The words before a term tell it from the rare words that copies of one text share.
+    """
+    toxic, clean = sorted(set(toxic)), sorted(set(clean))
+    data, offsets = _join(toxic)
+    w = words_of(data, offsets)
+    other, other_offsets = _join(clean)
+    wc = words_of(other, other_offsets)
+    ratio, chance = len(clean) / max(len(toxic), 1), np.log(1 + len(clean) / max(len(toxic), 1))
+    found: dict[bytes, int] = {}
+    for n in STEMS:
+        stem, texts = _texts_by_stem(w, offsets, n)
+        stem0, texts0 = _texts_by_stem(wc, other_offsets, n)
+        at = np.minimum(np.searchsorted(stem0, stem), max(len(stem0) - 1, 0))
+        rare = np.where(stem0[at] == stem, texts0[at], 0) if len(stem0) else np.zeros(len(stem))
+        # as often among clean texts it would have come texts * ratio times; it came at most a fiftieth of that
+        good = (texts >= max(MIN_TEXTS, SHARE * len(toxic))) & (texts * chance >= EVIDENCE) & (rare <= texts * ratio / 50)
+        for code, k in zip(stem[good].tolist(), texts[good].tolist(), strict=True):
+            found[int(code).to_bytes(n, "big")] = k
+    words = [bytes(r).rstrip(b"\0") for r in w.rows]
+    of = {i: s for i, x in enumerate(words) if (s := next((x[:n] for n in STEMS if len(x) >= n and x[:n] in found), None))}
+    uses: dict[bytes, Counter] = {s: Counter() for s in of.values()}
+    before: dict[bytes, set] = {s: set() for s in uses}
+    doc = np.searchsorted(offsets, w.starts, "right") - 1
+    for k in np.flatnonzero(np.isin(w.which, np.fromiter(of, np.int64, len(of)))).tolist():
+        stem = of[int(w.which[k])]
+        uses[stem][words[w.which[k]]] += 1
+        before[stem].add(int(w.which[k - 1]) if k and doc[k - 1] == doc[k] else -1)
+    kept = [s for s in uses if len(before[s]) >= max(MIN_BEFORE, SHARE * len(toxic))]
     terms, stems = [], []
-    for s in sorted(chosen, key=lambda s: (-stems1[s], s))[:TERMS]:
-        word, n = min(by_stem[s].items(), key=lambda x: (-x[1], x[0]))
-        if n >= 0.6 * sum(by_stem[s].values()) and len(word) < WORD:
+    for s in sorted(kept, key=lambda s: (-found[s], s))[:TERMS]:
+        word, n = min(uses[s].items(), key=lambda x: (-x[1], x[0]))
+        if n >= 0.6 * sum(uses[s].values()) and len(word) < WORD:
             terms.append(word)
         else:
             stems.append(s)
