@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, text_or_empty, written
+from .common import partitions, shared_dir, text_or_empty, written
 
 # Fixed values of the seekable format.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -236,5 +236,5 @@ def _read(folder: str, with_payload: bool):
 
 def read_warc(folder: str, index: DataFrame, with_payload: bool = False) -> DataFrame:
     """The records that index names (all of it, or a filtered part: only the frames needed are read)."""
-    places = index.repartition("bundle", (F.col("frame") / 16).cast("long")).sortWithinPartitions("bundle", "frame", "start")
+    places = index.repartition(partitions(index.sparkSession), "bundle", (F.col("frame") / 16).cast("long")).sortWithinPartitions("bundle", "frame", "start")
     return places.mapInArrow(_read(folder, with_payload), RECORDS + (", payload binary" if with_payload else ""))
