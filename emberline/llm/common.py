@@ -147,3 +147,14 @@ def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     np.add.at(step, starts, 1)
     np.add.at(step, ends, -1)
     return np.cumsum(step[:-1]) > 0
+
+
+def spans_within(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of True, cut where one text ends and the next begins."""
+    starts, ends = runs(mask)
+    if not len(starts):
+        return starts, ends
+    inner = offsets[1:-1]
+    at = np.searchsorted(starts, inner, "right") - 1
+    split = inner[(at >= 0) & (starts[np.maximum(at, 0)] < inner) & (ends[np.maximum(at, 0)] > inner)]
+    return np.union1d(starts, split), np.union1d(ends, split)

@@ -19,6 +19,17 @@ def tokenizer_path() -> str:
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find
+
+    found = find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    hit = F.expr("aggregate(zip_with(__dc_starts, __dc_ends, (a, b) -> b - a), 0L, (x, y) -> x + y)")
+    return found.select(
+        "doc_id", F.col("__dc_words").alias("n_words"), hit.alias("n_hit"), F.size("__dc_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("__dc_items"), ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
+    )
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import expand, read_back
 
@@ -76,6 +87,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_decontaminate": op2_decontaminate,
     "op3_chat_format": op3_chat_format,
     "op4_pack": op4_pack,
     "op5_exact_dedup": op5_exact_dedup,
