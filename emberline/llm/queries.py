@@ -19,6 +19,12 @@ def tokenizer_path() -> str:
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import suffix_dedup
+
+    return suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import find
 
@@ -68,6 +74,12 @@ def op6_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import sample, score, train
 
@@ -87,11 +99,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_decontaminate": op2_decontaminate,
     "op3_chat_format": op3_chat_format,
     "op4_pack": op4_pack,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_warc_bundles": op6_warc_bundles,
+    "op7_substring_dedup": op7_substring_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
 }
