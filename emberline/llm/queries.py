@@ -80,6 +80,12 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_classes
+
+    return near_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import sample, score, train
 
@@ -106,6 +112,7 @@ QUERIES: dict[str, Query] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_warc_bundles": op6_warc_bundles,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_near_dedup": op8_near_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
 }

@@ -372,3 +372,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool
     rows = docs.select(*rest, text_or_empty(text_col).alias("__tx_text"))
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n != "__tx_text")
     return rows.mapInArrow(_score(shared), f"{schema}, __tx_score double")
+
+
+def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs whose score, by a model learnt from the labelled ones among them, is below the threshold."""
+    model = train(*sample(docs, labels))
+    return score(docs, model, keep_text=True).filter(F.col("__tx_score") < threshold).select(docs.columns)
