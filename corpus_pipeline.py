@@ -1,30 +1,67 @@
-"""The corpus pipeline: documents go through its stages in order."""
+"""The corpus pipeline: toxicity, exact copies, near copies, benchmark passages, packing, in that order.
+
+Each stage takes what its predecessor kept, as written to the shared folder and
+read again, and all but the last return the columns of `documents`.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from emberline.llm.common import table, written
+from emberline.llm.decontaminate import decontaminate
 from emberline.llm.exact_dedup import exact_dedup
+from emberline.llm.near_dedup import near_dedup
+from emberline.llm.packing import pack
+from emberline.llm.queries import tokenizer_path
+from emberline.llm.toxicity import reject_toxic
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.7 or more go."""
+    return reject_toxic(docs, table(spark, sf_dir, "labels"))
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal up to white space the smallest doc_id stays."""
     return exact_dedup(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("exact_dedup", drop_copies)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that share four fifths of their five-word shingles, directly or through others, the smallest doc_id stays."""
+    return near_dedup(docs)
+
+
+def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words that stand in an occurrence of a benchmark window are cut out; n_chars follows."""
+    clean = decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every token piece and its place in a training sequence."""
+    return pack(docs, tokenizer_path())
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("decontaminate", cut_benchmark),
+    ("pack", pack_sequences),
+]
 
 #: The stages learn models and build signatures, which SQL can't express; tests compare them with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written to the shared folder and read again before the next."""
+    """All stages over the documents of sf_dir."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
