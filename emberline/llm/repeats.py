@@ -74,6 +74,11 @@ def units(tokens: Tokens, window: int, gram: int) -> tuple[np.ndarray, ...]:
 UNITS = "u long, m long, doc long, first int, n int"
 
 
+def ids_of(batch: pa.RecordBatch) -> np.ndarray:
+    """doc_id as 64-bit integers; null (which takes part in nothing) as -1."""
+    return batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def slices(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[tuple[pa.RecordBatch, Tokens, np.ndarray, np.ndarray]]:
     for whole in batches:
         for batch in chunks(whole, "text", SLICE_BYTES):
@@ -89,14 +94,14 @@ def _units(kind: str, window: int, gram: int, wanted):
             if keep is not None:
                 ok = keep(m)
                 text, m, u, first, n = text[ok], m[ok], u[ok], first[ok], n[ok]
-            doc = batch.column("doc_id").to_numpy(zero_copy_only=False)[text] if len(text) else np.zeros(0, np.int64)
+            doc = ids_of(batch)[text]
             yield pa.record_batch([pa.array(u.view(np.int64)), pa.array(m.view(np.int64)), pa.array(doc, pa.int64()), pa.array(first, pa.int32()), pa.array(n, pa.int32())], ["u", "m", "doc", "first", "n"])
 
     return run
 
 
 def texts(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", text_or_empty().alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
 
 
 def unit_rows(docs: DataFrame, kind: str, window: int, gram: int, wanted=None) -> DataFrame:
@@ -143,7 +148,7 @@ def _names(kind: str, window: int, parts: int):
             ok = place + window <= tokens.offsets[text + 1]
             text, at, place = text[ok], at[ok], place[ok]
             a, b = grams[place], grams[place + window - half]
-            doc = batch.column("doc_id").to_numpy()[text]
+            doc = ids_of(batch)[text]
             part = (mix64(a ^ (b * np.uint64(3))) % np.uint64(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
             keys, begin = np.unique(part[order], return_index=True)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import written
-from .repeats import compare_windows, earliest, gathered, pieces_of, removed_tokens, settle, slices, unit_rows, with_spans
+from .repeats import compare_windows, earliest, gathered, ids_of, pieces_of, removed_tokens, settle, slices, unit_rows, with_spans
 
 #: Words of a window and of an anchor's gram; runs before they are merged.
 WINDOW, GRAM, MAX_RUNS = 50, 8, 4
@@ -95,7 +95,7 @@ def _find(window: int, gram: int):
             key = np.stack((owner.astype(np.uint64), asked.flatten().field("u").to_numpy().view(np.uint64)))
             seen = set(zip(key[0].tolist(), key[1].tolist(), strict=True))
             ok = np.fromiter(((t, x) in seen for t, x in zip(text.tolist(), u.tolist(), strict=True)), bool, len(text))
-            doc = batch.column("doc_id").to_numpy()[text[ok]] if len(text) else np.zeros(0, np.int64)
+            doc = ids_of(batch)[text[ok]]
             yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(first[ok], pa.int32()), pa.array(n[ok], pa.int32())], ["doc", "first", "n"])
 
     return run
