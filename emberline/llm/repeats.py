@@ -17,10 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, chunks, mix64, partitions, prefix_hash, runs, sliding_min, span_hash, spans_within, text_or_empty, values
+from .common import byte_values, chunks, covered, mix64, partitions, prefix_hash, runs, sliding_min, span_hash, spans_within, text_or_empty, values
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -71,9 +72,6 @@ def units(tokens: Tokens, window: int, gram: int) -> tuple[np.ndarray, ...]:
     return text, anchor[first], unit, first - tokens.offsets[text], n
 
 
-UNITS = "u long, m long, doc long, first int, n int"
-
-
 def ids_of(batch: pa.RecordBatch) -> np.ndarray:
     """doc_id as 64-bit integers; null (which takes part in nothing) as -1."""
     return batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -86,139 +84,175 @@ def slices(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[tuple[pa.Re
             yield batch, Tokens(kind, data, offsets), data, offsets
 
 
-def _units(kind: str, window: int, gram: int, wanted):
+def texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+
+
+def refine(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Mask of the places whose window an earlier document holds.
+
+    Buckets of equal first halves, refined by sorting on the bucket of the later
+    offset; a bucket of one document needs no refinement.
+    """
+    order = np.lexsort((doc, b, a))
+    a, b, doc = a[order], b[order], doc[order]
+    new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, bool)
+    lead = doc[np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))] if len(a) else doc
+    out = np.zeros(len(a), bool)
+    out[order] = lead < doc
+    return out
+
+
+#: A unit of a slice that no smaller document of the slice holds goes to its bucket; the others are settled on the spot.
+BUCKETS = "part int, u binary, m binary, doc binary, first binary, n binary, own_doc binary, own_first binary, own_n binary"
+KINDS = {"u": np.uint64, "m": np.uint32, "doc": np.int64, "first": np.int32, "n": np.int32, "own_doc": np.int64, "own_first": np.int32, "own_n": np.int32}
+
+
+def _buckets(kind: str, window: int, gram: int, wanted, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = wanted() if wanted else None
+        keep, turn = wanted() if wanted else None, TaskContext.get().partitionId()
         for batch, tokens, _, _ in slices(batches, kind):
             text, m, u, first, n = units(tokens, window, gram)
-            if keep is not None:
-                ok = keep(m)
-                text, m, u, first, n = text[ok], m[ok], u[ok], first[ok], n[ok]
-            doc = ids_of(batch)[text]
-            yield pa.record_batch([pa.array(u.view(np.int64)), pa.array(m.view(np.int64)), pa.array(doc, pa.int64()), pa.array(first, pa.int32()), pa.array(n, pa.int32())], ["u", "m", "doc", "first", "n"])
+            ok = keep(m) if keep else np.ones(len(m), bool)
+            m, u, first, n = m[ok], u[ok], first[ok].astype(np.int32), n[ok].astype(np.int32)
+            doc = ids_of(batch)[text[ok]]
+            order = np.lexsort((doc, u))
+            lead = earliest_in(u[order], None, doc[order])
+            later = order[lead < doc[order]]
+            open_ = np.ones(len(u), bool)
+            open_[later] = False
+            part = (m >> np.uint64(33)).astype(np.int64) % parts
+            rows: dict[int, dict[str, bytes]] = {}
+            at = np.flatnonzero(open_)
+            at = at[np.argsort(part[at], kind="stable")]
+            keys, begin = np.unique(part[at], return_index=True)
+            for k, own in zip(keys.tolist(), np.split(at, begin[1:]) if len(keys) else [], strict=True):
+                rows[k] = {"u": u[own].tobytes(), "m": m[own].astype(np.uint32).tobytes(), "doc": doc[own].tobytes(), "first": first[own].tobytes(), "n": n[own].tobytes()}
+            if len(later):
+                turn += 1
+                rows.setdefault(turn % parts, {}).update(own_doc=doc[later].tobytes(), own_first=first[later].tobytes(), own_n=n[later].tobytes())
+            yield pa.record_batch([pa.array(list(rows), pa.int32()), *(pa.array([r.get(c, b"") for r in rows.values()], pa.binary()) for c in KINDS)], ["part", *KINDS])
 
     return run
 
 
-def texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+def earliest_in(a: np.ndarray, b: np.ndarray | None, doc: np.ndarray) -> np.ndarray:
+    """For sorted keys (a, b), documents ascending within each: the first document of each key."""
+    if not len(a):
+        return doc
+    new = a[1:] != a[:-1]
+    if b is not None:
+        new |= b[1:] != b[:-1]
+    return doc[np.maximum.accumulate(np.where(np.concatenate(([True], new)), np.arange(len(a)), 0))]
 
 
-def unit_rows(docs: DataFrame, kind: str, window: int, gram: int, wanted=None) -> DataFrame:
-    """u (unit), m (anchor), doc, first, n for all units of the documents with an id. wanted() makes a test for anchors, in each task."""
-    return texts(docs).filter("doc_id is not null").mapInArrow(_units(kind, window, gram, wanted), UNITS)
+SPANS = "doc long, spans binary"
 
 
-def earliest(rows: DataFrame, doc: str = "doc") -> DataFrame:
-    """u, m, d: the smallest document that holds each unit; sums up before it shuffles."""
-    return rows.groupBy("u", "m").agg(F.min(doc).alias("d"))
+def _by_document(doc: np.ndarray, first: np.ndarray, n: np.ndarray) -> pa.Table:
+    """One row per document: pairs of 32-bit integers, first window and number of windows (negative: to be compared)."""
+    order = np.lexsort((first, doc))
+    doc, pairs = doc[order], np.stack((first[order], n[order]), axis=1).astype(np.int32)
+    keys, begin = np.unique(doc, return_index=True)
+    parts = np.split(pairs, begin[1:]) if len(keys) else []
+    return pa.table({"doc": pa.array(keys, pa.int64()), "spans": pa.array([x.tobytes() for x in parts], pa.binary())})
 
 
-def settle(rows: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Units that an earlier document holds whole: (doc, first, n); and units to compare window by window: (doc, first, n).
+def _column(group: pa.Table, name: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(group.column(name).to_pylist()), kind)
 
-    rows must be the units of the judged documents and of the documents that are
-    the earliest of some unit; known has the earliest document of every unit.
-    The join's row side may have hot units, which AQE splits.
-    """
-    joined = rows.join(known.select("u", "m", "d"), ["u", "m"])
-    whole = joined.filter("d < doc").select("doc", "first", "n")
-    mixed = known.groupBy("m").agg(F.count(F.lit(1)).alias("k"), F.min("d").alias("lo"), F.max("d").alias("hi")).filter("k > 1 and lo < hi").select("m")
-    single = joined.filter("d = doc").join(mixed, "m", "left_semi").select("doc", "first", "n")
-    return whole, single
+
+def mixed_anchors(m: np.ndarray, u: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For rows sorted by anchor and unit: whether the anchor has several units in several documents."""
+    if not len(m):
+        return np.zeros(0, bool)
+    new = np.concatenate(([True], m[1:] != m[:-1]))
+    starts = np.flatnonzero(new)
+    other = np.concatenate(([False], u[1:] != u[:-1])) & ~new
+    several = np.add.reduceat(other.astype(np.int64), starts) > 0
+    apart = np.minimum.reduceat(doc, starts) < np.maximum.reduceat(doc, starts)
+    return (several & apart)[np.cumsum(new) - 1]
+
+
+def _settled(group: pa.Table) -> pa.Table:
+    """Of one bucket: units that an earlier document holds whole, and the first of units that share their anchor with others."""
+    u, m, doc, first, n, own_doc, own_first, own_n = (_column(group, c, k) for c, k in KINDS.items())
+    order = np.lexsort((doc, u, m))
+    u, m, doc, first, n = u[order], m[order], doc[order], first[order], n[order]
+    whole = earliest_in(m, u, doc) < doc
+    mixed = mixed_anchors(m, u, doc) & ~whole
+    return _by_document(np.concatenate((own_doc, doc[whole], doc[mixed])), np.concatenate((own_first, first[whole], first[mixed])), np.concatenate((own_n, n[whole], -n[mixed])))
 
 
 NAMES = "part int, a binary, b binary, doc binary, at binary"
 
 
 def _names(kind: str, window: int, parts: int):
-    """For the windows asked for: the bucket names of their two halves (which overlap if the window is odd), dealt out by name."""
-    half = -(-window // 2)
+    """Names of the q-gram buckets at each window to be compared and at its later offset, dealt out by name."""
+    q = -(-window // 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, tokens, _, _ in slices(batches, kind):
-            grams = tokens.grams(half)
-            asked = batch.column("spans").combine_chunks() if isinstance(batch.column("spans"), pa.ChunkedArray) else batch.column("spans")
-            text = np.repeat(np.arange(batch.num_rows), np.diff(asked.offsets.to_numpy()))
-            flat = asked.flatten()
-            first, n = flat.field("first").to_numpy().astype(np.int64), flat.field("n").to_numpy().astype(np.int64)
+            grams = tokens.grams(q)
+            text, first, n = spans_of(batch)
+            text, first, n = text[n < 0], first[n < 0], -n[n < 0]
             at = np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
             text = np.repeat(text, n)
             place = tokens.offsets[text] + at
             ok = place + window <= tokens.offsets[text + 1]
             text, at, place = text[ok], at[ok], place[ok]
-            a, b = grams[place], grams[place + window - half]
+            a, b = grams[place], grams[place + window - q]
             doc = ids_of(batch)[text]
-            part = (mix64(a ^ (b * np.uint64(3))) % np.uint64(parts)).astype(np.int32)
+            part = ((a ^ (b >> np.uint64(7))) >> np.uint64(35)).astype(np.int64) % parts
             order = np.argsort(part, kind="stable")
             keys, begin = np.unique(part[order], return_index=True)
             cut = lambda x: [y.tobytes() for y in np.split(x[order], begin[1:])] if len(keys) else []
-            yield pa.record_batch([pa.array(keys, pa.int32()), *(pa.array(cut(x), pa.binary()) for x in (a, b, doc, at.astype(np.int32)))], ["part", "a", "b", "doc", "at"])
+            yield pa.record_batch([pa.array(keys, pa.int32()), *(pa.array(cut(x), pa.binary()) for x in (a.astype(np.uint32), b.astype(np.uint32), doc, at.astype(np.int32)))], ["part", "a", "b", "doc", "at"])
 
     return run
 
 
-def refine(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Mask of the places whose window an earlier document holds.
-
-    Buckets of equal first halves, refined by sorting on the bucket of the later
-    offset; a bucket of one document needs no refinement.
-    """
-    order = np.lexsort((doc, b, a))
-    a, b, doc = a[order], b[order], doc[order]
-    new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, bool)
-    lead = doc[np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))] if len(a) else doc
-    out = np.zeros(len(a), bool)
-    out[order] = lead < doc
-    return out
+def spans_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """text, first, n of all spans gathered for a batch's rows."""
+    blobs = [b"".join(x) if x else b"" for x in batch.column("spans").to_pylist()]
+    pairs = np.frombuffer(b"".join(blobs), np.int32).reshape(-1, 2).astype(np.int64)
+    return np.repeat(np.arange(len(blobs)), [len(x) // 8 for x in blobs]), pairs[:, 0], pairs[:, 1]
 
 
 def _refined(group: pa.Table) -> pa.Table:
-    col = lambda n, t: np.frombuffer(b"".join(group.column(n).to_pylist()), t)
-    a, b, doc, at = col("a", np.uint64), col("b", np.uint64), col("doc", np.int64), col("at", np.int32)
+    """Sort the buckets' suffixes by the name at the later offset; windows of a bucket belong to its earliest document."""
+    a, b, doc, at = _column(group, "a", np.uint32), _column(group, "b", np.uint32), _column(group, "doc", np.int64), _column(group, "at", np.int32)
     hit = refine(a, b, doc)
     doc, at = doc[hit], at[hit].astype(np.int64)
     order = np.lexsort((at, doc))
     doc, at = doc[order], at[order]
-    # windows that follow one another go as one span
     new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)))) if len(at) else np.zeros(0, np.int64)
-    n = np.diff(np.append(new, len(at)))
-    return pa.table({"doc": pa.array(doc[new]), "first": pa.array(at[new], pa.int32()), "n": pa.array(n, pa.int32())})
-
-
-def gathered(spans: DataFrame) -> DataFrame:
-    """doc_id and its spans as an array of (first, n)."""
-    return spans.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("first", "n")).alias("spans"))
-
-
-def compare_windows(docs: DataFrame, single: DataFrame, kind: str, window: int) -> DataFrame:
-    """Of the windows in `single` those that start in an earlier document too: (doc, first, n)."""
-    spark = docs.sparkSession
-    asked = texts(docs).join(gathered(single), "doc_id")
-    # several parts for each partition keep a task's groups small
-    named = asked.mapInArrow(_names(kind, window, 8 * partitions(spark)), NAMES)
-    return named.groupBy("part").applyInArrow(_refined, "doc long, first int, n int")
-
-
-def removed_tokens(tokens: Tokens, spans: pa.Array, window: int) -> np.ndarray:
-    """Mask of the tokens that the spans of windows cover; spans beyond a text's end are cut there."""
-    step = np.zeros(len(tokens.values) + 1, np.int32)
-    sizes = np.diff(spans.offsets.to_numpy())
-    text = np.repeat(np.arange(len(sizes)), sizes)
-    flat = spans.flatten()
-    if len(flat):
-        first, n = flat.field("first").to_numpy().astype(np.int64), flat.field("n").to_numpy().astype(np.int64)
-        begin = np.minimum(tokens.offsets[text] + first, tokens.offsets[text + 1])
-        end = np.minimum(begin + n + window - 1, tokens.offsets[text + 1])
-        np.add.at(step, begin, 1)
-        np.add.at(step, end, -1)
-    return np.cumsum(step[:-1]) > 0
-
-
-def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """doc_id, text (no null) and spans (empty array where there are none)."""
-    none = F.expr("cast(array() as array<struct<first:int,n:int>>)")
-    return texts(docs).join(gathered(spans), "doc_id", "left").withColumn("spans", F.coalesce("spans", none))
+    return _by_document(doc[new], at[new], np.diff(np.append(new, len(at))))
+
+
+def _gathered(spans: DataFrame) -> DataFrame:
+    return spans.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("spans").alias("spans"))
+
+
+def with_spans(docs: DataFrame, settled: DataFrame, kind: str, window: int) -> DataFrame:
+    """doc_id, text and spans (pairs of first window and number of windows that also start in a smaller doc_id; negative ones do not count).
+
+    settled are the spans found so far, negative ones to be compared. The text is
+    dealt out by document once; both joins reuse that exchange.
+    """
+    parts = partitions(docs.sparkSession)
+    dealt = texts(docs).repartition(parts, "doc_id")
+    asked = dealt.join(_gathered(settled), "doc_id", "left")
+    refined = asked.mapInArrow(_names(kind, window, parts), NAMES).groupBy("part").applyInArrow(_refined, SPANS)
+    return dealt.join(_gathered(settled.unionByName(refined)), "doc_id", "left")
+
+
+def removed_tokens(batch: pa.RecordBatch, tokens: Tokens, window: int) -> np.ndarray:
+    """Mask of the tokens that the spans of a batch's rows cover; spans beyond a text's end are cut there."""
+    text, first, n = spans_of(batch)
+    text, first, n = text[n > 0], first[n > 0], n[n > 0]
+    begin = np.minimum(tokens.offsets[text] + first, tokens.offsets[text + 1])
+    return covered(len(tokens.values), begin, np.minimum(begin + n + window - 1, tokens.offsets[text + 1]))
 
 
 def pieces_of(mask: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, int]]:

@@ -1,12 +1,12 @@
 """Incremental substring deduplication with a log-structured fingerprint index.
 
 The index is a series of immutable runs, each a table of fingerprints (units of
-window hashes, their anchor and the earliest document that holds them) sorted by
-fingerprint. A new batch writes its own run, then its units are merge-joined with
-all runs. Fingerprints that match whole are settled; where units under one anchor
-differ, the windows themselves are compared from the texts. When there are more
-than MAX_RUNS runs they are merged into one that keeps the earliest document of
-each fingerprint.
+window hashes, their anchor and the earliest document that holds them) in parts,
+sorted by fingerprint. A new batch is merge-joined with all runs part by part and
+leaves a run of its own. Fingerprints that match whole are settled; where units
+under one anchor differ, the windows themselves are verified from the texts. When
+there are more than MAX_RUNS runs they are merged into one that keeps the earliest
+document of each fingerprint.
 
 Documents are judged against all documents with a smaller doc_id in the index or
 in their own batch. A batch does not change what earlier batches have kept.
@@ -28,77 +28,79 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
-from .repeats import compare_windows, earliest, gathered, ids_of, pieces_of, removed_tokens, settle, slices, unit_rows, with_spans
+from .common import partitions, written
+from .repeats import BUCKETS, KINDS, _buckets, _by_document, _column, earliest_in, mixed_anchors, pieces_of, removed_tokens, slices, texts, with_spans
 
 #: Words of a window and of an anchor's gram; runs before they are merged.
 WINDOW, GRAM, MAX_RUNS = 50, 8, 4
 
 
+RUN = "part int, u binary, m binary, doc binary, first binary, n binary"
+MERGED = "id long, spans binary, part int, u binary, m binary, doc binary, first binary, n binary"
+RUN_KINDS = {k: KINDS[k] for k in ("u", "m", "doc", "first", "n")}
+
+
+def _earliest_run(u: np.ndarray, m: np.ndarray, doc: np.ndarray, first: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Sorted by anchor and unit, the earliest document of each fingerprint."""
+    order = np.lexsort((doc, u, m))
+    u, m, doc, first, n = u[order], m[order], doc[order], first[order], n[order]
+    keep = np.concatenate(([True], (u[1:] != u[:-1]) | (m[1:] != m[:-1]))) if len(u) else np.zeros(0, bool)
+    return [x[keep] for x in (u, m, doc, first, n)]
+
+
+def _compacted(group: pa.Table) -> pa.Table:
+    run = _earliest_run(*(_column(group, c, k) for c, k in RUN_KINDS.items()))
+    return pa.table({"part": pa.array([group.column("part")[0].as_py()], pa.int32())} | {c: pa.array([x.tobytes()], pa.binary()) for c, x in zip(RUN_KINDS, run, strict=True)})
+
+
+def _merge_join(new: pa.Table, runs: pa.Table) -> pa.Table:
+    """Of one part: the new batch's fingerprints against all runs. Gives spans by document, and the batch's own run."""
+    fresh = [_column(new, c, k) for c, k in RUN_KINDS.items()]
+    known = [_column(runs, c, k) for c, k in RUN_KINDS.items()]
+    old = np.concatenate((np.zeros(len(fresh[0]), bool), np.ones(len(known[0]), bool)))
+    u, m, doc, first, n = (np.concatenate(x) for x in zip(fresh, known, strict=True))
+    order = np.lexsort((doc, u, m))
+    u, m, doc, first, n, old = u[order], m[order], doc[order], first[order], n[order], old[order]
+    lead = earliest_in(m, u, doc) < doc
+    whole = lead & ~old
+    # anchors that the batch brings and that several units share: the earlier documents' windows are sources
+    touched = np.zeros(len(m), bool)
+    if len(m):
+        begin = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1])))
+        touched = np.repeat(np.logical_or.reduceat(~old, begin), np.diff(np.append(begin, len(m))))
+    mixed = mixed_anchors(m, u, doc) & ~lead & touched
+    own = [_column(new, c, KINDS[c]) for c in ("own_doc", "own_first", "own_n")]
+    spans = _by_document(*(np.concatenate((o, x[whole], y)) for o, x, y in zip(own, (doc, first, n), (doc[mixed], first[mixed], -n[mixed]), strict=True)))
+    run = _earliest_run(*(x[~old & ~lead] for x in (u, m, doc, first, n)))
+    part = (new if new.num_rows else runs).column("part")[0].as_py()
+    rows = spans.num_rows
+    cols = {"id": pa.concat_arrays([*spans.column("doc").chunks, pa.nulls(1, pa.int64())]), "spans": pa.concat_arrays([*spans.column("spans").chunks, pa.nulls(1, pa.binary())]), "part": pa.array([None] * rows + [part], pa.int32())}
+    return pa.table(cols | {c: pa.array([None] * rows + [x.tobytes()], pa.binary()) for c, x in zip(RUN_KINDS, run, strict=True)})
+
+
 class FingerprintIndex:
-    """The runs of one index; `history` are the documents that it covers, for comparing windows."""
+    """The runs of one index, each a written table with a sorted array of fingerprints for each part."""
 
     def __init__(self, spark: SparkSession, window: int = WINDOW, gram: int = GRAM, max_runs: int = MAX_RUNS) -> None:
         self.spark, self.window, self.gram, self.max_runs = spark, window, gram, max_runs
+        self.parts = partitions(spark)
         self.runs: list[DataFrame] = []
-        self.history: list[DataFrame] = []
-
-    def _run(self, rows: DataFrame, doc: str) -> DataFrame:
-        """A sorted immutable run: one row per fingerprint."""
-        return written(earliest(rows, doc).sortWithinPartitions("u", "m"), "fingerprint-run")
 
     def compact(self) -> None:
-        """Merge all runs into one."""
+        """Merge all runs into one that keeps the earliest document of each fingerprint."""
         if len(self.runs) > 1:
-            self.runs = [self._run(reduce(DataFrame.unionByName, self.runs), "d")]
+            whole = reduce(DataFrame.unionByName, self.runs)
+            self.runs = [written(whole.groupBy("part").applyInArrow(_compacted, RUN), "fingerprint-run")]
 
     def ingest(self, batch: DataFrame) -> DataFrame:
-        """Add a batch (doc_id, text); returns (doc, first, n), spans of window starts that earlier documents hold."""
-        rows = written(unit_rows(batch, "words", self.window, self.gram), "fingerprints")
-        run = self._run(rows, "doc")
-        self.runs.append(run)
-        self.history.append(batch.select("doc_id", "text"))
-        known = reduce(DataFrame.unionByName, self.runs)
-        if len(self.runs) > 1:
-            known = earliest(known, "d")
-        whole, single = settle(rows, known)
-        if len(self.runs) > 1:
-            # the earlier documents' windows under the same anchors: their texts are read again
-            mixed = known.groupBy("m").agg(F.count(F.lit(1)).alias("k"), F.min("d").alias("lo"), F.max("d").alias("hi")).filter("k > 1 and lo < hi").select("m")
-            fresh = rows.join(mixed, "m", "left_semi").select("m").distinct()
-            old = reduce(DataFrame.unionByName, self.runs[:-1]).join(fresh, "m", "left_semi")
-            single = single.unionByName(self._places(old))
-        documents = reduce(DataFrame.unionByName, self.history)
-        spans = compare_windows(documents, single, "words", self.window)
-        if len(self.runs) > 1:  # earlier batches are not judged again
-            spans = spans.join(batch.select(F.col("doc_id").alias("doc")).distinct(), "doc", "left_semi")
-        out = written(whole.unionByName(spans), "substring-spans")
+        """Add a batch (doc_id, text). Returns spans by document: units that earlier documents hold, and (negative) windows to be verified from the texts."""
+        sent = texts(batch).filter("doc_id is not null").mapInArrow(_buckets("words", self.window, self.gram, None, self.parts), BUCKETS)
+        runs = reduce(DataFrame.unionByName, self.runs) if self.runs else self.spark.createDataFrame([], RUN)
+        merged = written(sent.groupBy("part").cogroup(runs.groupBy("part")).applyInArrow(_merge_join, MERGED), "fingerprint-merge")
+        self.runs.append(merged.filter("part is not null").select("part", *RUN_KINDS))
         if len(self.runs) > self.max_runs:
             self.compact()
-        return out
-
-    def _places(self, old: DataFrame) -> DataFrame:
-        """Where the documents of old fingerprints have them."""
-        asked = old.select(F.col("d").alias("doc_id"), F.struct("u", "m").alias("f")).groupBy("doc_id").agg(F.collect_list("f").alias("spans"))
-        texts = reduce(DataFrame.unionByName, self.history[:-1]).filter("doc_id is not null and text is not null")
-        return texts.join(asked, "doc_id").mapInArrow(_find(self.window, self.gram), "doc long, first int, n int")
-
-
-def _find(window: int, gram: int):
-    from .repeats import units
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, tokens, _, _ in slices(batches, "words"):
-            text, _, u, first, n = units(tokens, window, gram)
-            asked = batch.column("spans")
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(asked.offsets.to_numpy()))
-            key = np.stack((owner.astype(np.uint64), asked.flatten().field("u").to_numpy().view(np.uint64)))
-            seen = set(zip(key[0].tolist(), key[1].tolist(), strict=True))
-            ok = np.fromiter(((t, x) in seen for t, x in zip(text.tolist(), u.tolist(), strict=True)), bool, len(text))
-            doc = ids_of(batch)[text[ok]]
-            yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(first[ok], pa.int32()), pa.array(n[ok], pa.int32())], ["doc", "first", "n"])
-
-    return run
+        return merged.filter("id is not null").select(F.col("id").alias("doc"), "spans")
 
 
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -107,7 +109,7 @@ OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 def _kept(window: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, tokens, data, _ in slices(batches, "words"):
-            mask = removed_tokens(tokens, batch.column("spans"), window)
+            mask = removed_tokens(batch, tokens, window)
             raw = data.tobytes()
             removed, sha, kept_texts = [], [], []
             for gone, keep, _ in pieces_of(mask, tokens.offsets):
@@ -124,25 +126,20 @@ def _kept(window: int, with_text: bool):
     return run
 
 
-def apply_spans(batch: DataFrame, spans: DataFrame, window: int = WINDOW, with_text: bool = False) -> DataFrame:
-    """Per document: doc_id, n_words, n_removed, kept_sha256 (kept words joined by one space), and that text if wanted."""
-    return with_spans(batch, spans).mapInArrow(_kept(window, with_text), OUT + (", kept string" if with_text else ""))
+def verify_and_cut(docs: DataFrame, settled: DataFrame, window: int = WINDOW, with_text: bool = False) -> DataFrame:
+    """Compare the windows that settled leaves open, from the texts of docs (the batch and what came before it), and cut.
+
+    Per document: doc_id, n_words, n_removed, kept_sha256 (kept words joined by one space), and that text if wanted.
+    """
+    return with_spans(docs, settled, "words", window).mapInArrow(_kept(window, with_text), OUT + (", kept string" if with_text else ""))
 
 
 def substring_dedup(docs: DataFrame, batches: int = 2, window: int = WINDOW, with_text: bool = False) -> DataFrame:
-    """Ingest docs into a new index in `batches` ranges of doc_id, smallest first, and apply the spans found."""
+    """Ingest docs into a new index in `batches` ranges of doc_id, smallest first, verify and cut."""
     index = FingerprintIndex(docs.sparkSession, window)
-    cuts = docs.filter("doc_id is not null").approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)
-    spans = []
-    for i in range(batches):
-        part = docs
-        if i and cuts:
-            part = part.filter(F.col("doc_id") > int(cuts[i - 1]))
-        if i < batches - 1 and cuts:
-            part = part.filter(F.col("doc_id") <= int(cuts[i]))
-        if cuts or not i:
-            spans.append(index.ingest(part))
-    return apply_spans(docs, reduce(DataFrame.unionByName, spans), window, with_text)
-
-
-__all__ = ["FingerprintIndex", "apply_spans", "gathered", "substring_dedup"]
+    cuts = sorted({int(c) for c in docs.filter("doc_id is not null").approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)})
+    settled = []
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = docs if low is None else docs.filter(F.col("doc_id") > low)
+        settled.append(index.ingest(part if high is None else part.filter(F.col("doc_id") <= high)))
+    return verify_and_cut(docs, reduce(DataFrame.unionByName, settled), window, with_text)

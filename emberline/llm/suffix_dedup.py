@@ -26,13 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import covered, partitions, written
+from .common import partitions, written
 from .exact_dedup import MAX_FILTER_BYTES, _has, _put, _segment_of, _slots
-from .repeats import ids_of, pieces_of, refine, slices, texts, units
+from .repeats import BUCKETS, SPANS, _buckets, _settled, pieces_of, removed_tokens, slices, texts, units, with_spans
 
 #: Bytes of a passage; the q-gram of an anchor.
 PASSAGE, GRAM = 50, 26
@@ -101,149 +100,13 @@ def shared_anchor_test(docs: DataFrame, passage: int, gram: int, total_bytes: in
     return wanted
 
 
-#: A unit of a slice that no smaller document of the slice holds goes to its bucket; the others are settled on the spot.
-BUCKETS = "part int, u binary, m binary, doc binary, first binary, n binary, own_doc binary, own_first binary, own_n binary"
-KINDS = {"u": np.uint64, "m": np.uint32, "doc": np.int64, "first": np.int32, "n": np.int32, "own_doc": np.int64, "own_first": np.int32, "own_n": np.int32}
-
-
-def _buckets(passage: int, gram: int, wanted, parts: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep, turn = wanted(), TaskContext.get().partitionId()
-        for batch, tokens, _, _ in slices(batches, "bytes"):
-            text, m, u, first, n = units(tokens, passage, gram)
-            ok = keep(m)
-            m, u, first, n = m[ok], u[ok], first[ok].astype(np.int32), n[ok].astype(np.int32)
-            doc = ids_of(batch)[text[ok]]
-            order = np.lexsort((doc, u))
-            lead = earliest_in(u[order], None, doc[order])
-            later = order[lead < doc[order]]
-            open_ = np.ones(len(u), bool)
-            open_[later] = False
-            part = (m >> np.uint64(33)).astype(np.int64) % parts
-            rows: dict[int, dict[str, bytes]] = {}
-            at = np.flatnonzero(open_)
-            at = at[np.argsort(part[at], kind="stable")]
-            keys, begin = np.unique(part[at], return_index=True)
-            for k, own in zip(keys.tolist(), np.split(at, begin[1:]) if len(keys) else [], strict=True):
-                rows[k] = {"u": u[own].tobytes(), "m": m[own].astype(np.uint32).tobytes(), "doc": doc[own].tobytes(), "first": first[own].tobytes(), "n": n[own].tobytes()}
-            if len(later):
-                turn += 1
-                rows.setdefault(turn % parts, {}).update(own_doc=doc[later].tobytes(), own_first=first[later].tobytes(), own_n=n[later].tobytes())
-            yield pa.record_batch([pa.array(list(rows), pa.int32()), *(pa.array([r.get(c, b"") for r in rows.values()], pa.binary()) for c in KINDS)], ["part", *KINDS])
-
-    return run
-
-
-def earliest_in(a: np.ndarray, b: np.ndarray | None, doc: np.ndarray) -> np.ndarray:
-    """For sorted keys (a, b), documents ascending within each: the first document of each key."""
-    if not len(a):
-        return doc
-    new = a[1:] != a[:-1]
-    if b is not None:
-        new |= b[1:] != b[:-1]
-    return doc[np.maximum.accumulate(np.where(np.concatenate(([True], new)), np.arange(len(a)), 0))]
-
-
-SPANS = "doc long, spans binary"
-
-
-def _by_document(doc: np.ndarray, first: np.ndarray, n: np.ndarray) -> pa.Table:
-    """One row per document: pairs of 32-bit integers, first window and number of windows (negative: to be compared)."""
-    order = np.lexsort((first, doc))
-    doc, pairs = doc[order], np.stack((first[order], n[order]), axis=1).astype(np.int32)
-    keys, begin = np.unique(doc, return_index=True)
-    parts = np.split(pairs, begin[1:]) if len(keys) else []
-    return pa.table({"doc": pa.array(keys, pa.int64()), "spans": pa.array([x.tobytes() for x in parts], pa.binary())})
-
-
-def _column(group: pa.Table, name: str, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(group.column(name).to_pylist()), kind)
-
-
-def _settled(group: pa.Table) -> pa.Table:
-    """Of one bucket: units that an earlier document holds whole, and the first of units that share their anchor with others."""
-    u, m, doc, first, n, own_doc, own_first, own_n = (_column(group, c, k) for c, k in KINDS.items())
-    order = np.lexsort((doc, u, m))
-    u, m, doc, first, n = u[order], m[order], doc[order], first[order], n[order]
-    whole = earliest_in(m, u, doc) < doc
-    # anchors with several units in several documents
-    units_, anchor = np.concatenate(([False], u[1:] != u[:-1])) if len(u) else np.zeros(0, bool), np.zeros(len(m), np.int64)
-    if len(m):
-        anchor = np.cumsum(np.concatenate(([0], m[1:] != m[:-1])))
-        starts = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1])))
-        low, high = np.minimum.reduceat(doc, starts), np.maximum.reduceat(doc, starts)
-        kinds = np.add.reduceat((units_ & np.concatenate(([False], m[1:] == m[:-1]))).astype(np.int64), starts)
-        mixed = ((kinds > 0) & (low < high))[anchor] & ~whole
-    else:
-        mixed = whole
-    return _by_document(np.concatenate((own_doc, doc[whole], doc[mixed])), np.concatenate((own_first, first[whole], first[mixed])), np.concatenate((own_n, n[whole], -n[mixed])))
-
-
-NAMES = "part int, a binary, b binary, doc binary, at binary"
-
-
-def _names(passage: int, parts: int):
-    """Names of the q-gram buckets at each window to be compared and at its later offset, dealt out by name."""
-    q = -(-passage // 2)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, tokens, _, _ in slices(batches, "bytes"):
-            grams = tokens.grams(q)
-            text, first, n = spans_of(batch)
-            text, first, n = text[n < 0], first[n < 0], -n[n < 0]
-            at = np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
-            text = np.repeat(text, n)
-            place = tokens.offsets[text] + at
-            ok = place + passage <= tokens.offsets[text + 1]
-            text, at, place = text[ok], at[ok], place[ok]
-            a, b = grams[place], grams[place + passage - q]
-            doc = ids_of(batch)[text]
-            part = ((a ^ (b >> np.uint64(7))) >> np.uint64(35)).astype(np.int64) % parts
-            order = np.argsort(part, kind="stable")
-            keys, begin = np.unique(part[order], return_index=True)
-            cut = lambda x: [y.tobytes() for y in np.split(x[order], begin[1:])] if len(keys) else []
-            yield pa.record_batch([pa.array(keys, pa.int32()), *(pa.array(cut(x), pa.binary()) for x in (a.astype(np.uint32), b.astype(np.uint32), doc, at.astype(np.int32)))], ["part", "a", "b", "doc", "at"])
-
-    return run
-
-
-def spans_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """text, first, n of all spans gathered for a batch's rows."""
-    blobs = [b"".join(x) if x else b"" for x in batch.column("spans").to_pylist()]
-    pairs = np.frombuffer(b"".join(blobs), np.int32).reshape(-1, 2).astype(np.int64)
-    return np.repeat(np.arange(len(blobs)), [len(x) // 8 for x in blobs]), pairs[:, 0], pairs[:, 1]
-
-
-def _refined(group: pa.Table) -> pa.Table:
-    """Sort the buckets' suffixes by the name at the later offset; windows of a bucket belong to its earliest document."""
-    a, b, doc, at = _column(group, "a", np.uint32), _column(group, "b", np.uint32), _column(group, "doc", np.int64), _column(group, "at", np.int32)
-    hit = refine(a, b, doc)
-    doc, at = doc[hit], at[hit].astype(np.int64)
-    order = np.lexsort((at, doc))
-    doc, at = doc[order], at[order]
-    new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)))) if len(at) else np.zeros(0, np.int64)
-    return _by_document(doc[new], at[new], np.diff(np.append(new, len(at))))
-
-
-def _gathered(spans: DataFrame) -> DataFrame:
-    return spans.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("spans").alias("spans"))
-
-
-def repeated_passages(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> DataFrame:
-    """doc_id, text and spans (pairs of first window and number of windows whose passage also starts in a smaller doc_id; negative ones do not count).
-
-    The text is dealt out by document once; both joins with spans reuse that exchange.
-    """
+def settled_units(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> DataFrame:
+    """Written spans of units: those that an earlier document holds whole, and (negative) those whose windows are to be compared."""
     spark, parts = docs.sparkSession, partitions(docs.sparkSession)
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b
     wanted = shared_anchor_test(docs, passage, gram, total)
-    dealt = texts(docs).repartition(parts, "doc_id")
-    sent = texts(docs).filter("doc_id is not null").mapInArrow(_buckets(passage, gram, wanted, parts), BUCKETS)
-    settled = written(sent.groupBy("part").applyInArrow(_settled, SPANS), "suffix-settled")
-    asked = dealt.join(_gathered(settled), "doc_id", "left")
-    named = asked.mapInArrow(_names(passage, parts), NAMES)
-    refined = named.groupBy("part").applyInArrow(_refined, SPANS)
-    return dealt.join(_gathered(settled.unionByName(refined)), "doc_id", "left")
+    sent = texts(docs).filter("doc_id is not null").mapInArrow(_buckets("bytes", passage, gram, wanted, parts), BUCKETS)
+    return written(sent.groupBy("part").applyInArrow(_settled, SPANS), "suffix-settled")
 
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -252,10 +115,7 @@ OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 stri
 def _kept(passage: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, tokens, data, offsets in slices(batches, "bytes"):
-            text, first, n = spans_of(batch)
-            text, first, n = text[n > 0], first[n > 0], n[n > 0]
-            begin = np.minimum(offsets[text] + first, offsets[text + 1])
-            mask = covered(len(data), begin, np.minimum(begin + n + passage - 1, offsets[text + 1]))
+            mask = removed_tokens(batch, tokens, passage)
             removed, spans, sha, kept_texts = [], [], [], []
             for gone, keep, n in pieces_of(mask, offsets):
                 kept = b"".join(data[a:b].tobytes() for a, b in keep)
@@ -272,5 +132,5 @@ def _kept(passage: int, with_text: bool):
 
 def suffix_dedup(docs: DataFrame, passage: int = PASSAGE, with_text: bool = False) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the bytes kept if wanted."""
-    return repeated_passages(docs, passage).mapInArrow(_kept(passage, with_text), OUT + (", kept binary" if with_text else ""))
+    return with_spans(docs, settled_units(docs, passage), "bytes", passage).mapInArrow(_kept(passage, with_text), OUT + (", kept binary" if with_text else ""))
 
