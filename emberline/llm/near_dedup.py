@@ -37,8 +37,6 @@ from .repeats import Tokens
 SHINGLE, SIMILARITY = 5, 0.8
 #: Rows of a band and bands: a pair at the similarity shares no band once in some 12 000 times.
 ROWS, BANDS = 7, 40
-#: Rounds of comparing a bucket's components with one centre each before what is left is compared pair by pair.
-ROUNDS = 2
 SLICE_BYTES = 2 << 20
 
 
@@ -156,6 +154,37 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, offsets = values(batch.column("set"))
+        n = np.diff(offsets) // 8
+        pick = lambda c: batch.column(c).take(pa.array(np.repeat(np.arange(len(n)), n)))
+        tokens = np.frombuffer(data.tobytes(), np.int64)
+        yield pa.record_batch([pick("doc"), pick("c"), pa.array(np.repeat(n, n), pa.int32()), pa.array(tokens)], ["doc", "c", "size", "token"])
+
+
+def candidates(sets: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of members (doc, c) of different components that can still be similar, each once.
+
+    Elements are put in one order for all, the rarest first. Similar sets share an
+    element so early in both that what follows can make up the overlap they need:
+    this prefix and position filter is exact, and a text whose rare elements are its
+    own meets no other, however many texts share its common ones.
+    """
+    rows = sets.join(members, "doc").select("doc", "c", "set").mapInArrow(_tokens, "doc long, c long, size int, token long")
+    counted = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    # nothing but the elements of one text is gathered here, and only its prefix goes on
+    ranked = rows.join(counted, "token").groupBy("doc", "c", "size").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
+    reach = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9).cast("int") + 1
+    front = ranked.select("doc", "c", "size", F.posexplode(F.slice("t", F.lit(1), reach)).alias("at", "e")).filter("e.df > 1").select("doc", "c", "size", "at", F.col("e.token").alias("token"))
+    other = front.select(F.col("doc").alias("doc2"), F.col("c").alias("c2"), F.col("size").alias("size2"), F.col("at").alias("at2"), "token")
+    need = F.ceil((F.col("size") + F.col("size2")) * (similarity / (1 + similarity)) - 1e-9)
+    most = F.least(F.col("size") - F.col("at"), F.col("size2") - F.col("at2"))
+    smaller = (F.col("size") < F.col("size2")) | ((F.col("size") == F.col("size2")) & (F.col("doc") < F.col("doc2")))
+    joined = front.join(other, (front["token"] == other["token"]) & (F.col("c") != F.col("c2")) & smaller & (most >= need) & (F.col("size") >= F.col("size2") * similarity - 1e-9))
+    return joined.select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
+
+
 def near_classes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id and class_id, the smallest doc_id of its class of near-duplicates."""
     norm = F.trim(F.regexp_replace(text_or_empty(), SPACE_CLASS, " "))
@@ -179,35 +208,20 @@ def near_classes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SI
         return written(pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(_similar(similarity), "a long, b long"), "near-links")
 
     def apart() -> DataFrame:
-        """Members of the buckets that still hold several components."""
+        """Members, with their component, of the buckets that still hold several components."""
         member = buckets.select("h", "doc").join(classes, "doc", "left").select("h", "doc", F.coalesce("class", "doc").alias("c"))
         mixed = member.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("h")
-        return member.join(mixed, "h", "left_semi")
+        return member.join(mixed, "h", "left_semi").select("doc", "c").distinct()
 
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     tried = written(buckets.filter("lo < doc").select(F.col("lo").alias("a"), F.col("doc").alias("b")).distinct(), "near-pairs")
     links = verified(tried)
     classes = components(links)
-    for k in range(ROUNDS + 1):
-        members = written(apart(), "near-apart")
-        if members.isEmpty():
-            break
-        if k < ROUNDS:
-            # another centre in each round, the member that a hash of the round puts first
-            order = F.xxhash64("doc", F.lit(k))
-            centre = members.groupBy("h").agg(F.min(F.struct(order.alias("o"), "doc", "c")).alias("m")).select("h", F.col("m.doc").alias("mid"), F.col("m.c").alias("mc"))
-            new = members.join(centre, "h").filter("c <> mc").select(*pair(F.col("doc"), F.col("mid")))
-        else:
-            other = members.select("h", F.col("doc").alias("doc2"), F.col("c").alias("c2"))
-            new = members.join(other, "h").filter("doc < doc2 and c <> c2").select(F.col("doc").alias("a"), F.col("doc2").alias("b"))
-        new = written(new.distinct().join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        if new.isEmpty():
-            continue
-        tried = tried.unionByName(new)
-        found = verified(new)
+    apart_ = written(apart(), "near-apart")
+    if not apart_.isEmpty():
+        more = written(candidates(sets, apart_, similarity).join(tried, ["a", "b"], "left_anti"), "near-pairs")
+        found = verified(more)
         if not found.isEmpty():
-            links = links.unionByName(found)
-            classes = components(links)
+            classes = components(links.unionByName(found))
     named = same.join(classes.select(F.col("doc").alias("rep"), "class"), "rep", "left")
     out = named.select("doc_id", F.coalesce("class", "rep").alias("class_id"))
     return out.unionByName(docs.filter("doc_id is null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id")))
