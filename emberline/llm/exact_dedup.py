@@ -139,17 +139,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     shared = spark.sparkContext.broadcast(slices)
     probe = _probe(shared, segments, slice_bits, 0)
 
-    @F.pandas_udf("boolean")
-    def maybe_repeated(h):
-        import pandas as pd
-
-        batch = pa.record_batch([pa.array(h.to_numpy(), pa.int64())], ["h"])
-        return pd.Series(next(probe(iter([batch]))).column(1).to_numpy(zero_copy_only=False))
+    @F.arrow_udf("boolean")
+    def maybe_repeated(h: pa.Array) -> pa.Array:
+        return next(probe(iter([pa.record_batch([h], ["h"])]))).column(1)
 
     schema = "__xd_id " + dict(digests.dtypes)["__xd_id"] + ", __xd_sha string, __xd_hash long, __xd_maybe boolean"
     suspects = digests.mapInArrow(_probe(shared, segments, slice_bits, 2), schema).filter("__xd_maybe")
     stays = suspects.groupBy("__xd_sha").agg(F.min("__xd_id").alias("__xd_keep")).withColumnRenamed("__xd_sha", "__xd_of")
+    # rows that repeat a whole document tie; one of them stays
+    tied = suspects.groupBy("__xd_sha", "__xd_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__xd_sha")
     marked = hashed.withColumn("__xd_maybe", maybe_repeated(F.xxhash64("__xd_sha")))
     through = marked.filter("not __xd_maybe").select(own)
     checked = marked.filter("__xd_maybe").join(stays, (F.col("__xd_sha") == F.col("__xd_of")) & F.col(id_col).eqNullSafe(F.col("__xd_keep")), "left_semi")
-    return through.unionByName(checked.dropDuplicates(["__xd_sha"]).select(own))
+    if not tied.isEmpty():
+        tied = written(tied.distinct(), "exact-ties")
+        checked = checked.join(tied, "__xd_sha", "left_anti").unionByName(checked.join(tied, "__xd_sha", "left_semi").dropDuplicates(["__xd_sha"]))
+    return through.unionByName(checked.select(own))
