@@ -146,16 +146,26 @@ def earliest_in(a: np.ndarray, b: np.ndarray | None, doc: np.ndarray) -> np.ndar
     return doc[np.maximum.accumulate(np.where(np.concatenate(([True], new)), np.arange(len(a)), 0))]
 
 
-SPANS = "doc long, spans binary"
+SPANS = "bucket int, docs binary, pairs binary"
 
 
-def _by_document(doc: np.ndarray, first: np.ndarray, n: np.ndarray) -> pa.Table:
-    """One row per document: pairs of 32-bit integers, first window and number of windows (negative: to be compared)."""
-    order = np.lexsort((first, doc))
-    doc, pairs = doc[order], np.stack((first[order], n[order]), axis=1).astype(np.int32)
-    keys, begin = np.unique(doc, return_index=True)
-    parts = np.split(pairs, begin[1:]) if len(keys) else []
-    return pa.table({"doc": pa.array(keys, pa.int64()), "spans": pa.array([x.tobytes() for x in parts], pa.binary())})
+def _by_document(doc: np.ndarray, first: np.ndarray, n: np.ndarray, parts: int) -> pa.Table:
+    """Spans dealt out by document: documents, and pairs of 32-bit integers, first window and number of windows (negative: to be compared)."""
+    bucket = (mix64(doc.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+    order = np.lexsort((first, doc, bucket))
+    doc, bucket, pairs = doc[order], bucket[order], np.stack((first[order], n[order]), axis=1).astype(np.int32)
+    keys, begin = np.unique(bucket, return_index=True)
+    cut = lambda x: [y.tobytes() for y in np.split(x, begin[1:])] if len(keys) else []
+    return pa.table({"bucket": pa.array(keys, pa.int32()), "docs": pa.array(cut(doc), pa.binary()), "pairs": pa.array(cut(pairs), pa.binary())})
+
+
+def _gather(group: pa.Table) -> pa.Table:
+    """Of one bucket: a row per document with its spans."""
+    doc, pairs = _column(group, "docs", np.int64), _column(group, "pairs", np.int32).reshape(-1, 2)
+    order = np.argsort(doc, kind="stable")
+    keys, begin = np.unique(doc[order], return_index=True)
+    cut = [y.tobytes() for y in np.split(pairs[order], begin[1:])] if len(keys) else []
+    return pa.table({"doc_id": pa.array(keys, pa.int64()), "spans": pa.array(cut, pa.binary())})
 
 
 def _column(group: pa.Table, name: str, kind) -> np.ndarray:
@@ -174,14 +184,22 @@ def mixed_anchors(m: np.ndarray, u: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return (several & apart)[np.cumsum(new) - 1]
 
 
-def _settled(group: pa.Table) -> pa.Table:
+def _settled(parts: int):
     """Of one bucket: units that an earlier document holds whole, and the first of units that share their anchor with others."""
+
+    def run(group: pa.Table) -> pa.Table:
+        return _settle_bucket(group, parts)
+
+    return run
+
+
+def _settle_bucket(group: pa.Table, parts: int) -> pa.Table:
     u, m, doc, first, n, own_doc, own_first, own_n = (_column(group, c, k) for c, k in KINDS.items())
     order = np.lexsort((doc, u, m))
     u, m, doc, first, n = u[order], m[order], doc[order], first[order], n[order]
     whole = earliest_in(m, u, doc) < doc
     mixed = mixed_anchors(m, u, doc) & ~whole
-    return _by_document(np.concatenate((own_doc, doc[whole], doc[mixed])), np.concatenate((own_first, first[whole], first[mixed])), np.concatenate((own_n, n[whole], -n[mixed])))
+    return _by_document(np.concatenate((own_doc, doc[whole], doc[mixed])), np.concatenate((own_first, first[whole], first[mixed])), np.concatenate((own_n, n[whole], -n[mixed])), parts)
 
 
 NAMES = "part int, a binary, b binary, doc binary, at binary"
@@ -214,12 +232,19 @@ def _names(kind: str, window: int, parts: int):
 
 def spans_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """text, first, n of all spans gathered for a batch's rows."""
-    blobs = [b"".join(x) if x else b"" for x in batch.column("spans").to_pylist()]
+    blobs = [x or b"" for x in batch.column("spans").to_pylist()]
     pairs = np.frombuffer(b"".join(blobs), np.int32).reshape(-1, 2).astype(np.int64)
     return np.repeat(np.arange(len(blobs)), [len(x) // 8 for x in blobs]), pairs[:, 0], pairs[:, 1]
 
 
-def _refined(group: pa.Table) -> pa.Table:
+def _refined(parts: int):
+    def run(group: pa.Table) -> pa.Table:
+        return _refine_bucket(group, parts)
+
+    return run
+
+
+def _refine_bucket(group: pa.Table, parts: int) -> pa.Table:
     """Sort the buckets' suffixes by the name at the later offset; windows of a bucket belong to its earliest document."""
     a, b, doc, at = _column(group, "a", np.uint32), _column(group, "b", np.uint32), _column(group, "doc", np.int64), _column(group, "at", np.int32)
     hit = refine(a, b, doc)
@@ -227,11 +252,11 @@ def _refined(group: pa.Table) -> pa.Table:
     order = np.lexsort((at, doc))
     doc, at = doc[order], at[order]
     new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)))) if len(at) else np.zeros(0, np.int64)
-    return _by_document(doc[new], at[new], np.diff(np.append(new, len(at))))
+    return _by_document(doc[new], at[new], np.diff(np.append(new, len(at))), parts)
 
 
 def _gathered(spans: DataFrame) -> DataFrame:
-    return spans.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("spans").alias("spans"))
+    return spans.groupBy("bucket").applyInArrow(_gather, "doc_id long, spans binary")
 
 
 def with_spans(docs: DataFrame, settled: DataFrame, kind: str, window: int) -> DataFrame:
@@ -243,7 +268,7 @@ def with_spans(docs: DataFrame, settled: DataFrame, kind: str, window: int) -> D
     parts = partitions(docs.sparkSession)
     dealt = texts(docs).repartition(parts, "doc_id")
     asked = dealt.join(_gathered(settled), "doc_id", "left")
-    refined = asked.mapInArrow(_names(kind, window, parts), NAMES).groupBy("part").applyInArrow(_refined, SPANS)
+    refined = asked.mapInArrow(_names(kind, window, parts), NAMES).groupBy("part").applyInArrow(_refined(parts), SPANS)
     return dealt.join(_gathered(settled.unionByName(refined)), "doc_id", "left")
 
 

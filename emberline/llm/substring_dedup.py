@@ -36,7 +36,7 @@ WINDOW, GRAM, MAX_RUNS = 50, 8, 4
 
 
 RUN = "part int, u binary, m binary, doc binary, first binary, n binary"
-MERGED = "id long, spans binary, part int, u binary, m binary, doc binary, first binary, n binary"
+MERGED = "bucket int, docs binary, pairs binary, part int, u binary, m binary, doc binary, first binary, n binary"
 RUN_KINDS = {k: KINDS[k] for k in ("u", "m", "doc", "first", "n")}
 
 
@@ -53,7 +53,14 @@ def _compacted(group: pa.Table) -> pa.Table:
     return pa.table({"part": pa.array([group.column("part")[0].as_py()], pa.int32())} | {c: pa.array([x.tobytes()], pa.binary()) for c, x in zip(RUN_KINDS, run, strict=True)})
 
 
-def _merge_join(new: pa.Table, runs: pa.Table) -> pa.Table:
+def _merge_join(parts: int):
+    def run(new: pa.Table, runs: pa.Table) -> pa.Table:
+        return _merge_part(new, runs, parts)
+
+    return run
+
+
+def _merge_part(new: pa.Table, runs: pa.Table, parts: int) -> pa.Table:
     """Of one part: the new batch's fingerprints against all runs. Gives spans by document, and the batch's own run."""
     fresh = [_column(new, c, k) for c, k in RUN_KINDS.items()]
     known = [_column(runs, c, k) for c, k in RUN_KINDS.items()]
@@ -70,11 +77,11 @@ def _merge_join(new: pa.Table, runs: pa.Table) -> pa.Table:
         touched = np.repeat(np.logical_or.reduceat(~old, begin), np.diff(np.append(begin, len(m))))
     mixed = mixed_anchors(m, u, doc) & ~lead & touched
     own = [_column(new, c, KINDS[c]) for c in ("own_doc", "own_first", "own_n")]
-    spans = _by_document(*(np.concatenate((o, x[whole], y)) for o, x, y in zip(own, (doc, first, n), (doc[mixed], first[mixed], -n[mixed]), strict=True)))
+    spans = _by_document(*(np.concatenate((o, x[whole], y)) for o, x, y in zip(own, (doc, first, n), (doc[mixed], first[mixed], -n[mixed]), strict=True)), parts)
     run = _earliest_run(*(x[~old & ~lead] for x in (u, m, doc, first, n)))
     part = (new if new.num_rows else runs).column("part")[0].as_py()
     rows = spans.num_rows
-    cols = {"id": pa.concat_arrays([*spans.column("doc").chunks, pa.nulls(1, pa.int64())]), "spans": pa.concat_arrays([*spans.column("spans").chunks, pa.nulls(1, pa.binary())]), "part": pa.array([None] * rows + [part], pa.int32())}
+    cols = {c: pa.concat_arrays([*spans.column(c).chunks, pa.nulls(1, spans.schema.field(c).type)]) for c in ("bucket", "docs", "pairs")} | {"part": pa.array([None] * rows + [part], pa.int32())}
     return pa.table(cols | {c: pa.array([None] * rows + [x.tobytes()], pa.binary()) for c, x in zip(RUN_KINDS, run, strict=True)})
 
 
@@ -96,11 +103,11 @@ class FingerprintIndex:
         """Add a batch (doc_id, text). Returns spans by document: units that earlier documents hold, and (negative) windows to be verified from the texts."""
         sent = texts(batch).filter("doc_id is not null").mapInArrow(_buckets("words", self.window, self.gram, None, self.parts), BUCKETS)
         runs = reduce(DataFrame.unionByName, self.runs) if self.runs else self.spark.createDataFrame([], RUN)
-        merged = written(sent.groupBy("part").cogroup(runs.groupBy("part")).applyInArrow(_merge_join, MERGED), "fingerprint-merge")
+        merged = written(sent.groupBy("part").cogroup(runs.groupBy("part")).applyInArrow(_merge_join(self.parts), MERGED), "fingerprint-merge")
         self.runs.append(merged.filter("part is not null").select("part", *RUN_KINDS))
         if len(self.runs) > self.max_runs:
             self.compact()
-        return merged.filter("id is not null").select(F.col("id").alias("doc"), "spans")
+        return merged.filter("bucket is not null").select("bucket", "docs", "pairs")
 
 
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"

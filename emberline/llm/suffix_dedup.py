@@ -106,7 +106,7 @@ def settled_units(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) ->
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b
     wanted = shared_anchor_test(docs, passage, gram, total)
     sent = texts(docs).filter("doc_id is not null").mapInArrow(_buckets("bytes", passage, gram, wanted, parts), BUCKETS)
-    return written(sent.groupBy("part").applyInArrow(_settled, SPANS), "suffix-settled")
+    return written(sent.groupBy("part").applyInArrow(_settled(parts), SPANS), "suffix-settled")
 
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
