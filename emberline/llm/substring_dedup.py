@@ -144,7 +144,9 @@ def verify_and_cut(docs: DataFrame, settled: DataFrame, window: int = WINDOW, wi
 def substring_dedup(docs: DataFrame, batches: int = 2, window: int = WINDOW, with_text: bool = False) -> DataFrame:
     """Ingest docs into a new index in `batches` ranges of doc_id, smallest first, verify and cut."""
     index = FingerprintIndex(docs.sparkSession, window)
-    cuts = sorted({int(c) for c in docs.filter("doc_id is not null").approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)})
+    shares = [i / batches for i in range(1, batches)]
+    found = docs.agg(F.percentile_approx("doc_id", shares, 1000).alias("q")).first().q if shares else []
+    cuts = sorted({int(c) for c in found or []})
     settled = []
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         part = docs if low is None else docs.filter(F.col("doc_id") > low)
