@@ -103,12 +103,11 @@ def fit_labels(points: DataFrame, rounds: int = 3) -> DataFrame:
     points: sheet, axis, pos, val. Grouped built-in aggregates, unrolled.
     """
     keys = ["sheet", "axis"]
-    kept = points
-    for k in range(rounds):
-        fit = kept.groupBy(*keys).agg(F.regr_slope("val", "pos").alias("a"), F.regr_intercept("val", "pos").alias("b"))
-        off = kept.join(fit, keys).withColumn("r", F.abs(F.col("val") - F.col("a") * F.col("pos") - F.col("b")))
-        middle = off.groupBy(*keys).agg(F.greatest(3 * F.percentile("r", F.lit(0.5)), F.lit(1e-4)).alias("limit"))
-        kept = off.join(middle, keys).filter("r <= limit").select(points.columns)
+    w, kept = W.partitionBy(*keys), points
+    for _ in range(rounds):  # the windows share one exchange; a sheet has as many labels as its margin holds
+        off = kept.withColumns({"a": F.regr_slope("val", "pos").over(w), "b": F.regr_intercept("val", "pos").over(w)})
+        off = off.withColumn("r", F.abs(F.col("val") - F.col("a") * F.col("pos") - F.col("b")))
+        kept = off.withColumn("middle", F.percentile("r", F.lit(0.5)).over(w)).filter("r <= greatest(3 * middle, 1e-4)").select(points.columns)
     return kept.groupBy(*keys).agg(
         F.regr_slope("val", "pos").alias("a"), F.regr_intercept("val", "pos").alias("b"), F.count(F.lit(1)).alias("n"), F.sqrt(F.regr_syy("val", "pos") * (1 - F.coalesce(F.regr_r2("val", "pos"), F.lit(1.0))) / F.count(F.lit(1))).alias("rms"))
 
