@@ -33,7 +33,7 @@ WINDOW = 10
 #: Windows in a block; with at most WINDOW symbols each this bounds the broadcast to some 40 MB.
 BLOCK_WINDOWS = 300_000
 #: Text of a shard, and every how manieth suffix position is kept.
-SHARD_BYTES, SAMPLE = 8 << 20, 8
+SHARD_BYTES, SAMPLE = 2 << 20, 8
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -252,20 +252,23 @@ def _search(shared, again: bool):
     return run
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
-    """docs with __dc_text (no null), __dc_words, spans of hit words (__dc_starts, __dc_ends: half-open, in words) and __dc_items."""
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", finish=None) -> DataFrame:
+    """docs with __dc_text (no null), __dc_words, spans of hit words (__dc_starts, __dc_ends: half-open, in words) and __dc_items.
+
+    finish, a function of batches that keeps these columns, runs in the same tasks after the last block.
+    """
     spark = docs.sparkSession
     rows = docs.withColumn("__dc_text", text_or_empty(text_col))
-    own = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
-    again = False
+    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + f", {FOUND}"
+    search = None
     for block in blocks(benchmark, window):
-        rows = written(rows, "decontaminate-block") if again else rows
-        rows = rows.mapInArrow(_search(spark.sparkContext.broadcast(block), again), f"{own}, {FOUND}")
-        again = True
-    if not again:
+        if search:
+            rows = written(rows.mapInArrow(search, schema), "decontaminate-block")
+        search = _search(spark.sparkContext.broadcast(block), search is not None)
+    if not search:
         empty = Block(np.zeros(1, np.uint64), np.zeros((0, window), np.int64), np.zeros(1, np.int64), np.zeros(0, object), 1 << 40)
-        rows = rows.mapInArrow(_search(spark.sparkContext.broadcast(empty), False), f"{own}, {FOUND}")
-    return rows
+        search = _search(spark.sparkContext.broadcast(empty), False)
+    return rows.mapInArrow((lambda batches, first=search: finish(first(batches))) if finish else search, schema)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,17 +285,14 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keep.append(data[at : starts[upto[i] + x]].tobytes())
                 at = int(ends[upto[i] + y - 1])
             out.append(b"".join([*keep, data[at : offsets[i + 1]].tobytes()]).decode())
-        rest = [c for c in batch.schema.names if c != "__dc_text"]
-        yield pa.record_batch([*(batch.column(c) for c in rest), pa.array(out, pa.string())], [*rest, "__dc_text"])
+        place = batch.schema.get_field_index("__dc_text")
+        yield batch.set_column(place, "__dc_text", pa.array(out, pa.string()))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
     """docs with the hit spans cut out of the text; texts of which no word is left go, untouched rows pass as they are."""
-    found = find(docs, benchmark, window, text_col)
-    whole = F.expr("__dc_words = aggregate(zip_with(__dc_starts, __dc_ends, (a, b) -> b - a), 0L, (x, y) -> x + y)")
-    columns = [c for c in found.columns if c != "__dc_text"]
-    schema = ", ".join(f"`{n}` {dict(found.dtypes)[n]}" for n in [*columns, "__dc_text"])
-    # one pass: rows without a span keep their own (possibly null) text
-    cut = found.withColumn("__dc_all", whole & (F.col("__dc_words") > 0)).filter("not __dc_all").drop("__dc_all")
-    done = cut.mapInArrow(_cut, schema)
-    return done.withColumn(text_col, F.when(F.size("__dc_starts") > 0, F.col("__dc_text")).otherwise(F.col(text_col))).select(docs.columns)
+    found = find(docs, benchmark, window, text_col, _cut)
+    left = F.expr("__dc_words = 0 or __dc_words > aggregate(zip_with(__dc_starts, __dc_ends, (a, b) -> b - a), 0L, (x, y) -> x + y)")
+    # rows without a span keep their own (possibly null) text
+    text = F.when(F.size("__dc_starts") > 0, F.col("__dc_text")).otherwise(F.col(text_col))
+    return found.filter(left).withColumn(text_col, text).select(docs.columns)

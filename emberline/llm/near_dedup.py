@@ -37,7 +37,7 @@ from .repeats import Tokens
 SHINGLE, SIMILARITY = 5, 0.8
 #: Rows of a band and bands: a pair at the similarity shares no band once in some 12 000 times.
 ROWS, BANDS = 7, 40
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def elements(tokens: Tokens, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:

@@ -32,7 +32,7 @@ CAPACITY, END_ID = 1024, 2
 #: Lengths above this share of the capacity (a third or more: at most two fit in a sequence) are large; so many groups of them at most; pivots after which the programme's current (feasible) solution is used.
 LARGE_SHARE, GROUPS, PIVOTS = 1 / 3, 600, 6000
 #: Text bytes that a task tokenises at once, and distinct words whose ids it remembers.
-SLICE_BYTES, REMEMBERED = 8 << 20, 1_500_000
+SLICE_BYTES, REMEMBERED = 2 << 20, 600_000
 
 #: The split pattern of the public byte-level vocabulary (fixed value).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""

@@ -26,7 +26,7 @@ from .common import byte_values, chunks, covered, mix64, partitions, prefix_hash
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 #: Bytes of text that a task works on at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 class Tokens:
