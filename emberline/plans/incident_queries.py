@@ -8,7 +8,6 @@ from ..functions import text as tx
 from ..functions import time as tm
 from ..operators import incidents as ops
 from ..operators import linkage as lk
-from ..operators.roster import assign_slugs  # noqa: F401
 from ..sources.readers import parse_listing_pages
 from .adapters import cte, view
 
