@@ -123,8 +123,8 @@ def group_equal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     probed = digests.mapInArrow(_probe(shared, segments, slice_bits, 2), schema)
     alone = probed.filter("not __xd_maybe").select("__xd_id", "__xd_sha", F.col("__xd_id").alias("__xd_keep"), F.lit(1).cast("long").alias("__xd_size"))
     maybe = probed.filter("__xd_maybe").select("__xd_id", "__xd_sha")
-    groups = maybe.groupBy("__xd_sha").agg(F.min("__xd_id").alias("__xd_keep"), F.count(F.lit(1)).alias("__xd_size"))
-    # AQE splits the row side where one text holds a large share of the rows; the group side has a row per text
+    # written, so that both sides of the join are plain exchanges: AQE then splits the row side where one text holds a large share of the rows
+    groups = written(maybe.groupBy("__xd_sha").agg(F.min("__xd_id").alias("__xd_keep"), F.count(F.lit(1)).alias("__xd_size")), "exact-groups")
     return alone.unionByName(maybe.join(groups, "__xd_sha"))
 
 
@@ -145,7 +145,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     schema = "__xd_id " + dict(digests.dtypes)["__xd_id"] + ", __xd_sha string, __xd_hash long, __xd_maybe boolean"
     suspects = digests.mapInArrow(_probe(shared, segments, slice_bits, 2), schema).filter("__xd_maybe")
-    stays = suspects.groupBy("__xd_sha").agg(F.min("__xd_id").alias("__xd_keep")).withColumnRenamed("__xd_sha", "__xd_of")
+    stays = written(suspects.groupBy("__xd_sha").agg(F.min("__xd_id").alias("__xd_keep")).withColumnRenamed("__xd_sha", "__xd_of"), "exact-groups")
     # rows that repeat a whole document tie; one of them stays
     tied = suspects.groupBy("__xd_sha", "__xd_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__xd_sha")
     marked = hashed.withColumn("__xd_maybe", maybe_repeated(F.xxhash64("__xd_sha")))
