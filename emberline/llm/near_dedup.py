@@ -191,7 +191,7 @@ def near_classes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SI
     source = docs.select("doc_id", text_or_empty().alias("text"), F.md5(norm).alias("key"))
     signed = source.filter("doc_id is not null").select("doc_id", "text", "key")
     signed = written(signed.mapInArrow(_bands(rows, bands, shingle), "doc_id long, key string, bands array<long>"), "near-bands")
-    firsts = signed.groupBy("key").agg(F.min("doc_id").alias("rep"))
+    firsts = written(signed.groupBy("key").agg(F.min("doc_id").alias("rep")), "near-firsts")  # written: the join may then split a large group of copies
     same = written(signed.select("doc_id", "key").join(firsts, "key").select("doc_id", "rep"), "near-copies")
     reps = signed.join(same.filter("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
     keyed = reps.select(F.col("doc_id").alias("doc"), F.explode("bands").alias("h"))
