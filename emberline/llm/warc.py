@@ -129,6 +129,7 @@ def mark_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     rows = pages.select("page_id", "url", text_or_empty("html").alias("html")).withColumn("__digest", F.sha2("html", 256))
     large = F.octet_length("html") >= min_bytes
     firsts = rows.filter(large).groupBy("__digest").agg(F.min("page_id").alias("__first"), F.count(F.lit(1)).alias("__n")).filter("__n > 1").drop("__n")
+    firsts = written(firsts, "warc-firsts")  # both sides of the join are plain exchanges then, and AQE may split a payload that many pages share
     joined = rows.join(firsts, "__digest", "left")
     later = F.col("__first").isNotNull() & large & ~F.col("page_id").eqNullSafe(F.col("__first"))
     return joined.select("page_id", "url", "html", F.when(later, F.col("__first")).alias("refers_to"))
