@@ -21,12 +21,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import chunks, held_out_rest, text_or_empty, values
+from .common import chunks, held_out_rest, text_or_empty, values, written
 
-#: The training sample: texts of each language at most, and bytes of each text.
-TRAIN_DOCS, TRAIN_BYTES = 250, 4000
+#: The training sample: texts of each language at most, read whole.
+TRAIN_DOCS = 250
 #: Contexts of three and of two bytes that the compiled table keeps, the most frequent ones; this bounds what is broadcast.
 CONTEXTS = 12_000
 #: Code lengths are kept in units of 1/STEPS bit.
@@ -42,28 +43,44 @@ class Model:
     cost: np.ndarray  # (state * symbols + symbol, language) -> code length
 
 
-def _symbols(samples: dict[str, list[bytes]]) -> tuple[np.ndarray, int]:
+@dataclass
+class Grams:
+    """For orders 0..3 the (context, byte) sequences of a language as numbers of base 256, sorted, and how often each came."""
+
+    counts: list[tuple[np.ndarray, np.ndarray]]
+
+
+def _slice_grams(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The sequences of 1 to 4 bytes of a slice and their counts; they stay within a text."""
+    out, s = [], data.astype(np.int64)
+    code, start = s, np.repeat(offsets[:-1], np.diff(offsets))
+    for order in range(4):
+        if order:
+            code = s[: max(len(s) - order, 0)] * 256**order + code[1:]
+        inside = start[: len(code)] == start[order:] if len(code) else np.zeros(0, bool)
+        out.append(np.unique(code[inside], return_counts=True))
+    return out
+
+
+def _symbols(grams: dict[str, Grams]) -> tuple[np.ndarray, int]:
     seen = np.zeros(256, bool)
-    for texts in samples.values():
-        for t in texts:
-            seen[np.frombuffer(t, np.uint8)] = True
+    for g in grams.values():
+        seen[g.counts[0][0]] = True
     symbol = np.full(256, int(seen.sum()), np.int32)
     symbol[seen] = np.arange(seen.sum())
     return symbol, int(seen.sum()) + 1
 
 
-def _counts(texts: list[bytes], symbol: np.ndarray, a: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For orders 0..3: codes of (context, symbol) and how often each came; contexts stay within a text."""
-    codes: list[list[np.ndarray]] = [[] for _ in range(4)]
-    for t in texts:
-        s = symbol[np.frombuffer(t, np.uint8)].astype(np.int64)
-        code = s
-        codes[0].append(code)
-        for order in range(1, 4):
-            if len(s) > order:
-                code = s[: len(s) - order] * a**order + code[1:]
-                codes[order].append(code)
-    return [np.unique(np.concatenate(c), return_counts=True) if c else (np.zeros(0, np.int64), np.zeros(0, np.int64)) for c in codes]
+def _counts(grams: Grams, symbol: np.ndarray, a: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For orders 0..3: codes of (context, symbol), sorted, and how often each came."""
+    out = []
+    for order, (code, n) in enumerate(grams.counts):
+        out.append((sum(symbol[code >> 8 * i & 255].astype(np.int64) * a**i for i in range(order + 1)), n))
+    return out
+
+
+def _join(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
 
 
 def _refine(parent: np.ndarray, seen: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -80,13 +97,15 @@ def _refine(parent: np.ndarray, seen: np.ndarray, counts: np.ndarray) -> np.ndar
     return out
 
 
-def train(samples: dict[str, list[bytes]], contexts: int = CONTEXTS) -> Model | None:
-    """Model from sample texts by language; None if there are none."""
-    languages = sorted(k for k, v in samples.items() if any(v))
+def train(samples: dict[str, list[bytes]] | dict[str, Grams], contexts: int = CONTEXTS) -> Model | None:
+    """Model from sample texts, or from their counts, by language; None if there are none."""
+    grams = {k: v if isinstance(v, Grams) else Grams(_slice_grams(*_join(v))) for k, v in samples.items()}
+    grams = {k: g for k, g in grams.items() if len(g.counts[0][0])}
+    languages = sorted(grams)
     if not languages:
         return None
-    symbol, a = _symbols(samples)
-    counts = [_counts(samples[k], symbol, a) for k in languages]
+    symbol, a = _symbols(grams)
+    counts = [_counts(grams[k], symbol, a) for k in languages]
     # the contexts that get a state: all of one byte, the most frequent of two and three
     chosen: dict[int, dict[int, int]] = {0: {0: 0}}
     n_states = 1
@@ -161,8 +180,21 @@ def _score(shared):
     return run
 
 
-def sample(labelled: DataFrame, docs_per_language: int = TRAIN_DOCS) -> dict[str, list[bytes]]:
-    """At most docs_per_language texts of each language, picked by a hash of the id, TRAIN_BYTES of each."""
+def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in chunks(whole, "text", SLICE_BYTES):
+            lang = batch.column("lang").to_numpy(zero_copy_only=False)
+            for kind in sorted(set(lang)):
+                data, offsets = values(batch.column("text").filter(pa.array(lang == kind)))
+                for order, (code, n) in enumerate(_slice_grams(data, offsets)):
+                    yield pa.record_batch({"lang": pa.array([kind] * len(code), pa.string()), "ord": pa.array(np.full(len(code), order, np.int32)), "code": pa.array(code), "n": pa.array(n.astype(np.int64))})
+
+
+def sample(labelled: DataFrame, docs_per_language: int = TRAIN_DOCS, contexts: int = CONTEXTS) -> dict[str, Grams]:
+    """Counts over at most docs_per_language whole texts of each language, picked by a hash of the id.
+
+    Executors count; the driver gets the sequences whose contexts `train` keeps.
+    """
     usable = labelled.filter("lang is not null and text is not null")
     sizes = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
@@ -172,11 +204,27 @@ def sample(labelled: DataFrame, docs_per_language: int = TRAIN_DOCS) -> dict[str
     wanted = F.lit(False)
     for lang, n in sizes.items():
         wanted = wanted | ((F.col("lang") == lang) & (picked < int(1_200_000 * docs_per_language / n) + 1))
-    rows = usable.filter(wanted).select("lang", F.encode("text", "UTF-8").substr(1, TRAIN_BYTES).alias("head"), picked.alias("p"))
-    out: dict[str, list[bytes]] = {lang: [] for lang in sizes}
-    for r in rows.orderBy("p", "head").collect():
-        if len(out[r.lang]) < docs_per_language:
-            out[r.lang].append(bytes(r["head"]))
+    texts = written(usable.filter(wanted).select("lang", "text", picked.alias("p"), F.xxhash64("text").alias("h")), "language-sample")
+    place = F.row_number().over(W.partitionBy("lang").orderBy("p", "h"))
+    # the places are dealt without the texts; texts alike in p and h are alike
+    last = texts.select("lang", "p", "h").withColumn("k", place).filter(F.col("k") <= docs_per_language).groupBy("lang", "p", "h").agg(F.count(F.lit(1)).alias("most"))
+    some = texts.join(last, ["lang", "p", "h"]).withColumn("k", F.row_number().over(W.partitionBy("lang", "p", "h").orderBy("p"))).filter("k <= most")
+    grams = some.select("lang", "text").mapInArrow(_gram_rows, "lang string, ord int, code long, n long").groupBy("lang", "ord", "code").agg(F.sum("n").alias("n"))
+    grams = written(grams.withColumn("context", F.shiftright("code", 8)), "language-grams")
+    kept = grams.filter("ord < 2")
+    for order, most in ((2, contexts // 3), (3, contexts)):
+        own = grams.filter(F.col("ord") == order)
+        top = own.groupBy("context").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "context").limit(most).select("context")
+        kept = kept.unionByName(own.join(top, "context", "left_semi").select(kept.columns))
+    out = {lang: Grams([(np.zeros(0, np.int64), np.zeros(0, np.int64))] * 4) for lang in sizes}
+    found = kept.select("lang", "ord", "code", "n").toArrow()
+    columns = [found.column(c).to_numpy() for c in ("ord", "code", "n")]
+    names = np.array(found.column("lang").to_pylist(), object)
+    for lang, g in out.items():
+        for order in range(4):
+            at = np.flatnonzero((names == lang) & (columns[0] == order))
+            at = at[np.argsort(columns[1][at])]
+            g.counts[order] = (columns[1][at], columns[2][at])
     return out
 
 

@@ -1,6 +1,6 @@
 """Toxicity by a lexicon that catches misspelt terms.
 
-The lexicon is learnt from labelled texts: full terms, and stems that take many
+The lexicon is learnt from a sample of labelled texts, each read whole: full terms, and stems that take many
 endings. Terms stand in a trie that is intersected with Levenshtein automata
 (one edit for terms of five bytes, two from nine on; stems match exactly), and
 the intersection is compiled into one deterministic automaton that runs over
@@ -19,19 +19,19 @@ text without hits; repeated rows are scored each.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import byte_values, chunks, prefix_hash, runs, span_hash, text_or_empty, values
+from .common import byte_values, chunks, prefix_hash, runs, span_hash, text_or_empty, values, written
 
-#: The training sample: rows of each label at most, and bytes of each text.
-TRAIN_ROWS, TRAIN_BYTES = 1600, 3000
+#: The training sample: rows of each label at most; their texts are read whole.
+TRAIN_ROWS = 1600
 #: A term needs so many toxic texts, different words before it (also as a share of the toxic texts), and nats of evidence against chance.
 MIN_TEXTS, MIN_BEFORE, SHARE, EVIDENCE = 4, 6, 0.01, 8.0
 #: Terms at most; bounds the automaton that is broadcast.
@@ -56,12 +56,13 @@ _IS_WORD[[*b"01345789@$26"]] = True
 
 @dataclass
 class Words:
-    """Word spans of a slice of folded text, and its distinct words as rows of bytes (0 beyond the end)."""
+    """Word spans of a slice of folded text, and its distinct words as rows of bytes (0 beyond the end) and as hashes."""
 
     starts: np.ndarray
     ends: np.ndarray
     which: np.ndarray
     rows: np.ndarray
+    keys: np.ndarray
 
 
 def fold(data: np.ndarray) -> np.ndarray:
@@ -83,14 +84,14 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     del mask
     starts, ends = np.union1d(starts, split), np.union1d(ends, split)
     if not len(starts):
-        return Words(starts, ends, np.zeros(0, np.int64), np.zeros((0, WORD), np.uint8))
+        return Words(starts, ends, np.zeros(0, np.int64), np.zeros((0, WORD), np.uint8), np.zeros(0, np.uint64))
     size = ends - starts
     key = span_hash(prefix_hash(byte_values(text)), starts, ends) ^ size.astype(np.uint64)
-    _, first, which = np.unique(key, return_index=True, return_inverse=True)
+    keys, first, which = np.unique(key, return_index=True, return_inverse=True)
     at = starts[first][:, None] + np.arange(WORD)
     rows = np.where(at < np.minimum(ends[first], starts[first] + WORD)[:, None], text[np.minimum(at, len(text) - 1)], 0)
     rows[size[first] > WORD, WORD - 1] = 1  # a longer word equals no term; its stem still counts
-    return Words(starts, ends, which, rows)
+    return Words(starts, ends, which, rows, keys)
 
 
 # ---- the automaton
@@ -262,95 +263,142 @@ def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return float(b[0]), float(max(b[1], 0)), float(max(b[2], 0))
 
 
-def _join(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
+def _mapped(texts: DataFrame, kernel: Callable[[np.ndarray, np.ndarray, np.ndarray], dict[str, pa.Array]], schema: str) -> DataFrame:
+    """kernel over slices of whole texts (toxic boolean, text): its arguments are bytes, offsets and toxic."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in chunks(whole, "text", SLICE_BYTES):
+                toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
+                yield pa.record_batch(kernel(*values(batch.column("text")), toxic))
 
-def _texts_by_stem(w: Words, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """First n bytes (as a number) of the words that have so many, and how many texts hold each."""
-    head = np.ascontiguousarray(w.rows[:, :8]).view(">u8").ravel().astype(np.uint64) >> np.uint64(8 * (8 - n))
-    long = (w.rows[:, n - 1] != 0)[w.which]
-    doc = np.searchsorted(offsets, w.starts[long], "right") - 1
-    stem, of = np.unique(head[w.which[long]], return_inverse=True)
-    pairs = np.unique(of * len(offsets) + doc) // len(offsets)
-    return stem, np.bincount(pairs, minlength=len(stem))
-
+    return texts.select("toxic", "text").mapInArrow(run, schema)
 
-def learn_terms(toxic: list[bytes], clean: list[bytes]) -> tuple[list[bytes], list[bytes]]:
-    """Terms and stems that many toxic texts hold, each time after other words, and clean texts almost never.
 
-    The words before a term tell it from the rare words that copies of one text share.
-    """
-    toxic, clean = sorted(set(toxic)), sorted(set(clean))
-    data, offsets = _join(toxic)
+def _stem_texts(data: np.ndarray, offsets: np.ndarray, toxic: np.ndarray) -> dict[str, pa.Array]:
+    """For each first n bytes of the words that have so many: how many toxic and clean texts of the slice hold them."""
     w = words_of(data, offsets)
-    other, other_offsets = _join(clean)
-    wc = words_of(other, other_offsets)
-    ratio, chance = len(clean) / max(len(toxic), 1), np.log(1 + len(clean) / max(len(toxic), 1))
-    found: dict[bytes, int] = {}
+    doc = np.searchsorted(offsets, w.starts, "right") - 1
+    out: tuple[list[bytes], list[np.ndarray], list[np.ndarray]] = ([], [], [])
     for n in STEMS:
-        stem, texts = _texts_by_stem(w, offsets, n)
-        stem0, texts0 = _texts_by_stem(wc, other_offsets, n)
-        at = np.minimum(np.searchsorted(stem0, stem), max(len(stem0) - 1, 0))
-        rare = np.where(stem0[at] == stem, texts0[at], 0) if len(stem0) else np.zeros(len(stem))
-        # as often among clean texts it would have come texts * ratio times; it came at most a fiftieth of that
-        good = (texts >= max(MIN_TEXTS, SHARE * len(toxic))) & (texts * chance >= EVIDENCE) & (rare <= texts * ratio / 50)
-        for code, k in zip(stem[good].tolist(), texts[good].tolist(), strict=True):
-            found[int(code).to_bytes(n, "big")] = k
-    words = [bytes(r).rstrip(b"\0") for r in w.rows]
-    of = {i: s for i, x in enumerate(words) if (s := next((x[:n] for n in STEMS if len(x) >= n and x[:n] in found), None))}
-    uses: dict[bytes, Counter] = {s: Counter() for s in of.values()}
-    before: dict[bytes, set] = {s: set() for s in uses}
+        head = np.ascontiguousarray(w.rows[:, :8]).view(">u8").ravel().astype(np.uint64) >> np.uint64(8 * (8 - n))
+        long = (w.rows[:, n - 1] != 0)[w.which]
+        stem, of = np.unique(head[w.which[long]], return_inverse=True)
+        which, text = np.divmod(np.unique(of * len(offsets) + doc[long]), len(offsets))
+        bad = np.bincount(which, toxic[text], minlength=len(stem)).astype(np.int64)
+        out[0].extend(int(x).to_bytes(n, "big") for x in stem.tolist())
+        out[1].append(bad), out[2].append(np.bincount(which, minlength=len(stem)) - bad)
+    return {"stem": pa.array(out[0], pa.binary()), "texts": pa.array(np.concatenate(out[1])), "rare": pa.array(np.concatenate(out[2]))}
+
+
+def _word_pairs(data: np.ndarray, offsets: np.ndarray, toxic: np.ndarray) -> dict[str, pa.Array]:
+    """Each word with the hash of the word before it (null: none in its text), and how often the slice has both."""
+    w = words_of(data, offsets)
     doc = np.searchsorted(offsets, w.starts, "right") - 1
-    for k in np.flatnonzero(np.isin(w.which, np.fromiter(of, np.int64, len(of)))).tolist():
-        stem = of[int(w.which[k])]
-        uses[stem][words[w.which[k]]] += 1
-        before[stem].add(int(w.which[k - 1]) if k and doc[k - 1] == doc[k] else -1)
-    kept = [s for s in uses if len(before[s]) >= max(MIN_BEFORE, SHARE * len(toxic))]
-    terms, stems = [], []
-    for s in sorted(kept, key=lambda s: (-found[s], s))[:TERMS]:
-        word, n = min(uses[s].items(), key=lambda x: (-x[1], x[0]))
-        if n >= 0.6 * sum(uses[s].values()) and len(word) < WORD:
-            terms.append(word)
+    before = np.where(np.diff(doc, prepend=-1) == 0, np.roll(w.which, 1), -1) if len(doc) else doc
+    pair, uses = np.unique(w.which * (len(w.keys) + 1) + before + 1, return_counts=True)
+    word, before = np.divmod(pair, len(w.keys) + 1)
+    names = [bytes(r).rstrip(b"\0") for r in w.rows]
+    keys = np.concatenate(([0], w.keys.view(np.int64)))[before]
+    return {"word": pa.array([names[i] for i in word.tolist()], pa.binary()), "before": pa.array(keys, mask=before == 0), "uses": pa.array(uses.astype(np.int64))}
+
+
+def learn_terms(texts: DataFrame) -> tuple[list[bytes], list[bytes]]:
+    """Terms and stems that many toxic texts hold, each time after other words, and clean texts almost never.
+
+    The words before a term tell it from the rare words that copies of one text
+    share. Words are counted on the executors; the driver gets TERMS rows at most.
+    """
+    texts = texts.dropDuplicates(["toxic", "text"])
+    sizes = {r.toxic: r.n for r in texts.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_toxic, n_clean = sizes.get(True, 0), sizes.get(False, 0)
+    if not n_toxic or not n_clean:
+        return [], []
+    ratio, chance = n_clean / n_toxic, float(np.log(1 + n_clean / n_toxic))
+    counts = _mapped(texts, _stem_texts, "stem binary, texts long, rare long").groupBy("stem").agg(F.sum("texts").alias("texts"), F.sum("rare").alias("rare"))
+    # as often among clean texts it would have come texts * ratio times; it came at most a fiftieth of that
+    good = (F.col("texts") >= max(MIN_TEXTS, SHARE * n_toxic)) & (F.col("texts") * chance >= EVIDENCE) & (F.col("rare") <= F.col("texts") * (ratio / 50))
+    found = counts.filter(good).select("stem", "texts")
+    pairs = _mapped(texts.filter("toxic"), _word_pairs, "word binary, before long, uses long").groupBy("word", "before").agg(F.sum("uses").alias("uses"))
+    cuts = F.explode(F.array(*(F.when(F.octet_length("word") >= n, F.substring("word", 1, n)) for n in STEMS))).alias("stem")
+    stem_of = F.min_by(F.struct("stem", "texts"), F.octet_length("stem")).alias("s")  # the shortest one
+    words = pairs.select("word").distinct().select("word", cuts).join(found, "stem").groupBy("word").agg(stem_of).select("word", "s.*")
+    known = pairs.join(words, "word")
+    enough = known.groupBy("stem", "texts").agg(F.count_distinct(F.coalesce("before", F.lit(0))).alias("n")).filter(F.col("n") >= max(MIN_BEFORE, SHARE * n_toxic))
+    kept = enough.orderBy(F.desc("texts"), "stem").limit(TERMS).select("stem")
+    spelt = known.groupBy("stem", "word").agg(F.sum("uses").alias("uses")).groupBy("stem").agg(F.min_by(F.struct("word", "uses"), F.struct(-F.col("uses"), F.col("word"))).alias("top"), F.sum("uses").alias("uses"))
+    terms, stems = set(), set()
+    for r in spelt.join(kept, "stem").collect():
+        word = bytes(r.top.word)
+        if r.top.uses >= 0.6 * r.uses and len(word) < WORD:
+            terms.add(word)
         else:
-            stems.append(s)
-    return sorted(set(terms)), sorted(set(stems))
+            stems.add(bytes(r.stem))
+    return sorted(terms), sorted(stems)
+
+
+def _misspelt(shared):
+    def kernel(data: np.ndarray, offsets: np.ndarray, toxic: np.ndarray) -> dict[str, pa.Array]:
+        """For each term: toxic texts that hold it misspelt only and no term in full, and clean texts that hold it misspelt."""
+        doc, term, edits, _ = hits(shared.value, data, offsets)
+        full = np.zeros(len(toxic), bool)
+        full[doc[edits == 0]] = True
+        t, own = np.divmod(np.unique((term * len(toxic) + doc)[edits > 0]), len(toxic))
+        return {"term": pa.array(t.astype(np.int64)), "good": pa.array((toxic[own] & ~full[own]).astype(np.int64)), "bad": pa.array((~toxic[own]).astype(np.int64))}
+
+    return kernel
+
 
+def _amounts(shared):
+    def kernel(data: np.ndarray, offsets: np.ndarray, toxic: np.ndarray) -> dict[str, pa.Array]:
+        amount = amounts(shared.value, data, offsets)
+        return {"toxic": pa.array(toxic), "total": pa.array(amount[:, 0]), "dense": pa.array(amount[:, 1])}
 
-def train(toxic: list[bytes], clean: list[bytes]) -> Model:
-    terms, stems = learn_terms(toxic, clean) if toxic and clean else ([], [])
+    return kernel
+
+
+def train(toxic: DataFrame, clean: DataFrame) -> Model:
+    """Model from frames of whole texts (column text); executors read them, the driver gets counts and two numbers of each text."""
+    texts = toxic.select(F.lit(True).alias("toxic"), "text").unionByName(clean.select(F.lit(False).alias("toxic"), "text"))
+    terms, stems = learn_terms(texts)
     if not terms and not stems:
         return Model()
     model = Model(compile_terms(terms, stems), np.full(len(terms) + len(stems), FUZZY))
-    data, offsets = _join(toxic + clean)
-    doc, term, edits, _ = hits(model, data, offsets)
-    known = np.unique(doc[edits == 0])
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+    counts = _mapped(texts, _misspelt(shared), "term long, good long, bad long").groupBy("term").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    told = {r.term: r for r in counts.collect()}
     for t in range(len(terms)):  # misspelt hits of texts, by whether the text is toxic; clean texts must not have them
-        own = np.unique(doc[(term == t) & (edits > 0)])
-        bad = (own >= len(toxic)).sum()
-        good = len(np.setdiff1d(own[own < len(toxic)], known)) + 1
+        good, bad = (told[t].good + 1, told[t].bad) if t in told else (1, 0)
         model.fuzzy[t] = FUZZY * 2 * good / (good + 20 * bad) if bad else 0.9
-    amount = amounts(model, data, offsets)
-    y = (np.arange(len(offsets) - 1) < len(toxic)).astype(float)
-    model.curve = _fit_curve(_features(amount), y)
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+    rows = sorted(_mapped(texts, _amounts(shared), "toxic boolean, total double, dense double").collect())
+    model.curve = _fit_curve(_features(np.array([[r.total, r.dense] for r in rows])), np.array([float(r.toxic) for r in rows]))
     return model
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[bytes], list[bytes]]:
-    """At most `rows` toxic and as many clean labelled texts, picked by a hash of the id."""
+def sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[DataFrame, DataFrame]:
+    """At most `rows` toxic and as many clean labelled texts, whole, picked by a hash of the id; of an id that several texts have, the smallest.
+
+    Only ids of the sample come to the driver; the texts lie in the shared folder.
+    """
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     picked = F.abs(F.xxhash64("doc_id") % 1_000_000)
     wanted = F.lit(False)
     for label, n in sizes.items():
         wanted = wanted | ((F.col("toxic") == label) & (picked < int(1_100_000 * rows / n) + 1))
-    chosen = known.filter(wanted)
-    texts = docs.filter("text is not null").select("doc_id", F.encode("text", "UTF-8").substr(1, TRAIN_BYTES).alias("head")).join(chosen, "doc_id")
-    out: tuple[list[bytes], list[bytes]] = ([], [])
-    for r in texts.select("toxic", "head", picked.alias("p")).orderBy("p", "head").collect():
-        if len(out[r.toxic == 0]) < rows:
-            out[r.toxic == 0].append(bytes(r["head"]))
-    return out
+    usable = docs.filter("text is not null")
+    chosen = usable.select("doc_id").distinct().join(known.filter(wanted), "doc_id").select("doc_id", "toxic", picked.alias("p"))
+    ids: tuple[list, list] = ([], [])
+    for r in chosen.orderBy("p", "doc_id").collect():
+        if len(ids[r.toxic == 0]) < rows:
+            ids[r.toxic == 0].append(r.doc_id)
+    spark, kind = docs.sparkSession, pa.field("doc_id", to_arrow_type(docs.schema["doc_id"].dataType))
+    listed = pa.table([pa.array([*ids[0], *ids[1]], kind.type), pa.array([True] * len(ids[0]) + [False] * len(ids[1]))], schema=pa.schema([kind, pa.field("toxic", pa.bool_())]))
+    # a local table, so the planner knows how small it is
+    texts = usable.join(spark.createDataFrame(listed), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    texts = written(texts.select("toxic", "text"), "toxicity-sample")
+    return texts.filter("toxic"), texts.filter("not toxic")
 
 
 def _score(shared):

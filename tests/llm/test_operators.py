@@ -246,6 +246,24 @@ def test_toxicity_learns_and_separates(spark):
     assert toxicity.score(docs, none).filter("__tx_score >= 0.7").count() == 0 and toxicity.score(docs.limit(0), none).count() == 0
 
 
+def test_toxicity_reads_sampled_texts_whole(spark):
+    rng = random.Random(8)
+    rows = toxic_corpus()
+    plain = [t for _, t, y in rows if not y]
+    long = lambda: " ".join(rng.choice(plain) for _ in range(14))
+    # abuse begins after 3000 bytes; "quibbling" stands in short toxic texts and late in long clean ones
+    made = [(i, f"{long()[:3500]} {t} quibbling" if y else f"{long()[:3500]} {t} quibbling" if i % 2 else t, y) for i, t, y in rows]
+    made += [(1000 + i, f"{rng.choice(plain)} quibbling {rng.choice(plain)}", 1) for i in range(40)]
+    docs = spark.createDataFrame([(d, t) for d, t, _ in made], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, y) for d, _, y in made if d % 3 != 1], "doc_id long, toxic int")
+    toxic, clean = toxicity.sample(docs, labels)
+    terms, stems = toxicity.learn_terms(toxic.withColumn("toxic", F.lit(True)).unionByName(clean.withColumn("toxic", F.lit(False))))
+    assert {b"blorgface", b"zwickster"} <= set(terms) and not any(x.startswith(b"quib") for x in [*terms, *stems])
+    got = {r.doc_id: r["__tx_score"] for r in toxicity.score(docs, toxicity.train(toxic, clean)).collect()}
+    held = [(got[d] >= 0.7, y == 1) for d, _, y in made if d % 3 == 1 and d < 1000]
+    assert sum(a == b for a, b in held) >= 0.99 * len(held)
+
+
 def test_code_lengths_equal_a_plain_context_tree():
     texts = {"x": [b"abracadabra", b"abba"], "y": [b"zzyzx", b"xyzzy"]}
     model = language_id.train(texts)
@@ -288,3 +306,23 @@ def test_language_id(spark):
     assert {got[i].lang_pred for i in (900, 901, 902)} == {"und"}
     none = language_id.train(language_id.sample(docs.limit(0)))
     assert none is None and {r.lang_pred for r in language_id.identify(docs.select("doc_id", "text"), none).collect()} == {"und"}
+
+
+def test_language_id_reads_sampled_texts_whole(spark):
+    kinds = {"aa": "the thing there ", "bb": "que os dentes "}
+    docs = spark.createDataFrame([(i, "0123456789 " * 400 + kinds[k] * 20, k) for i, k in enumerate(list(kinds) * 20)], "doc_id long, text string, lang string")
+    model = language_id.train(language_id.sample(docs))
+    got = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(list(enumerate(kinds.values())), "doc_id long, text string"), model).collect()}
+    assert [got[i].lang_pred for i in range(2)] == list(kinds)
+
+
+def test_language_counts_equal_those_of_whole_texts(spark):
+    rng = random.Random(9)
+    rows = [(i, "".join(rng.choice("abcdefgé ") for _ in range(rng.randint(0, 90))), rng.choice("xy")) for i in range(300)] + [(i, "same", "x") for i in range(300, 320)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts = {k: [t.encode() for _, t, y in rows if y == k] for k in "xy"}
+    for contexts in (30, 12_000):
+        a, b = language_id.train(language_id.sample(docs, 1000, contexts), contexts), language_id.train(texts, contexts)
+        assert a.languages == b.languages and (a.states == b.states).all() and (a.cost == b.cost).all()
+    some = language_id.sample(docs, 50)
+    assert all(0 < g.counts[0][1].sum() <= 50 * 180 for g in some.values())
