@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,36 +17,65 @@ ROW = (
 COUNTS = ["acres", "acres_change", "contained_pct", "", "", "personnel", "personnel_change", "crews", "engines", "helicopters", "structures_lost"]
 
 
-def match_incidents(dirs: DataFrame, fires: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Folder to fire: pins, then the incident id its files vote for, then a name variant that only one fire has, then the best fuzzy name of 90 and more.
+#: States of a region (geographic area coordination centre); a region that isn't listed sets no limit.
+REGION_STATES = {
+    "alaska": "AK", "calif_n": "CA", "calif_s": "CA", "california_statewide": "CA", "eastern": "MN WI MI IA IL IN OH MO NH VT ME MA CT RI NY NJ PA DE MD WV",
+    "great_basin": "NV UT ID WY AZ", "n_rockies": "MT ND ID", "pacific_nw": "OR WA", "pacific_nw_oregon": "OR", "pacific_nw_washington": "WA", "rocky_mtn": "CO WY SD NE KS",
+    "southern": "TX OK AR LA MS AL GA FL SC NC TN KY VA PR", "southwest": "AZ NM TX",
+}
+ANYWHERE = "*"
+
+
+def _pools(dirs: DataFrame) -> Column:
+    """The states whose fires a folder may be: those of its region, else its own state; ANYWHERE if neither is known."""
+    states = F.array("state")
+    if "region" in dirs.columns:
+        known = F.create_map(*(x for k, v in REGION_STATES.items() for x in (F.lit(k), F.split(F.lit(v), " "))))
+        states = F.when(F.col("region").isNull(), states).otherwise(F.try_element_at(known, F.col("region")))
+    states = F.filter(states, lambda x: x.isNotNull())
+    return F.when(F.size(states) > 0, states).otherwise(F.array(F.lit(ANYWHERE)))
+
 
-    dirs: dir, name, state, token; fires: fire, name, state, unique_fire_id;
-    overrides: dir, pin ('ignore' drops the folder). Each stage takes what the one
-    before left. Several exact hits or a tied best score reject the folder. Name
-    stages are equi joins within a state; the fuzzy one compares only names whose
-    lengths allow the score.
+def match_incidents(dirs: DataFrame, fires: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Folder to fire: pins, then the incident ids its files vote for, then a name variant that only one fire has, then the best fuzzy name of 90 and more.
+
+    dirs: dir, name, state, token, and if there are any region (its states stand
+    for the state) and tokens (ids by falling votes, instead of token); fires:
+    fire, name, state, unique_fire_id; overrides: dir, pin ('ignore' drops the
+    folder). Each stage takes what the one before left. The first voted id that a
+    fire has wins. Several exact hits or a tied best score reject the folder. A
+    folder without region and state may be a fire of any state. Name stages are
+    equi joins within a state; the fuzzy one takes the best pair of name variants
+    and joins only lengths that allow the score.
     """
     pinned = dirs.join(overrides, "dir").join(fires.select("fire", F.col("unique_fire_id").alias("pin")), "pin", "left")
     by_pin = pinned.filter("pin <> 'ignore'").select("dir", "fire", F.lit("override").alias("method"), F.lit(1.0).alias("score"))
     rest = dirs.join(overrides.select("dir"), "dir", "left_anti")
-    ids = fires.select("fire", F.col("unique_fire_id").alias("token"))
-    by_id = rest.join(ids, "token").select("dir", "fire", F.lit("unit_num").alias("method"), F.lit(1.0).alias("score"))
-    rest = rest.join(by_id.select("dir"), "dir", "left_anti").withColumn("norm", tx.normalize_name(F.col("name")))
-    known = fires.withColumn("norm2", tx.normalize_name(F.col("name"))).select("fire", "state", "norm2")
-    left = rest.select("dir", "state", F.explode(tx.name_variants(F.col("norm"))).alias("v"))
-    right = known.select("fire", "state", F.explode(tx.name_variants(F.col("norm2"))).alias("v"))
-    hits = left.join(right, ["state", "v"]).groupBy("dir").agg(F.min("fire").alias("fire"), F.max("fire").alias("other"))
+    ids = fires.select("fire", F.upper("unique_fire_id").alias("token"))
+    voted = rest.select("dir", F.posexplode(F.col("tokens") if "tokens" in dirs.columns else F.array("token")).alias("k", "token")).withColumn("token", F.upper("token"))
+    by_id = voted.join(ids, "token").groupBy("dir").agg(F.min_by("fire", F.struct(F.col("k"), -F.col("fire"))).alias("fire"))
+    by_id = by_id.select("dir", "fire", F.lit("unit_num").alias("method"), F.lit(1.0).alias("score"))
+    rest = rest.join(by_id.select("dir"), "dir", "left_anti")
+    left = rest.select("dir", F.explode(_pools(dirs)).alias("pool"), F.explode(tx.name_variants(tx.normalize_name(F.col("name")))).alias("v"))
+    known = fires.withColumn("norm", tx.normalize_name(F.col("name"))).filter("norm <> ''")
+    right = known.select("fire", F.explode(F.array(F.col("state"), F.lit(ANYWHERE))).alias("pool"), F.explode(tx.name_variants(F.col("norm"))).alias("v2"))
+    hits = left.join(right.withColumnRenamed("v2", "v"), ["pool", "v"]).groupBy("dir").agg(F.min("fire").alias("fire"), F.max("fire").alias("other"))
     by_name = hits.filter("fire = other").select("dir", "fire", F.lit("name_exact").alias("method"), F.lit(EXACT).alias("score"))
-    rest = rest.join(hits.select("dir"), "dir", "left_anti")
-    pairs = rest.join(known, "state").filter(2 * F.least(F.length("norm"), F.length("norm2")) >= 0.9 * (F.length("norm") + F.length("norm2")))
-    scored = pairs.withColumn("score", tx.indel_ratio(F.col("norm"), F.col("norm2"))).filter(F.col("score") >= FUZZY)
+    left = left.join(hits.select("dir"), "dir", "left_anti")
+    pairs = left.withColumn("size", F.explode(allowed_lengths(F.length("v")))).join(right.withColumn("size", F.length("v2")), ["pool", "size"])
+    scored = pairs.withColumn("score", tx.indel_ratio(F.col("v"), F.col("v2"))).filter(F.col("score") >= FUZZY).groupBy("dir", "fire").agg(F.max("score").alias("score"))
     ranked = scored.withColumn("k", F.rank().over(W.partitionBy("dir").orderBy(F.col("score").desc()))).filter("k = 1").groupBy("dir").agg(F.min("fire").alias("fire"), F.max("fire").alias("other"), F.max("score").alias("score"))
     by_fuzz = ranked.filter("fire = other").select("dir", "fire", F.lit("name_fuzzy").alias("method"), F.bround(F.col("score") / 100, 3).alias("score"))
     return by_pin.unionByName(by_id).unionByName(by_name).unionByName(by_fuzz)
 
 
+def allowed_lengths(n: Column) -> Column:
+    """The lengths of names that can reach a ratio of FUZZY with a name of length n."""
+    return F.when(n > 0, F.sequence(F.ceil(n * 9 / 11).cast("int"), F.floor(n * 11 / 9).cast("int")))
+
+
 def match_forecast_slugs(slugs: DataFrame, documents: DataFrame, fires: DataFrame) -> DataFrame:
-    """C4: forecast slug ('st-name[-number]') to fire: by the id document, then by state and exact slug (without the number first, then whole), then the best fuzzy one of 90 and more."""
+    """C4: forecast slug ('st-name[-number]') to fire: by the id document, then by state and exact slug (without the number first, then whole), then the best fuzzy one of 90 and more, by normalised names of that state."""
     ids = documents.select("slug", tx.norm_guid(F.col("cornea_id")).alias("guid"))
     own = fires.withColumns({"guid": tx.norm_guid(F.col("cornea_id")), "fslug": tx.slugify(F.col("name"))})
     by_doc = slugs.join(ids, "slug").join(own.select("guid", "fire"), "guid").select("slug", "fire", F.lit("document").alias("method"))
@@ -57,8 +86,9 @@ def match_forecast_slugs(slugs: DataFrame, documents: DataFrame, fires: DataFram
     rest = rest.join(a.select("slug"), "slug", "left_anti")
     b = rest.join(unique.withColumnRenamed("fslug", "whole"), ["state", "whole"]).select("slug", "fire", F.lit("name_exact").alias("method"))
     rest = rest.join(b.select("slug"), "slug", "left_anti")
-    pairs = rest.join(own.select("fire", "state", "fslug"), "state").filter(2 * F.least(F.length("bare"), F.length("fslug")) >= 0.9 * (F.length("bare") + F.length("fslug")))
-    scored = pairs.withColumn("score", tx.indel_ratio(F.col("bare"), F.col("fslug"))).filter(F.col("score") >= FUZZY)
+    left = rest.withColumn("v", tx.normalize_name(F.replace("bare", F.lit("-"), F.lit(" ")))).withColumn("size", F.explode(allowed_lengths(F.length("v"))))
+    right = own.select("fire", "state", tx.normalize_name(F.col("name")).alias("v2")).withColumn("size", F.length("v2"))
+    scored = left.join(right, ["state", "size"]).withColumn("score", tx.indel_ratio(F.col("v"), F.col("v2"))).filter(F.col("score") >= FUZZY)
     c = scored.groupBy("slug").agg(F.max_by("fire", F.struct("score", -F.col("fire"))).alias("fire")).select("slug", "fire", F.lit("name_fuzzy").alias("method"))
     return by_doc.unionByName(a).unionByName(b).unionByName(c)
 

@@ -82,3 +82,26 @@ def test_incident_cascade(spark):
     pins = spark.createDataFrame([("e", "ignore")], "dir string, pin string")
     got = {r.dir: (r.fire, r.method) for r in linkage.match_incidents(dirs, fires, pins).collect()}
     assert got == {"a": (1, "unit_num"), "b": (2, "name_exact"), "d": (2, "name_fuzzy")}
+
+
+def test_incident_names_by_variants_regions_and_ranked_ids(spark):
+    fires = spark.createDataFrame(
+        [(1, "Elk Creek", "CO", "2026-COGMF-000114"), (2, "Hay Ridge", "MT", None), (3, "Twin Peaks", "ID", "2026-IDX-000002"), (4, "Dry Gulch", "AZ", None), (5, "Dry Gulch", "CO", None), (6, "", "CO", None), (7, "Long Draw", None, None)],
+        "fire int, name string, state string, unique_fire_id string")
+    dirs = spark.createDataFrame(
+        [("variants", "Elk Creeks Fire", None, "rocky_mtn", []), ("second state", "Twin Peak", None, "n_rockies", []), ("unknown region", "Hay Ridge", None, "elsewhere", []), ("no region", "Long Draw", None, None, []),
+         ("outside", "Hay Ridge", None, "southern", []), ("one of two", "Dry Gulch", None, "southwest", []), ("two of two", "Dry Gulch", None, None, []), ("ranked", "zz", None, None, ["2026-NOONE-000001", "2026-idx-000002", "2026-COGMF-000114"]),
+         ("empty", "", "CO", None, None)],
+        "dir string, name string, state string, region string, tokens array<string>")
+    got = {r.dir: (r.fire, r.method, r.score) for r in linkage.match_incidents(dirs, fires, spark.createDataFrame([], "dir string, pin string")).collect()}
+    assert got == {
+        "variants": (1, "name_fuzzy", 0.947), "second state": (3, "name_fuzzy", 0.947), "unknown region": (2, "name_exact", 0.95), "no region": (7, "name_exact", 0.95),
+        "one of two": (4, "name_exact", 0.95), "ranked": (3, "unit_num", 1.0),
+    }
+
+
+def test_slugs_are_compared_by_normalised_names(spark):
+    fires = spark.createDataFrame([(1, "HayCreek", "MT", None), (2, "O'Brien Draw", "CO", None)], "fire int, name string, state string, cornea_id string")
+    slugs = spark.createDataFrame([("mt-hay-creek",), ("co-obrien-draw-500153",), ("mt-obrien-draw",)], "slug string")
+    got = linkage.match_forecast_slugs(slugs, spark.createDataFrame([], "slug string, cornea_id string"), fires).collect()
+    assert {r.slug: (r.fire, r.method) for r in got} == {"mt-hay-creek": (1, "name_fuzzy"), "co-obrien-draw-500153": (2, "name_fuzzy")}
