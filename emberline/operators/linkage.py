@@ -74,6 +74,20 @@ def allowed_lengths(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.ceil(n * 9 / 11).cast("int"), F.floor(n * 11 / 9).cast("int")))
 
 
+def name_pairs(fires: DataFrame) -> DataFrame:
+    """Every two fires of a state whose names' lengths allow a ratio of FUZZY, with that ratio. fires: fire, name, state; each pair once, the smaller fire as a.
+
+    Distinct names are compared, in an equi join on state and length.
+    """
+    names = fires.filter("name is not null").select("state", "name").distinct().withColumn("size", F.length("name"))
+    left = names.select("state", F.col("name").alias("x"), F.explode(F.when(F.col("size") > 0, allowed_lengths(F.col("size"))).otherwise(F.array(F.lit(0)))).alias("size"))
+    pairs = left.join(names.withColumnRenamed("name", "y"), ["state", "size"]).filter("x <= y")
+    scored = pairs.select("state", "x", "y", tx.indel_ratio(F.col("x"), F.col("y")).alias("ratio"))
+    own = lambda k, n: fires.select("state", F.col("fire").alias(k), F.col("name").alias(n))
+    both = scored.join(own("f", "x"), ["state", "x"]).join(own("g", "y"), ["state", "y"]).filter("f <> g and (x <> y or f < g)")
+    return both.select(F.least("f", "g").alias("a"), F.greatest("f", "g").alias("b"), "ratio")
+
+
 def match_forecast_slugs(slugs: DataFrame, documents: DataFrame, fires: DataFrame) -> DataFrame:
     """C4: forecast slug ('st-name[-number]') to fire: by the id document, then by state and exact slug (without the number first, then whole), then the best fuzzy one of 90 and more, by normalised names of that state."""
     ids = documents.select("slug", tx.norm_guid(F.col("cornea_id")).alias("guid"))

@@ -330,9 +330,7 @@ def matched_sitrep(spark, sf_dir):
 
 
 def name_ratios(spark, sf_dir):
-    f = _link_fires(spark, sf_dir)
-    a, b = f.filter("fire <= 12").select(F.col("fire").alias("a"), F.col("name").alias("x"), F.col("fire").alias("k")), f.select(F.col("fire").alias("b"), F.col("name").alias("y"), (F.col("fire") % 12 + 1).alias("k"))
-    return a.join(b, "k").select("a", "b", F.round(tx.indel_ratio(F.col("x"), F.col("y")), 4).alias("ratio"))
+    return lk.name_pairs(_link_fires(spark, sf_dir)).select("a", "b", F.round("ratio", 4).alias("ratio"))
 
 
 def _labels(spark, sf_dir):

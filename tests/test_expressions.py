@@ -105,3 +105,10 @@ def test_slugs_are_compared_by_normalised_names(spark):
     slugs = spark.createDataFrame([("mt-hay-creek",), ("co-obrien-draw-500153",), ("mt-obrien-draw",)], "slug string")
     got = linkage.match_forecast_slugs(slugs, spark.createDataFrame([], "slug string, cornea_id string"), fires).collect()
     assert {r.slug: (r.fire, r.method) for r in got} == {"mt-hay-creek": (1, "name_fuzzy"), "co-obrien-draw-500153": (2, "name_fuzzy")}
+
+
+def test_name_ratios_meet_every_pair_of_a_state(spark):
+    made = [(i, n, st) for i, (n, st) in enumerate([("elk creek", "CO"), ("elk creeks", "CO"), ("elk creek", "CO"), ("hay ridge", "CO"), ("elk creek", "MT"), ("", "CO"), ("", "CO"), (None, "CO"), ("elk", "CO")], 11)]
+    got = {(r.a, r.b): r.ratio for r in linkage.name_pairs(spark.createDataFrame(made, "fire int, name string, state string")).collect()}
+    assert set(got) == {(11, 12), (11, 13), (12, 13), (11, 14), (12, 14), (13, 14), (16, 17)}
+    assert got[11, 13] == got[16, 17] == 100 and round(got[11, 12], 4) == round(got[12, 13], 4) == 94.7368 and got[11, 14] < 60
