@@ -117,6 +117,29 @@ def page(detections: DataFrame, cursor: Column, limit: int, pages: int = 4) -> D
     return detections.filter(F.col("acq_date") >= cursor).orderBy("acq_date", "ordinal").limit(limit * pages)
 
 
+def page_by_fire(detections: DataFrame, cursors: DataFrame, limit: int, pages: int = 4) -> DataFrame:
+    """for each fire its oldest limit * pages rows from its cursor day on. detections have fire; cursors: fire, cursor."""
+    rows = detections.join(cursors.select("fire", "cursor"), "fire").filter("acq_date >= cursor")
+    first = rows.withColumn("k", F.row_number().over(W.partitionBy("fire").orderBy("acq_date", "ordinal"))).filter(F.col("k") <= limit * pages)
+    return first.select(detections.columns)
+
+
+def next_cursors(taken: DataFrame, cursors: DataFrame, now: Column, limit: int, pages: int = 4) -> DataFrame:
+    """where each fire goes on after `taken`, its page_by_fire: fire, cursor, stalled, stalled_day.
+
+    A full page goes on from its newest day, never past yesterday; if that is the
+    cursor's own day, the day exceeds the cap: it stays partial, is reported as
+    stalled and stepped over. A page that isn't full took everything, and the
+    next one begins with yesterday.
+    """
+    seen = taken.groupBy("fire").agg(F.max("acq_date").alias("newest"), F.count(F.lit(1)).alias("n"))
+    yesterday = F.date_sub(F.to_date(now), 1).cast("string")
+    full = F.coalesce(F.col("n") >= limit * pages, F.lit(False))
+    stalled = full & (F.col("newest") == F.col("cursor"))
+    step = F.when(stalled, F.date_add(F.to_date("cursor"), 1).cast("string")).when(full, F.least("newest", yesterday)).otherwise(F.greatest("cursor", yesterday))
+    return cursors.join(seen, "fire", "left").select("fire", step.alias("cursor"), stalled.alias("stalled"), F.when(stalled, F.col("cursor")).alias("stalled_day"))
+
+
 def next_generation(state: DataFrame, wanted: DataFrame) -> DataFrame:
     """I4: a wanted box beyond the archived one raises the generation, joins both boxes and restarts the history. Keyed by fire."""
     from ..functions.geo import box_contains, box_union

@@ -112,3 +112,27 @@ def test_name_ratios_meet_every_pair_of_a_state(spark):
     got = {(r.a, r.b): r.ratio for r in linkage.name_pairs(spark.createDataFrame(made, "fire int, name string, state string")).collect()}
     assert set(got) == {(11, 12), (11, 13), (12, 13), (11, 14), (12, 14), (13, 14), (16, 17)}
     assert got[11, 13] == got[16, 17] == 100 and round(got[11, 12], 4) == round(got[12, 13], 4) == 94.7368 and got[11, 14] < 60
+
+
+def test_pages_go_past_a_hot_day(spark):
+    days = ["2024-01-01"] * 3 + ["2024-01-02"] * 11 + ["2024-01-03"] * 2 + ["2024-01-04"] * 3 + ["2024-01-05"]
+    made = [(1, i, d) for i, d in enumerate(days)] + [(2, 100, "2024-01-02")]
+    rows = spark.createDataFrame(made, "fire int, ordinal int, acq_date string")
+    state = [(1, "2024-01-01"), (2, "2024-01-01"), (3, "2024-01-01")]
+    now = F.lit("2024-01-06 12:00:00").cast("timestamp_ntz")
+    got, stalls, walk = set(), [], []
+    for _ in range(5):
+        cursors = spark.createDataFrame(state, "fire int, cursor string")
+        page = detections.page_by_fire(rows, cursors, 2)
+        took = [(r.fire, r.ordinal) for r in page.collect()]
+        assert sum(f == 1 for f, _ in took) <= 8
+        got |= set(took)
+        after = sorted(detections.next_cursors(page, cursors, now, 2).collect())
+        state = [(r.fire, r.cursor) for r in after]
+        walk.append(state[0][1])
+        stalls += [(r.fire, r.stalled_day) for r in after if r.stalled]
+    assert walk == ["2024-01-02", "2024-01-03", "2024-01-05", "2024-01-05", "2024-01-05"] and stalls == [(1, "2024-01-02")]
+    assert got == {(f, i) for f, i, _ in made} - {(1, i) for i in range(11, 14)}  # the hot day stays partial
+    assert state[1:] == [(2, "2024-01-05"), (3, "2024-01-05")]
+    early = detections.next_cursors(page.limit(0), spark.createDataFrame([(9, "2024-01-09")], "fire int, cursor string"), now, 2).collect()
+    assert early[0].cursor == "2024-01-09" and not early[0].stalled
