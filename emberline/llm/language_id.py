@@ -32,6 +32,8 @@ TRAIN_DOCS = 250
 CONTEXTS = 12_000
 #: Code lengths are kept in units of 1/STEPS bit.
 STEPS = 256
+#: Tasks that count the sample.
+COUNT_PARTS = 2
 SLICE_BYTES = 2 << 20
 
 
@@ -209,7 +211,8 @@ def sample(labelled: DataFrame, docs_per_language: int = TRAIN_DOCS, contexts: i
     # the places are dealt without the texts; texts alike in p and h are alike
     last = texts.select("lang", "p", "h").withColumn("k", place).filter(F.col("k") <= docs_per_language).groupBy("lang", "p", "h").agg(F.count(F.lit(1)).alias("most"))
     some = texts.join(last, ["lang", "p", "h"]).withColumn("k", F.row_number().over(W.partitionBy("lang", "p", "h").orderBy("p"))).filter("k <= most")
-    grams = some.select("lang", "text").mapInArrow(_gram_rows, "lang string, ord int, code long, n long").groupBy("lang", "ord", "code").agg(F.sum("n").alias("n"))
+    # the sample is small: few parts, else each part repeats the common sequences
+    grams = some.select("lang", "text").coalesce(COUNT_PARTS).mapInArrow(_gram_rows, "lang string, ord int, code long, n long").groupBy("lang", "ord", "code").agg(F.sum("n").alias("n"))
     grams = written(grams.withColumn("context", F.shiftright("code", 8)), "language-grams")
     kept = grams.filter("ord < 2")
     for order, most in ((2, contexts // 3), (3, contexts)):
