@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where intermediate tables go if the session names no shared folder (tests on one machine).
-LOCAL_DEFAULT = "/tmp/checkpoints"
-
 #: White space as the contracts define it.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
@@ -23,9 +24,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a default where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset a session on one machine gets a folder of its own; on a
+    cluster that is an error, since executors would write to their own disks.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or LOCAL_DEFAULT).rstrip("/")
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = _own_folder()
+    return found.rstrip("/")
+
+
+@cache
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="spark-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -87,43 +103,62 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS: dict[bool, np.ndarray] = {}
-_BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
-
-
-def _powers(n: int, inverse: bool) -> np.ndarray:
-    """Powers 0..n-1 of an odd base, or of its inverse, modulo 2**64."""
-    have = _POWERS.get(inverse)
-    if have is None or len(have) < n:
-        base = pow(_BASE, -1, 1 << 64) if inverse else _BASE
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        have = np.ones(size, np.uint64)
-        step = 1
-        while step < size:
-            have[step : 2 * step] = have[:step] * np.uint64(pow(base, step, 1 << 64))
-            step *= 2
-        _POWERS[inverse] = have
-    return have[:n]
+_LEFT, _RIGHT, _SIZE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xA24BAED4963EE407)
+_BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * _SIZE)
 
 
-def prefix_hash(values_: np.ndarray) -> np.ndarray:
-    """S with S[j]-S[i] = the polynomial sum of values i..j-1, so that any span's hash is two reads and a product."""
-    out = np.empty(len(values_) + 1, np.uint64)
-    out[0] = 0
-    np.cumsum(values_ * _powers(len(values_), False), out=out[1:])
-    return out
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One value for each ordered pair. The shift between the products keeps it from being a polynomial, so no family of texts collides by algebra."""
+    x = a * _LEFT
+    x += b
+    x ^= x >> np.uint64(32)
+    x *= _RIGHT
+    x ^= x >> np.uint64(29)
+    return x
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans [start, end); equal sequences hash alike wherever they stand."""
-    return mix64((prefix[end] - prefix[start]) * _powers(len(prefix), True)[start])
+def gram_hash(tokens: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hashes of all runs of n tokens, by pairs of hashes of half the length (the two halves overlap where n is no power of two)."""
+    if len(tokens) < n:
+        return np.zeros(0, np.uint64)
+    level, width = tokens, 1
+    while width * 2 <= n:
+        level, width = _pair(level[:-width], level[width:]), width * 2
+    if width < n:
+        level = _pair(level[: len(level) - (n - width)], level[n - width :])
+    return mix64(level + np.uint64(n) * _SIZE)
+
+
+def span_hash(tokens: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans [start, end), none of them empty; equal sequences hash alike wherever they stand."""
+    size, out = end - start, np.zeros(len(start), np.uint64)
+    longest = int(size.max(initial=0))
+    level, width = tokens, 1
+    while width <= longest:
+        now = np.flatnonzero((size >= width) & (size < 2 * width))
+        out[now] = _pair(level[start[now]], level[end[now] - width])
+        if 2 * width <= longest:
+            level = _pair(level[:-width], level[width:])
+        width *= 2
+    return mix64(out + size.astype(np.uint64) * _SIZE)
 
 
 def byte_values(data: np.ndarray) -> np.ndarray:
     return _BYTES[data]
 
 
+def equal_spans(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the bytes a[a_start : a_start + size] and b[b_start : b_start + size] are the same, for each row. Hashes propose, this decides."""
+    out = np.ones(len(size), bool)
+    if not len(size) or not int(size.sum()):
+        return out
+    upto = np.concatenate(([0], np.cumsum(size)))
+    step = np.arange(upto[-1]) - np.repeat(upto[:-1], size)
+    differ = np.flatnonzero(a[np.repeat(a_start, size) + step] != b[np.repeat(b_start, size) + step])
+    out[np.searchsorted(upto, differ, "right") - 1] = False
+    return out
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each `width` consecutive values."""
     have, out = 1, x

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, chunks, covered, prefix_hash, runs, span_hash, spans_within, text_or_empty, values, written
+from .common import byte_values, chunks, covered, runs, span_hash, spans_within, text_or_empty, values, written
 
 WINDOW = 10
 #: Windows in a block; with at most WINDOW symbols each this bounds the broadcast to some 40 MB.
@@ -45,7 +45,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Starts, ends and hashes of the words, A-Z in lower case."""
     low = _LOWER[data]
     starts, ends = spans_within(_IN_WORD[low], offsets)
-    return starts, ends, span_hash(prefix_hash(byte_values(low)), starts, ends) ^ (ends - starts).astype(np.uint64)
+    return starts, ends, span_hash(byte_values(low), starts, ends)
 
 
 # ---- the index

@@ -47,7 +47,7 @@ def elements(tokens: Tokens, shingle: int = SHINGLE) -> tuple[np.ndarray, np.nda
     text = np.repeat(np.arange(len(sizes)), n)
     first = tokens.offsets[text] + np.arange(len(text)) - np.concatenate(([0], np.cumsum(n)))[:-1][text]
     last = np.minimum(first + shingle, tokens.offsets[text + 1])
-    x = span_hash(tokens.prefix, first, last) ^ (last - first).astype(np.uint64)
+    x = span_hash(tokens.values, first, last)
     order = np.lexsort((x, text))
     text, x = text[order], x[order]
     new = np.concatenate(([True], (text[1:] != text[:-1]) | (x[1:] != x[:-1]))) if len(x) else np.zeros(0, bool)

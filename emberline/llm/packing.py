@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, chunks, prefix_hash, span_hash, text_or_empty, values, written
+from .common import byte_values, chunks, span_hash, text_or_empty, values, written
 
 CAPACITY, END_ID = 1024, 2
 #: Lengths above this share of the capacity (a third or more: at most two fit in a sequence) are large; so many groups of them at most; pivots after which the programme's current (feasible) solution is used.
@@ -83,7 +83,7 @@ class WordIds:
             return np.zeros(0, np.uint16), np.zeros(len(offsets), np.int64)
         starts = cut_places(data, offsets)
         ends = np.append(starts[1:], len(data))
-        hashes = span_hash(prefix_hash(byte_values(data)), starts, ends) ^ (ends - starts).astype(np.uint64)
+        hashes = span_hash(byte_values(data), starts, ends)
         unique, first, which = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) > REMEMBERED:
             self.forget()

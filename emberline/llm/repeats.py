@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, chunks, covered, mix64, partitions, prefix_hash, runs, sliding_min, span_hash, spans_within, text_or_empty, values
+from .common import byte_values, chunks, covered, gram_hash, mix64, partitions, runs, sliding_min, span_hash, spans_within, text_or_empty, values
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -37,13 +37,11 @@ class Tokens:
             self.values, self.offsets, self.starts, self.ends = byte_values(data), offsets, None, None
         else:
             self.starts, self.ends = spans_within(~_SPACE[data], offsets)
-            self.values = span_hash(prefix_hash(byte_values(data)), self.starts, self.ends) ^ (self.ends - self.starts).astype(np.uint64) if len(self.starts) else np.zeros(0, np.uint64)
+            self.values = span_hash(byte_values(data), self.starts, self.ends)
             self.offsets = np.searchsorted(self.starts, offsets)
-        self.prefix = prefix_hash(self.values)
 
     def grams(self, n: int) -> np.ndarray:
-        at = np.arange(max(len(self.values) - n + 1, 0))
-        return span_hash(self.prefix, at, at + n)
+        return gram_hash(self.values, n)
 
     def window_starts(self, window: int) -> np.ndarray:
         """Mask over all places where a window would lie in the slice: those within one text."""
@@ -68,7 +66,7 @@ def units(tokens: Tokens, window: int, gram: int) -> tuple[np.ndarray, ...]:
     first, n = first[keep], n[keep]
     # texts that touch without a gap between their windows (window of one token)
     text = np.searchsorted(tokens.offsets, first, "right") - 1
-    unit = span_hash(tokens.prefix, first, first + n + window - 1) ^ mix64(n.astype(np.uint64))
+    unit = span_hash(tokens.values, first, first + n + window - 1) ^ mix64(n.astype(np.uint64))
     return text, anchor[first], unit, first - tokens.offsets[text], n
 
 
