@@ -3,14 +3,17 @@
 For each language a context tree of bytes holds how often each byte followed
 each context of up to three bytes. An unseen byte escapes to the next shorter
 context, with the escape probability of method C (distinct / (count + distinct))
-and with the bytes of the longer context excluded. The trees are frozen after
-training and compiled into one table of exact code lengths: the state of a
-position is its longest known context, so scoring a byte is one look-up per
-language. The language with the shortest code wins.
+and with the bytes of the longer context excluded. After training the trees are
+frozen into code lengths: of every byte seen after a context, and of the escape
+from it, so that the exact code length of any byte is a short sum down its chain
+of contexts. All contexts of the sample are kept. The language with the shortest
+code wins. A byte near the start of a text has as much context as there is.
 
 Defined results: null text and texts without a letter are `und` with score 0;
 ties go to the language that sorts first; with no rows to learn from every text
-is `und`; repeated rows are scored each; an empty table gives no rows.
+is `und`; repeated rows are scored each; very long texts are read whole, one at a
+time; columns of the input may have any name that does not start with `__li_`
+(`lang_pred` and `score` are replaced); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,21 +31,26 @@ from .common import chunks, held_out_rest, text_or_empty, values, written
 
 #: The training sample: texts of each language at most, read whole.
 TRAIN_DOCS = 250
-#: Contexts of three and of two bytes that the compiled table keeps, the most frequent ones; this bounds what is broadcast.
-CONTEXTS = 12_000
-#: Code lengths are kept in units of 1/STEPS bit.
-STEPS = 256
 #: Tasks that count the sample.
 COUNT_PARTS = 2
 SLICE_BYTES = 2 << 20
 
 
+@dataclass
+class Tree:
+    """Of one language, for orders 0..3: (context, byte) codes seen, sorted, with their code lengths, and contexts with those of their escape."""
+
+    codes: list[np.ndarray]
+    bits: list[np.ndarray]
+    contexts: list[np.ndarray]
+    escape: list[np.ndarray]
+
+
 @dataclass
 class Model:
     languages: list[str]
-    symbol: np.ndarray  # byte -> symbol; bytes that training never saw share the last one
-    states: np.ndarray  # the three symbols before -> state
-    cost: np.ndarray  # (state * symbols + symbol, language) -> code length
+    trees: list[Tree]
+    symbols: int  # bytes that training saw, and one more that stands for all others
 
 
 @dataclass
@@ -64,105 +72,84 @@ def _slice_grams(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray
     return out
 
 
-def _symbols(grams: dict[str, Grams]) -> tuple[np.ndarray, int]:
-    seen = np.zeros(256, bool)
-    for g in grams.values():
-        seen[g.counts[0][0]] = True
-    symbol = np.full(256, int(seen.sum()), np.int32)
-    symbol[seen] = np.arange(seen.sum())
-    return symbol, int(seen.sum()) + 1
-
-
-def _counts(grams: Grams, symbol: np.ndarray, a: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For orders 0..3: codes of (context, symbol), sorted, and how often each came."""
-    out = []
-    for order, (code, n) in enumerate(grams.counts):
-        out.append((sum(symbol[code >> 8 * i & 255].astype(np.int64) * a**i for i in range(order + 1)), n))
-    return out
-
-
 def _join(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
 
 
-def _refine(parent: np.ndarray, seen: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Distribution after a context: method C over its own counts, the escape spread over the parent's other symbols."""
-    n, t = counts.sum(), len(seen)
-    out = parent.copy()
-    out[seen] = 0
-    rest = out.sum()
-    if rest > 0:
-        out *= t / (n + t) / rest
-        out[seen] = counts / (n + t)
-    else:
-        out[seen] = counts / n
+def _found(sorted_: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each x, and whether it is there."""
+    if not len(sorted_):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)
+    return at, sorted_[at] == x
+
+
+def byte_bits(tree: Tree, symbols: int, code: np.ndarray, order: int) -> np.ndarray:
+    """Code lengths in bits of the last bytes of `code` (context and byte as a number of base 256) after `order` bytes of context."""
+    out, todo = np.zeros(len(code)), np.arange(len(code))
+    for o in range(order, -1, -1):
+        key = code[todo] & (256 ** (o + 1) - 1)
+        at, seen = _found(tree.codes[o], key)
+        out[todo[seen]] += tree.bits[o][at[seen]]
+        todo, key = todo[~seen], key[~seen]
+        at, known = _found(tree.contexts[o], key >> 8)
+        out[todo[known]] += tree.escape[o][at[known]]
+    out[todo] += np.log2(symbols)
     return out
 
 
-def train(samples: dict[str, list[bytes]] | dict[str, Grams], contexts: int = CONTEXTS) -> Model | None:
+def _grow(grams: Grams, symbols: int) -> Tree:
+    """A context's own bytes by method C; the escape's share is spread over the bytes it has not, by the shorter context's distribution."""
+    tree = Tree([], [], [], [])
+    for order, (code, n) in enumerate(grams.counts):
+        context, first = np.unique(code >> 8, return_index=True)
+        own = np.repeat(np.arange(len(context)), np.diff(np.append(first, len(code))))
+        if order:
+            shorter = 2.0 ** -byte_bits(tree, symbols, code & (256**order - 1), order - 1)
+        else:
+            shorter = np.full(len(code), 1 / symbols)
+        total, kinds = np.bincount(own, n, len(context)), np.bincount(own, minlength=len(context))
+        rest = 1 - np.bincount(own, shorter, len(context))
+        closed = rest < 1e-12  # nothing is left to escape to
+        tree.codes.append(code)
+        tree.bits.append(np.log2(np.where(closed, total, total + kinds)[own] / n))
+        tree.contexts.append(context)
+        tree.escape.append(np.log2((total + kinds) / np.maximum(kinds, 1)) + np.log2(np.where(closed, 1, rest)))
+    return tree
+
+
+def train(samples: dict[str, list[bytes]] | dict[str, Grams]) -> Model | None:
     """Model from sample texts, or from their counts, by language; None if there are none."""
     grams = {k: v if isinstance(v, Grams) else Grams(_slice_grams(*_join(v))) for k, v in samples.items()}
     grams = {k: g for k, g in grams.items() if len(g.counts[0][0])}
     languages = sorted(grams)
     if not languages:
         return None
-    symbol, a = _symbols(grams)
-    counts = [_counts(grams[k], symbol, a) for k in languages]
-    # the contexts that get a state: all of one byte, the most frequent of two and three
-    chosen: dict[int, dict[int, int]] = {0: {0: 0}}
-    n_states = 1
-    for order in (1, 2, 3):
-        total: dict[int, int] = {}
-        for c in counts:
-            keys, first = np.unique(c[order][0] // a, return_inverse=True)
-            for k, v in zip(keys.tolist(), np.bincount(first, c[order][1]).tolist(), strict=True):
-                total[k] = total.get(k, 0) + v
-        top = sorted(total, key=lambda k: (-total[k], k))[: {1: len(total), 2: contexts // 3, 3: contexts}[order]]
-        chosen[order] = {k: n_states + i for i, k in enumerate(top)}
-        n_states += len(top)
-    cost = np.zeros((n_states, a, len(languages)), np.int16)
-    for li, c in enumerate(counts):
-        rows = np.empty((n_states, a))
-        rows[0] = _refine(np.full(a, 1 / a), c[0][0], c[0][1])
-        for order in (1, 2, 3):
-            keys, n = c[order]
-            edges = np.flatnonzero(np.diff(keys // a, prepend=-1))
-            own = {int(keys[i] // a): (i, j) for i, j in zip(edges, [*edges[1:], len(keys)], strict=True)}
-            for k, state in chosen[order].items():
-                up = k % a ** (order - 1)
-                while order > 1 and up not in (shorter := chosen[order - 1]):
-                    break
-                parent = rows[chosen[order - 1].get(up, 0)] if order > 1 else rows[0]
-                rows[state] = _refine(parent, (keys[own[k][0] : own[k][1]] % a).astype(np.int64), n[own[k][0] : own[k][1]]) if k in own else parent
-        cost[:, :, li] = np.minimum(-np.log2(np.maximum(rows, 2.0**-60)) * STEPS, 32000).astype(np.int16)
-    # the longest known suffix of every three symbols
-    codes = np.arange(a**3)
-    states = np.zeros(a**3, np.int32)
-    for order in (1, 2, 3):
-        near = np.full(a**order, -1, np.int32)
-        near[list(chosen[order])] = list(chosen[order].values())
-        found = near[codes % a**order]
-        states = np.where(found >= 0, found, states)
-    return Model(languages, symbol, states.astype(np.int32), cost.reshape(n_states * a, len(languages)))
+    seen = np.unique(np.concatenate([g.counts[0][0] for g in grams.values()]))
+    symbols = len(seen) + 1
+    return Model(languages, [_grow(grams[k], symbols) for k in languages], symbols)
 
 
 def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """(texts, languages) code lengths in bits. The first three bytes of a text have no context."""
-    a = len(model.cost) // (int(model.states.max()) + 1) if len(model.states) else 1
-    a = round(len(model.states) ** (1 / 3))
-    s = model.symbol[data]
-    state = np.zeros(len(s), np.int32)
-    if len(s) > 3:
-        state[3:] = model.states[(s[:-3] * a + s[1:-2]) * a + s[2:-1]]
-    starts = offsets[:-1]
-    for i in range(3):
-        state[np.minimum(starts + i, len(s) - 1)[starts + i < len(s)] if len(s) else slice(0)] = 0
-    costs = model.cost[state * a + s]
-    out = np.zeros((len(starts), len(model.languages)))
-    full = np.flatnonzero(np.diff(offsets))
-    if len(full):
-        out[full] = np.add.reduceat(costs, starts[full], axis=0, dtype=np.int64)
-    return out / STEPS
+    """(texts, languages) code lengths in bits."""
+    s, starts, size = data.astype(np.int64), offsets[:-1], np.diff(offsets)
+    out = np.zeros((len(size), len(model.languages)))
+    code = np.zeros(len(s), np.int64)
+    for i in range(4):
+        code[i:] |= s[: len(s) - i] << (8 * i)
+    # texts share few distinct sequences of four bytes: each is coded once
+    long = np.flatnonzero(np.repeat(starts, size) + 3 <= np.arange(len(s)))
+    text = np.repeat(np.arange(len(size)), size)[long]
+    distinct, which = np.unique(code[long].astype(np.uint32), return_inverse=True)
+    some = np.flatnonzero(size > 3)
+    for k, tree in enumerate(model.trees):
+        bits = byte_bits(tree, model.symbols, distinct.astype(np.int64), 3)[which]
+        if len(some):
+            out[some, k] = np.add.reduceat(bits, np.searchsorted(text, some))
+        for order in range(3):
+            on = np.flatnonzero(size > order)
+            out[on, k] += byte_bits(tree, model.symbols, code[starts[on] + order], order)
+    return out
 
 
 def _score(shared):
@@ -192,10 +179,10 @@ def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pa.record_batch({"lang": pa.array([kind] * len(code), pa.string()), "ord": pa.array(np.full(len(code), order, np.int32)), "code": pa.array(code), "n": pa.array(n.astype(np.int64))})
 
 
-def sample(labelled: DataFrame, docs_per_language: int = TRAIN_DOCS, contexts: int = CONTEXTS) -> dict[str, Grams]:
+def sample(labelled: DataFrame, docs_per_language: int = TRAIN_DOCS) -> dict[str, Grams]:
     """Counts over at most docs_per_language whole texts of each language, picked by a hash of the id.
 
-    Executors count; the driver gets the sequences whose contexts `train` keeps.
+    Executors count; the driver gets the distinct sequences of up to four bytes of the sample.
     """
     usable = labelled.filter("lang is not null and text is not null")
     sizes = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -213,27 +200,20 @@ def sample(labelled: DataFrame, docs_per_language: int = TRAIN_DOCS, contexts: i
     some = texts.join(last, ["lang", "p", "h"]).withColumn("k", F.row_number().over(W.partitionBy("lang", "p", "h").orderBy("p"))).filter("k <= most")
     # the sample is small: few parts, else each part repeats the common sequences
     grams = some.select("lang", "text").coalesce(COUNT_PARTS).mapInArrow(_gram_rows, "lang string, ord int, code long, n long").groupBy("lang", "ord", "code").agg(F.sum("n").alias("n"))
-    grams = written(grams.withColumn("context", F.shiftright("code", 8)), "language-grams")
-    kept = grams.filter("ord < 2")
-    for order, most in ((2, contexts // 3), (3, contexts)):
-        own = grams.filter(F.col("ord") == order)
-        top = own.groupBy("context").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "context").limit(most).select("context")
-        kept = kept.unionByName(own.join(top, "context", "left_semi").select(kept.columns))
-    out = {lang: Grams([(np.zeros(0, np.int64), np.zeros(0, np.int64))] * 4) for lang in sizes}
-    found = kept.select("lang", "ord", "code", "n").toArrow()
-    columns = [found.column(c).to_numpy() for c in ("ord", "code", "n")]
-    names = np.array(found.column("lang").to_pylist(), object)
-    for lang, g in out.items():
-        for order in range(4):
-            at = np.flatnonzero((names == lang) & (columns[0] == order))
-            at = at[np.argsort(columns[1][at])]
-            g.counts[order] = (columns[1][at], columns[2][at])
+    found = grams.toArrow().sort_by([("lang", "ascending"), ("ord", "ascending"), ("code", "ascending")])
+    order, code, n = (found.column(c).to_numpy() for c in ("ord", "code", "n"))
+    names = found.column("lang").combine_chunks().dictionary_encode()
+    lang, listed = np.array(names.indices), names.dictionary.to_pylist()
+    out = {}
+    for k in sizes:
+        own = lang == listed.index(k) if k in listed else np.zeros(len(lang), bool)
+        out[k] = Grams([(code[own & (order == o)], n[own & (order == o)]) for o in range(4)])
     return out
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """docs without the text, with lang_pred and score."""
-    rest = [c for c in docs.columns if c != text_col]
+    rest = [c for c in docs.columns if c not in (text_col, "lang_pred", "score")]
     if model is None:
         return docs.select(*rest, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
