@@ -11,14 +11,18 @@ ranges to sequences, so each piece finds its place without meeting any other.
 
 Defined results: a null text is empty; an empty text is the end token alone;
 texts longer than a sequence are cut so that all pieces but the first are full;
-rows that repeat a doc_id are packed each; an empty table gives no pieces.
+very long texts are tokenised whole, one at a time; rows that repeat a doc_id are
+packed each; pieces of equal length are alike to the plan; other columns of the
+input are not read; an empty table gives no pieces.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import count as counting
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, chunks, span_hash, text_or_empty, values, written
+from .common import byte_values, chunks, equal_spans, span_hash, text_or_empty, values, written
 
 CAPACITY, END_ID = 1024, 2
-#: Lengths above this share of the capacity (a third or more: at most two fit in a sequence) are large; so many groups of them at most; pivots after which the programme's current (feasible) solution is used.
-LARGE_SHARE, GROUPS, PIVOTS = 1 / 3, 600, 6000
-#: Text bytes that a task tokenises at once, and distinct words whose ids it remembers.
-SLICE_BYTES, REMEMBERED = 2 << 20, 600_000
+#: Lengths above this share of the capacity (a third or more: at most two fit in a sequence) are large; they are put in so many groups at most.
+LARGE_SHARE, GROUPS = 1 / 3, 200
+#: Text bytes that a task tokenises at once, and distinct words, and their bytes, that it remembers.
+SLICE_BYTES, REMEMBERED, REMEMBERED_BYTES = 2 << 20, 600_000, 16 << 20
 
 #: The split pattern of the public byte-level vocabulary (fixed value).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -50,51 +54,76 @@ class WordIds:
 
     A text may be cut before a single space between two characters that are not
     white space; the split pattern never joins across such a place, so the ids of
-    the parts are the ids of the whole. The vocabulary file is the tokenizer's; its
-    merges are in the order of its ids, which makes them ranks.
+    the parts are the ids of the whole. Words are looked up by hash and taken as
+    known only if their bytes are the same. The vocabulary file is the tokenizer's;
+    its merges are in the order of its ids, which makes them ranks. A special string
+    of the file gets its own id, as the tokenizer gives it, or is ordinary text.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, special: bool = True) -> None:
         import tiktoken
 
         symbols = byte_symbols()
         spec = json.load(open(path, encoding="utf-8"))
-        special = {t["content"] for t in spec["added_tokens"]}
-        ranks = {bytes(symbols[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in special}
+        added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        ranks = {bytes(symbols[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in added}
         self.encode = tiktoken.Encoding("words", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.special = {w.encode(): i for w, i in added.items()} if special else {}
+        self.marks = re.compile(b"|".join(re.escape(w) for w in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.forget()
 
     def forget(self) -> None:
-        self.known = np.zeros(0, np.uint64)
-        self.place, self.count = np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.pool = np.zeros(0, np.uint16)
+        self.known = np.zeros(0, np.uint64)  # sorted hashes
+        self.place, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)  # ids in the pool
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)  # bytes of the word
+        self.pool, self.text = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
+
+    def _pooled(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Place and number of each word's ids, added to the pool."""
+        ids = [[self.special[w]] if w in self.special else self.encode(w.decode("utf-8")) for w in words]
+        count = np.fromiter(map(len, ids), np.int64, len(ids))
+        place = len(self.pool) + np.cumsum(count) - count
+        self.pool = np.concatenate((self.pool, np.fromiter((i for x in ids for i in x), np.uint32, int(count.sum()))))
+        return place, count
 
     def learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
-        ids = [self.encode(w.decode("utf-8")) for w in words]
-        count = np.fromiter(map(len, ids), np.int32, len(ids))
-        place = len(self.pool) + np.concatenate(([0], np.cumsum(count[:-1], dtype=np.int64))) if len(ids) else np.zeros(0, np.int64)
-        self.pool = np.concatenate((self.pool, np.fromiter((i for x in ids for i in x), np.uint16, int(count.sum()))))
+        place, count = self._pooled(words)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        start = len(self.text) + np.cumsum(size) - size
+        self.text = np.concatenate((self.text, np.frombuffer(b"".join(words), np.uint8)))
         at = np.searchsorted(self.known, hashes)
-        self.known, self.place, self.count = np.insert(self.known, at, hashes), np.insert(self.place, at, place), np.insert(self.count, at, count)
+        for name, new in (("known", hashes), ("place", place), ("count", count), ("start", start), ("size", size)):
+            setattr(self, name, np.insert(getattr(self, name), at, new))
+
+    def _marked(self, raw: bytes, offsets: np.ndarray) -> np.ndarray:
+        """Text starts and, as if texts began there, the starts and ends of special strings."""
+        edges = [m.span() for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False) for m in self.marks.finditer(raw, a, b)]
+        return np.union1d(offsets, np.array(edges, np.int64).ravel())
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text's begin."""
         if not len(data):
-            return np.zeros(0, np.uint16), np.zeros(len(offsets), np.int64)
-        starts = cut_places(data, offsets)
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        raw = data.tobytes()
+        edges = self._marked(raw, offsets) if self.marks and self.marks.search(raw) else offsets
+        starts = cut_places(data, edges)
         ends = np.append(starts[1:], len(data))
-        hashes = span_hash(byte_values(data), starts, ends)
-        unique, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) > REMEMBERED:
+        size = ends - starts
+        unique, first, which = np.unique(span_hash(byte_values(data), starts, ends), return_index=True, return_inverse=True)
+        if len(self.known) > REMEMBERED or len(self.text) > REMEMBERED_BYTES:
             self.forget()
-        at = np.searchsorted(self.known, unique)
-        new = (at == len(self.known)) | (self.known[np.minimum(at, max(len(self.known) - 1, 0))] != unique) if len(self.known) else np.ones(len(unique), bool)
-        raw = data.tobytes() if new.any() else b""
+        at = np.minimum(np.searchsorted(self.known, unique), len(self.known) - 1)
+        new = self.known[at] != unique if len(self.known) else np.ones(len(unique), bool)
         self.learn(unique[new], [raw[starts[i] : ends[i]] for i in first[new]])
         at = np.searchsorted(self.known, unique)[which]
-        count = self.count[at].astype(np.int64)
+        place, count = self.place[at], self.count[at]
+        # the hash proposes, the bytes decide
+        same = self.size[at] == size
+        same[same] = equal_spans(data, starts[same], self.text, self.start[at[same]], size[same])
+        if not same.all():
+            place[~same], count[~same] = self._pooled([raw[a:b] for a, b in zip(starts[~same], ends[~same], strict=True)])
         upto = np.concatenate(([0], np.cumsum(count)))
-        source = np.repeat(self.place[at] - upto[:-1], count) + np.arange(upto[-1])
+        source = np.repeat(place - upto[:-1], count) + np.arange(upto[-1])
         return self.pool[source], upto[np.searchsorted(starts, offsets)]
 
 
@@ -121,9 +150,9 @@ def cut_places(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
 
-def _pieces(path: str, capacity: int, keep_ids: bool):
+def _pieces(path: str, capacity: int, keep_ids: bool, special: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part = WordIds(path), TaskContext.get().partitionId()
+        words, part = WordIds(path, special), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for whole in batches:
             for batch in chunks(whole, "text", SLICE_BYTES):
@@ -154,11 +183,11 @@ def _pieces(path: str, capacity: int, keep_ids: bool):
     return run
 
 
-def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
+def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, keep_ids: bool = False, special: bool = True) -> DataFrame:
     """Written table of pieces: doc_id, piece, start, length, ids_crc32, part and rank (its rank among the task's pieces of that length), and ids if wanted."""
     rows = docs.select("doc_id", text_or_empty().alias("text"))
     schema = PIECES.format(id=dict(rows.dtypes)["doc_id"]) + (", ids array<long>" if keep_ids else "")
-    return written(rows.mapInArrow(_pieces(tokenizer_path, capacity, keep_ids), schema), "pieces")
+    return written(rows.mapInArrow(_pieces(tokenizer_path, capacity, keep_ids, special), schema), "pieces")
 
 
 # ---- the plan
@@ -183,13 +212,15 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tupl
     basis = np.diag(np.maximum(capacity // sizes, 1).astype(float))
     amount = demand / basis.diagonal()
     inverse = np.diag(1 / basis.diagonal())
-    for pivot in range(PIVOTS):
-        if pivot % 100 == 99:
+    for pivot in counting(1):
+        if pivot % 100 == 0:
             inverse = np.linalg.inv(basis)
             amount = np.maximum(inverse @ demand, 0)
         price = np.ones(k) @ inverse
         column = _best_column(np.maximum(price, 0), sizes, capacity)
-        if price @ column <= 1 + 1e-7:
+        worth = price @ column
+        # no plan uses fewer than (sequences now) / worth sequences: within half a sequence of that the programme is solved
+        if worth <= 1 + 1e-7 or amount.sum() * (1 - 1 / worth) < 0.5:
             break
         step = inverse @ column
         ratio = np.where(step > 1e-9, amount / np.where(step > 1e-9, step, 1), np.inf)
@@ -311,9 +342,12 @@ def _place(shared):
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset for every piece of docs (doc_id, text)."""
-    pieces = tokenized_pieces(docs, tokenizer_path, capacity, keep_ids)
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, keep_ids: bool = False, special: bool = True) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset for every piece of docs (doc_id, text).
+
+    With special=False the vocabulary's special strings in a text are ordinary text.
+    """
+    pieces = tokenized_pieces(docs, tokenizer_path, capacity, keep_ids, special)
     shares = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     shares = written(shares, "piece-shares")
     counts = np.zeros(capacity + 1, np.int64)
