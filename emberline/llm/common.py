@@ -11,6 +11,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,13 +45,27 @@ def _own_folder() -> str:
     return folder
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, so a lost executor costs one re-read."""
-    path = f"{shared_dir(df.sparkSession)}/tables/{label}-{uuid.uuid4().hex}"
+    """Write df to the shared folder and read it back: lineage ends there, so a lost executor costs one re-read.
+
+    The tables of a job stay until the shared folder is cleared: results that are
+    read later may still depend on them.
+    """
+    path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def open_fs(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and path for tasks that read or write files of the shared folder; file: and file:/// name the same folder."""
+    return fs.FileSystem.from_uri("/" + path[5:].lstrip("/") if path.startswith("file:") else path)
+
+
 def partitions(spark: SparkSession) -> int:
     """How many parts keyed work is split into; it follows the session's setting, so it grows with the cluster's input."""
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -126,7 +141,7 @@ def gram_hash(tokens: np.ndarray, n: int) -> np.ndarray:
         level, width = _pair(level[:-width], level[width:]), width * 2
     if width < n:
         level = _pair(level[: len(level) - (n - width)], level[n - width :])
-    return mix64(level + np.uint64(n) * _SIZE)
+    return mix64(level + np.uint64(n * int(_SIZE) % 2**64))
 
 
 def span_hash(tokens: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

@@ -22,12 +22,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, shared_dir, text_or_empty, written
+from .common import open_fs, partitions, shared_dir, text_or_empty, written
 
 # Fixed values of the seekable format.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -41,17 +40,6 @@ BUNDLE_BYTES = 64 << 20
 INDEX = "record_id long, bundle string, frame long, frame_at long, frame_size long, start long, length long"
 
 
-def uri_of(path: str) -> str:
-    """file: and file:/// forms name the same folder; other schemes pass as they are."""
-    if path.startswith("file:"):
-        path = "/" + path[5:].lstrip("/")
-    return path
-
-
-def open_fs(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri_of(path))
-
-
 class Bundle:
     """Writes frames to a stream and keeps the seek table."""
 
