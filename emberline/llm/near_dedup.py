@@ -1,25 +1,31 @@
 """Near-duplicate classes by DartMinHash.
 
 A document is a weighted set: its shingles of five words, each with the number
-of times it comes. Hashed darts fall into the region of each element, one layer
-per unit of weight, at exponentially spaced ranks and each at one of the
-signature's coordinates; the earliest dart of each coordinate is kept, so two
-documents agree at a coordinate with probability equal to their weighted Jaccard
-similarity. Only darts up to a rank that suffices for the document's total weight
-are thrown. Bands of the signature are joined on equality.
+of times it comes; weights may be any positive numbers. The plane of weight and
+rank over each element is cut into regions that double in weight, and darts are
+thrown by hash into each region below the element's weight: their ranks are
+exponentially spaced, the denser the wider the region, and a dart counts if it
+falls below the weight. So the cost grows with the logarithm of a weight. Each
+dart belongs to one of the signature's coordinates; the earliest one of each
+coordinate is kept, so two documents agree at a coordinate with probability equal
+to their weighted Jaccard similarity. Only darts up to a rank that suffices for
+the document's total weight are thrown. Bands of the signature are joined on
+equality.
 
 Equal word sequences are one text: only the smallest doc_id of each goes on. In
-a bucket every text is compared with the smallest one, on the true weighted sets;
-texts that this leaves in different components of one bucket are compared in
-further rounds, each against one centre of the bucket, and what is still apart
-after ROUNDS rounds pair by pair. So the pairs compared in a bucket are those that
-its components don't settle already, and every pair of texts that agree in a
-whole band ends up either in one class or compared.
+a bucket every text is compared with the smallest one, on the true weighted sets.
+Texts that this leaves in different components of one bucket are joined by prefix
+and position filtering, which is exact: all pairs of them that can still be
+similar are compared. So every pair of texts that agree in a whole band ends up
+either in one class or compared. Which texts meet is decided by bands (a pair at
+the similarity meets in none once in some 12 000 times), what is linked by sets.
 
 Defined results: a text of fewer than five words has one shingle, all its words;
 texts without a word are equal to each other; null text is empty; rows that share
-a doc_id fall in one class; rows without a doc_id have a null class; an empty
-table gives an empty table.
+a doc_id fall in one class; rows without a doc_id have a null class; ties of
+similarity at the threshold are links; very long texts are read whole; other
+columns of the input are not read; an empty table gives an empty table. doc_id is
+an integer.
 """
 
 from __future__ import annotations
@@ -29,6 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import SPACE_CLASS, chunks, mix64, span_hash, text_or_empty, values, written
@@ -40,40 +47,58 @@ ROWS, BANDS = 7, 40
 SLICE_BYTES = 1 << 20
 
 
-def elements(tokens: Tokens, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """(text, element) for each unit of weight: the k-th time a shingle comes in a text it counts as its layer k."""
+def elements(tokens: Tokens, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, element, weight) of each text's distinct shingles, by text and element."""
     sizes = np.diff(tokens.offsets)
     n = np.where(sizes >= shingle, sizes - shingle + 1, np.minimum(sizes, 1))
     text = np.repeat(np.arange(len(sizes)), n)
     first = tokens.offsets[text] + np.arange(len(text)) - np.concatenate(([0], np.cumsum(n)))[:-1][text]
-    last = np.minimum(first + shingle, tokens.offsets[text + 1])
-    x = span_hash(tokens.values, first, last)
+    x = span_hash(tokens.values, first, np.minimum(first + shingle, tokens.offsets[text + 1]))
     order = np.lexsort((x, text))
     text, x = text[order], x[order]
-    new = np.concatenate(([True], (text[1:] != text[:-1]) | (x[1:] != x[:-1]))) if len(x) else np.zeros(0, bool)
-    layer = np.arange(len(x)) - np.maximum.accumulate(np.where(new, np.arange(len(x)), 0)) if len(x) else np.zeros(0, np.int64)
-    return text, mix64(x + mix64(layer.astype(np.uint64)))
+    new = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (x[1:] != x[:-1])))) if len(x) else np.zeros(0, np.int64)
+    return text[new], x[new], np.diff(np.append(new, len(x))).astype(np.float64)
 
 
-def signatures(text: np.ndarray, layers: np.ndarray, count: int, size: int) -> np.ndarray:
-    """(count, size) dart ids, 0 for texts without elements. layers must be grouped by text."""
-    weight = np.bincount(text, minlength=count)
+_REGION, _HEIGHT = 0xD1342543DE82EF95, np.uint64(0x2545F4914F6CDD1D)
+
+
+def regions(x: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Element number, seed and lower edge of the weight regions [2**i - 1, 2**(i + 1) - 1) that each element reaches into."""
+    many = np.floor(np.log2(weight + 1)).astype(np.int64)
+    many += 2.0**many - 1 < weight
+    of = np.repeat(np.arange(len(x)), many)
+    i = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+    return of, mix64(x[of] + (i + 1).astype(np.uint64) * np.uint64(_REGION)), 2.0**i - 1
+
+
+def _uniform(dart: np.ndarray) -> np.ndarray:
+    return ((dart >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53
+
+
+def signatures(text: np.ndarray, x: np.ndarray, weight: np.ndarray, count: int, size: int) -> np.ndarray:
+    """(count, size) dart ids, 0 for texts without elements. Elements must be grouped by text."""
+    total = np.bincount(text, weight, minlength=count)
     best, ids = np.full(count * size, np.inf), np.zeros(count * size, np.uint64)
+    of, seed, low = regions(x, weight)
     need = np.log(size) + 4
-    todo = np.flatnonzero(weight)
+    todo = np.flatnonzero(total)
     limit, done_to = np.zeros(count), np.zeros(count)
     while len(todo):
-        limit[todo] = size * need / weight[todo]
-        on = np.isin(text, todo) if len(todo) < count else np.arange(len(text))
-        t, e = text[on], layers[on]
+        limit[todo] = size * need / total[todo]
+        on = np.flatnonzero(np.isin(text[of], todo)) if len(todo) < count else np.arange(len(of))
+        t, e, below, w = text[of[on]], seed[on], low[on], weight[of[on]]
         rank, i = np.zeros(len(t)), 0
         while len(t):
             i += 1
             dart = mix64(e + np.uint64(i * 0x9E3779B97F4A7C15 % 2**64))
-            rank = rank - np.log(((dart >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53)
+            rank = rank - np.log(_uniform(dart)) / (below + 1)  # a region is as wide as its lower edge and one
             stay = rank <= limit[t]
-            t, e, rank, dart = t[stay], e[stay], rank[stay], dart[stay]
-            fresh = rank > done_to[t]
+            t, e, below, w, rank, dart = t[stay], e[stay], below[stay], w[stay], rank[stay], dart[stay]
+            fresh = np.flatnonzero(rank > done_to[t])
+            # of the highest region an element reaches only a part lies below its weight
+            part = w[fresh] < 2 * below[fresh] + 1
+            fresh = fresh[~part | (below[fresh] + (below[fresh] + 1) * (1 - _uniform(mix64(dart[fresh] ^ _HEIGHT))) < w[fresh])]
             slot = t[fresh] * size + (mix64(dart[fresh]) % np.uint64(size)).astype(np.int64)
             r, d = rank[fresh], dart[fresh]
             np.minimum.at(best, slot, r)
@@ -97,8 +122,8 @@ def _bands(rows: int, bands: int, shingle: int):
         for whole in batches:
             for batch in chunks(whole, "text", SLICE_BYTES):
                 tokens = Tokens("words", *values(batch.column("text")))
-                text, layers = elements(tokens, shingle)
-                keys = band_keys(signatures(text, layers, batch.num_rows, rows * bands), rows, bands)
+                text, x, weight = elements(tokens, shingle)
+                keys = band_keys(signatures(text, x, weight, batch.num_rows, rows * bands), rows, bands)
                 has = np.bincount(text, minlength=batch.num_rows) > 0
                 sizes = np.where(has, bands, 0)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(keys[has].ravel().view(np.int64)))
@@ -107,29 +132,37 @@ def _bands(rows: int, bands: int, shingle: int):
     return run
 
 
+#: A weighted set: sorted elements (64-bit) and their weights (32-bit floats).
+SET = "doc long, elements binary, weights binary"
+
+
 def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in chunks(whole, "text", SLICE_BYTES):
-                tokens = Tokens("words", *values(batch.column("text")))
-                text, layers = elements(tokens, shingle)
-                order = np.lexsort((layers, text))
-                parts = np.split(layers[order], np.searchsorted(text, np.arange(1, batch.num_rows)))
-                yield pa.record_batch([batch.column("doc_id"), pa.array([p.tobytes() for p in parts], pa.binary())], ["doc", "set"])
+                text, x, weight = elements(Tokens("words", *values(batch.column("text"))), shingle)
+                cuts = np.searchsorted(text, np.arange(1, batch.num_rows))
+                blobs = [pa.array([p.tobytes() for p in np.split(v, cuts)], pa.binary()) for v in (x, weight.astype(np.float32))]
+                yield pa.record_batch([batch.column("doc_id"), *blobs], ["doc", "elements", "weights"])
 
     return run
 
 
+def similarity_of(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.ndarray) -> float:
+    """Weighted Jaccard similarity of two sets."""
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    both = float(np.minimum(wx[at], wy)[x[at] == y].sum(dtype=np.float64))
+    return both / (float(wx.sum(dtype=np.float64) + wy.sum(dtype=np.float64)) - both)
+
+
 def _similar(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(x) and min(len(x), len(y)) >= least * max(len(x), len(y)):
-                    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                    both = int((x[at] == y).sum())
-                    keep[i] = both >= least * (len(x) + len(y) - both) - 1e-9
+            columns = [batch.column(c).to_pylist() for c in ("xa", "wa", "xb", "wb")]
+            for i, (xa, wa, xb, wb) in enumerate(zip(*columns, strict=True)):
+                if xa and xb:
+                    keep[i] = similarity_of(np.frombuffer(xa, np.uint64), np.frombuffer(wa, np.float32), np.frombuffer(xb, np.uint64), np.frombuffer(wb, np.float32)) >= least - 1e-9
             mask = pa.array(keep)
             yield pa.record_batch([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
@@ -154,34 +187,34 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offsets = values(batch.column("set"))
+        data, offsets = values(batch.column("elements"))
         n = np.diff(offsets) // 8
+        weights = np.frombuffer(values(batch.column("weights"))[0].tobytes(), np.float32).astype(np.float64)
+        total = np.bincount(np.repeat(np.arange(len(n)), n), weights, minlength=len(n))
         pick = lambda c: batch.column(c).take(pa.array(np.repeat(np.arange(len(n)), n)))
-        tokens = np.frombuffer(data.tobytes(), np.int64)
-        yield pa.record_batch([pick("doc"), pick("c"), pa.array(np.repeat(n, n), pa.int32()), pa.array(tokens)], ["doc", "c", "size", "token"])
+        yield pa.record_batch([pick("doc"), pick("c"), pa.array(np.repeat(total, n)), pa.array(np.frombuffer(data.tobytes(), np.int64)), pa.array(weights)], ["doc", "c", "total", "element", "weight"])
 
 
 def candidates(sets: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of members (doc, c) of different components that can still be similar, each once.
 
     Elements are put in one order for all, the rarest first. Similar sets share an
-    element so early in both that what follows can make up the overlap they need:
-    this prefix and position filter is exact, and a text whose rare elements are its
-    own meets no other, however many texts share its common ones.
+    element so early in both that the weight from there on can make up the overlap
+    they need: this prefix and position filter is exact, and a text whose rare
+    elements are its own meets no other, however many texts share its common ones.
     """
-    rows = sets.join(members, "doc").select("doc", "c", "set").mapInArrow(_tokens, "doc long, c long, size int, token long")
-    counted = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    # nothing but the elements of one text is gathered here, and only its prefix goes on
-    ranked = rows.join(counted, "token").groupBy("doc", "c", "size").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
-    reach = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9).cast("int") + 1
-    front = ranked.select("doc", "c", "size", F.posexplode(F.slice("t", F.lit(1), reach)).alias("at", "e")).filter("e.df > 1").select("doc", "c", "size", "at", F.col("e.token").alias("token"))
-    other = front.select(F.col("doc").alias("doc2"), F.col("c").alias("c2"), F.col("size").alias("size2"), F.col("at").alias("at2"), "token")
-    need = F.ceil((F.col("size") + F.col("size2")) * (similarity / (1 + similarity)) - 1e-9)
-    most = F.least(F.col("size") - F.col("at"), F.col("size2") - F.col("at2"))
-    smaller = (F.col("size") < F.col("size2")) | ((F.col("size") == F.col("size2")) & (F.col("doc") < F.col("doc2")))
-    joined = front.join(other, (front["token"] == other["token"]) & (F.col("c") != F.col("c2")) & smaller & (most >= need) & (F.col("size") >= F.col("size2") * similarity - 1e-9))
+    rows = sets.join(members, "doc").select("doc", "c", "elements", "weights").mapInArrow(_listed, "doc long, c long, total double, element long, weight double")
+    counted = rows.groupBy("element").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    # elements of one text only come first in the order; they count by their weight alone
+    ranked = rows.join(counted, "element", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    before = F.sum("weight").over(W.partitionBy("doc", "c").orderBy("df", "element").rowsBetween(W.unboundedPreceding, -1))
+    front = ranked.withColumn("left", F.col("total") - F.coalesce(before, F.lit(0.0))).filter((F.col("df") > 1) & (F.col("left") >= F.col("total") * similarity - 1e-6)).select("doc", "c", "total", "left", "element")
+    other = front.select(F.col("doc").alias("doc2"), F.col("c").alias("c2"), F.col("total").alias("total2"), F.col("left").alias("left2"), "element")
+    need = (F.col("total") + F.col("total2")) * (similarity / (1 + similarity)) - 1e-6
+    lighter = (F.col("total") < F.col("total2")) | ((F.col("total") == F.col("total2")) & (F.col("doc") < F.col("doc2")))
+    joined = front.join(other, (front["element"] == other["element"]) & (F.col("c") != F.col("c2")) & lighter & (F.least("left", "left2") >= need) & (F.col("total") >= F.col("total2") * similarity - 1e-6))
     return joined.select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
 
 
@@ -199,13 +232,13 @@ def near_classes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SI
     buckets = written(keyed.join(shared, "h"), "near-buckets")  # members of buckets with two texts or more
 
     involved = buckets.select(F.col("doc").alias("doc_id")).distinct()
-    sets = written(source.select("doc_id", "text").join(involved, "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc long, set binary"), "near-sets")
+    sets = written(source.select("doc_id", "text").join(involved, "doc_id", "left_semi").mapInArrow(_sets(shingle), SET), "near-sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of (a, b), a < b, those that are similar."""
-        left = sets.select(F.col("doc").alias("a"), F.col("set").alias("sa"))
-        right = sets.select(F.col("doc").alias("b"), F.col("set").alias("sb"))
-        return written(pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(_similar(similarity), "a long, b long"), "near-links")
+        left = sets.select(F.col("doc").alias("a"), F.col("elements").alias("xa"), F.col("weights").alias("wa"))
+        right = sets.select(F.col("doc").alias("b"), F.col("elements").alias("xb"), F.col("weights").alias("wb"))
+        return written(pairs.join(right, "b").join(left, "a").select("a", "b", "xa", "wa", "xb", "wb").mapInArrow(_similar(similarity), "a long, b long"), "near-links")
 
     def apart() -> DataFrame:
         """Members, with their component, of the buckets that still hold several components."""
