@@ -8,8 +8,9 @@ straight through, only the others shuffle, by their SHA-256.
 
 Defined results: null text counts as empty; empty texts are equal; a null
 doc_id loses to any other, rows that repeat a doc_id with an equal text are one
-document (all have the same keep_id); an empty table gives an empty table.
-Columns of the input may have any name: working columns start with `__xd_`.
+document (all have the same keep_id); very long texts are hashed whole; an empty
+table gives an empty table. Columns of the input may have any name that does not
+start with `__xd_`.
 """
 
 from __future__ import annotations
@@ -21,90 +22,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, mix64, partitions, text_or_empty, written
-
-#: Bits per hash in the filters, and probes per hash.
-BITS_PER_HASH, PROBES = 16, 4
-#: Bound of the second filter, the only thing that is broadcast. A fuller filter lets more rows shuffle; results stay exact.
-MAX_FILTER_BYTES = 32 << 20
-
+from .bloom import Filter, filter_of
+from .common import SPACE_CLASS, text_or_empty, written
 
 def normalised(text: str = "text") -> Column:
     return F.regexp_replace(text_or_empty(text), SPACE_CLASS, " ")
 
 
-def _slots(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """PROBES bit positions below `bits` for each hash, one row per probe."""
-    a = mix64(hashes ^ np.uint64(0x5851F42D4C957F2D))
-    b = mix64(hashes + np.uint64(0x14057B7EF767814F)) | np.uint64(1)
-    return np.stack([((a + np.uint64(i) * b) >> np.uint64(11)) % np.uint64(bits) for i in range(PROBES)]).astype(np.int64)
-
-
-def _has(filter_: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    return ((filter_[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1).astype(bool).all(axis=0)
-
-
-def _put(filter_: np.ndarray, slots: np.ndarray) -> None:
-    np.bitwise_or.at(filter_, slots.ravel() >> 3, (1 << (slots.ravel() & 7)).astype(np.uint8))
-
-
-def _segment_of(hashes: np.ndarray, segments: int) -> np.ndarray:
-    return ((hashes >> np.uint64(40)) % np.uint64(segments)).astype(np.int64)
-
-
-def _send(segments: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A blob of hashes for each segment; a hash that repeats in the batch goes twice, however often it came."""
-        for batch in batches:
-            h, n = np.unique(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), return_counts=True)
-            h = np.repeat(h, np.minimum(n, 2))
-            seg = _segment_of(h, segments)
-            order = np.argsort(seg, kind="stable")
-            keys, starts = np.unique(seg[order], return_index=True)
-            parts = np.split(h[order], starts[1:]) if len(keys) else []
-            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["seg", "hashes"])
-
-    return run
-
-
-def _second_sightings(slice_bits: int):
-    def run(group: pa.Table) -> pa.Table:
-        """Of one segment: pass one's filter over all its hashes, and the slice of the second filter."""
-        blobs = group.column("hashes").to_pylist()
-        total = sum(len(b) for b in blobs) // 8
-        bits = max(1024, BITS_PER_HASH * total)
-        once, twice = np.zeros(-(-bits // 8), np.uint8), np.zeros(slice_bits // 8, np.uint8)
-        for blob in blobs:
-            h, n = np.unique(np.frombuffer(blob, np.uint64), return_counts=True)
-            slots = _slots(h, bits)
-            again = _has(once, slots) | (n > 1)
-            _put(twice, _slots(h[again], slice_bits))
-            _put(once, slots)
-        return pa.table({"seg": pa.array([group.column("seg")[0].as_py()], pa.int64()), "bits": pa.array([twice.tobytes()], pa.binary())})
-
-    return run
-
-
-def repeated_filter(hashes: DataFrame, rows: int) -> tuple[dict[int, bytes], int, int]:
-    """From one bigint column of hashes: the second filter's slices, the number of segments and the bits of a slice."""
-    segments = partitions(hashes.sparkSession)
-    bits = min(8 * MAX_FILTER_BYTES, max(1 << 13, BITS_PER_HASH * rows)) // segments
-    slice_bits = max(64, bits // 64 * 64)
-    slices = hashes.mapInArrow(_send(segments), "seg long, hashes binary").groupBy("seg").applyInArrow(_second_sightings(slice_bits), "seg long, bits binary")
-    return {r.seg: bytes(r.bits) for r in slices.toLocalIterator() if any(r.bits)}, segments, slice_bits
-
-
-def _probe(shared, segments: int, slice_bits: int, at: int):
+def _probe(seen: Filter, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slices = shared.value
-        size = slice_bits // 8
-        whole = np.zeros(segments * size, np.uint8)
-        for seg, bits in slices.items():
-            whole[seg * size : (seg + 1) * size] = np.frombuffer(bits, np.uint8)
         for batch in batches:
-            h = batch.column(at).to_numpy(zero_copy_only=False).view(np.uint64)
-            slots = _slots(h, slice_bits) + _segment_of(h, segments) * slice_bits
-            yield pa.record_batch([*batch.columns, pa.array(_has(whole, slots))], [*batch.schema.names, "__xd_maybe"])
+            maybe = seen.has(batch.column(at).to_numpy(zero_copy_only=False).view(np.uint64))
+            yield pa.record_batch([*batch.columns, pa.array(maybe)], [*batch.schema.names, "__xd_maybe"])
 
     return run
 
@@ -114,13 +43,11 @@ def group_equal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     The digests are written once; both passes then run over a table of about 50 bytes a row.
     """
-    spark = docs.sparkSession
     digests = written(docs.select(F.col(id_col).alias("__xd_id"), F.sha2(normalised(text_col), 256).alias("__xd_sha")), "exact-digests")
     digests = digests.withColumn("__xd_hash", F.xxhash64("__xd_sha"))
-    slices, segments, slice_bits = repeated_filter(digests.select("__xd_hash"), digests.count())
-    shared = spark.sparkContext.broadcast(slices)
+    seen = filter_of(digests.select("__xd_hash"), digests.count(), repeats=True)
     schema = ", ".join(f"{n} {t}" for n, t in digests.dtypes) + ", __xd_maybe boolean"
-    probed = digests.mapInArrow(_probe(shared, segments, slice_bits, 2), schema)
+    probed = digests.mapInArrow(_probe(seen, 2), schema)
     alone = probed.filter("not __xd_maybe").select("__xd_id", "__xd_sha", F.col("__xd_id").alias("__xd_keep"), F.lit(1).cast("long").alias("__xd_size"))
     maybe = probed.filter("__xd_maybe").select("__xd_id", "__xd_sha")
     # written, so that both sides of the join are plain exchanges: AQE then splits the row side where one text holds a large share of the rows
@@ -130,25 +57,17 @@ def group_equal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with their columns. Rows whose hash misses the filter never shuffle."""
-    spark = docs.sparkSession
     own = docs.columns
     hashed = docs.withColumn("__xd_sha", F.sha2(normalised(text_col), 256))
     digests = written(hashed.select(F.col(id_col).alias("__xd_id"), "__xd_sha"), "exact-digests")
     digests = digests.withColumn("__xd_hash", F.xxhash64("__xd_sha"))
-    slices, segments, slice_bits = repeated_filter(digests.select("__xd_hash"), digests.count())
-    shared = spark.sparkContext.broadcast(slices)
-    probe = _probe(shared, segments, slice_bits, 0)
-
-    @F.arrow_udf("boolean")
-    def maybe_repeated(h: pa.Array) -> pa.Array:
-        return next(probe(iter([pa.record_batch([h], ["h"])]))).column(1)
-
+    seen = filter_of(digests.select("__xd_hash"), digests.count(), repeats=True)
     schema = "__xd_id " + dict(digests.dtypes)["__xd_id"] + ", __xd_sha string, __xd_hash long, __xd_maybe boolean"
-    suspects = digests.mapInArrow(_probe(shared, segments, slice_bits, 2), schema).filter("__xd_maybe")
+    suspects = digests.mapInArrow(_probe(seen, 2), schema).filter("__xd_maybe")
     stays = written(suspects.groupBy("__xd_sha").agg(F.min("__xd_id").alias("__xd_keep")).withColumnRenamed("__xd_sha", "__xd_of"), "exact-groups")
     # rows that repeat a whole document tie; one of them stays
     tied = suspects.groupBy("__xd_sha", "__xd_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__xd_sha")
-    marked = hashed.withColumn("__xd_maybe", maybe_repeated(F.xxhash64("__xd_sha")))
+    marked = hashed.withColumn("__xd_maybe", seen.test(F.xxhash64("__xd_sha")))
     through = marked.filter("not __xd_maybe").select(own)
     checked = marked.filter("__xd_maybe").join(stays, (F.col("__xd_sha") == F.col("__xd_of")) & F.col(id_col).eqNullSafe(F.col("__xd_keep")), "left_semi")
     if not tied.isEmpty():

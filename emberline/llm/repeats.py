@@ -2,50 +2,71 @@
 
 A window's anchor is the smallest hash of its grams, so equal windows have equal
 anchors wherever they stand. The windows that follow one another under one
-anchor form a unit; a text is a row of units that overlap. Equal units are
-settled as a whole; only where units under one anchor differ are single windows
-compared. Every window of every text belongs to exactly one unit, so nothing is
-sampled away.
+anchor form a unit; a text is a row of units that overlap. Units are told apart
+by a cryptographic digest of their bytes. Equal units are settled as a whole;
+where units under one anchor differ, their bytes meet in one part and the single
+windows are compared there, token by token, by bucket-pointer refinement. Every
+window of every text belongs to exactly one unit, so nothing is sampled away, and
+a 64-bit hash only decides what meets, never what is removed.
 
 Rows that share a doc_id are one document and should be equal; a null doc_id
-neither removes nor is removed.
+neither removes nor is removed. doc_id is an integer column.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, chunks, covered, gram_hash, mix64, partitions, runs, sliding_min, span_hash, spans_within, text_or_empty, values
+from .bloom import filter_of
+from .common import byte_values, chunks, covered, gram_hash, mix64, partitions, runs, sliding_min, span_hash, spans_within, text_or_empty, values, written
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
-#: Bytes of text that a task works on at once.
-SLICE_BYTES = 1 << 20
+#: Bytes of text that a task works on at once, and bytes of the corpus for each part of keyed work.
+SLICE_BYTES, PART_BYTES = 1 << 20, 8 << 20
+#: Repeated units whose earliest document a task remembers.
+HOT = 1 << 16
 
 
 class Tokens:
-    """Token hashes of a slice, the token number where each text begins, and the bytes of each token."""
+    """Token hashes of a slice, the token number where each text begins, and the bytes of any run of tokens (words with one space between)."""
 
-    def __init__(self, kind: str, data: np.ndarray, offsets: np.ndarray) -> None:
+    def __init__(self, kind: str, data: np.ndarray, offsets: np.ndarray, hashed: bool = True) -> None:
         if kind == "bytes":
-            self.values, self.offsets, self.starts, self.ends = byte_values(data), offsets, None, None
+            self.count, self.offsets = len(data), offsets
+            self.raw = data.tobytes()
+            self.values = byte_values(data) if hashed else None
+            return
+        starts, ends = spans_within(~_SPACE[data], offsets)
+        self.count, self.offsets = len(starts), np.searchsorted(starts, offsets)
+        self.values = span_hash(byte_values(data), starts, ends) if hashed else None
+        size = ends - starts
+        self.begin = np.cumsum(size + 1) - size - 1
+        self.end = self.begin + size
+        joined = np.full(int((size + 1).sum()), 32, np.uint8)
+        joined[np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)] = data[~_SPACE[data]]
+        self.raw = joined.tobytes()
+
+    def pieces(self, first: np.ndarray, size: np.ndarray) -> list[bytes]:
+        """The bytes of the tokens [first, first + size), for each row."""
+        if hasattr(self, "begin"):
+            first, last = self.begin[first], self.end[first + size - 1]
         else:
-            self.starts, self.ends = spans_within(~_SPACE[data], offsets)
-            self.values = span_hash(byte_values(data), self.starts, self.ends)
-            self.offsets = np.searchsorted(self.starts, offsets)
-
-    def grams(self, n: int) -> np.ndarray:
-        return gram_hash(self.values, n)
+            last = first + size
+        raw = self.raw
+        return [raw[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
 
     def window_starts(self, window: int) -> np.ndarray:
         """Mask over all places where a window would lie in the slice: those within one text."""
-        places = max(len(self.values) - window + 1, 0)
+        places = max(self.count - window + 1, 0)
         good = np.ones(places, bool)
         for end in self.offsets[1:-1]:  # windows that run over a text's end
             good[max(end - window + 1, 0) : min(end, places)] = False
@@ -53,21 +74,19 @@ class Tokens:
 
 
 def units(tokens: Tokens, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """text, anchor, unit hash, first window and number of windows of each unit, in order."""
+    """text, anchor, first window (a token number of the slice) and number of windows of each unit, in order."""
     none = np.zeros(0, np.int64)
     good = tokens.window_starts(window)
     if not good.any():
-        return none, none.astype(np.uint64), none.astype(np.uint64), none, none
-    anchor = sliding_min(tokens.grams(gram), window - gram + 1)
-    change = np.flatnonzero((anchor[1:] != anchor[:-1]) | (good[1:] != good[:-1])) + 1
+        return none, none.astype(np.uint64), none, none
+    anchor = sliding_min(gram_hash(tokens.values, gram), window - gram + 1)
+    # a text's last window and the next text's first are no neighbours, also where a window is one token
+    change = np.union1d(np.flatnonzero((anchor[1:] != anchor[:-1]) | (good[1:] != good[:-1])) + 1, tokens.offsets[(tokens.offsets > 0) & (tokens.offsets < len(good))])
     first = np.concatenate(([0], change))
     n = np.diff(np.append(first, len(good)))
     keep = good[first]
     first, n = first[keep], n[keep]
-    # texts that touch without a gap between their windows (window of one token)
-    text = np.searchsorted(tokens.offsets, first, "right") - 1
-    unit = span_hash(tokens.values, first, first + n + window - 1) ^ mix64(n.astype(np.uint64))
-    return text, anchor[first], unit, first - tokens.offsets[text], n
+    return np.searchsorted(tokens.offsets, first, "right") - 1, anchor[first], first, n
 
 
 def ids_of(batch: pa.RecordBatch) -> np.ndarray:
@@ -75,207 +94,291 @@ def ids_of(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def slices(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[tuple[pa.RecordBatch, Tokens, np.ndarray, np.ndarray]]:
+def slices(batches: Iterator[pa.RecordBatch], kind: str, hashed: bool = True) -> Iterator[tuple[pa.RecordBatch, Tokens, np.ndarray]]:
     for whole in batches:
         for batch in chunks(whole, "text", SLICE_BYTES):
             data, offsets = values(batch.column("text"))
-            yield batch, Tokens(kind, data, offsets), data, offsets
+            yield batch, Tokens(kind, data, offsets, hashed), offsets
 
 
 def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
 
 
-def refine(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Mask of the places whose window an earlier document holds.
+def parts_for(docs: DataFrame) -> int:
+    """Parts of keyed work: as many as the session shuffles into, and more where the texts are larger than that suits."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b
+    return max(partitions(docs.sparkSession), -(-size // PART_BYTES))
 
-    Buckets of equal first halves, refined by sorting on the bucket of the later
-    offset; a bucket of one document needs no refinement.
-    """
-    order = np.lexsort((doc, b, a))
-    a, b, doc = a[order], b[order], doc[order]
-    new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, bool)
-    lead = doc[np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))] if len(a) else doc
-    out = np.zeros(len(a), bool)
-    out[order] = lead < doc
-    return out
 
+# ---- units and their fingerprints
+
+#: k: 32 bits of the anchor and 32 of the digest; v: 64 more bits of the digest.
+KINDS = {"k": np.uint64, "v": np.uint64, "doc": np.int64, "first": np.int32, "n": np.int32}
+OWN = {"own_doc": np.int64, "own_first": np.int32, "own_n": np.int32}
+#: A unit of a slice that no smaller document is known to hold goes to its part; the others are settled on the spot (own).
+BUCKETS = "part int, " + ", ".join(f"{c} binary" for c in (*KINDS, *OWN))
+_LOW = np.uint64(0xFFFFFFFF)
+
+
+def fingerprints(tokens: Tokens, anchor: np.ndarray, first: np.ndarray, n: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    digests = b"".join([blake2b(x, digest_size=12).digest() for x in tokens.pieces(first, n + window - 1)])
+    three = np.frombuffer(digests, "<u4").reshape(-1, 3).astype(np.uint64)
+    return (anchor & ~_LOW) | three[:, 0], (three[:, 1] << np.uint64(32)) | three[:, 2]
+
+
+class _Hot:
+    """Units that this task has seen in several documents, with the earliest: later copies are settled where they lie."""
+
+    def __init__(self) -> None:
+        self.k, self.v, self.doc = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def earlier(self, k: np.ndarray, v: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.k, k)
+        on = np.flatnonzero(at < len(self.k))
+        out = np.zeros(len(k), bool)
+        out[on] = (self.k[at[on]] == k[on]) & (self.v[at[on]] == v[on]) & (self.doc[at[on]] < doc[on])
+        return out
+
+    def add(self, k: np.ndarray, v: np.ndarray, doc: np.ndarray) -> None:
+        if len(self.k) > HOT:
+            self.__init__()
+        k, v, doc = np.concatenate((self.k, k)), np.concatenate((self.v, v)), np.concatenate((self.doc, doc))
+        order = np.lexsort((doc, v, k))
+        k, v, doc = k[order], v[order], doc[order]
+        keep = np.concatenate(([True], k[1:] != k[:-1])) if len(k) else np.zeros(0, bool)  # of two units alike in k one is remembered
+        self.k, self.v, self.doc = k[keep], v[keep], doc[keep]
 
-#: A unit of a slice that no smaller document of the slice holds goes to its bucket; the others are settled on the spot.
-BUCKETS = "part int, u binary, m binary, doc binary, first binary, n binary, own_doc binary, own_first binary, own_n binary"
-KINDS = {"u": np.uint64, "m": np.uint32, "doc": np.int64, "first": np.int32, "n": np.int32, "own_doc": np.int64, "own_first": np.int32, "own_n": np.int32}
 
+def send_units(kind: str, window: int, gram: int, keep: Callable[[np.ndarray], np.ndarray] | None, parts: int):
+    """mapInArrow: the units of texts whose anchors pass `keep`, dealt out by anchor as BUCKETS."""
 
-def _buckets(kind: str, window: int, gram: int, wanted, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep, turn = wanted() if wanted else None, TaskContext.get().partitionId()
-        for batch, tokens, _, _ in slices(batches, kind):
-            text, m, u, first, n = units(tokens, window, gram)
-            ok = keep(m) if keep else np.ones(len(m), bool)
-            m, u, first, n = m[ok], u[ok], first[ok].astype(np.int32), n[ok].astype(np.int32)
-            doc = ids_of(batch)[text[ok]]
-            order = np.lexsort((doc, u))
-            lead = earliest_in(u[order], None, doc[order])
-            later = order[lead < doc[order]]
-            open_ = np.ones(len(u), bool)
-            open_[later] = False
-            part = (m >> np.uint64(33)).astype(np.int64) % parts
-            rows: dict[int, dict[str, bytes]] = {}
-            at = np.flatnonzero(open_)
+        turn, hot = TaskContext.get().partitionId(), _Hot()
+        for batch, tokens, _ in slices(batches, kind):
+            text, m, first, n = units(tokens, window, gram)
+            if keep:
+                ok = keep(m)
+                text, m, first, n = text[ok], m[ok], first[ok], n[ok]
+            k, v = fingerprints(tokens, m, first, n, window)
+            doc, first, n = ids_of(batch)[text], (first - tokens.offsets[text]).astype(np.int32), n.astype(np.int32)
+            order = np.lexsort((doc, v, k))
+            lead = earliest_in(k[order], v[order], doc[order])
+            known = hot.earlier(k, v, doc)
+            known[order[lead < doc[order]]] = True
+            repeated = order[lead < doc[order]]
+            hot.add(k[repeated], v[repeated], lead[lead < doc[order]])
+            at, later = np.flatnonzero(~known), np.flatnonzero(known)
+            part = ((m & _LOW).astype(np.int64)) % parts
             at = at[np.argsort(part[at], kind="stable")]
+            rows: dict[int, dict[str, bytes]] = {}
             keys, begin = np.unique(part[at], return_index=True)
-            for k, own in zip(keys.tolist(), np.split(at, begin[1:]) if len(keys) else [], strict=True):
-                rows[k] = {"u": u[own].tobytes(), "m": m[own].astype(np.uint32).tobytes(), "doc": doc[own].tobytes(), "first": first[own].tobytes(), "n": n[own].tobytes()}
+            for p, own in zip(keys.tolist(), np.split(at, begin[1:]) if len(keys) else [], strict=True):
+                rows[p] = {c: x[own].tobytes() for c, x in zip(KINDS, (k, v, doc, first, n), strict=True)}
             if len(later):
                 turn += 1
-                rows.setdefault(turn % parts, {}).update(own_doc=doc[later].tobytes(), own_first=first[later].tobytes(), own_n=n[later].tobytes())
-            yield pa.record_batch([pa.array(list(rows), pa.int32()), *(pa.array([r.get(c, b"") for r in rows.values()], pa.binary()) for c in KINDS)], ["part", *KINDS])
+                rows.setdefault(turn % parts, {}).update(zip(OWN, (doc[later].tobytes(), first[later].tobytes(), n[later].tobytes()), strict=True))
+            columns = [*KINDS, *OWN]
+            yield pa.record_batch([pa.array(list(rows), pa.int32()), *(pa.array([r.get(c, b"") for r in rows.values()], pa.binary()) for c in columns)], ["part", *columns])
 
     return run
 
 
-def earliest_in(a: np.ndarray, b: np.ndarray | None, doc: np.ndarray) -> np.ndarray:
-    """For sorted keys (a, b), documents ascending within each: the first document of each key."""
-    if not len(a):
+def earliest_in(k: np.ndarray, v: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For sorted (k, v), documents ascending within each: the first document of each."""
+    if not len(k):
         return doc
-    new = a[1:] != a[:-1]
-    if b is not None:
-        new |= b[1:] != b[:-1]
-    return doc[np.maximum.accumulate(np.where(np.concatenate(([True], new)), np.arange(len(a)), 0))]
+    new = np.concatenate(([True], (k[1:] != k[:-1]) | (v[1:] != v[:-1])))
+    return doc[np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]
+
+
+def column_of(group: pa.Table, name: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(group.column(name).to_pylist()), kind)
+
+
+def mixed_anchors(k: np.ndarray, v: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For rows sorted by fingerprint: whether the anchor has several units in several documents."""
+    if not len(k):
+        return np.zeros(0, bool)
+    anchor = k >> np.uint64(32)
+    new = np.concatenate(([True], anchor[1:] != anchor[:-1]))
+    starts = np.flatnonzero(new)
+    other = np.concatenate(([False], (k[1:] != k[:-1]) | (v[1:] != v[:-1]))) & ~new
+    several = np.add.reduceat(other.astype(np.int64), starts) > 0
+    apart = np.minimum.reduceat(doc, starts) < np.maximum.reduceat(doc, starts)
+    return (several & apart)[np.cumsum(new) - 1]
+
 
+# ---- spans
 
-SPANS = "bucket int, docs binary, pairs binary"
+#: Documents, and triples of 32-bit integers: first window, number of windows, and the part where they are to be compared (-1: settled).
+SPANS = "bucket int, docs binary, spans binary"
 
 
-def _by_document(doc: np.ndarray, first: np.ndarray, n: np.ndarray, parts: int) -> pa.Table:
-    """Spans dealt out by document: documents, and pairs of 32-bit integers, first window and number of windows (negative: to be compared)."""
+def by_document(doc: np.ndarray, first: np.ndarray, n: np.ndarray, where: np.ndarray | int, parts: int) -> pa.Table:
+    """Spans dealt out by document."""
     bucket = (mix64(doc.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
     order = np.lexsort((first, doc, bucket))
-    doc, bucket, pairs = doc[order], bucket[order], np.stack((first[order], n[order]), axis=1).astype(np.int32)
+    triples = np.stack(np.broadcast_arrays(first, n, where), axis=1).astype(np.int32)[order]
+    doc, bucket = doc[order], bucket[order]
     keys, begin = np.unique(bucket, return_index=True)
     cut = lambda x: [y.tobytes() for y in np.split(x, begin[1:])] if len(keys) else []
-    return pa.table({"bucket": pa.array(keys, pa.int32()), "docs": pa.array(cut(doc), pa.binary()), "pairs": pa.array(cut(pairs), pa.binary())})
+    return pa.table({"bucket": pa.array(keys, pa.int32()), "docs": pa.array(cut(doc), pa.binary()), "spans": pa.array(cut(triples), pa.binary())})
 
 
-def _gather(group: pa.Table) -> pa.Table:
-    """Of one bucket: a row per document with its spans."""
-    doc, pairs = _column(group, "docs", np.int64), _column(group, "pairs", np.int32).reshape(-1, 2)
-    order = np.argsort(doc, kind="stable")
-    keys, begin = np.unique(doc[order], return_index=True)
-    cut = [y.tobytes() for y in np.split(pairs[order], begin[1:])] if len(keys) else []
-    return pa.table({"doc_id": pa.array(keys, pa.int64()), "spans": pa.array(cut, pa.binary())})
+def _gather(settled: bool):
+    def run(group: pa.Table) -> pa.Table:
+        """Of one bucket: a row per document with its settled spans, or with those to be compared."""
+        doc, spans = column_of(group, "docs", np.int64), column_of(group, "spans", np.int32).reshape(-1, 3)
+        on = (spans[:, 2] < 0) == settled
+        doc, spans = doc[on], spans[on]
+        order = np.argsort(doc, kind="stable")
+        keys, begin = np.unique(doc[order], return_index=True)
+        cut = [y.tobytes() for y in np.split(spans[order], begin[1:])] if len(keys) else []
+        return pa.table({"__doc": pa.array(keys, pa.int64()), "__spans": pa.array(cut, pa.binary())})
 
+    return run
 
-def _column(group: pa.Table, name: str, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(group.column(name).to_pylist()), kind)
 
+def spans_of(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """text, first, n and part of all spans gathered for a batch's rows."""
+    blobs = [x or b"" for x in batch.column("__spans").to_pylist()]
+    triples = np.frombuffer(b"".join(blobs), np.int32).reshape(-1, 3).astype(np.int64)
+    return np.repeat(np.arange(len(blobs)), [len(x) // 12 for x in blobs]), triples[:, 0], triples[:, 1], triples[:, 2]
 
-def mixed_anchors(m: np.ndarray, u: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For rows sorted by anchor and unit: whether the anchor has several units in several documents."""
-    if not len(m):
-        return np.zeros(0, bool)
-    new = np.concatenate(([True], m[1:] != m[:-1]))
-    starts = np.flatnonzero(new)
-    other = np.concatenate(([False], u[1:] != u[:-1])) & ~new
-    several = np.add.reduceat(other.astype(np.int64), starts) > 0
-    apart = np.minimum.reduceat(doc, starts) < np.maximum.reduceat(doc, starts)
-    return (several & apart)[np.cumsum(new) - 1]
 
+class Marked:
+    """Documents with spans: the rest of the corpus stays where it is, told by a filter over the ids."""
 
-def _settled(parts: int):
-    """Of one bucket: units that an earlier document holds whole, and the first of units that share their anchor with others."""
+    def __init__(self, docs: DataFrame, spans: DataFrame, settled: bool) -> None:
+        self.docs = texts(docs)
+        self.spans = written(spans.groupBy("bucket").applyInArrow(_gather(settled), "__doc long, __spans binary"), "passage-spans")
+        seen = filter_of(self.spans.select(F.xxhash64("__doc")), self.spans.count(), repeats=False)
+        self.flagged = self.docs.withColumn("__flag", seen.test(F.xxhash64("doc_id")))
 
-    def run(group: pa.Table) -> pa.Table:
-        return _settle_bucket(group, parts)
-
-    return run
+    def rows(self, how: str) -> DataFrame:
+        """doc_id, text, __spans of the documents that have spans; joined "left", also of those that the filter let through."""
+        some = self.flagged.filter("__flag and doc_id is not null").select("doc_id", "text")
+        return some.join(self.spans, F.col("doc_id") == F.col("__doc"), how).select("doc_id", "text", "__spans")
 
+    def rest(self) -> DataFrame:
+        """doc_id and text of the others."""
+        return self.flagged.filter("not __flag or doc_id is null").select("doc_id", "text")
 
-def _settle_bucket(group: pa.Table, parts: int) -> pa.Table:
-    u, m, doc, first, n, own_doc, own_first, own_n = (_column(group, c, k) for c, k in KINDS.items())
-    order = np.lexsort((doc, u, m))
-    u, m, doc, first, n = u[order], m[order], doc[order], first[order], n[order]
-    whole = earliest_in(m, u, doc) < doc
-    mixed = mixed_anchors(m, u, doc) & ~whole
-    return _by_document(np.concatenate((own_doc, doc[whole], doc[mixed])), np.concatenate((own_first, first[whole], first[mixed])), np.concatenate((own_n, n[whole], -n[mixed])), parts)
 
+# ---- single windows
 
-NAMES = "part int, a binary, b binary, doc binary, at binary"
+WINDOWS = "part int, docs binary, firsts binary, counts binary, sizes binary, bytes binary"
 
 
-def _names(kind: str, window: int, parts: int):
-    """Names of the q-gram buckets at each window to be compared and at its later offset, dealt out by name."""
-    q = -(-window // 2)
+def _send_windows(kind: str, window: int):
+    """The bytes of the units to be compared, dealt out to their parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, tokens, _, _ in slices(batches, kind):
-            grams = tokens.grams(q)
-            text, first, n = spans_of(batch)
-            text, first, n = text[n < 0], first[n < 0], -n[n < 0]
-            at = np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
-            text = np.repeat(text, n)
-            place = tokens.offsets[text] + at
-            ok = place + window <= tokens.offsets[text + 1]
-            text, at, place = text[ok], at[ok], place[ok]
-            a, b = grams[place], grams[place + window - q]
-            doc = ids_of(batch)[text]
-            part = ((a ^ (b >> np.uint64(7))) >> np.uint64(35)).astype(np.int64) % parts
-            order = np.argsort(part, kind="stable")
-            keys, begin = np.unique(part[order], return_index=True)
-            cut = lambda x: [y.tobytes() for y in np.split(x[order], begin[1:])] if len(keys) else []
-            yield pa.record_batch([pa.array(keys, pa.int32()), *(pa.array(cut(x), pa.binary()) for x in (a.astype(np.uint32), b.astype(np.uint32), doc, at.astype(np.int32)))], ["part", "a", "b", "doc", "at"])
+        for batch, tokens, _ in slices(batches, kind, hashed=False):
+            text, first, n, part = spans_of(batch)
+            ok = first + n + window - 1 <= tokens.offsets[text + 1] - tokens.offsets[text]  # rows that repeat a doc_id may have other texts
+            order = np.argsort(part[ok], kind="stable")
+            text, first, n, part = (x[ok][order] for x in (text, first, n, part))
+            pieces = tokens.pieces(tokens.offsets[text] + first, n + window - 1)
+            sizes, doc = np.array([len(x) for x in pieces], np.int32), ids_of(batch)[text]
+            keys, begin = np.unique(part, return_index=True)
+            ends = [*begin[1:].tolist(), len(part)]
+            cut = lambda x, t: pa.array([x[a:b].astype(t).tobytes() for a, b in zip(begin, ends, strict=True)], pa.binary())
+            joined = pa.array([b"".join(pieces[a:b]) for a, b in zip(begin, ends, strict=True)], pa.binary())
+            yield pa.record_batch([pa.array(keys, pa.int32()), cut(doc, np.int64), cut(first, np.int32), cut(n, np.int32), cut(sizes, np.int32), joined], ["part", "docs", "firsts", "counts", "sizes", "bytes"])
 
     return run
 
 
-def spans_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """text, first, n of all spans gathered for a batch's rows."""
-    blobs = [x or b"" for x in batch.column("spans").to_pylist()]
-    pairs = np.frombuffer(b"".join(blobs), np.int32).reshape(-1, 2).astype(np.int64)
-    return np.repeat(np.arange(len(blobs)), [len(x) // 8 for x in blobs]), pairs[:, 0], pairs[:, 1]
+def _byte_buckets(data: bytes, sizes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Of each byte the q-gram that begins there, as a number; tokens of each unit; q, eight bytes at most."""
+    q = min(8, window)
+    padded = np.concatenate((np.frombuffer(data, np.uint8), np.zeros(q - 1, np.uint8))).astype(np.uint64)
+    name = np.zeros(len(data), np.uint64)
+    for i in range(q):
+        name = (name << np.uint64(8)) | padded[i : i + len(data)]
+    return name, sizes.astype(np.int64), q
 
 
-def _refined(parts: int):
-    def run(group: pa.Table) -> pa.Table:
-        return _refine_bucket(group, parts)
+def _word_buckets(data: bytes, sizes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Of each word its number among the distinct ones; words of each unit; 1."""
+    ends = np.cumsum(sizes)
+    pieces = [data[b - n : b].split(b" ") for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+    words = np.empty(sum(map(len, pieces)), object)
+    words[:] = [w for x in pieces for w in x]
+    return pd.factorize(words)[0].astype(np.uint64), np.array([len(x) for x in pieces], np.int64), 1
 
-    return run
 
+def refine_buckets(name: np.ndarray, sizes: np.ndarray, doc: np.ndarray, q: int, window: int) -> np.ndarray:
+    """Mask of the tokens at which a window starts that an earlier document of the units holds too.
 
-def _refine_bucket(group: pa.Table, parts: int) -> pa.Table:
-    """Sort the buckets' suffixes by the name at the later offset; windows of a bucket belong to its earliest document."""
-    a, b, doc, at = _column(group, "a", np.uint32), _column(group, "b", np.uint32), _column(group, "doc", np.int64), _column(group, "at", np.int32)
-    hit = refine(a, b, doc)
-    doc, at = doc[hit], at[hit].astype(np.int64)
-    order = np.lexsort((at, doc))
-    doc, at = doc[order], at[order]
-    new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)))) if len(at) else np.zeros(0, np.int64)
-    return _by_document(doc[new], at[new], np.diff(np.append(new, len(at))), parts)
+    name: of each token of the concatenated units the bucket of the q tokens that
+    begin there; sizes, doc: tokens and document of each unit. Bucket-pointer
+    refinement to the depth of a window: a bucket is split by sorting its suffixes on
+    the bucket pointers at the later offset; the new pointers are written back, and
+    the next pass reads them there, so the depth doubles. Buckets that only one
+    document has are finished and their suffixes never sorted again.
+    """
+    total = len(name)
+    unit = np.repeat(np.arange(len(sizes)), sizes)
+    left = np.cumsum(sizes)[unit] - np.arange(total)  # tokens from here to the unit's end
+    pointer, depth, top = np.zeros(total, np.int64), q, 0
+    open_ = np.flatnonzero(left >= q)
+    key = name[open_]
+    earliest = np.zeros(total, np.int64)
+    while True:
+        order = np.argsort(key, kind="stable")
+        key, open_ = key[order], open_[order]
+        new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
+        starts, owner = np.flatnonzero(new), doc[unit[open_]]
+        bucket = np.cumsum(new) - 1
+        pointer[open_] = top + bucket
+        top += len(starts)
+        if len(starts):
+            low, high = np.minimum.reduceat(owner, starts), np.maximum.reduceat(owner, starts)
+            shared = (low < high)[bucket]
+            earliest[open_] = low[bucket]
+            open_ = open_[shared]
+        if depth == window or not len(open_):
+            break
+        step = min(depth, window - depth)
+        depth += step
+        open_ = open_[left[open_] >= depth]
+        key = pointer[open_].astype(np.uint64) * np.uint64(top) + pointer[open_ + step].astype(np.uint64)
+    out = np.zeros(total, bool)
+    if depth == window:
+        out[open_] = earliest[open_] < doc[unit[open_]]
+    return out
 
 
-def _gathered(spans: DataFrame) -> DataFrame:
-    return spans.groupBy("bucket").applyInArrow(_gather, "doc_id long, spans binary")
+def _compare(kind: str, window: int, parts: int):
+    def run(group: pa.Table) -> pa.Table:
+        """Of one part: the windows that an earlier document holds, as spans."""
+        doc, first, sizes = column_of(group, "docs", np.int64), column_of(group, "firsts", np.int32), column_of(group, "sizes", np.int32)
+        name, sizes, q = (_byte_buckets if kind == "bytes" else _word_buckets)(b"".join(group.column("bytes").to_pylist()), sizes, window)
+        hit = np.flatnonzero(refine_buckets(name, sizes, doc, q, window))
+        unit = np.searchsorted(np.cumsum(sizes), hit, "right")
+        doc, at = doc[unit], first[unit] + hit - (np.cumsum(sizes) - sizes)[unit]
+        order = np.lexsort((at, doc))
+        doc, at = doc[order], at[order]
+        new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)))) if len(at) else np.zeros(0, np.int64)
+        return by_document(doc[new], at[new], np.diff(np.append(new, len(at))), -1, parts)
 
+    return run
 
-def with_spans(docs: DataFrame, settled: DataFrame, kind: str, window: int) -> DataFrame:
-    """doc_id, text and spans (pairs of first window and number of windows that also start in a smaller doc_id; negative ones do not count).
 
-    settled are the spans found so far, negative ones to be compared. The text is
-    dealt out by document once; both joins reuse that exchange.
-    """
-    parts = partitions(docs.sparkSession)
-    dealt = texts(docs).repartition(parts, "doc_id")
-    asked = dealt.join(_gathered(settled), "doc_id", "left")
-    refined = asked.mapInArrow(_names(kind, window, parts), NAMES).groupBy("part").applyInArrow(_refined(parts), SPANS)
-    return dealt.join(_gathered(settled.unionByName(refined)), "doc_id", "left")
+def compared(docs: DataFrame, settled: DataFrame, kind: str, window: int, parts: int) -> DataFrame:
+    """Spans of the windows that `settled` leaves to be compared and that an earlier document holds, from the texts of docs."""
+    sent = Marked(docs, settled, settled=False).rows("inner").mapInArrow(_send_windows(kind, window), WINDOWS)
+    return sent.groupBy("part").applyInArrow(_compare(kind, window, parts), SPANS)
 
 
 def removed_tokens(batch: pa.RecordBatch, tokens: Tokens, window: int) -> np.ndarray:
     """Mask of the tokens that the spans of a batch's rows cover; spans beyond a text's end are cut there."""
-    text, first, n = spans_of(batch)
-    text, first, n = text[n > 0], first[n > 0], n[n > 0]
+    text, first, n, _ = spans_of(batch)
     begin = np.minimum(tokens.offsets[text] + first, tokens.offsets[text + 1])
-    return covered(len(tokens.values), begin, np.minimum(begin + n + window - 1, tokens.offsets[text + 1]))
+    return covered(tokens.count, begin, np.minimum(begin + n + window - 1, tokens.offsets[text + 1]))
 
 
 def pieces_of(mask: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, int]]:

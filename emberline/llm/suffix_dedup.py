@@ -1,22 +1,26 @@
 """Suffix-array deduplication of byte passages by bucket-pointer refinement.
 
 Suffixes are sorted only as deep as a passage is long, and only where it can
-matter. Initial buckets are q-grams of half a passage, named by hash; a bucket is
-refined by sorting on the names of the buckets at the later offset, which settles
-the full depth in one step, and buckets of a single document are done. The order
-of suffixes that follow one another under a shared anchor is reused: if the whole
-stretch (a unit) equals one of an earlier document, all its suffixes are settled
-at once and none is sorted again.
-
-A filter of bounded size, built over the anchors of all texts in segments, holds
-back units whose anchor no other document has. Once a corpus outgrows the filter
-more units pass it; the result stays the same.
+matter. Their initial buckets are q-grams of eight bytes. A bucket is refined by
+sorting on the bucket pointers of the later offset; the new pointers are written
+back and read by the next pass, so the depth goes 8, 16, 32, 50, and buckets of a
+single document are finished early (`repeats.refine_buckets`). All passes of a
+round are of one depth, since passages must not be told apart beyond their end.
+
+What has to be sorted together is brought together first: a text is a row of
+units, stretches of passages under one anchor (`repeats`). A filter of bounded
+size over the anchors of all texts holds back units whose anchor no other
+document has; units that equal an earlier document's by digest are settled as a
+whole; the bytes of the remaining units under a shared anchor meet in one part
+and are refined there. Once a corpus outgrows the filter more units pass it; the
+result stays the same.
 
 Defined results: null text is empty; texts shorter than a passage lose nothing;
 a passage that repeats within one document only stays; rows that share a doc_id
 are one document; rows without a doc_id come through whole; an empty table gives
-an empty table. A text is held in memory as a whole in one task, at about 100
-bytes for each of its bytes.
+an empty table; other columns of the input are not read. doc_id is an integer. A
+text is held in memory as a whole in one task, at about 100 bytes for each of its
+bytes.
 """
 
 from __future__ import annotations
@@ -29,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import Filter, dealt
 from .common import partitions, written
-from .exact_dedup import MAX_FILTER_BYTES, _has, _put, _segment_of, _slots
-from .repeats import BUCKETS, SPANS, _buckets, _settled, pieces_of, removed_tokens, slices, texts, units, with_spans
+from .repeats import BUCKETS, KINDS, OWN, PART_BYTES, SPANS, Marked, by_document, column_of, compared, earliest_in, mixed_anchors, parts_for, pieces_of, removed_tokens, send_units, slices, texts, units
 
 #: Bytes of a passage; the q-gram of an anchor.
 PASSAGE, GRAM = 50, 26
@@ -39,98 +43,61 @@ PASSAGE, GRAM = 50, 26
 
 def _anchors(passage: int, gram: int, segments: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """32 bits of each document's distinct anchors, dealt out by segment; twice if two documents of the slice have it."""
-        for _, tokens, _, _ in slices(batches, "bytes"):
-            text, m, _, _, _ = units(tokens, passage, gram)
+        """Each document's distinct anchors, dealt out by segment; twice if two documents of the slice have it."""
+        for _, tokens, _ in slices(batches, "bytes"):
+            text, m, _, _ = units(tokens, passage, gram)
             order = np.lexsort((text, m))
             m, text = m[order], text[order]
             own = m[np.concatenate(([True], (m[1:] != m[:-1]) | (text[1:] != text[:-1])))] if len(m) else m
             h, n = np.unique(own, return_counts=True)
-            h = np.repeat(h, np.minimum(n, 2))
-            seg = _segment_of(h, segments)
-            order = np.argsort(seg, kind="stable")
-            keys, starts = np.unique(seg[order], return_index=True)
-            low = (h[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            parts = np.split(low, starts[1:]) if len(keys) else []
-            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["seg", "hashes"])
+            yield dealt(np.repeat(h, np.minimum(n, 2)), segments)
 
     return run
 
 
-def _shared_anchors(slice_bits: int):
+def _settle(parts: int):
     def run(group: pa.Table) -> pa.Table:
-        blobs = group.column("hashes").to_pylist()
-        bits = max(1024, 12 * sum(len(b) for b in blobs) // 4)
-        once, twice = np.zeros(-(-bits // 8), np.uint8), np.zeros(slice_bits // 8, np.uint8)
-        for blob in blobs:
-            h, n = np.unique(np.frombuffer(blob, np.uint32).astype(np.uint64), return_counts=True)
-            slots = _slots(h, bits)
-            again = _has(once, slots) | (n > 1)
-            _put(twice, _slots(h[again], slice_bits))
-            _put(once, slots)
-        return pa.table({"seg": pa.array([group.column("seg")[0].as_py()], pa.int64()), "bits": pa.array([twice.tobytes()], pa.binary())})
+        """Of one part: units that an earlier document holds whole, and the first of units that share their anchor with others."""
+        k, v, doc, first, n = (column_of(group, c, t) for c, t in KINDS.items())
+        own = [column_of(group, c, t) for c, t in OWN.items()]
+        order = np.lexsort((doc, v, k))
+        k, v, doc, first, n = k[order], v[order], doc[order], first[order], n[order]
+        whole = earliest_in(k, v, doc) < doc
+        mixed = mixed_anchors(k, v, doc) & ~whole
+        where = np.repeat([-1, group.column("part")[0].as_py()], [len(own[0]) + whole.sum(), mixed.sum()])
+        return by_document(*(np.concatenate((o, x[whole], x[mixed])) for o, x in zip(own, (doc, first, n), strict=True)), where, parts)
 
     return run
 
 
-def shared_anchor_test(docs: DataFrame, passage: int, gram: int, total_bytes: int):
-    """wanted() for unit_rows: tells which anchors may stand in two documents."""
-    spark = docs.sparkSession
-    segments = partitions(spark)
-    # an anchor about every twelve bytes; some sixteenth of a bit for each byte of text would do for few repeats
-    bits = min(8 * MAX_FILTER_BYTES, max(1 << 16, total_bytes // 8)) // segments
-    slice_bits = max(64, bits // 64 * 64)
-    sent = texts(docs).filter("doc_id is not null").mapInArrow(_anchors(passage, gram, segments), "seg long, hashes binary")
-    rows = sent.groupBy("seg").applyInArrow(_shared_anchors(slice_bits), "seg long, bits binary")
-    shared = spark.sparkContext.broadcast({r.seg: bytes(r.bits) for r in rows.toLocalIterator()})
-
-    def wanted():
-        size = slice_bits // 8
-        whole = np.zeros(segments * size, np.uint8)
-        for seg, found in shared.value.items():
-            whole[seg * size : (seg + 1) * size] = np.frombuffer(found, np.uint8)
-
-        def keep(m: np.ndarray) -> np.ndarray:
-            if not len(m):
-                return np.zeros(0, bool)
-            return _has(whole, _slots(m & np.uint64(0xFFFFFFFF), slice_bits) + _segment_of(m, segments) * slice_bits)
-
-        return keep
-
-    return wanted
-
-
-def settled_units(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM) -> DataFrame:
-    """Written spans of units: those that an earlier document holds whole, and (negative) those whose windows are to be compared."""
-    spark, parts = docs.sparkSession, partitions(docs.sparkSession)
-    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b
-    wanted = shared_anchor_test(docs, passage, gram, total)
-    sent = texts(docs).filter("doc_id is not null").mapInArrow(_buckets("bytes", passage, gram, wanted, parts), BUCKETS)
-    return written(sent.groupBy("part").applyInArrow(_settled(parts), SPANS), "suffix-settled")
-
-
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def _kept(passage: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, tokens, data, offsets in slices(batches, "bytes"):
-            mask = removed_tokens(batch, tokens, passage)
-            removed, spans, sha, kept_texts = [], [], [], []
-            for gone, keep, n in pieces_of(mask, offsets):
-                kept = b"".join(data[a:b].tobytes() for a, b in keep)
-                removed.append(gone), spans.append(n), sha.append(hashlib.sha256(kept).hexdigest())
-                kept_texts.append(kept)
-            cols = [batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())]
+        for batch, tokens, offsets in slices(batches, "bytes", hashed=False):
+            removed, spans, kept = [], [], []
+            for gone, keep, n in pieces_of(removed_tokens(batch, tokens, passage), offsets):
+                kept.append(b"".join(tokens.raw[a:b] for a, b in keep.tolist()))
+                removed.append(gone), spans.append(n)
+            sha = pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())
+            columns = [batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), sha]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            if with_text:
-                cols, names = [*cols, pa.array(kept_texts, pa.binary())], [*names, "kept"]
-            yield pa.record_batch(cols, names)
+            yield pa.record_batch([*columns, pa.array(kept, pa.binary())], [*names, "kept"]) if with_text else pa.record_batch(columns, names)
 
     return run
 
 
 def suffix_dedup(docs: DataFrame, passage: int = PASSAGE, with_text: bool = False) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the bytes kept if wanted."""
-    return with_spans(docs, settled_units(docs, passage), "bytes", passage).mapInArrow(_kept(passage, with_text), OUT + (", kept binary" if with_text else ""))
-
+    gram, parts = min(GRAM, passage), parts_for(docs)
+    named = texts(docs).filter("doc_id is not null")
+    sent = named.mapInArrow(_anchors(passage, gram, partitions(docs.sparkSession)), "seg long, hashes binary")
+    # a bit for each byte of text at the least: an anchor comes about every twelve bytes
+    seen = Filter(sent, parts * PART_BYTES, repeats=True)
+    rows = named.mapInArrow(send_units("bytes", passage, gram, seen.has, parts), BUCKETS)
+    settled = written(rows.groupBy("part").applyInArrow(_settle(parts), SPANS), "suffix-settled")
+    marked = Marked(docs, settled.unionByName(compared(docs, settled, "bytes", passage, parts)), settled=True)
+    cut = marked.rows("left").mapInArrow(_kept(passage, with_text), OUT + (", kept binary" if with_text else ""))
+    whole = marked.rest().select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), *([F.encode("text", "UTF-8").alias("kept")] if with_text else []))
+    return cut.unionByName(whole)

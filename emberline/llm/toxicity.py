@@ -457,7 +457,7 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[
     for label, bound in bounds.items():
         wanted = wanted | ((F.col("toxic") == label) & (picked < bound))
     # the bound on the hash holds on both sides, so documents beyond it never leave their task
-    usable = docs.filter(F.col("text").isNotNull() & (picked < max(bounds.values(), default=0)))
+    usable = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (picked < max(bounds.values(), default=0)))
     chosen = usable.select("doc_id").distinct().join(known.filter(wanted), "doc_id").select("doc_id", "toxic", picked.alias("p"))
     ids: tuple[list, list] = ([], [])
     for r in sorted(chosen.collect(), key=lambda r: (r.p, r.doc_id)):
