@@ -107,14 +107,13 @@ def test_fm_index():
                     assert sorted(index.locate(np.arange(a, b)).tolist()) == occ
 
 
-@pytest.mark.parametrize("size", [300_000, 30])
+@pytest.mark.parametrize("size", [1 << 20, 200])
 def test_decontaminate(spark, rows, size, monkeypatch):
     """Also with a benchmark that takes several blocks."""
     texts = [t for _, t, *_ in rows if t and len(t.split()) > 30]
     bench = [(1, " ".join(texts[0].split()[5:25])), (2, texts[1].upper()), (3, "short item"), (4, None), (5, "..."), (6, texts[0])]
     docs = spark.createDataFrame([*rows, (900, "a short, ITEM here", "s", "", "", ""), (901, texts[0] + "! tail", "s", "", "", "")], DOCS)
-    real = dc.blocks
-    monkeypatch.setattr(dc, "blocks", lambda b, w=dc.WINDOW, s=size: real(b, w, size))
+    monkeypatch.setattr(dc, "BLOCK_BYTES", size)
     benchmark = spark.createDataFrame(bench, "item_id long, text string")
     windows: dict = {}
     for i, t in bench:
