@@ -41,12 +41,15 @@ def segment_of(hashes: np.ndarray, segments: int) -> np.ndarray:
     return ((hashes >> np.uint64(40)) % np.uint64(segments)).astype(np.int64)
 
 
+_LOW = np.uint64(0xFFFFFFFF)
+
+
 def dealt(hashes: np.ndarray, segments: int) -> pa.RecordBatch:
-    """A blob of hashes for each segment."""
+    """A blob of the low halves of hashes for each segment, which the high halves tell."""
     seg = segment_of(hashes, segments)
     order = np.argsort(seg, kind="stable")
     keys, starts = np.unique(seg[order], return_index=True)
-    parts = np.split(hashes[order], starts[1:]) if len(keys) else []
+    parts = np.split((hashes & _LOW).astype(np.uint32)[order], starts[1:]) if len(keys) else []
     return pa.record_batch([pa.array(keys, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["seg", "hashes"])
 
 
@@ -63,7 +66,7 @@ def _send(segments: int):
 def _slice(slice_bits: int, repeats: bool):
     def run(group: pa.Table) -> pa.Table:
         """Of one segment its slice of the filter: of all hashes, or of those that come again (told by a filter over all of the segment's)."""
-        blobs = [np.frombuffer(b, np.uint64) for b in group.column("hashes").to_pylist()]
+        blobs = [np.frombuffer(b, np.uint32).astype(np.uint64) for b in group.column("hashes").to_pylist()]
         bits = max(1024, BITS_PER_HASH * sum(map(len, blobs)))
         once, out = np.zeros(-(-bits // 8) if repeats else 0, np.uint8), np.zeros(slice_bits // 8, np.uint8)
         for blob in blobs:
@@ -96,7 +99,7 @@ class Filter:
     def has(self, hashes: np.ndarray) -> np.ndarray:
         if not len(hashes):
             return np.zeros(0, bool)
-        return has(self.shared.value, slots(hashes, self.slice_bits) + segment_of(hashes, self.segments) * self.slice_bits)
+        return has(self.shared.value, slots(hashes & _LOW, self.slice_bits) + segment_of(hashes, self.segments) * self.slice_bits)
 
     def test(self, hashes: Column) -> Column:
         """Whether each bigint hash may be in the filter."""

@@ -247,23 +247,24 @@ def spans_of(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     return np.repeat(np.arange(len(blobs)), [len(x) // 12 for x in blobs]), triples[:, 0], triples[:, 1], triples[:, 2]
 
 
-class Marked:
-    """Documents with spans: the rest of the corpus stays where it is, told by a filter over the ids."""
+def _documents(group: pa.Table) -> pa.Table:
+    return pa.table({"__doc": pa.array(np.unique(column_of(group, "docs", np.int64)))})
+
 
-    def __init__(self, docs: DataFrame, spans: DataFrame, settled: bool) -> None:
-        self.docs = texts(docs)
-        self.spans = written(spans.groupBy("bucket").applyInArrow(_gather(settled), "__doc long, __spans binary"), "passage-spans")
-        seen = filter_of(self.spans.select(F.xxhash64("__doc")), self.spans.count(), repeats=False)
-        self.flagged = self.docs.withColumn("__flag", seen.test(F.xxhash64("doc_id")))
+class Marked:
+    """The documents that have spans, dealt out by id once; the rest of the corpus stays where it is, told by a filter over the ids."""
 
-    def rows(self, how: str) -> DataFrame:
-        """doc_id, text, __spans of the documents that have spans; joined "left", also of those that the filter let through."""
-        some = self.flagged.filter("__flag and doc_id is not null").select("doc_id", "text")
-        return some.join(self.spans, F.col("doc_id") == F.col("__doc"), how).select("doc_id", "text", "__spans")
+    def __init__(self, docs: DataFrame, spans: DataFrame, parts: int) -> None:
+        ids = written(spans.groupBy("bucket").applyInArrow(_documents, "__doc long"), "passage-documents")
+        seen = filter_of(ids.select(F.xxhash64("__doc")), ids.count(), repeats=False)
+        flagged = texts(docs).withColumn("__flag", seen.test(F.xxhash64("doc_id")))
+        self.dealt = flagged.filter("__flag and doc_id is not null").select("doc_id", "text").repartition(parts, "doc_id")
+        self.rest = flagged.filter("not __flag or doc_id is null").select("doc_id", "text")
 
-    def rest(self) -> DataFrame:
-        """doc_id and text of the others."""
-        return self.flagged.filter("not __flag or doc_id is null").select("doc_id", "text")
+    def rows(self, spans: DataFrame, settled: bool) -> DataFrame:
+        """doc_id, text, __spans of the documents that have spans to be compared, or of all marked ones with their settled spans. Both reuse one exchange of the texts."""
+        own = spans.groupBy("bucket").applyInArrow(_gather(settled), "__doc long, __spans binary")
+        return self.dealt.join(own, F.col("doc_id") == F.col("__doc"), "left" if settled else "inner").select("doc_id", "text", "__spans")
 
 
 # ---- single windows
@@ -368,9 +369,9 @@ def _compare(kind: str, window: int, parts: int):
     return run
 
 
-def compared(docs: DataFrame, settled: DataFrame, kind: str, window: int, parts: int) -> DataFrame:
-    """Spans of the windows that `settled` leaves to be compared and that an earlier document holds, from the texts of docs."""
-    sent = Marked(docs, settled, settled=False).rows("inner").mapInArrow(_send_windows(kind, window), WINDOWS)
+def compared(marked: Marked, settled: DataFrame, kind: str, window: int, parts: int) -> DataFrame:
+    """Spans of the windows that `settled` leaves to be compared and that an earlier document holds, from the texts."""
+    sent = marked.rows(settled, False).mapInArrow(_send_windows(kind, window), WINDOWS)
     return sent.groupBy("part").applyInArrow(_compare(kind, window, parts), SPANS)
 
 

@@ -200,11 +200,12 @@ def verify_and_cut(docs: DataFrame, settled: DataFrame, window: int = WINDOW, wi
     Per document: doc_id, n_words, n_removed, kept_sha256 (kept words joined by one space), and that text if wanted.
     """
     parts = parts or parts_for(docs)
-    marked = Marked(docs, settled.unionByName(compared(docs, settled, "words", window, parts)), settled=True)
-    cut = marked.rows("left").mapInArrow(_kept(window, with_text), OUT + (", kept string" if with_text else ""))
+    marked = Marked(docs, settled, parts)
+    spans = settled.unionByName(compared(marked, settled, "words", window, parts))
+    cut = marked.rows(spans, True).mapInArrow(_kept(window, with_text), OUT + (", kept string" if with_text else ""))
     words = F.trim(F.regexp_replace("text", SPACE_CLASS, " "))
     count = F.when(words == "", 0).otherwise(F.length(words) - F.length(F.replace(words, F.lit(" "))) + 1)
-    whole = marked.rest().select("doc_id", count.cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.sha2(words, 256).alias("kept_sha256"), *([words.alias("kept")] if with_text else []))
+    whole = marked.rest.select("doc_id", count.cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.sha2(words, 256).alias("kept_sha256"), *([words.alias("kept")] if with_text else []))
     return cut.unionByName(whole)
 
 

@@ -97,7 +97,8 @@ def suffix_dedup(docs: DataFrame, passage: int = PASSAGE, with_text: bool = Fals
     seen = Filter(sent, parts * PART_BYTES, repeats=True)
     rows = named.mapInArrow(send_units("bytes", passage, gram, seen.has, parts), BUCKETS)
     settled = written(rows.groupBy("part").applyInArrow(_settle(parts), SPANS), "suffix-settled")
-    marked = Marked(docs, settled.unionByName(compared(docs, settled, "bytes", passage, parts)), settled=True)
-    cut = marked.rows("left").mapInArrow(_kept(passage, with_text), OUT + (", kept binary" if with_text else ""))
-    whole = marked.rest().select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), *([F.encode("text", "UTF-8").alias("kept")] if with_text else []))
+    marked = Marked(docs, settled, parts)
+    spans = settled.unionByName(compared(marked, settled, "bytes", passage, parts))
+    cut = marked.rows(spans, True).mapInArrow(_kept(passage, with_text), OUT + (", kept binary" if with_text else ""))
+    whole = marked.rest.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), *([F.encode("text", "UTF-8").alias("kept")] if with_text else []))
     return cut.unionByName(whole)
