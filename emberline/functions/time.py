@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+from functools import cache
+
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -91,9 +94,16 @@ def low_weight(confidence: Column) -> Column:
     return F.when(confidence == "low", 0.45).otherwise(0.8)
 
 
-# Zones that local days are asked for; others count as UTC.
-def known_zone(zone: Column, zones: list[str]) -> Column:
-    return F.when(zone.isin(*zones), zone).otherwise("UTC")
+@cache
+def zone_names() -> tuple[str, ...]:
+    """All zones that the time functions accept, as the runtime's zone database lists them."""
+    spark = SparkSession.getActiveSession()
+    return tuple(sorted(spark._jvm.java.lang.String.join(",", spark._jvm.java.time.ZoneId.getAvailableZoneIds()).split(",")))
+
+
+def known_zone(zone: Column, zones: Sequence[str] | None = None) -> Column:
+    """The zone if it is one of `zones` (all there are if none are given), else UTC."""
+    return F.when(zone.isin(*(zones or zone_names())), zone).otherwise("UTC")
 
 
 def local_day(ts_utc: Column, zone: Column) -> Column:

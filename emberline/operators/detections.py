@@ -11,8 +11,6 @@ from ..functions.time import acq_instant, conf_norm, known_zone, local_day
 
 #: The five fields that tell detections apart.
 KEY = ["lon", "lat", "acq_date", "acq_time", "source"]
-#: Zones that the fires' local days are asked for; others count as UTC.
-ZONES = ["America/Los_Angeles", "America/Denver", "America/Boise", "America/Phoenix", "America/Chicago", "America/New_York", "America/Anchorage", "Pacific/Honolulu"]
 #: Days in cells of a quarter degree; activity that shows at all; detections that one day may hold.
 CELL, FLOOR = 0.25, 0.12
 
@@ -57,7 +55,8 @@ def detections_for_fires(detections: DataFrame, boxes: DataFrame) -> DataFrame:
 
 
 def with_zone(fires: DataFrame) -> DataFrame:
-    return fires.withColumn("zone", known_zone(F.col("timezone"), ZONES))
+    """The fire's own zone; unknown and invalid ones count as UTC (a cluster has no viewer)."""
+    return fires.withColumn("zone", known_zone(F.col("timezone")))
 
 
 def daily_counts(matched: DataFrame, zones: DataFrame) -> DataFrame:

@@ -26,6 +26,19 @@ def run_availability(files: DataFrame) -> DataFrame:
         F.coalesce(F.nullif(F.max(F.when(F.col("ok"), F.col("n"))), F.lit(0)), F.lit(DEFAULT_HORIZON)).alias("horizon_hours"))
 
 
+def build_runs(files: DataFrame, known: list[str] = KNOWN_PRODUCTS) -> DataFrame:
+    """Per run the arrival percentiles with a good file, each known product with its percentiles, and the longest of those products' horizons (336 where none tells).
+
+    files: run_key, product (null: arrival times), pct, ok, n. Runs without a good file stay.
+    """
+    good = F.col("ok") & F.col("product").isin(known)
+    each = files.groupBy("run_key", F.when(good, F.col("product")).alias("product")).agg(
+        F.sort_array(F.collect_set(F.when(good, F.col("pct")))).alias("percentiles"), F.max(F.when(good, F.col("n"))).alias("n"), F.collect_set(F.when(F.col("ok") & F.col("product").isNull(), F.col("pct"))).alias("toa"))
+    offered = F.sort_array(F.collect_list(F.when(F.col("product").isNotNull(), F.struct("product", "percentiles"))))
+    horizon = F.coalesce(F.nullif(F.max("n"), F.lit(0)), F.lit(DEFAULT_HORIZON))
+    return each.groupBy("run_key").agg(F.sort_array(F.flatten(F.collect_list("toa"))).alias("toa_pcts"), F.map_from_entries(offered).alias("products"), horizon.alias("horizon_hours"))
+
+
 def arrival_band(hours: Column) -> Column:
     """Upper bound of the first band that holds the hours; beyond the last the last."""
     bounds = [b for b, _ in BANDS]
@@ -74,6 +87,13 @@ def arrival_census(pixels: DataFrame, hours: float, recent: float = 12) -> DataF
         F.count_if(there & (v <= hours)).alias("burned"), F.count_if(there & (v <= hours) & (v > hours - recent)).alias("leading"), F.count_if(there & (v > hours)).alias("later"), F.count_if(~there).alias("nodata"))
 
 
+def arrival_areas(pixels: DataFrame, hours: float, recent: float = 12, cell_metres: float = 30.0) -> DataFrame:
+    """The census as areas in hectares, of square pixels."""
+    size = cell_metres * cell_metres / 10_000
+    counts = ("burned", "leading", "later", "nodata")
+    return arrival_census(pixels, hours, recent).select("run_key", "pct", *((F.col(c) * size).alias(f"{c}_ha") for c in counts))
+
+
 def arrival_histogram(pixels: DataFrame, within: float) -> DataFrame:
     """Pixels of each band that are reached within the limit."""
     reached = pixels.filter((F.col("toa_hours") > 0) & (F.col("toa_hours") <= within))

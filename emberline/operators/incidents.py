@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .order import with_place
 
 MAX_BYTES = 200 << 20
 
@@ -66,6 +67,25 @@ def unit_token_votes(files: DataFrame, year: int) -> DataFrame:
     return votes.withColumn("rank", F.row_number().over(W.partitionBy("dir").orderBy(F.col("n").desc(), "first"))).drop("first")
 
 
+def gather_unit_tokens(files: DataFrame, year: int) -> DataFrame:
+    """Votes for incident ids from each folder's product, GIS and quick-reference subfolders, ties by first seen.
+
+    files: dir, parent (products, gis or qr), parent_no (their order), day (the dated
+    subfolder; null below qr), name, ordinal. Of a parent's days the newest counts,
+    the one before only if nothing before it gave an id.
+    """
+    newest = F.dense_rank().over(W.partitionBy("dir", "parent_no").orderBy(F.col("day").desc_nulls_last()))
+    dated = files.filter((F.lower("parent") == "qr") | (F.lower("parent").isin("products", "gis") & F.col("day").rlike(r"^\d{8}$")))
+    listed = dated.withColumn("k", F.when(F.lower("parent") == "qr", 1).otherwise(newest)).filter("k <= 2")
+    found = listed.withColumn("tokens", F.coalesce(tx.unit_tokens(F.col("name"), year), F.array().cast("array<string>")))
+    units = found.groupBy("dir", "parent_no", "k").agg(F.sum(F.size("tokens")).alias("got"))
+    before = F.coalesce(F.sum("got").over(W.partitionBy("dir").orderBy("parent_no", "k").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counted = units.withColumn("before", before).filter("k = 1 or before = 0").select("dir", "parent_no", "k")
+    seen = F.struct("parent_no", "k", "ordinal")
+    votes = found.join(counted, ["dir", "parent_no", "k"]).select("dir", seen.alias("seen"), F.explode("tokens").alias("token")).groupBy("dir", "token").agg(F.count(F.lit(1)).alias("n"), F.min("seen").alias("first"))
+    return votes.withColumn("rank", F.row_number().over(W.partitionBy("dir").orderBy(F.col("n").desc(), "first"))).drop("first")
+
+
 def incident_summary(sheets: DataFrame, flights: DataFrame) -> DataFrame:
     """Per fire sheets, flights, latest valid day and latest upload instant."""
     both = sheets.select("fire", "day", "uploaded", F.lit(1).alias("s"), F.lit(0).alias("f")).unionByName(flights.select("fire", "day", "uploaded", F.lit(0).alias("s"), F.lit(1).alias("f")))
@@ -184,36 +204,47 @@ def rank_candidates(dirs: DataFrame, fires: DataFrame, priority: list[str]) -> D
     """Folders in work order: named ones first, then by the fire's acres and last update, unknown last, stable."""
     joined = dirs.join(fires.select("name", "acres", "last_updated"), "name", "left")
     place = F.array_position(F.array(*map(F.lit, priority)), F.col("name"))
-    order = W.orderBy(F.when(F.coalesce(place, F.lit(0)) > 0, place).otherwise(len(priority) + 1), F.col("acres").desc_nulls_last(), F.col("last_updated").desc_nulls_last(), "ordinal")
-    return joined.withColumn("rank", F.row_number().over(order))
+    named = F.when(F.coalesce(place, F.lit(0)) > 0, place).otherwise(len(priority) + 1)
+    return with_place(joined, "rank", named.asc(), F.col("acres").desc_nulls_last(), F.col("last_updated").desc_nulls_last(), F.col("ordinal").asc())
 
 
 def asset_class(assets: DataFrame, rules: DataFrame, default: str) -> DataFrame:
-    """The first rule whose prefix an asset's key has (the rule table is a handful of rows), else the default of its path."""
+    """The first rule whose prefix an asset's key has, else the default of its path.
+
+    The rules (a handful) become one array, a scalar subquery, so assets meet them
+    in a projection: no join, no shuffle.
+    """
     raw = F.when(F.col("key").startswith("raw/") & F.col("key").contains("/qr/"), "short").when(F.col("key").startswith("raw/"), "week").otherwise(default)
-    hit = assets.join(rules, F.startswith(assets["key"], rules["prefix"]), "left")
-    return hit.groupBy("key").agg(F.coalesce(F.min_by("cls", "rank"), F.first(raw)).alias("cls"))
+    ordered = rules.agg(F.sort_array(F.collect_list(F.struct("rank", "prefix", "cls")))).scalar()
+    hit = F.filter("__rules", lambda r: F.startswith(F.col("key"), r["prefix"]))
+    return assets.withColumn("__rules", ordered).select("key", F.coalesce(F.get(hit, F.lit(0))["cls"], raw).alias("cls"))
 
 
 def throttle(events: DataFrame, per_minute: int = 30, per_session: int = 300) -> DataFrame:
     """Of each actor's events at most so many a minute (a window restarts at the first event over 60 s after its start) and in all.
 
-    The running window can't be a tumbling one, so one actor's events fold in
-    order; batch form. The streaming form keeps the same state for each actor.
+    The running window can't be a tumbling one, so an actor's events fold in order,
+    but a gap of over a minute always begins a new window: the events between two
+    gaps fold on their own, and the bound for the session falls on what they keep.
+    Batch form; the streaming form keeps the same state for each actor.
     """
+    mine = W.partitionBy("actor").orderBy("ts", "ordinal")
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    gap = micros(F.col("ts")) - micros(F.lag("ts").over(mine)) > 60_000_000
+    bursts = events.withColumn("burst", F.sum(F.when(gap, 1).otherwise(0)).over(mine.rowsBetween(W.unboundedPreceding, 0)))
     steps = F.sort_array(F.collect_list(F.struct("ts", "ordinal")))
-    start = F.struct(F.lit(None).cast("timestamp_ntz").alias("since"), F.lit(0).alias("n"), F.lit(0).alias("total"), F.array().cast("array<bigint>").alias("kept"))
+    start = F.struct(F.lit(None).cast("timestamp_ntz").alias("since"), F.lit(0).alias("n"), F.array().cast("array<struct<ts:timestamp_ntz,ordinal:bigint>>").alias("kept"))
 
     def step(acc: Column, e: Column) -> Column:
-        fresh = acc["since"].isNull() | (F.unix_micros(e["ts"].cast("timestamp")) - F.unix_micros(acc["since"].cast("timestamp")) > 60_000_000)
+        fresh = acc["since"].isNull() | (micros(e["ts"]) - micros(acc["since"]) > 60_000_000)
         n = F.when(fresh, 0).otherwise(acc["n"])
-        ok = (n < per_minute) & (acc["total"] < per_session)
+        ok = n < per_minute
         one = F.when(ok, 1).otherwise(0)
-        kept = F.when(ok, F.concat(acc["kept"], F.array(e["ordinal"].cast("bigint")))).otherwise(acc["kept"])
-        return F.struct(F.when(fresh, e["ts"]).otherwise(acc["since"]).alias("since"), (n + one).alias("n"), (acc["total"] + one).alias("total"), kept.alias("kept"))
+        kept = F.when(ok, F.concat(acc["kept"], F.array(F.struct(e["ts"].alias("ts"), e["ordinal"].cast("bigint").alias("ordinal"))))).otherwise(acc["kept"])
+        return F.struct(F.when(fresh, e["ts"]).otherwise(acc["since"]).alias("since"), (n + one).alias("n"), kept.alias("kept"))
 
-    folded = events.groupBy("actor").agg(F.aggregate(steps, start, step).alias("a"))
-    return folded.select("actor", F.explode("a.kept").alias("ordinal"))
+    kept = bursts.groupBy("actor", "burst").agg(F.aggregate(steps, start, step, lambda acc: acc["kept"]).alias("k")).select("actor", F.inline("k"))
+    return kept.withColumn("nth", F.row_number().over(mine)).filter(F.col("nth") <= per_session).select("actor", "ordinal")
 
 
 def once_per_scope(events: DataFrame, reset: str) -> DataFrame:

@@ -89,22 +89,34 @@ def name_pairs(fires: DataFrame) -> DataFrame:
 
 
 def match_forecast_slugs(slugs: DataFrame, documents: DataFrame, fires: DataFrame) -> DataFrame:
-    """C4: forecast slug ('st-name[-number]') to fire: by the id document, then by state and exact slug (without the number first, then whole), then the best fuzzy one of 90 and more, by normalised names of that state."""
+    """C4: forecast slug ('st-name' or 'st-name-number', 4 to 6 digits) to fire, with method and score.
+
+    By the id document first. Else, among the fires of the slug's state, by the
+    exact slug of a name that one fire has, without the number first, then whole;
+    if the slug's number is the fire's incident number, or ends in it, the match is
+    certain (unit_num). Else the best fuzzy score of 90 and more over normalised
+    names, the first fire of equals. fires: fire, name, state, cornea_id and, if
+    there is one, unique_fire_id.
+    """
     ids = documents.select("slug", tx.norm_guid(F.col("cornea_id")).alias("guid"))
-    own = fires.withColumns({"guid": tx.norm_guid(F.col("cornea_id")), "fslug": tx.slugify(F.col("name"))})
-    by_doc = slugs.join(ids, "slug").join(own.select("guid", "fire"), "guid").select("slug", "fire", F.lit("document").alias("method"))
-    rest = slugs.join(by_doc.select("slug"), "slug", "left_anti")
-    rest = rest.withColumns({"state": F.upper(F.substr("slug", F.lit(1), F.lit(2))), "whole": F.substr("slug", F.lit(4))}).withColumn("bare", F.regexp_replace("whole", r"-\d+$", ""))
-    unique = own.groupBy("state", "fslug").agg(F.min("fire").alias("fire"), F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
-    a = rest.join(unique.withColumnRenamed("fslug", "bare"), ["state", "bare"]).select("slug", "fire", F.lit("name_exact").alias("method"))
-    rest = rest.join(a.select("slug"), "slug", "left_anti")
-    b = rest.join(unique.withColumnRenamed("fslug", "whole"), ["state", "whole"]).select("slug", "fire", F.lit("name_exact").alias("method"))
-    rest = rest.join(b.select("slug"), "slug", "left_anti")
+    uid = F.col("unique_fire_id") if "unique_fire_id" in fires.columns else F.lit(None).cast("string")
+    own = fires.select("fire", "name", "state", tx.norm_guid(F.col("cornea_id")).alias("guid"), tx.slugify(F.col("name")).alias("form"), F.element_at(F.split(uid, "-"), -1).try_cast("long").alias("incident"))
+    by_doc = slugs.join(ids, "slug").join(own.select("guid", "fire"), "guid").groupBy("slug").agg(F.min("fire").alias("fire")).select("slug", "fire", F.lit("document").alias("method"), F.lit(1.0).alias("score"))
+    rest = slugs.join(by_doc.select("slug"), "slug", "left_anti").filter(F.contains("slug", F.lit("-")))
+    head = F.substring_index("slug", "-", 1)
+    rest = rest.select("slug", F.upper(head).alias("state"), F.substr("slug", F.length(head) + 2).alias("whole"))
+    rest = rest.withColumns({"number": F.regexp_extract("whole", r"-([0-9]{4,6})$", 1).try_cast("long"), "bare": F.regexp_replace("whole", r"-[0-9]{4,6}$", "")})
+    unique = own.groupBy("state", "form").agg(F.min("fire").alias("fire"), F.min("incident").alias("incident"), F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
+    tries = rest.select("slug", "state", "number", F.posexplode(F.array_distinct(F.array("bare", "whole"))).alias("k", "form"))
+    hits = tries.join(unique, ["state", "form"]).groupBy("slug").agg(F.min_by(F.struct("fire", "number", "incident"), "k").alias("h"))
+    sure = F.coalesce(F.endswith(F.col("h.number").cast("string"), F.col("h.incident").cast("string")), F.lit(False))
+    exact = hits.select("slug", "h.fire", F.when(sure, "unit_num").otherwise("name_exact").alias("method"), F.when(sure, 1.0).otherwise(EXACT).alias("score"))
+    rest = rest.join(exact.select("slug"), "slug", "left_anti")
     left = rest.withColumn("v", tx.normalize_name(F.replace("bare", F.lit("-"), F.lit(" ")))).withColumn("size", F.explode(allowed_lengths(F.length("v"))))
     right = own.select("fire", "state", tx.normalize_name(F.col("name")).alias("v2")).withColumn("size", F.length("v2"))
     scored = left.join(right, ["state", "size"]).withColumn("score", tx.indel_ratio(F.col("v"), F.col("v2"))).filter(F.col("score") >= FUZZY)
-    c = scored.groupBy("slug").agg(F.max_by("fire", F.struct("score", -F.col("fire"))).alias("fire")).select("slug", "fire", F.lit("name_fuzzy").alias("method"))
-    return by_doc.unionByName(a).unionByName(b).unionByName(c)
+    best = scored.groupBy("slug").agg(F.max_by(F.struct("fire", "score"), F.struct("score", -F.col("fire"))).alias("b"))
+    return by_doc.unionByName(exact).unionByName(best.select("slug", "b.fire", F.lit("name_fuzzy").alias("method"), F.bround(F.col("b.score") / 100, 3).alias("score")))
 
 
 def parse_sitrep_lines(lines: DataFrame) -> DataFrame:
@@ -162,6 +174,75 @@ def median_spacing(points: DataFrame) -> DataFrame:
     return gaps.filter("gap > 1").groupBy("sheet", "axis").agg(F.percentile("gap", F.lit(0.5)).alias("spacing"))
 
 
+#: Labels an axis needs, the largest error of its line in degrees, degrees a frame spans, and where its middle lies.
+MIN_LABELS, RMS_MAX, SPAN, LON_RANGE, LAT_RANGE = 3, 0.005, (0.02, 6.0), (-170.0, -60.0), (15.0, 72.0)
+
+
+def fit_axes(points: DataFrame, rounds: int = 3) -> DataFrame:
+    """Per sheet and axis the line of the last round, and what the rounds kept: n, distinct values, rms, first and last place, spacing.
+
+    A round fits a line by least squares and drops what lies off it by over three
+    median residuals and 1e-4; after the last round the line stays as it is.
+    """
+    keys = ["sheet", "axis"]
+    w, kept = W.partitionBy(*keys), points.select(*keys, "pos", "val")
+    for _ in range(rounds):
+        fit = kept.withColumns({"a": F.regr_slope("val", "pos").over(w), "b": F.regr_intercept("val", "pos").over(w)})
+        fit = fit.withColumn("r", F.abs(F.col("val") - F.col("a") * F.col("pos") - F.col("b")))
+        kept = fit.withColumn("middle", F.percentile("r", F.lit(0.5)).over(w)).filter("r <= greatest(3 * middle, 1e-4)").drop("r", "middle")
+    spaced = median_spacing(kept.select(*keys, F.round("pos", 1).alias("pos")))
+    fits = kept.groupBy(*keys).agg(
+        F.first("a").alias("a"), F.first("b").alias("b"), F.count(F.lit(1)).alias("n"), F.count_distinct("val").alias("values"), F.sqrt(F.avg(F.pow(F.col("val") - F.col("a") * F.col("pos") - F.col("b"), 2))).alias("rms"),
+        F.min("pos").alias("low"), F.max("pos").alias("high"))
+    return fits.join(spaced, keys, "left").withColumn("spacing", F.coalesce("spacing", F.lit(0.0)))
+
+
+def accepted_fits(points: DataFrame, pages: DataFrame) -> DataFrame:
+    """Sheets whose two axes pass the gates, with lines, frame on the page and its bounds. pages: sheet, width, height.
+
+    Gates: three labels of two values on each axis, a small error, north up, a
+    frame of plausible span and middle. The frame reaches half a spacing (one
+    hundredth of the page at least) beyond the outermost labels, within the page.
+    """
+    good = fit_axes(points).filter((F.col("n") >= MIN_LABELS) & (F.col("values") >= 2) & (F.col("rms") <= RMS_MAX))
+    side = lambda axis: good.filter(F.col("axis") == axis).select("sheet", *(F.col(c).alias(f"{axis}_{c}") for c in ("a", "b", "n", "low", "high", "spacing")))
+    both = side("lon").join(side("lat"), "sheet").join(pages, "sheet").filter("lat_a < 0 and lon_a > 0")
+    pad = lambda axis, size: F.greatest(F.col(size) * 0.01, F.col(f"{axis}_spacing") * 0.5)
+    framed = both.withColumns({
+        "x0": F.greatest(F.lit(0.0), F.col("lon_low") - pad("lon", "width")), "x1": F.least(F.col("width"), F.col("lon_high") + pad("lon", "width")),
+        "y0": F.greatest(F.lit(0.0), F.col("lat_low") - pad("lat", "height")), "y1": F.least(F.col("height"), F.col("lat_high") + pad("lat", "height")),
+    })
+    at = lambda axis, place: F.col(f"{axis}_a") * F.col(place) + F.col(f"{axis}_b")
+    bounded = framed.withColumns({"w": at("lon", "x0"), "e": at("lon", "x1"), "n": at("lat", "y0"), "s": at("lat", "y1")})
+    spans = (F.col("e") - F.col("w")).between(*SPAN) & (F.col("n") - F.col("s")).between(*SPAN)
+    middle = ((F.col("w") + F.col("e")) / 2).between(*LON_RANGE) & ((F.col("s") + F.col("n")) / 2).between(*LAT_RANGE)
+    return bounded.filter(spans & middle).select("sheet", "lon_a", "lon_b", "lat_a", "lat_b", "lon_n", "lat_n", "x0", "y0", "x1", "y1", "w", "s", "e", "n")
+
+
+def meets_box(rings: Column, w: float, s: float, e: float, n: float) -> Column:
+    """Whether a polygon (rings of [lon, lat], the first point again at the end) and a box have a point in common.
+
+    Either an edge meets the box (their extents overlap and the box's corners are
+    not all on one side of it), or the box lies inside, told by one corner and the
+    edges that a ray from it crosses.
+    """
+    x, y = lambda p: p[0], lambda p: p[1]
+    edges = F.flatten(F.transform(rings, lambda r: F.transform(F.sequence(F.lit(0), F.greatest(F.size(r) - 2, F.lit(0))), lambda i: F.struct(F.get(r, i).alias("p"), F.get(r, i + 1).alias("q")))))
+    edges = F.filter(edges, lambda g: g["q"].isNotNull())
+
+    def touches(g: Column) -> Column:
+        p, q = g["p"], g["q"]
+        over = (F.least(x(p), x(q)) <= e) & (F.greatest(x(p), x(q)) >= w) & (F.least(y(p), y(q)) <= n) & (F.greatest(y(p), y(q)) >= s)
+        turns = [(x(q) - x(p)) * (cy - y(p)) - (y(q) - y(p)) * (cx - x(p)) for cx in (w, e) for cy in (s, n)]
+        return over & (F.least(*turns) <= 0) & (F.greatest(*turns) >= 0)
+
+    def crossed(g: Column) -> Column:
+        p, q = g["p"], g["q"]
+        return ((y(p) > s) != (y(q) > s)) & (F.lit(w) < (x(q) - x(p)) * (F.lit(s) - y(p)) / (y(q) - y(p)) + x(p))
+
+    return F.exists(edges, touches) | (F.size(F.filter(edges, crossed)) % 2 == 1)
+
+
 def envelope(rings: DataFrame) -> DataFrame:
     """Box around nested coordinate rings (array of arrays of [lon, lat])."""
     flat = F.flatten("rings")
@@ -170,8 +251,14 @@ def envelope(rings: DataFrame) -> DataFrame:
 
 
 def historic_perimeters(rows: DataFrame, box: tuple[float, float, float, float], now_year: int, exclude: str, most: int = 2000) -> DataFrame:
-    """Perimeters of the last ten years whose box meets the given one, without the fire itself, the newest year first."""
+    """Perimeters of the last ten years that meet the given box, without the fire itself, the newest year first.
+
+    rows have the envelope (w, s, e, n), which is tested first, and if there are any
+    rings, which decide.
+    """
     w, s, e, n = box
     near = rows.filter((F.col("w") <= e) & (F.col("e") >= w) & (F.col("s") <= n) & (F.col("n") >= s) & (F.col("year") >= now_year - 10))
+    if "rings" in rows.columns:
+        near = near.filter(meets_box(F.col("rings"), w, s, e, n))
     other = near.filter(tx.norm_guid(F.col("guid")) != exclude.strip("{}").lower())
     return other.orderBy(F.col("year").desc(), "guid").limit(most)

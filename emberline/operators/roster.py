@@ -7,30 +7,60 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .order import with_place
 
 # Names of the states that the roster searches by.
 STATE_NAMES = {
-    "AK": "alaska", "AZ": "arizona", "CA": "california", "CO": "colorado", "ID": "idaho", "MT": "montana", "NM": "new mexico", "NV": "nevada",
-    "OR": "oregon", "SD": "south dakota", "TX": "texas", "UT": "utah", "WA": "washington", "WY": "wyoming",
+    "AL": "alabama", "AK": "alaska", "AZ": "arizona", "AR": "arkansas", "CA": "california", "CO": "colorado", "CT": "connecticut", "DE": "delaware", "FL": "florida", "GA": "georgia",
+    "HI": "hawaii", "ID": "idaho", "IL": "illinois", "IN": "indiana", "IA": "iowa", "KS": "kansas", "KY": "kentucky", "LA": "louisiana", "ME": "maine", "MD": "maryland",
+    "MA": "massachusetts", "MI": "michigan", "MN": "minnesota", "MS": "mississippi", "MO": "missouri", "MT": "montana", "NE": "nebraska", "NV": "nevada", "NH": "new hampshire", "NJ": "new jersey",
+    "NM": "new mexico", "NY": "new york", "NC": "north carolina", "ND": "north dakota", "OH": "ohio", "OK": "oklahoma", "OR": "oregon", "PA": "pennsylvania", "RI": "rhode island", "SC": "south carolina",
+    "SD": "south dakota", "TN": "tennessee", "TX": "texas", "UT": "utah", "VT": "vermont", "VA": "virginia", "WA": "washington", "WV": "west virginia", "WI": "wisconsin", "WY": "wyoming",
+    "DC": "district of columbia", "PR": "puerto rico",
 }
 
 
 def assign_slugs(fires: DataFrame) -> DataFrame:
-    """Unique slugs. The first fire of a name takes it; the first of a state after that takes name-state; others name-n.
+    """Slugs, told apart. The first fire takes its name; one whose name is taken name-state (xx if unknown); if that is taken too, name-n.
 
-    Window version: exact unless a natural slug equals a generated one.
+    Whether a slug is taken depends on all fires before, but only fires of one
+    root meet, the name without numbers and two-letter words at its end. Where a
+    root has one name, windows give the places; only roots with several names
+    (elk and elk-co) are folded in order. Fires have a unique ordinal.
     """
     base = F.coalesce(tx.slugify(F.col("post_title")), tx.slugify(F.col("cornea_id")), F.lit("unknown"))
-    named = fires.withColumn("base", base)
-    by_name = W.partitionBy("base").orderBy("ordinal")
-    named = named.withColumn("nth", F.row_number().over(by_name))
-    later = F.row_number().over(W.partitionBy("base", "state", F.col("nth") > 1).orderBy("ordinal"))
-    named = named.withColumn("in_state", later)
-    plain = F.col("nth") == 1
-    by_state = ~plain & (F.col("in_state") == 1) & F.col("state").isNotNull()
-    rest = F.sum(F.when(plain | by_state, 0).otherwise(1)).over(by_name.rowsBetween(W.unboundedPreceding, 0))
-    slug = F.when(plain, F.col("base")).when(by_state, F.concat_ws("-", "base", F.lower("state"))).otherwise(F.concat_ws("-", F.col("base"), (rest + 1).cast("string")))
-    return named.withColumn("fire_slug", slug).drop("base", "nth", "in_state")
+    state = F.coalesce(F.nullif(F.lower("state"), F.lit("")), F.lit("xx"))
+    named = fires.withColumns({"__base": base, "__state": state}).withColumn("__root", F.regexp_replace("__base", r"(-([a-z]{2}|[0-9]+))+$", ""))
+    root = W.partitionBy("__root")
+    named = named.withColumn("__mixed", F.min("__base").over(root) != F.max("__base").over(root))
+    by_name = W.partitionBy("__root", "__base").orderBy("ordinal")
+    plain = named.filter("not __mixed").withColumn("__nth", F.row_number().over(by_name))
+    plain = plain.withColumn("__in_state", F.row_number().over(W.partitionBy("__root", "__base", "__state", F.col("__nth") > 1).orderBy("ordinal")))
+    first, by_state = F.col("__nth") == 1, (F.col("__nth") > 1) & (F.col("__in_state") == 1)
+    rest = F.sum(F.when(first | by_state, 0).otherwise(1)).over(by_name.rowsBetween(W.unboundedPreceding, 0))
+    slug = F.when(first, F.col("__base")).when(by_state, F.concat_ws("-", "__base", "__state")).otherwise(F.concat_ws("-", F.col("__base"), (rest + 1).cast("string")))
+    mixed = named.filter("__mixed")
+    order = F.sort_array(F.collect_list(F.struct("ordinal", F.col("__base").alias("base"), F.col("__state").alias("state"))))
+    folded = mixed.groupBy("__root").agg(_fold_slugs(order).alias("x")).select(F.inline("x")).withColumnRenamed("ordinal", "__ordinal")
+    told = mixed.join(folded, F.col("ordinal") == F.col("__ordinal"))
+    return plain.withColumn("fire_slug", slug).select(*fires.columns, "fire_slug").unionByName(told.select(*fires.columns, "fire_slug"))
+
+
+def _fold_slugs(order: Column) -> Column:
+    """Slugs of fires (ordinal, base, state) in order; a map holds those taken, and for names how often a number was needed."""
+    start = F.struct(F.create_map().cast("map<string,int>").alias("taken"), F.array().cast("array<struct<ordinal:bigint,fire_slug:string>>").alias("out"))
+    has = lambda m, k: F.map_contains_key(m, k)
+    put = lambda m, k: F.when(has(m, k), m).otherwise(F.map_concat(m, F.create_map(k, F.lit(1))))
+
+    def step(acc: Column, f: Column) -> Column:
+        taken, base, by_state = acc["taken"], f["base"], F.concat_ws("-", f["base"], f["state"])
+        n = F.coalesce(F.try_element_at(taken, base), F.lit(0)) + 1
+        numbered = has(taken, base) & has(taken, by_state)
+        slug = F.when(~has(taken, base), base).when(~numbered, by_state).otherwise(F.concat_ws("-", base, n.cast("string")))
+        counted = F.when(numbered, F.map_concat(F.map_filter(taken, lambda k, _: k != base), F.create_map(base, n))).otherwise(taken)
+        return F.struct(put(counted, slug).alias("taken"), F.concat(acc["out"], F.array(F.struct(f["ordinal"].cast("bigint").alias("ordinal"), slug.alias("fire_slug")))).alias("out"))
+
+    return F.aggregate(order, start, step, lambda acc: acc["out"])
 
 
 def build_catalog(fires: DataFrame, incidents: DataFrame, spread: DataFrame, perimeters: DataFrame, archives: DataFrame) -> DataFrame:
@@ -84,7 +114,7 @@ def matches_query(roster: DataFrame, query: str, name: str = "name") -> DataFram
 def sort_roster(roster: DataFrame, key: str, descending: bool, name: str = "name") -> DataFrame:
     """by one key, unknown last in both directions, ties by name. Adds the position. A total order over the roster, one row per active fire."""
     order = F.col(key).desc_nulls_last() if descending else F.col(key).asc_nulls_last()
-    return roster.withColumn("position", F.row_number().over(W.orderBy(order, F.lower(name).asc(), F.col("cornea_id"))))
+    return with_place(roster, "position", order, F.lower(name).asc(), F.col("cornea_id").asc())
 
 
 def roster_summary(roster: DataFrame) -> DataFrame:
@@ -158,7 +188,7 @@ def heal_counts(state: DataFrame, manifests: DataFrame) -> DataFrame:
 
 def stalest_first(fires: DataFrame) -> DataFrame:
     """Work order: the longest unsynced first (never synced before all), then the larger fire."""
-    return fires.withColumn("rank", F.row_number().over(W.orderBy(F.col("synced").asc_nulls_first(), F.coalesce("acres", F.lit(0)).desc(), "fire")))
+    return with_place(fires, "rank", F.col("synced").asc_nulls_first(), F.coalesce("acres", F.lit(0)).desc(), F.col("fire").asc())
 
 
 def timeline_domain(fires: DataFrame, runs: DataFrame, weather: DataFrame, now: Column) -> DataFrame:

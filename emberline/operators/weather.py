@@ -60,6 +60,20 @@ def run_completeness(rendered: DataFrame, expected: DataFrame) -> DataFrame:
     return e.join(r, "cycle", "left").select("cycle", F.coalesce("rendered", F.lit(0)).alias("rendered"), "expected", (F.coalesce("rendered", F.lit(0)) >= F.col("expected")).alias("complete"))
 
 
+def advertised_hours(rendered: DataFrame, listed: DataFrame, expected: DataFrame) -> DataFrame:
+    """Per cycle (of listed) what is rendered of its listed hours, whether that is all of them (complete), whether the listing is the whole cycle (full), whether both hold (done), and the hours to advertise: all once done, else those rendered.
+
+    rendered, listed, expected: cycle, fhour.
+    """
+    every = listed.select("cycle", "fhour").distinct()
+    have = rendered.select("cycle", "fhour").distinct().withColumn("there", F.lit(True))
+    whole = expected.groupBy("cycle").agg(F.count_distinct("fhour").alias("expected"))
+    counted = every.join(have, ["cycle", "fhour"], "left").groupBy("cycle").agg(
+        F.count(F.lit(1)).alias("listed"), F.count("there").alias("rendered"), F.sort_array(F.collect_list(F.when(F.col("there"), F.col("fhour")))).alias("hours"))
+    state = counted.join(whole, "cycle", "left").withColumns({"complete": F.col("rendered") == F.col("listed"), "full": F.coalesce(F.col("listed") >= F.col("expected"), F.lit(False))})
+    return state.withColumn("done", F.col("complete") & F.col("full")).select("cycle", "listed", "rendered", "complete", "full", "done", "hours")
+
+
 def wind_rows(cells: DataFrame) -> DataFrame:
     """Wind grid rows (hour, row, col, u, v) from field rows (vec_id, cell, v): even fields are u, odd ones v."""
     half = cells.select(F.floor(F.col("vec_id") / 2).alias("hour"), (F.col("vec_id") % 2).alias("k"), F.floor(F.col("cell") / 8).cast("int").alias("row"), (F.col("cell") % 8).cast("int").alias("col"), (F.col("v").cast("double") * 20).alias("x"))
