@@ -65,8 +65,32 @@ def load_state(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}")
 
 
+#: The scalar expressions as SQL, by signature.
+SQL_FUNCTIONS = {
+    "slugify(x STRING) RETURNS STRING": "nullif(regexp_replace(regexp_replace(lower(x), '[^a-z0-9]+', '-'), '^-+|-+$', ''), '')",
+    "norm_guid(x STRING) RETURNS STRING": "lower(regexp_replace(trim(x), '[{}]', ''))",
+    "normalize_name(x STRING) RETURNS STRING": (
+        r"trim(regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(try_url_decode(replace(x, '+', '%2B')), x), r'^\d{4}_', ''), "
+        r"'(?<=[a-z])(?=[A-Z])', ' '), '(?<=[A-Z])(?=[A-Z][a-z])', ' '), '[_-]+', ' ')), '[^a-z0-9 ]+', ''), r'\s+', ' '))"
+    ),
+    "is_wildfire(x STRING) RETURNS BOOLEAN": "lower(x) = 'wildfire'",
+    "is_prescribed(x STRING) RETURNS BOOLEAN": "coalesce(rlike(trim(x), '(?i)^prescribed'), false)",
+    "readable_id(x STRING) RETURNS STRING": r"lower(regexp_replace(x, r'^(\d{4}-\d{2}-\d{2})-([A-Za-z]{2})-(.+)$', '$3-$2-$1'))",
+    "valid_day(x STRING) RETURNS BOOLEAN": r"coalesce(rlike(x, r'^20\d{2}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])$'), false)",
+    "acq_instant(day STRING, hhmm STRING) RETURNS TIMESTAMP": "try_to_timestamp(concat(day, ' ', lpad(CAST(CAST(try_cast(hhmm AS DOUBLE) AS INT) AS STRING), 4, '0')), 'yyyy-MM-dd HHmm')",
+    "conf_norm(x STRING) RETURNS STRING": (
+        "CASE WHEN lower(trim(coalesce(x, ''))) IN ('l', 'low') THEN 'low' WHEN lower(trim(coalesce(x, ''))) IN ('n', 'nominal') THEN 'nominal' WHEN lower(trim(coalesce(x, ''))) IN ('h', 'high') THEN 'high' "
+        "WHEN try_cast(trim(x) AS DOUBLE) < 30 THEN 'low' WHEN try_cast(trim(x) AS DOUBLE) >= 80 THEN 'high' ELSE 'nominal' END"
+    ),
+    "hours_between(ts TIMESTAMP_NTZ, now TIMESTAMP_NTZ) RETURNS DOUBLE": "(unix_millis(CAST(now AS TIMESTAMP)) - unix_millis(CAST(ts AS TIMESTAMP))) / 3600000",
+    "freshness(ts TIMESTAMP_NTZ, now TIMESTAMP_NTZ) RETURNS STRING": "CASE WHEN ts IS NULL THEN 'none' WHEN hours_between(ts, now) < 12 THEN 'fresh' WHEN hours_between(ts, now) < 48 THEN 'recent' ELSE 'stale' END",
+    "local_day(ts TIMESTAMP_NTZ, zone STRING) RETURNS DATE": "to_date(convert_timezone('UTC', zone, ts))",
+    "flip_bearing(d DOUBLE) RETURNS DOUBLE": "pmod(d + 180, 360)",
+    "wind_speed_mph(u DOUBLE, v DOUBLE) RETURNS DOUBLE": "hypot(u, v) * 2.23694",
+}
+
+
 def register_functions(spark: SparkSession) -> None:
     """Expressions for SQL users, as SQL functions that the optimiser inlines."""
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION slugify(x STRING) RETURNS STRING RETURN nullif(regexp_replace(regexp_replace(lower(x), '[^a-z0-9]+', '-'), '^-+|-+$', ''), '')")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION flip_bearing(d DOUBLE) RETURNS DOUBLE RETURN pmod(d + 180, 360)")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION wind_speed_mph(u DOUBLE, v DOUBLE) RETURNS DOUBLE RETURN hypot(u, v) * 2.23694")
+    for signature, body in SQL_FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURN {body}")
