@@ -48,7 +48,7 @@ def is_prescribed(c: Column) -> Column:
 
 
 def normalize_name(c: Column) -> Column:
-    """Comparable form of a fire or folder name."""
+    """Comparable form of a fire or folder name (the patterns are fixed values)."""
     s = F.regexp_replace(unquote(c), r"^\d{4}_", "")
     s = F.regexp_replace(s, "(?<=[a-z])(?=[A-Z])", " ")
     s = F.regexp_replace(s, "(?<=[A-Z])(?=[A-Z][a-z])", " ")
@@ -117,29 +117,29 @@ def parse_product_filename(filename: Column) -> Column:
     )
 
 
-def product_base(product: Column) -> Column:
+def product_base(product: Column, ranks: dict[str, int] = PRODUCT_RANKS) -> Column:
     """The longest known base that the product is or continues with an underscore."""
     p = F.lower(F.coalesce(product, F.lit("")))
-    bases = sorted(PRODUCT_RANKS, key=lambda b: (-len(b), b))
+    bases = sorted(ranks, key=lambda b: (-len(b), b))
     return F.coalesce(*(F.when((p == b) | p.startswith(b + "_"), b) for b in bases), F.lit("other"))
 
 
-def product_label(product: Column, base: Column) -> Column:
+def product_label(product: Column, base: Column, labels: dict[str, str] = PRODUCT_LABELS) -> Column:
     """Label of the whole product or else of its base, with the variant in brackets."""
     p, b = F.coalesce(product, F.lit("")), F.coalesce(base, F.lit("other"))
-    label = F.coalesce(lookup(p, PRODUCT_LABELS), lookup(b, PRODUCT_LABELS), F.lit(PRODUCT_LABELS["other"]))
-    varied = lookup(b, PRODUCT_LABELS).isNotNull() & (p != b) & F.startswith(p, F.concat(b, F.lit("_")))
+    label = F.coalesce(lookup(p, labels), lookup(b, labels), F.lit(labels["other"]))
+    varied = lookup(b, labels).isNotNull() & (p != b) & F.startswith(p, F.concat(b, F.lit("_")))
     variant = F.replace(F.substr(p, F.length(b) + 2), F.lit("_"), F.lit(" "))
     return F.when(varied, F.concat(label, F.lit(" ("), variant, F.lit(")"))).otherwise(label)
 
 
-def product_rank(product: Column, kind: Column) -> Column:
+def product_rank(product: Column, kind: Column, ranks: dict[str, int] = PRODUCT_RANKS) -> Column:
     """Order within a date: product, then quick-reference sheets, then mobile ones."""
-    return F.when(kind == "mobile", MOBILE_RANK).when(kind == "qr", QR_RANK).otherwise(lookup(product_base(product), PRODUCT_RANKS)).cast("int")
+    return F.when(kind == "mobile", MOBILE_RANK).when(kind == "qr", QR_RANK).otherwise(lookup(product_base(product, ranks), ranks)).cast("int")
 
 
-def tiling_priority(base: Column) -> Column:
-    return lookup(F.coalesce(base, F.lit("other")), TILING_PRIORITY, TILING_PRIORITY["other"])
+def tiling_priority(base: Column, priorities: dict[str, int] = TILING_PRIORITY) -> Column:
+    return lookup(F.coalesce(base, F.lit("other")), priorities, priorities["other"])
 
 
 def daily_key(name: Column) -> Column:
@@ -231,8 +231,8 @@ def incident_key(region: Column, year: Column, directory: Column) -> Column:
     return F.concat_ws("/", F.regexp_replace(region, "^pacific_nw_(oregon|washington)$", "pacific_nw"), year.cast("string"), directory)
 
 
-def sheet_dpi(sheet: Column) -> Column:
-    return lookup(F.replace(F.lower(F.coalesce(sheet, F.lit(""))), F.lit("."), F.lit("")), SHEET_DPI, DEFAULT_DPI)
+def sheet_dpi(sheet: Column, dpi: dict[str, int] = SHEET_DPI, default: int = DEFAULT_DPI) -> Column:
+    return lookup(F.replace(F.lower(F.coalesce(sheet, F.lit(""))), F.lit("."), F.lit("")), dpi, default)
 
 
 def zoom_range(metres_per_pixel: Column) -> Column:

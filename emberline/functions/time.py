@@ -125,11 +125,11 @@ WMO_LABELS = {
 WMO_SEVERITY = [95, 96, 99, 65, 67, 82, 71, 73, 75, 77, 85, 86, 61, 63, 66, 80, 81, 51, 53, 55, 56, 57, 45, 48, 3, 2, 1, 0]
 
 
-def wmo_label(code: Column) -> Column:
-    return F.coalesce(*(F.when(code.isin(codes), label) for label, codes in WMO_LABELS.items()), F.lit("Cloudy"))
+def wmo_label(code: Column, labels: dict[str, list[int]] = WMO_LABELS, other: str = "Cloudy") -> Column:
+    return F.coalesce(*(F.when(code.isin(codes), label) for label, codes in labels.items()), F.lit(other))
 
 
-def wmo_severity(code: Column) -> Column:
+def wmo_severity(code: Column, worst_first: Sequence[int] = WMO_SEVERITY) -> Column:
     """0 for the worst; unknown codes come last."""
-    place = F.array_position(F.array(*map(F.lit, WMO_SEVERITY)), code.cast("int"))
-    return F.when(F.coalesce(place, F.lit(0)) == 0, len(WMO_SEVERITY)).otherwise(place - 1).cast("int")
+    place = F.array_position(F.array(*map(F.lit, worst_first)), code.cast("int"))
+    return F.when(F.coalesce(place, F.lit(0)) == 0, len(worst_first)).otherwise(place - 1).cast("int")

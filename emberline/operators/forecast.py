@@ -39,38 +39,38 @@ def build_runs(files: DataFrame, known: list[str] = KNOWN_PRODUCTS) -> DataFrame
     return each.groupBy("run_key").agg(F.sort_array(F.flatten(F.collect_list("toa"))).alias("toa_pcts"), F.map_from_entries(offered).alias("products"), horizon.alias("horizon_hours"))
 
 
-def arrival_band(hours: Column) -> Column:
+def arrival_band(hours: Column, bands: list[tuple[int, str]] = BANDS) -> Column:
     """Upper bound of the first band that holds the hours; beyond the last the last."""
-    bounds = [b for b, _ in BANDS]
+    bounds = [b for b, _ in bands]
     chain = F.when(hours <= bounds[0], bounds[0])
     for b in bounds[1:-1]:
         chain = chain.when(hours <= b, b)
     return F.when(hours.isNotNull(), chain.otherwise(bounds[-1]))
 
 
-def _horizon(horizon: Column) -> Column:
-    return F.when(horizon > 0, F.floor(horizon + 0.5).cast("int")).otherwise(BANDS[-1][0])
+def _horizon(horizon: Column, bands: list[tuple[int, str]] = BANDS) -> Column:
+    return F.when(horizon > 0, F.floor(horizon + 0.5).cast("int")).otherwise(bands[-1][0])
 
 
-def legend_bands(runs: DataFrame) -> DataFrame:
+def legend_bands(runs: DataFrame, bands: list[tuple[int, str]] = BANDS) -> DataFrame:
     """A row for each band that begins before the run's horizon, the last one cut to it."""
-    lows = [0, *(b for b, _ in BANDS[:-1])]
-    table = F.array(*(F.struct(F.lit(lo).alias("low"), F.lit(b).alias("high"), F.lit(c).alias("color")) for lo, (b, c) in zip(lows, BANDS, strict=True)))
-    h = _horizon(F.col("horizon_hours"))
+    lows = [0, *(b for b, _ in bands[:-1])]
+    table = F.array(*(F.struct(F.lit(lo).alias("low"), F.lit(b).alias("high"), F.lit(c).alias("color")) for lo, (b, c) in zip(lows, bands, strict=True)))
+    h = _horizon(F.col("horizon_hours"), bands)
     return runs.select("run_key", h.alias("h"), F.inline(F.filter(table, lambda x: x["low"] < h))).select("run_key", F.least("high", "h").alias("hours"), "color")
 
 
-def reach_stops(runs: DataFrame) -> DataFrame:
+def reach_stops(runs: DataFrame, bands: list[tuple[int, str]] = BANDS) -> DataFrame:
     """Slider stops: the bounds more than 12 h below the horizon, and the horizon."""
-    h = _horizon(F.col("horizon_hours"))
-    stops = F.concat(F.filter(F.array(*(F.lit(b) for b, _ in BANDS)), lambda x: x < h - 12), F.array(h))
+    h = _horizon(F.col("horizon_hours"), bands)
+    stops = F.concat(F.filter(F.array(*(F.lit(b) for b, _ in bands)), lambda x: x < h - 12), F.array(h))
     return runs.select("run_key", F.explode(stops).alias("stop"))
 
 
-def nearest_stop(runs: DataFrame, within: Column | None = None) -> DataFrame:
+def nearest_stop(runs: DataFrame, within: Column | None = None, bands: list[tuple[int, str]] = BANDS) -> DataFrame:
     """the stop nearest to the wanted reach (least of 240 and the horizon if none is given), ties to the smaller."""
-    h = _horizon(F.col("horizon_hours"))
-    stops = reach_stops(runs).join(runs.select("run_key", (within if within is not None else F.least(F.lit(DEFAULT_REACH), h)).alias("want")), "run_key")
+    h = _horizon(F.col("horizon_hours"), bands)
+    stops = reach_stops(runs, bands).join(runs.select("run_key", (within if within is not None else F.least(F.lit(DEFAULT_REACH), h)).alias("want")), "run_key")
     return stops.groupBy("run_key").agg(F.min_by("stop", F.struct(F.abs(F.col("stop") - F.col("want")), "stop")).alias("stop"))
 
 
@@ -94,10 +94,10 @@ def arrival_areas(pixels: DataFrame, hours: float, recent: float = 12, cell_metr
     return arrival_census(pixels, hours, recent).select("run_key", "pct", *((F.col(c) * size).alias(f"{c}_ha") for c in counts))
 
 
-def arrival_histogram(pixels: DataFrame, within: float) -> DataFrame:
+def arrival_histogram(pixels: DataFrame, within: float, bands: list[tuple[int, str]] = BANDS) -> DataFrame:
     """Pixels of each band that are reached within the limit."""
     reached = pixels.filter((F.col("toa_hours") > 0) & (F.col("toa_hours") <= within))
-    return reached.groupBy("run_key", "pct", arrival_band(F.col("toa_hours")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
+    return reached.groupBy("run_key", "pct", arrival_band(F.col("toa_hours"), bands).alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def burn_curve(pixels: DataFrame) -> DataFrame:
@@ -114,21 +114,25 @@ def class_census(pixels: DataFrame) -> DataFrame:
 def ramp_color(values: DataFrame, ramp: DataFrame, discrete: bool = False) -> DataFrame:
     """R, g, b of each value on its product's ramp: ends held, linear between stops, or exact stops only. 0 has no colour.
 
-    The ramp's intervals (lead gives the next stop) are joined by product; a ramp has a handful of stops.
+    A ramp is a handful of stops: it becomes one array for each product, so a value
+    meets its ramp once, in an equi join on the product, and the interval is found
+    in the array.
     """
-    w = W.partitionBy("product").orderBy("stop")
     channel = lambda c, k: F.conv(F.substr(c, F.lit(2 + 2 * k), F.lit(2)), 16, 10).cast("int")
-    steps = ramp.select(
-        "product", F.col("stop").alias("lo"), F.lead("stop").over(w).alias("hi"), F.col("color").alias("c0"), F.coalesce(F.lead("color").over(w), "color").alias("c1"), (F.row_number().over(w) == 1).alias("first"))
-    v = F.col("value")
-    joined = values.join(steps, "product")
+    ramps = ramp.groupBy("product").agg(F.sort_array(F.collect_list(F.struct("stop", "color"))).alias("__ramp"))
+    v, stops = F.col("value"), F.col("__ramp")
+    met = values.filter("value <> 0").join(ramps, "product")
+    below = F.size(F.filter(stops, lambda x: x["stop"] <= v))
     if discrete:
-        hit, share = v == F.col("lo"), F.lit(0.0)
+        met = met.withColumn("__at", F.array_position(F.transform(stops, lambda x: x["stop"]), v)).filter("__at > 0")
+        lo, hi, share = F.get(stops, F.col("__at").cast("int") - 1), F.get(stops, F.col("__at").cast("int") - 1), F.lit(0.0)
     else:
-        hit = ((v >= F.col("lo")) & (F.col("hi").isNull() | (v < F.col("hi")))) | (F.col("first") & (v < F.col("lo")))
-        share = F.when((v >= F.col("lo")) & F.col("hi").isNotNull(), (v - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
-    mix = lambda k: F.floor(channel(F.col("c0"), k) + (channel(F.col("c1"), k) - channel(F.col("c0"), k)) * share + 0.5).cast("int")
-    return joined.filter(hit & (v != 0)).select(*values.columns, mix(0).alias("r"), mix(1).alias("g"), mix(2).alias("b"))
+        lo = F.get(stops, F.greatest(below - 1, F.lit(0)))
+        hi = F.coalesce(F.get(stops, below), lo)
+        share = F.when((below > 0) & (hi["stop"] > lo["stop"]), (v - lo["stop"]) / (hi["stop"] - lo["stop"])).otherwise(0.0)
+    met = met.withColumns({"__lo": lo["color"], "__hi": F.when(below > 0, hi["color"]).otherwise(lo["color"]), "__share": share})
+    mix = lambda k: F.floor(channel(F.col("__lo"), k) + (channel(F.col("__hi"), k) - channel(F.col("__lo"), k)) * F.col("__share") + 0.5).cast("int")
+    return met.select(*values.columns, mix(0).alias("r"), mix(1).alias("g"), mix(2).alias("b"))
 
 
 def thin_instants(instants: DataFrame) -> DataFrame:
@@ -177,8 +181,8 @@ def frame_times(ticks: DataFrame, hours: DataFrame, start: Column, end: Column)
     found = ticks.select("t").union(hours.select("t")).filter(F.col("t").between(start, end)).distinct()
     grid = ticks.sparkSession.range(1).select(F.explode(F.sequence(start, end, F.expr("INTERVAL 1 HOUR"))).alias("t"))
     # the grid stands in only where nothing was found: one row tells
-    none = found.limit(1).agg(F.count(F.lit(1)).alias("n")).filter("n = 0")
-    return found.unionByName(grid.join(none, F.col("n") == 0).drop("n"))
+    none = found.limit(1).agg(F.count(F.lit(1)) == 0).scalar()
+    return found.unionByName(grid.filter(none))
 
 
 def grid_bounds(grids: DataFrame) -> DataFrame:

@@ -26,17 +26,17 @@ REGION_STATES = {
 ANYWHERE = "*"
 
 
-def _pools(dirs: DataFrame) -> Column:
+def _pools(dirs: DataFrame, regions: dict[str, str]) -> Column:
     """The states whose fires a folder may be: those of its region, else its own state; ANYWHERE if neither is known."""
     states = F.array("state")
     if "region" in dirs.columns:
-        known = F.create_map(*(x for k, v in REGION_STATES.items() for x in (F.lit(k), F.split(F.lit(v), " "))))
+        known = F.create_map(*(x for k, v in regions.items() for x in (F.lit(k), F.split(F.lit(v), " "))))
         states = F.when(F.col("region").isNull(), states).otherwise(F.try_element_at(known, F.col("region")))
     states = F.filter(states, lambda x: x.isNotNull())
     return F.when(F.size(states) > 0, states).otherwise(F.array(F.lit(ANYWHERE)))
 
 
-def match_incidents(dirs: DataFrame, fires: DataFrame, overrides: DataFrame) -> DataFrame:
+def match_incidents(dirs: DataFrame, fires: DataFrame, overrides: DataFrame, regions: dict[str, str] = REGION_STATES) -> DataFrame:
     """Folder to fire: pins, then the incident ids its files vote for, then a name variant that only one fire has, then the best fuzzy name of 90 and more.
 
     dirs: dir, name, state, token, and if there are any region (its states stand
@@ -56,7 +56,7 @@ def match_incidents(dirs: DataFrame, fires: DataFrame, overrides: DataFrame) ->
     by_id = voted.join(ids, "token").groupBy("dir").agg(F.min_by("fire", F.struct(F.col("k"), -F.col("fire"))).alias("fire"))
     by_id = by_id.select("dir", "fire", F.lit("unit_num").alias("method"), F.lit(1.0).alias("score"))
     rest = rest.join(by_id.select("dir"), "dir", "left_anti")
-    left = rest.select("dir", F.explode(_pools(dirs)).alias("pool"), F.explode(tx.name_variants(tx.normalize_name(F.col("name")))).alias("v"))
+    left = rest.select("dir", F.explode(_pools(dirs, regions)).alias("pool"), F.explode(tx.name_variants(tx.normalize_name(F.col("name")))).alias("v"))
     known = fires.withColumn("norm", tx.normalize_name(F.col("name"))).filter("norm <> ''")
     right = known.select("fire", F.explode(F.array(F.col("state"), F.lit(ANYWHERE))).alias("pool"), F.explode(tx.name_variants(F.col("norm"))).alias("v2"))
     hits = left.join(right.withColumnRenamed("v2", "v"), ["pool", "v"]).groupBy("dir").agg(F.min("fire").alias("fire"), F.max("fire").alias("other"))
@@ -120,7 +120,7 @@ def match_forecast_slugs(slugs: DataFrame, documents: DataFrame, fires: DataFram
 
 
 def parse_sitrep_lines(lines: DataFrame) -> DataFrame:
-    """Typed rows of report lines (line_no, line); a row without a name takes the nearest of the two lines before that isn't a row itself."""
+    """Typed rows of report lines (report, line_no, line; without report all lines are one report, read in one task); a row without a name takes the nearest of the two lines before that isn't a row itself."""
     w = W.partitionBy("report").orderBy("line_no") if "report" in lines.columns else W.orderBy("line_no")
     is_row = F.col("line").rlike(ROW)
     strip = lambda c: F.regexp_replace(c, r"^[ *]+|[ *]+$", "")

@@ -99,12 +99,12 @@ def chip(name: str) -> Column:
     }[name]
 
 
-def matches_query(roster: DataFrame, query: str, name: str = "name") -> DataFrame:
+def matches_query(roster: DataFrame, query: str, name: str = "name", states: dict[str, str] = STATE_NAMES) -> DataFrame:
     """Name holds the query, or the state is it, or (from three letters on) the state's full name holds it. Blank keeps all."""
     q = query.strip().lower()
     if not q:
         return roster
-    full = tx.lookup(F.upper("state"), STATE_NAMES)
+    full = tx.lookup(F.upper("state"), states)
     found = F.lower(name).contains(q) | (F.lower("state") == q)
     if len(q) >= 3:
         found = found | full.contains(q)

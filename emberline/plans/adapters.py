@@ -44,7 +44,7 @@ FROM {documents}""",
     "weather_index_lines": """SELECT p_size AS file_key, p_partkey AS pos,
        CAST(p_partkey AS STRING) || ':' || CAST(p_partkey * 1000 + p_size AS STRING) || ':d=2026081712:' || p_type || ':' || p_name || ':' || CAST(p_size AS STRING) || ' hour fcst:' AS line
 FROM {part}""",
-    "sitrep_lines": """SELECT s_suppkey AS line_no, p_name || '   ' || substr('ORWACAIDMTCOWYSDUTNVAZNM', 1 + 2 * (s_nationkey % 12), 2) || '-XYZ  ' || CAST(1000 + s_suppkey AS STRING)
+    "sitrep_lines": """SELECT s_suppkey % 16 AS report, s_suppkey AS line_no, p_name || '   ' || substr('ORWACAIDMTCOWYSDUTNVAZNM', 1 + 2 * (s_nationkey % 12), 2) || '-XYZ  ' || CAST(1000 + s_suppkey AS STRING)
        || '  ---  ' || CAST(s_suppkey % 101 AS STRING) || '  Ctn  8/' || CAST(1 + s_suppkey % 28 AS STRING) || '  1,' || lpad(CAST(s_suppkey % 1000 AS STRING), 3, '0')
        || '  -16  17  54  4  0  56.2M  BLM' AS line
 FROM {supplier} JOIN {part} ON p_partkey = s_suppkey""",
