@@ -204,6 +204,8 @@ def candidates(sets: DataFrame, members: DataFrame, similarity: float) -> DataFr
     element so early in both that the weight from there on can make up the overlap
     they need: this prefix and position filter is exact, and a text whose rare
     elements are its own meets no other, however many texts share its common ones.
+    The join is on the element and on the magnitude of the total weight, which
+    similar sets share up to one step, so an element that many texts have is split.
     """
     rows = sets.join(members, "doc").select("doc", "c", "elements", "weights").mapInArrow(_listed, "doc long, c long, total double, element long, weight double")
     counted = rows.groupBy("element").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
@@ -211,10 +213,12 @@ def candidates(sets: DataFrame, members: DataFrame, similarity: float) -> DataFr
     ranked = rows.join(counted, "element", "left").withColumn("df", F.coalesce("df", F.lit(1)))
     before = F.sum("weight").over(W.partitionBy("doc", "c").orderBy("df", "element").rowsBetween(W.unboundedPreceding, -1))
     front = ranked.withColumn("left", F.col("total") - F.coalesce(before, F.lit(0.0))).filter((F.col("df") > 1) & (F.col("left") >= F.col("total") * similarity - 1e-6)).select("doc", "c", "total", "left", "element")
-    other = front.select(F.col("doc").alias("doc2"), F.col("c").alias("c2"), F.col("total").alias("total2"), F.col("left").alias("left2"), "element")
+    size = F.log("total") / -float(np.log(similarity))
+    other = front.select(F.col("doc").alias("doc2"), F.col("c").alias("c2"), F.col("total").alias("total2"), F.col("left").alias("left2"), "element", F.floor(size).alias("size"))
+    front = front.withColumn("size", F.explode(F.array_distinct(F.array(F.floor(size), F.floor(size) + 1, F.floor(size + 1 + 1e-9)))))
     need = (F.col("total") + F.col("total2")) * (similarity / (1 + similarity)) - 1e-6
     lighter = (F.col("total") < F.col("total2")) | ((F.col("total") == F.col("total2")) & (F.col("doc") < F.col("doc2")))
-    joined = front.join(other, (front["element"] == other["element"]) & (F.col("c") != F.col("c2")) & lighter & (F.least("left", "left2") >= need) & (F.col("total") >= F.col("total2") * similarity - 1e-6))
+    joined = front.join(other, (front["element"] == other["element"]) & (front["size"] == other["size"]) & (F.col("c") != F.col("c2")) & lighter & (F.least("left", "left2") >= need) & (F.col("total") >= F.col("total2") * similarity - 1e-6))
     return joined.select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
 
 
