@@ -9,7 +9,8 @@ frames it needs.
 Defined results: null html is an empty payload; empty payloads are equal like
 any others; a null url is written as `about:blank`; control characters in urls
 are percent-encoded; rows that repeat a page_id with an equal payload all take
-that page's record type; an empty table writes no bundle.
+that page's record type; a very long payload is a frame of its own; other columns
+of the input are not read; an empty table writes no bundle. page_id is an integer.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import filter_of
 from .common import open_fs, partitions, shared_dir, text_or_empty, written
 
 # Fixed values of the seekable format.
@@ -113,14 +115,21 @@ def parse(raw: bytes) -> dict:
 
 
 def mark_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, url, html (no nulls), refers_to: the smallest page_id with an equal payload of at least min_bytes, null for that page itself."""
+    """page_id, url, html (no nulls), refers_to: the smallest page_id with an equal payload of at least min_bytes, null for that page itself.
+
+    A filter over the digests of repeated payloads tells which pages have to meet
+    another; the others stay where they are.
+    """
     rows = pages.select("page_id", "url", text_or_empty("html").alias("html")).withColumn("__digest", F.sha2("html", 256))
     large = F.octet_length("html") >= min_bytes
     firsts = rows.filter(large).groupBy("__digest").agg(F.min("page_id").alias("__first"), F.count(F.lit(1)).alias("__n")).filter("__n > 1").drop("__n")
     firsts = written(firsts, "warc-firsts")  # both sides of the join are plain exchanges then, and AQE may split a payload that many pages share
-    joined = rows.join(firsts, "__digest", "left")
+    seen = filter_of(firsts.select(F.xxhash64("__digest")), firsts.count(), repeats=False)
+    flagged = rows.withColumn("__maybe", seen.test(F.xxhash64("__digest")))
+    joined = flagged.filter("__maybe").join(firsts, "__digest", "left")
     later = F.col("__first").isNotNull() & large & ~F.col("page_id").eqNullSafe(F.col("__first"))
-    return joined.select("page_id", "url", "html", F.when(later, F.col("__first")).alias("refers_to"))
+    alone = flagged.filter("not __maybe").select("page_id", "url", "html", F.lit(None).cast(dict(rows.dtypes)["page_id"]).alias("refers_to"))
+    return alone.unionByName(joined.select("page_id", "url", "html", F.when(later, F.col("__first")).alias("refers_to")))
 
 
 def _write(folder: str, frame_bytes: int, bundle_bytes: int):
