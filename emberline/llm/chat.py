@@ -11,7 +11,10 @@ restores the text exactly.
 Defined results: null role and null text are empty; turns sort by number (null
 first), then role, then text, so repeated rows keep a fixed order; conversations
 without an assistant turn have one example without a mask; a null conv_id is a
-conversation of its own; an empty table gives no examples.
+conversation of its own; an empty table gives no examples; other columns of the
+input are not read. A conversation is one row while it is formatted, and its
+examples together are as long as its turns times its replies: that is what the
+method asks for, and what one conversation takes in memory.
 """
 
 from __future__ import annotations
