@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import filter_of
+from .bloom import Filter, dealt, filter_of
 from .common import byte_values, chunks, covered, gram_hash, mix64, partitions, runs, sliding_min, span_hash, spans_within, text_or_empty, values, written
 
 _SPACE = np.zeros(256, bool)
@@ -140,14 +140,21 @@ class _Hot:
         out[on] = (self.k[at[on]] == k[on]) & (self.v[at[on]] == v[on]) & (self.doc[at[on]] < doc[on])
         return out
 
-    def add(self, k: np.ndarray, v: np.ndarray, doc: np.ndarray) -> None:
+    def settle(self, k: np.ndarray, v: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Which units of a slice an earlier document holds, of this slice or of what is remembered; those that the slice repeats are remembered."""
+        order = np.lexsort((doc, v, k))
+        lead = earliest_in(k[order], v[order], doc[order])
+        later = lead < doc[order]
+        known = self.earlier(k, v, doc)
+        known[order[later]] = True
         if len(self.k) > HOT:
             self.__init__()
-        k, v, doc = np.concatenate((self.k, k)), np.concatenate((self.v, v)), np.concatenate((self.doc, doc))
+        k, v, doc = (np.concatenate(x) for x in ((self.k, k[order[later]]), (self.v, v[order[later]]), (self.doc, lead[later])))
         order = np.lexsort((doc, v, k))
         k, v, doc = k[order], v[order], doc[order]
         keep = np.concatenate(([True], k[1:] != k[:-1])) if len(k) else np.zeros(0, bool)  # of two units alike in k one is remembered
         self.k, self.v, self.doc = k[keep], v[keep], doc[keep]
+        return known
 
 
 def send_units(kind: str, window: int, gram: int, keep: Callable[[np.ndarray], np.ndarray] | None, parts: int):
@@ -162,12 +169,7 @@ def send_units(kind: str, window: int, gram: int, keep: Callable[[np.ndarray], n
                 text, m, first, n = text[ok], m[ok], first[ok], n[ok]
             k, v = fingerprints(tokens, m, first, n, window)
             doc, first, n = ids_of(batch)[text], (first - tokens.offsets[text]).astype(np.int32), n.astype(np.int32)
-            order = np.lexsort((doc, v, k))
-            lead = earliest_in(k[order], v[order], doc[order])
-            known = hot.earlier(k, v, doc)
-            known[order[lead < doc[order]]] = True
-            repeated = order[lead < doc[order]]
-            hot.add(k[repeated], v[repeated], lead[lead < doc[order]])
+            known = hot.settle(k, v, doc)
             at, later = np.flatnonzero(~known), np.flatnonzero(known)
             part = ((m & _LOW).astype(np.int64)) % parts
             at = at[np.argsort(part[at], kind="stable")]
@@ -269,25 +271,68 @@ class Marked:
 
 # ---- single windows
 
-WINDOWS = "part int, docs binary, firsts binary, counts binary, sizes binary, bytes binary"
+WINDOWS = "part int, docs binary, firsts binary, sizes binary, bytes binary, " + ", ".join(f"{c} binary" for c in OWN)
+
+
+def _windows_of(batch: pa.RecordBatch, tokens: Tokens, window: int) -> tuple[np.ndarray, ...]:
+    """Of every window to be compared: its unit's number, and the unit's part, its text, and where it starts in the slice."""
+    text, first, n, part = spans_of(batch)
+    ok = first + n + window - 1 <= tokens.offsets[text + 1] - tokens.offsets[text]  # rows that repeat a doc_id may have other texts
+    text, first, n, part = text[ok], first[ok], n[ok], part[ok]
+    unit = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(unit)) - (np.cumsum(n) - n)[unit]
+    return unit, part[unit], text[unit], tokens.offsets[text[unit]] + first[unit] + at
 
 
-def _send_windows(kind: str, window: int):
-    """The bytes of the units to be compared, dealt out to their parts."""
+def _send_hashes(kind: str, window: int, segments: int):
+    """Hashes of the windows to be compared, once for each text, dealt out by segment; twice if two texts of the slice have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, tokens, _ in slices(batches, kind, hashed=False):
-            text, first, n, part = spans_of(batch)
-            ok = first + n + window - 1 <= tokens.offsets[text + 1] - tokens.offsets[text]  # rows that repeat a doc_id may have other texts
-            order = np.argsort(part[ok], kind="stable")
-            text, first, n, part = (x[ok][order] for x in (text, first, n, part))
-            pieces = tokens.pieces(tokens.offsets[text] + first, n + window - 1)
-            sizes, doc = np.array([len(x) for x in pieces], np.int32), ids_of(batch)[text]
-            keys, begin = np.unique(part, return_index=True)
-            ends = [*begin[1:].tolist(), len(part)]
-            cut = lambda x, t: pa.array([x[a:b].astype(t).tobytes() for a, b in zip(begin, ends, strict=True)], pa.binary())
-            joined = pa.array([b"".join(pieces[a:b]) for a, b in zip(begin, ends, strict=True)], pa.binary())
-            yield pa.record_batch([pa.array(keys, pa.int32()), cut(doc, np.int64), cut(first, np.int32), cut(n, np.int32), cut(sizes, np.int32), joined], ["part", "docs", "firsts", "counts", "sizes", "bytes"])
+        for batch, tokens, _ in slices(batches, kind):
+            _, _, text, place = _windows_of(batch, tokens, window)
+            h = gram_hash(tokens.values, window)[place] if len(place) else np.zeros(0, np.uint64)
+            order = np.lexsort((text, h))
+            h, text = h[order], text[order]
+            own = h[np.concatenate(([True], (h[1:] != h[:-1]) | (text[1:] != text[:-1])))] if len(h) else h
+            h, n = np.unique(own, return_counts=True)
+            yield dealt(np.repeat(h, np.minimum(n, 2)), segments)
+
+    return run
+
+
+def _send_windows(kind: str, window: int, parts: int, keep: Callable[[np.ndarray], np.ndarray]):
+    """The bytes of the windows to be compared that several documents may hold, as runs dealt out to the parts of their units.
+
+    Runs that a slice or a task has seen in an earlier document are settled on the
+    spot: of a passage that a share of all texts has, a task sends few.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn, hot = TaskContext.get().partitionId(), _Hot()
+        for batch, tokens, _ in slices(batches, kind):
+            unit, part, text, place = _windows_of(batch, tokens, window)
+            on = np.flatnonzero(keep(gram_hash(tokens.values, window)[place])) if len(place) else place
+            unit, part, text, place = unit[on], part[on], text[on], place[on]
+            new = np.flatnonzero(np.concatenate(([True], (unit[1:] != unit[:-1]) | (place[1:] != place[:-1] + 1)))) if len(on) else on
+            n = np.diff(np.append(new, len(on)))
+            part, text, place = part[new], text[new], place[new]
+            k, v = fingerprints(tokens, np.zeros(len(n), np.uint64), place, n, window)
+            doc, first = ids_of(batch)[text], place - tokens.offsets[text]
+            known = hot.settle(k, v, doc)
+            at, later = np.flatnonzero(~known), np.flatnonzero(known)
+            at = at[np.argsort(part[at], kind="stable")]
+            pieces = tokens.pieces(place[at], n[at] + window - 1)
+            sizes = np.array([len(x) for x in pieces], np.int32)
+            keys, begin = np.unique(part[at], return_index=True)
+            rows: dict[int, dict[str, bytes]] = {}
+            for p, a, b in zip(keys.tolist(), begin.tolist(), np.append(begin[1:], len(at)).tolist(), strict=False):
+                own = at[a:b]
+                rows[p] = {"docs": doc[own].tobytes(), "firsts": first[own].astype(np.int32).tobytes(), "sizes": sizes[a:b].tobytes(), "bytes": b"".join(pieces[a:b])}
+            if len(later):
+                turn += 1
+                rows.setdefault(turn % parts, {}).update(zip(OWN, (doc[later].tobytes(), first[later].astype(np.int32).tobytes(), n[later].astype(np.int32).tobytes()), strict=True))
+            columns = ["docs", "firsts", "sizes", "bytes", *OWN]
+            yield pa.record_batch([pa.array(list(rows), pa.int32()), *(pa.array([r.get(c, b"") for r in rows.values()], pa.binary()) for c in columns)], ["part", *columns])
 
     return run
 
@@ -364,14 +409,22 @@ def _compare(kind: str, window: int, parts: int):
         order = np.lexsort((at, doc))
         doc, at = doc[order], at[order]
         new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)))) if len(at) else np.zeros(0, np.int64)
-        return by_document(doc[new], at[new], np.diff(np.append(new, len(at))), -1, parts)
+        own = [column_of(group, c, t) for c, t in OWN.items()]
+        return by_document(*(np.concatenate(x) for x in zip(own, (doc[new], at[new], np.diff(np.append(new, len(at)))), strict=True)), -1, parts)
 
     return run
 
 
 def compared(marked: Marked, settled: DataFrame, kind: str, window: int, parts: int) -> DataFrame:
-    """Spans of the windows that `settled` leaves to be compared and that an earlier document holds, from the texts."""
-    sent = marked.rows(settled, False).mapInArrow(_send_windows(kind, window), WINDOWS)
+    """Spans of the windows that `settled` leaves to be compared and that an earlier document holds, from the texts.
+
+    Two passes: a filter over the windows' hashes holds back those that only one
+    document has, so that variants of one text don't gather in its part.
+    """
+    asked = marked.rows(settled, False)
+    segments = partitions(settled.sparkSession)
+    seen = Filter(asked.mapInArrow(_send_hashes(kind, window, segments), "seg long, hashes binary"), parts * PART_BYTES, repeats=True)
+    sent = asked.mapInArrow(_send_windows(kind, window, parts, seen.has), WINDOWS)
     return sent.groupBy("part").applyInArrow(_compare(kind, window, parts), SPANS)
 
 
