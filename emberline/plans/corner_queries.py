@@ -213,6 +213,10 @@ ORACLE = {
     "forecast_links": cte(_LINKS, "fires", **links(
         "SELECT DISTINCT lower(state) || '-' || " + _SLUG.format("CASE fire % 6 WHEN 1 THEN name || 's' WHEN 4 THEN left(name, length(name) - 5) ELSE name END") + " || CASE fire % 6 WHEN 0 THEN '-' || lpad(CAST(fire AS VARCHAR), 6, '0') WHEN 2 THEN '-77' || lpad(CAST(fire AS VARCHAR), 4, '0') WHEN 3 THEN '-12' ELSE '' END AS slug FROM link",
         "SELECT lower(state) || '-' || form AS slug, cornea_id FROM link WHERE fire % 10 = 5")),
+    "gathered_tokens": cte("SELECT dir, token, count(*) AS n, CAST(row_number() OVER (PARTITION BY dir ORDER BY count(*) DESC, min(parent_no * 100000000000 + k * 10000000000 + ordinal)) AS INT) AS rank FROM v JOIN c USING (dir, parent_no, k) WHERE token IS NOT NULL GROUP BY dir, token", "files",
+        t="SELECT incident_key % 7 AS dir, ordinal % 3 AS parent_no, ordinal % 28 AS day, ordinal, CASE WHEN ordinal % 5 < 3 AND ordinal % 11 <> 5 THEN '2026-COGMF-' || lpad(CAST(ordinal % 7 AS VARCHAR), 6, '0') END AS token FROM files",
+        v="SELECT * FROM (SELECT *, CASE WHEN parent_no = 2 THEN 1 ELSE dense_rank() OVER (PARTITION BY dir, parent_no ORDER BY day DESC) END AS k FROM t) WHERE k <= 2",
+        g="SELECT dir, parent_no, k, count(token) AS got FROM v GROUP BY ALL", c="SELECT dir, parent_no, k FROM g a WHERE k = 1 OR NOT EXISTS (SELECT 1 FROM g b WHERE b.dir = a.dir AND b.parent_no * 2 + b.k < a.parent_no * 2 + a.k AND b.got > 0)"),
     "accepted_sheets": cte("""SELECT sheet, lon_n, lat_n, round(lon_a, 4) AS lon_a, round(lat_a, 4) AS lat_a, round(x0, 4) AS x0, round(y0, 4) AS y0, round(x1, 4) AS x1, round(y1, 4) AS y1, round(lon_a * x0 + lon_b, 3) AS w, round(lat_a * y1 + lat_b, 3) AS s, round(lon_a * x1 + lon_b, 3) AS e, round(lat_a * y0 + lat_b, 3) AS n
  FROM framed WHERE lon_a * (x1 - x0) BETWEEN 0.02 AND 6 AND lat_a * (y0 - y1) BETWEEN 0.02 AND 6 AND lon_a * (x0 + x1) / 2 + lon_b BETWEEN -170 AND -60 AND lat_a * (y0 + y1) / 2 + lat_b BETWEEN 15 AND 72""", "label_points",
         k0="SELECT sheet_key AS sheet, axis, pos, CASE sheet_key % 5 WHEN 0 THEN v * 200 WHEN 1 THEN v + 60 WHEN 2 THEN v + (ordinal % 7) / 50 ELSE v END AS val FROM (SELECT *, CASE WHEN axis = 'lon' THEN -val - 77 ELSE val END AS v FROM label_points)", **_CUT,
