@@ -1,8 +1,8 @@
 """Registered queries over the given tables and the SQL that checks them."""
 
-from . import corner_queries, detection_queries, incident_queries, roster_queries, time_queries
+from . import corner_queries, detection_queries, incident_queries, landed_queries, roster_queries, time_queries
 
-_MODULES = (detection_queries, roster_queries, time_queries, incident_queries, corner_queries)
+_MODULES = (detection_queries, roster_queries, time_queries, incident_queries, corner_queries, landed_queries)
 
 PLANS = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}
