@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 import numpy as np
@@ -50,6 +51,18 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Within, a finished query drops its shuffle files at once: what it gave is in the shared folder or in the driver."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, so a lost executor costs one re-read.
 
@@ -57,7 +70,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
     read later may still depend on them.
     """
     path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with tidy(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

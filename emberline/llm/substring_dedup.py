@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, partitions, shared_dir, written
+from .common import SPACE_CLASS, partitions, shared_dir, tidy
 from .repeats import BUCKETS, KINDS, OWN, SPANS, Marked, by_document, column_of, compared, earliest_in, mixed_anchors, parts_for, pieces_of, removed_tokens, send_units, slices, texts
 
 #: Words of a window and of an anchor's gram; runs before they are merged; batches of a whole table.
@@ -158,7 +158,8 @@ class FingerprintIndex:
         """Merge all runs into one that keeps the earliest document of each fingerprint."""
         if len(self.paths) > 1:
             path = f"{self.folder}/run-{uuid.uuid4().hex}"
-            self._all().groupBy("part").applyInArrow(_compact(self.version), RUN).write.parquet(path)
+            with tidy(self.spark):
+                self._all().groupBy("part").applyInArrow(_compact(self.version), RUN).write.parquet(path)
             self.paths = [path]
             self._commit()
 
@@ -167,7 +168,8 @@ class FingerprintIndex:
         sent = texts(batch).filter("doc_id is not null").mapInArrow(send_units("words", self.window, self.gram, None, self.parts), BUCKETS)
         path = f"{self.folder}/run-{uuid.uuid4().hex}"
         joined = sent.groupBy("part").cogroup(self._all().groupBy("part")).applyInArrow(_merge_join(self.parts, self.version), MERGED)
-        joined.write.parquet(path)
+        with tidy(self.spark):
+            joined.write.parquet(path)
         self.paths.append(path)
         self._commit()
         if len(self.paths) > self.max_runs:
