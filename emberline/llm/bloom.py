@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, partitions, tidy
+from .common import mix64, partitions, written
 
 #: Bits per hash in the filters, and probes per hash.
 BITS_PER_HASH, PROBES = 16, 4
@@ -92,9 +92,10 @@ class Filter:
         self.slice_bits = max(64, min(8 * MAX_FILTER_BYTES, bits) // self.segments // 64 * 64)
         size = self.slice_bits // 8
         whole = np.zeros(self.segments * size, np.uint8)
-        with tidy(spark):
-            for r in sent.groupBy("seg").applyInArrow(_slice(self.slice_bits, repeats), "seg long, bits binary").toLocalIterator():
-                whole[r.seg * size : (r.seg + 1) * size] = np.frombuffer(r.bits, np.uint8)
+        # written first: fetching part by part must not depend on shuffle files of a query that is over
+        slices = written(sent.groupBy("seg").applyInArrow(_slice(self.slice_bits, repeats), "seg long, bits binary"), "filter-slices")
+        for r in slices.toLocalIterator():
+            whole[r.seg * size : (r.seg + 1) * size] = np.frombuffer(r.bits, np.uint8)
         self.shared = spark.sparkContext.broadcast(whole)
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
