@@ -449,7 +449,10 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[
 
     Only ids of the sample come to the driver; the texts lie in the shared folder.
     """
-    known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    # only labels of documents that may be learnt from count, so a label of any other row changes nothing
+    usable = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
+    known = labels.filter("toxic is not null and doc_id is not null").join(usable.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = written(known, "toxicity-labels")
     sizes = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     picked = F.abs(F.xxhash64("doc_id") % 1_000_000)
     bounds = {label: int(1_100_000 * rows / n) + 1 for label, n in sizes.items()}
@@ -457,8 +460,8 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[
     for label, bound in bounds.items():
         wanted = wanted | ((F.col("toxic") == label) & (picked < bound))
     # the bound on the hash holds on both sides, so documents beyond it never leave their task
-    usable = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (picked < max(bounds.values(), default=0)))
-    chosen = usable.select("doc_id").distinct().join(known.filter(wanted), "doc_id").select("doc_id", "toxic", picked.alias("p"))
+    usable = usable.filter(picked < max(bounds.values(), default=0))
+    chosen = known.filter(wanted).select("doc_id", "toxic", picked.alias("p"))
     ids: tuple[list, list] = ([], [])
     for r in sorted(chosen.collect(), key=lambda r: (r.p, r.doc_id)):
         if len(ids[r.toxic == 0]) < rows:

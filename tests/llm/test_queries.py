@@ -176,6 +176,20 @@ def test_op9_toxicity(spark):
         assert abs(r.score - plain_score(model, terms, stems, texts[r.doc_id], cache)) < 1e-6, r.doc_id
 
 
+@pytest.mark.parametrize("change", ["removed", "flipped"])
+def test_labels_of_held_out_rows_change_nothing_in_op9(spark, change):
+    """The bound binds here: there are more labelled rows than wanted, so their number steers the sample."""
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    docs, labels = table(spark, MORE, "documents"), table(spark, MORE, "labels")
+    other = labels.filter(~held) if change == "removed" else labels.withColumn("toxic", F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    wanted, before, after = 20, toxicity.sample(docs.filter(~held), labels, 20), toxicity.sample(docs.filter(~held), other, 20)
+    for a, b in zip(before, after, strict=True):
+        assert sorted(r.text for r in a.collect()) == sorted(r.text for r in b.collect())
+        assert 0.9 * wanted <= a.count() <= wanted  # equal texts count once
+    rows = [{(r.doc_id, r[1]) for r in toxicity.score(docs.select("doc_id", "text"), toxicity.train(*x)).collect()} for x in (before, after)]
+    assert rows[0] == rows[1]
+
+
 def test_op10_language_id(spark):
     rows = table(spark, SF, "documents").select("doc_id", "text", "lang").collect()
     learnt: dict[str, dict[bytes, Counter]] = defaultdict(lambda: defaultdict(Counter))
