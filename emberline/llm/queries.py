@@ -104,6 +104,28 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", (held_out_rest(F.col("doc_id"), 4) == 2).alias("held_out"), "text"), model)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import audit
+
+    outcomes = {"good": F.col("quality") == 1, "toxic": F.col("toxic") == 1}
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), outcomes)
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import labelled, measured, score, train
+
+    held = (held_out_rest(F.col("doc_id"), 5) == 0).alias("held_out")
+    rows = measured(table(spark, sf_dir, "documents").select("doc_id", held, "text"))
+    scored = score(rows, train(labelled(rows.filter("not held_out"), table(spark, sf_dir, "labels"))))
+    return scored.select("doc_id", "held_out", F.col("__ql_score").alias("score"), (F.col("__ql_score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import divergence
+
+    return divergence(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_decontaminate": op2_decontaminate,
@@ -115,4 +137,7 @@ QUERIES: dict[str, Query] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_quality": op12_quality,
+    "op13_divergence": op13_divergence,
 }

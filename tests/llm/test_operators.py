@@ -26,7 +26,7 @@ PATH = public.path("byte_bpe_50k.json")
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations", "benchmark"):
+    for t in ("documents", "pages", "conversations", "benchmark", "labels"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = con.execute(ORACLE_SQL[name])
     columns = [c[0] for c in want.description]
