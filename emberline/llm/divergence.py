@@ -3,9 +3,9 @@
 A term carries its language, so that one CountVectorizer (document frequency at
 least `min_df`, no bound on the vocabulary) holds the vocabulary of every language
 on its own and turns each document into an exact sparse vector. The vocabulary is
-first counted by Spark and then fitted in slices by hash of the term, each of about
-SLICE_TERMS terms: more text gives more slices, and neither the driver nor a
-broadcast holds more than one of them.
+first sized by Spark and then fitted in slices by hash of the term, each of about
+SLICE_TERMS terms: more text gives more slices, a slice reads its own terms only,
+and neither the driver nor a broadcast holds more than one of them.
 
 Vectors are summed by language and source as they are, sparse: an entry becomes a
 row, summed before it shuffles. Two sources are compared over the terms that either
@@ -29,6 +29,7 @@ so other columns may have any name.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +38,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import shared_path, text_or_empty, written
+from .common import byte_values, chunks, shared_path, span_hash, spans_within, text_or_empty, tidy, values, written
 
 #: Terms of all languages in a slice of the vocabulary.
-SLICE_TERMS = 1 << 18
+SLICE_TERMS = 1 << 19
+SLICE_BYTES = 2 << 20
 #: Sources of a language that are compared at once, and pair sums that a task holds.
 BLOCK, HELD_PAIRS = 1 << 10, 1 << 20
 #: The largest value that CountVectorizer takes: the vocabulary isn't cut.
@@ -48,42 +50,100 @@ NO_BOUND = 2**31 - 1
 SCALE = 1_000_000_000
 
 
-def terms_of(docs: DataFrame) -> DataFrame:
-    """lang, source and terms: runs of letters and of characters beyond ASCII, A-Z in lower case, each with its language after a space."""
-    low = F.translate(text_or_empty(), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    lang, source = text_or_empty("lang").alias("lang"), text_or_empty("source").alias("source")
-    found = F.regexp_extract_all(low, F.lit(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
-    return docs.select(lang, source, found.alias("terms"))
-
-
-def _keys(rows: DataFrame, terms: Column, part: int, parts: int) -> DataFrame:
-    """lang, source and keys (term, space, language) of the terms of one slice."""
-    if parts > 1:
-        terms = F.filter(terms, lambda t: F.pmod(F.xxhash64(t), F.lit(parts)) == part)
-    return rows.select("lang", "source", F.transform(terms, lambda t: F.concat_ws(" ", t, "lang")).alias("keys"))
+_LOW = np.arange(256, dtype=np.uint8)
+_LOW[65:91] += 32
+_IS_TERM = np.zeros(256, bool)
+_IS_TERM[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+@dataclass
+class Keys:
+    """Terms of a slice of texts, each followed by a space and its language: bytes, offsets, the text of each and a hash."""
+
+    data: np.ndarray
+    offsets: np.ndarray
+    text: np.ndarray
+    hashed: np.ndarray
+
+
+def keys_of(batch: pa.RecordBatch) -> Keys:
+    """Terms are runs of letters and of characters beyond ASCII, with A-Z in lower case."""
+    data, offsets = values(batch.column("text"))
+    term = _IS_TERM[data]
+    starts, ends = spans_within(term, offsets)
+    text, size = np.searchsorted(offsets, starts, "right") - 1, ends - starts
+    langs = batch.column("lang").dictionary_encode()
+    names = [b" " + x.encode() for x in langs.dictionary.to_pylist()]
+    lang = np.array(langs.indices, np.int64)[text]
+    more = np.array([len(x) for x in names], np.int64)[lang]
+    upto = np.concatenate(([0], np.cumsum(size + more)))
+    out = np.empty(upto[-1], np.uint8)
+    out[np.arange(size.sum()) + np.repeat(np.concatenate(([0], np.cumsum(more)[:-1])) if len(more) else more, size)] = _LOW[data[term]]
+    for k, name in enumerate(names):
+        own = lang == k
+        out[(upto[:-1] + size)[own, None] + np.arange(len(name))] = np.frombuffer(name, np.uint8)
+    return Keys(out, upto, text, span_hash(byte_values(out), upto[:-1], upto[1:]))
+
+
+def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of terms and the number of texts of a slice that have each."""
+    for whole in batches:
+        for batch in chunks(whole, "text", SLICE_BYTES):
+            k = keys_of(batch)
+            once = np.unique(k.hashed + k.text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_index=True)[1]
+            hashed, n = np.unique(k.hashed[once], return_counts=True)
+            yield pa.record_batch({"key": pa.array(hashed.view(np.int64)), "n": pa.array(n.astype(np.int64))})
+
+
+def _split_keys(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The terms of each text by slice of the vocabulary: a row for each text and slice that it has terms of."""
+        for whole in batches:
+            for batch in chunks(whole, "text", SLICE_BYTES):
+                k = keys_of(batch)
+                keys = pa.Array.from_buffers(pa.large_string(), len(k.text), [None, pa.py_buffer(k.offsets.astype(np.int64)), pa.py_buffer(k.data)])
+                place = (k.hashed % np.uint64(parts)).astype(np.int64) * batch.num_rows + k.text
+                if parts > 1:
+                    order = np.argsort(place, kind="stable")
+                    keys, place = keys.take(pa.array(order)), place[order]
+                own, first = np.unique(place, return_index=True)
+                lists = pa.LargeListArray.from_arrays(pa.array(np.append(first, len(place)).astype(np.int64)), keys).cast(pa.list_(pa.string()))
+                part, text = np.divmod(own, max(batch.num_rows, 1))
+                yield pa.record_batch({"source": batch.column("source").take(pa.array(text)), "keys": lists, "part": pa.array(part.astype(np.int32))})
+
+    return run
 
 
 def group_counts(docs: DataFrame, min_df: int = 10) -> tuple[DataFrame, DataFrame]:
     """(counts, groups): lang, source, term, n > 0 for kept terms; and every (lang, source) that occurs."""
     spark = docs.sparkSession
-    rows = written(terms_of(docs), "divergence-terms")
+    rows = docs.select(text_or_empty("lang").alias("lang"), text_or_empty("source").alias("source"), text_or_empty().alias("text"))
     groups = written(rows.select("lang", "source").distinct(), "divergence-groups")
-    used = rows.select("lang", F.explode(F.array_distinct("terms")).alias("term")).groupBy("lang", "term").agg(F.count(F.lit(1)).alias("df"))
-    kept = used.filter(F.col("df") >= min_df).count()
-    parts, path = -(-kept // SLICE_TERMS), shared_path(spark, "divergence-counts")
+    # how large the vocabulary is, by hashes of its terms; which terms are in it is for the fit to say
+    used = rows.select("lang", "text").mapInArrow(_document_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    parts = -(-used.filter(F.col("n") >= min_df).count() // SLICE_TERMS)
     schema = "lang string, source string, term string, n long"
+    if not parts:
+        return spark.createDataFrame([], schema), groups
+    terms, path = shared_path(spark, "divergence-terms"), shared_path(spark, "divergence-counts")
+    split = rows.mapInArrow(_split_keys(parts), "source string, keys array<string>, part int")
+    with tidy(spark):
+        # a slice is read on its own later, so its rows come together; one slice needs no exchange
+        (split.hint("rebalance", "part") if parts > 1 else split).write.partitionBy("part").parquet(terms)
+    own = spark.read.schema("source string, keys array<string>, part int").parquet(terms)
     for part in range(parts):
-        fit_on = _keys(rows, F.array_distinct("terms"), part, parts)
-        model = CountVectorizer(inputCol="keys", outputCol="vector", minDF=float(min_df), vocabSize=NO_BOUND).fit(fit_on)
+        keys = own.filter(F.col("part") == part).select("source", "keys")
+        model = CountVectorizer(inputCol="keys", outputCol="vector", minDF=float(min_df), vocabSize=NO_BOUND).fit(keys)
         saved = shared_path(spark, "divergence-vocabulary")
         model.save(saved)
         names = spark.read.parquet(f"{saved}/data").select(F.posexplode("vocabulary").alias("at", "key"))
-        vectors = model.transform(_keys(rows, F.col("terms"), part, parts)).select("lang", "source", F.unwrap_udt("vector").alias("v"))
-        entries = vectors.select("lang", "source", F.inline(F.arrays_zip(F.col("v.indices").alias("at"), F.col("v.values").alias("x"))))
-        sums = entries.groupBy("lang", "source", "at").agg(F.sum(F.col("x").cast("long")).alias("n"))
-        sums.join(names, "at").select("lang", "source", F.substring_index("key", " ", 1).alias("term"), "n").write.mode("append").parquet(path)
-    counts = spark.read.schema(schema).parquet(path) if parts else spark.createDataFrame([], schema)
-    return counts, groups
+        vectors = model.transform(keys).select("source", F.unwrap_udt("vector").alias("v"))
+        entries = vectors.select("source", F.inline(F.arrays_zip(F.col("v.indices").alias("at"), F.col("v.values").alias("x"))))
+        sums = entries.groupBy("source", "at").agg(F.sum(F.col("x").cast("long")).alias("n"))
+        lang = F.substr("key", F.length(F.substring_index("key", " ", 1)) + 2)
+        with tidy(spark):
+            sums.join(names, "at").select(lang.alias("lang"), "source", F.substring_index("key", " ", 1).alias("term"), "n").write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path), groups
 
 
 def _share(count: Column, total: Column, terms: Column) -> Column:
