@@ -111,32 +111,83 @@ def history_since(fires: DataFrame, now: Column, max_days: int = 45) -> DataFram
     return fires.withColumn("since", F.greatest(F.to_date("created_on"), F.date_sub(F.to_date(now), max_days)))
 
 
+def page_plan(counts: DataFrame, cursors: DataFrame, limit: int, pages: int = 4) -> DataFrame:
+    """How far at most `pages` pages of `limit` rows reach, by a fold over each fire's day counts; no row is looked at.
+
+    counts: fire, acq_date, n; cursors: fire, cursor. A page holds the oldest rows
+    from its day on and the next one restarts at its newest day, so pages overlap. A
+    page that begins and ends on one day can't be paged past: that day stalls and
+    the walk stops. Returns fire, cursor, last (newest day reached; null: no rows),
+    part (rows taken of it; the days before it are taken whole), stalled, complete.
+    """
+    long = lambda x: F.lit(x).cast("long")
+    state = {"start": F.col("cursor"), "room": long(limit), "used": long(0), "stopped": F.lit(False), "stalled": F.lit(False), "last": F.lit(None).cast("string"), "part": long(0)}
+    pack = lambda d: F.struct(*(v.alias(k) for k, v in d.items()))
+
+    def step(acc: Column, day: Column) -> Column:
+        d, n = day["acq_date"], day["n"]
+        full = n >= acc["room"]
+        stuck = full & (acc["start"] == d)  # the page that ends here also began here
+        capped = full & ~stuck & (acc["used"] + 1 >= pages)
+        again = full & ~stuck & ~capped  # the next page begins with this day
+        stuck_again = again & (n >= limit)
+        stalled = stuck | stuck_again
+        return F.when(acc["stopped"], acc).otherwise(pack({
+            "start": F.when(again, d).otherwise(acc["start"]),
+            "room": F.when(again, limit - n).when(full, acc["room"]).otherwise(acc["room"] - n),
+            "used": acc["used"] + full.cast("long") + stuck_again.cast("long"),
+            "stopped": stalled | capped, "stalled": stalled, "last": d,
+            "part": F.when(stalled, long(limit)).when(capped, acc["room"]).otherwise(n),
+        }))
+
+    from_cursor = counts.join(cursors.select("fire", "cursor"), "fire").filter("acq_date >= cursor")
+    days = from_cursor.groupBy("fire").agg(F.sort_array(F.collect_list(F.struct("acq_date", F.col("n").cast("long").alias("n")))).alias("days"))
+    walk = cursors.select("fire", "cursor").join(days, "fire", "left").withColumn("days", F.coalesce("days", F.array().cast("array<struct<acq_date:string,n:bigint>>")))
+    reached = walk.select("fire", "cursor", F.aggregate("days", pack(state), step).alias("r"))
+    return reached.select("fire", "cursor", "r.last", "r.part", "r.stalled", (~F.col("r.stopped")).alias("complete"))
+
+
+def _day_counts(detections: DataFrame) -> DataFrame:
+    return detections.groupBy("fire", "acq_date").agg(F.count(F.lit(1)).alias("n"))
+
+
 def page(detections: DataFrame, cursor: Column, limit: int, pages: int = 4) -> DataFrame:
-    """the oldest limit * pages rows from the cursor day on. A range sort of the rows; no group is gathered."""
-    return detections.filter(F.col("acq_date") >= cursor).orderBy("acq_date", "ordinal").limit(limit * pages)
+    """the rows that `pages` pages of `limit` rows reach from the cursor day on, of one place."""
+    rows = detections.withColumn("fire", F.lit(0))
+    cursors = detections.sparkSession.range(1).select(F.lit(0).alias("fire"), cursor.alias("cursor"))
+    return page_by_fire(rows, cursors, limit, pages).drop("fire")
 
 
 def page_by_fire(detections: DataFrame, cursors: DataFrame, limit: int, pages: int = 4) -> DataFrame:
-    """for each fire its oldest limit * pages rows from its cursor day on. detections have fire; cursors: fire, cursor."""
-    rows = detections.join(cursors.select("fire", "cursor"), "fire").filter("acq_date >= cursor")
-    first = rows.withColumn("k", F.row_number().over(W.partitionBy("fire").orderBy("acq_date", "ordinal"))).filter(F.col("k") <= limit * pages)
-    return first.select(detections.columns)
+    """for each fire the rows its pages reach from its cursor day on. detections have fire; cursors: fire, cursor.
 
+    Days before the last one are taken as they are; only rows of a fire's last day
+    are put in order, and no task keeps more than `limit` of them.
+    """
+    plan = page_plan(_day_counts(detections), cursors, limit, pages).filter("last is not null").select("fire", "cursor", "last", "part")
+    rows = detections.join(plan, "fire").filter("acq_date >= cursor and acq_date <= last")
+    newest = rows.filter("acq_date = last").withColumn("k", F.row_number().over(W.partitionBy("fire", "acq_date").orderBy("ordinal"))).filter(F.col("k") <= limit)
+    return rows.filter("acq_date < last").select(detections.columns).unionByName(newest.filter("k <= part").select(detections.columns))
 
-def next_cursors(taken: DataFrame, cursors: DataFrame, now: Column, limit: int, pages: int = 4) -> DataFrame:
-    """where each fire goes on after `taken`, its page_by_fire: fire, cursor, stalled, stalled_day.
 
-    A full page goes on from its newest day, never past yesterday; if that is the
-    cursor's own day, the day exceeds the cap: it stays partial, is reported as
-    stalled and stepped over. A page that isn't full took everything, and the
-    next one begins with yesterday.
+def next_cursors(detections: DataFrame, cursors: DataFrame, now: Column, limit: int, pages: int = 4) -> DataFrame:
+    """Where each fire goes on: fire, cursor, stalled, stalled_day.
+
+    After a stalled day comes the next day; pages that took everything go on from
+    yesterday; else the newest day reached, never past yesterday.
     """
-    seen = taken.groupBy("fire").agg(F.max("acq_date").alias("newest"), F.count(F.lit(1)).alias("n"))
     yesterday = F.date_sub(F.to_date(now), 1).cast("string")
-    full = F.coalesce(F.col("n") >= limit * pages, F.lit(False))
-    stalled = full & (F.col("newest") == F.col("cursor"))
-    step = F.when(stalled, F.date_add(F.to_date("cursor"), 1).cast("string")).when(full, F.least("newest", yesterday)).otherwise(F.greatest("cursor", yesterday))
-    return cursors.join(seen, "fire", "left").select("fire", step.alias("cursor"), stalled.alias("stalled"), F.when(stalled, F.col("cursor")).alias("stalled_day"))
+    after_stall = F.date_add(F.to_date("last"), 1).cast("string")
+    step = F.when(F.col("stalled"), after_stall).when(F.col("complete"), F.greatest("cursor", yesterday)).otherwise(F.least("last", yesterday))
+    plan = page_plan(_day_counts(detections), cursors, limit, pages)
+    return plan.select("fire", step.alias("cursor"), "stalled", F.when(F.col("stalled"), F.col("last")).alias("stalled_day"))
+
+
+def mark_synced(taken: DataFrame, after: DataFrame, now: Column) -> DataFrame:
+    """Days of a sync's rows with their number and whether they are final: behind the fire's next cursor, before yesterday, and not stalled. after: next_cursors."""
+    days = _day_counts(taken).join(after, "fire")
+    done = (F.col("acq_date") < F.col("cursor")) & (F.col("acq_date") < F.date_sub(F.to_date(now), 1).cast("string")) & ~F.col("acq_date").eqNullSafe(F.col("stalled_day"))
+    return days.select("fire", "acq_date", "n", done.alias("final"))
 
 
 def next_generation(state: DataFrame, wanted: DataFrame) -> DataFrame:

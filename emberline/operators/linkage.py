@@ -17,7 +17,7 @@ ROW = (
 COUNTS = ["acres", "acres_change", "contained_pct", "", "", "personnel", "personnel_change", "crews", "engines", "helicopters", "structures_lost"]
 
 
-#: States of a region (geographic area coordination centre); a region that isn't listed sets no limit.
+#: Fixed values. States of a region (geographic area coordination centre); a region that isn't listed sets no limit.
 REGION_STATES = {
     "alaska": "AK", "calif_n": "CA", "calif_s": "CA", "california_statewide": "CA", "eastern": "MN WI MI IA IL IN OH MO NH VT ME MA CT RI NY NJ PA DE MD WV",
     "great_basin": "NV UT ID WY AZ", "n_rockies": "MT ND ID", "pacific_nw": "OR WA", "pacific_nw_oregon": "OR", "pacific_nw_washington": "WA", "rocky_mtn": "CO WY SD NE KS",
@@ -42,31 +42,32 @@ def match_incidents(dirs: DataFrame, fires: DataFrame, overrides: DataFrame, reg
     dirs: dir, name, state, token, and if there are any region (its states stand
     for the state) and tokens (ids by falling votes, instead of token); fires:
     fire, name, state, unique_fire_id; overrides: dir, pin ('ignore' drops the
-    folder). Each stage takes what the one before left. The first voted id that a
-    fire has wins. Several exact hits or a tied best score reject the folder. A
-    folder without region and state may be a fire of any state. Name stages are
-    equi joins within a state; the fuzzy one takes the best pair of name variants
-    and joins only lengths that allow the score.
+    folder). Returns dir, fire, method, score and pin: a pin holds also where no
+    fire has it (fire is null then). The first voted id that a fire has wins.
+    Several exact hits or a tied best score reject the folder. A folder without
+    region and state may be a fire of any state.
+
+    All stages put their candidates side by side and the first stage of a folder
+    counts. Names meet once: folders and fires are joined as distinct names, of
+    which the smallest and the largest fire tell whether one fire alone has them,
+    so a name that many share costs one row; a score of 100 is the exact hit.
     """
-    pinned = dirs.join(overrides, "dir").join(fires.select("fire", F.col("unique_fire_id").alias("pin")), "pin", "left")
-    by_pin = pinned.filter("pin <> 'ignore'").select("dir", "fire", F.lit("override").alias("method"), F.lit(1.0).alias("score"))
-    rest = dirs.join(overrides.select("dir"), "dir", "left_anti")
     ids = fires.select("fire", F.upper("unique_fire_id").alias("token"))
-    voted = rest.select("dir", F.posexplode(F.col("tokens") if "tokens" in dirs.columns else F.array("token")).alias("k", "token")).withColumn("token", F.upper("token"))
-    by_id = voted.join(ids, "token").groupBy("dir").agg(F.min_by("fire", F.struct(F.col("k"), -F.col("fire"))).alias("fire"))
-    by_id = by_id.select("dir", "fire", F.lit("unit_num").alias("method"), F.lit(1.0).alias("score"))
-    rest = rest.join(by_id.select("dir"), "dir", "left_anti")
-    left = rest.select("dir", F.explode(_pools(dirs, regions)).alias("pool"), F.explode(tx.name_variants(tx.normalize_name(F.col("name")))).alias("v"))
-    known = fires.withColumn("norm", tx.normalize_name(F.col("name"))).filter("norm <> ''")
-    right = known.select("fire", F.explode(F.array(F.col("state"), F.lit(ANYWHERE))).alias("pool"), F.explode(tx.name_variants(F.col("norm"))).alias("v2"))
-    hits = left.join(right.withColumnRenamed("v2", "v"), ["pool", "v"]).groupBy("dir").agg(F.min("fire").alias("fire"), F.max("fire").alias("other"))
-    by_name = hits.filter("fire = other").select("dir", "fire", F.lit("name_exact").alias("method"), F.lit(EXACT).alias("score"))
-    left = left.join(hits.select("dir"), "dir", "left_anti")
-    pairs = left.withColumn("size", F.explode(allowed_lengths(F.length("v")))).join(right.withColumn("size", F.length("v2")), ["pool", "size"])
-    scored = pairs.withColumn("score", tx.indel_ratio(F.col("v"), F.col("v2"))).filter(F.col("score") >= FUZZY).groupBy("dir", "fire").agg(F.max("score").alias("score"))
-    ranked = scored.withColumn("k", F.rank().over(W.partitionBy("dir").orderBy(F.col("score").desc()))).filter("k = 1").groupBy("dir").agg(F.min("fire").alias("fire"), F.max("fire").alias("other"), F.max("score").alias("score"))
-    by_fuzz = ranked.filter("fire = other").select("dir", "fire", F.lit("name_fuzzy").alias("method"), F.bround(F.col("score") / 100, 3).alias("score"))
-    return by_pin.unionByName(by_id).unionByName(by_name).unionByName(by_fuzz)
+    found = lambda stage, fire, method, score, pin=F.lit(None).cast("string"): ("dir", F.lit(stage).alias("stage"), F.struct(fire.alias("fire"), method.alias("method"), score.alias("score"), pin.alias("pin")).alias("m"))
+    pinned = overrides.join(dirs.select("dir"), "dir", "left_semi").join(fires.groupBy(F.col("unique_fire_id").alias("pin")).agg(F.min("fire").alias("fire")), "pin", "left")
+    by_pin = pinned.select(*found(0, F.col("fire"), F.when(F.col("pin") != "ignore", "override"), F.lit(1.0), F.col("pin")))
+    voted = dirs.select("dir", F.posexplode(F.col("tokens") if "tokens" in dirs.columns else F.array("token")).alias("k", "token")).withColumn("token", F.upper("token"))
+    by_id = voted.join(ids, "token").groupBy("dir").agg(F.min_by("fire", F.struct(F.col("k"), -F.col("fire"))).alias("fire")).select(*found(1, F.col("fire"), F.lit("unit_id"), F.lit(1.0)))
+    forms = dirs.select("dir", F.explode(_pools(dirs, regions)).alias("pool"), F.explode(tx.name_variants(tx.normalize_name(F.col("name")))).alias("v")).filter("v <> ''")
+    known = fires.select("fire", "state", F.explode(tx.name_variants(tx.normalize_name(F.col("name")))).alias("v2")).filter("v2 <> ''")
+    known = known.select("fire", F.explode(F.array(F.col("state"), F.lit(ANYWHERE))).alias("pool"), "v2").filter("pool is not null").groupBy("pool", "v2").agg(F.min("fire").alias("low"), F.max("fire").alias("high"))
+    best = lambda rows, *keys: rows.groupBy(*keys, "score").agg(F.min("low").alias("low"), F.max("high").alias("high")).groupBy(*keys).agg(F.max_by(F.struct("score", "low", "high"), "score").alias("b")).select(*keys, "b.*")
+    names = best(close_names(forms.select("pool", "v").distinct(), known.select("pool", "v2"), ["pool"]).join(known, ["pool", "v2"]).withColumnRenamed("ratio", "score"), "pool", "v")
+    alone = best(forms.join(names, ["pool", "v"]), "dir").filter("low = high")
+    exact = F.col("score") == 100
+    by_name = alone.select(*found(2, F.col("low"), F.when(exact, "name_exact").otherwise("name_fuzzy"), F.when(exact, EXACT).otherwise(F.bround(F.col("score") / 100, 3))))
+    first = by_pin.unionByName(by_id).unionByName(by_name).groupBy("dir").agg(F.min_by("m", "stage").alias("m"))
+    return first.select("dir", "m.*").filter("method is not null")
 
 
 def allowed_lengths(n: Column) -> Column:
@@ -74,18 +75,69 @@ def allowed_lengths(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.ceil(n * 9 / 11).cast("int"), F.floor(n * 11 / 9).cast("int")))
 
 
-def name_pairs(fires: DataFrame) -> DataFrame:
-    """Every two fires of a state whose names' lengths allow a ratio of FUZZY, with that ratio. fires: fire, name, state; each pair once, the smaller fire as a.
+def name_grams(name: Column) -> Column:
+    """Pairs of neighbouring characters, ends included, each with its number among its equals, so that the array is a set."""
+    marked = F.concat(F.lit("\x01"), name, F.lit("\x02"))
+    pairs = F.array_sort(F.transform(F.sequence(F.lit(1), F.length(name) + 1), lambda i: F.substring(marked, i, F.lit(2))))
+    return F.transform(pairs, lambda x, i: F.concat(x, (i + 2 - F.array_position(pairs, x)).cast("string")))
 
-    Distinct names are compared, in an equi join on state and length.
+
+def _edits(total: Column, least: float) -> Column:
+    """Characters to insert and delete, at most, for a ratio of `least` between names of so many characters together."""
+    return F.floor(total * ((100 - least) / 100) + 1e-9)
+
+
+def candidate_names(left: DataFrame, right: DataFrame, keys: list[str], least: float = FUZZY) -> DataFrame:
+    """keys, v, v2: pairs of left's names v and right's names v2 of equal keys that may reach `least`. Both have distinct rows.
+
+    With d characters inserted or deleted, i of them deleted from a, at most d + i
+    of a's grams aren't in b: a deletion spoils two of a's pairs, an insertion one.
+    So of any d + i + 1 grams of a one is in b, and the rarest ones are taken on
+    both sides (prefix filter): no pair is lost, and common grams never meet.
+    """
+    rare = right.select(F.explode(name_grams(F.col("v2"))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("__n"))
+
+    def prefix(rows: DataFrame, name: str) -> DataFrame:
+        n = F.length(name)
+        spoilt = lambda m: F.floor((3 * _edits(n + m, least) + n - m) / 2)
+        sizes = F.sequence(F.ceil(n * (least / (200 - least)) - 1e-9).cast("int"), F.floor(n * ((200 - least) / least) + 1e-9).cast("int"))
+        grams = rows.select(*keys, name, (F.array_max(F.transform(sizes, spoilt)) + 1).alias("__take"), F.explode(name_grams(F.col(name))).alias("gram"))
+        place = F.row_number().over(W.partitionBy(*keys, name).orderBy(F.coalesce("__n", F.lit(0)), "gram"))
+        return grams.join(rare, "gram", "left").withColumn("__k", place).filter("__k <= __take").select(*keys, name, "gram")
+
+    met = prefix(left, "v").join(prefix(right, "v2"), [*keys, "gram"])
+    total = F.length("v") + F.length("v2")
+    longer, shorter = F.greatest(F.length("v"), F.length("v2")), F.least(F.length("v"), F.length("v2"))
+    return met.filter(longer - shorter <= _edits(total, least)).select(*keys, "v", "v2").distinct()
+
+
+def likely_names(left: DataFrame, right: DataFrame, keys: list[str], least: float = FUZZY) -> DataFrame:
+    """Candidates that also pass two cheap tests which no pair of that ratio fails: grams they share, and a Levenshtein distance within the bound, as it is never above the number of insertions and deletions."""
+    total = F.length("v") + F.length("v2")
+    edits = _edits(total, least)
+    shared = F.size(F.array_intersect(name_grams(F.col("v")), name_grams(F.col("v2")))) >= 1 + F.ceil((total - 3 * edits) / 2)
+    return candidate_names(left, right, keys, least).filter(shared).filter(F.levenshtein("v", "v2") <= edits)
+
+
+def close_names(left: DataFrame, right: DataFrame, keys: list[str], least: float = FUZZY) -> DataFrame:
+    """keys, v, v2, ratio: pairs of names with an indel ratio of `least` or more."""
+    return likely_names(left, right, keys, least).withColumn("ratio", tx.indel_ratio(F.col("v"), F.col("v2"))).filter(F.col("ratio") >= least)
+
+
+def name_pairs(fires: DataFrame, least: float = FUZZY) -> DataFrame:
+    """Fires of a state whose names are alike by a ratio of `least` or more, as links a, b, ratio (a < b). fires: fire, name, state.
+
+    The first fire of each name stands for it: names are linked between those, and
+    the other fires of a name hang on its first one at 100. Nothing is lost, and a
+    name that many fires have gives as many rows as fires.
     """
-    names = fires.filter("name is not null").select("state", "name").distinct().withColumn("size", F.length("name"))
-    left = names.select("state", F.col("name").alias("x"), F.explode(F.when(F.col("size") > 0, allowed_lengths(F.col("size"))).otherwise(F.array(F.lit(0)))).alias("size"))
-    pairs = left.join(names.withColumnRenamed("name", "y"), ["state", "size"]).filter("x <= y")
-    scored = pairs.select("state", "x", "y", tx.indel_ratio(F.col("x"), F.col("y")).alias("ratio"))
-    own = lambda k, n: fires.select("state", F.col("fire").alias(k), F.col("name").alias(n))
-    both = scored.join(own("f", "x"), ["state", "x"]).join(own("g", "y"), ["state", "y"]).filter("f <> g and (x <> y or f < g)")
-    return both.select(F.least("f", "g").alias("a"), F.greatest("f", "g").alias("b"), "ratio")
+    named = fires.filter("name is not null and state is not null").groupBy("state", "name").agg(F.min("fire").alias("first"))
+    one = named.select("state", F.col("name").alias("v"))
+    close = close_names(one, one.withColumnRenamed("v", "v2"), ["state"], least).filter("v < v2")
+    first = lambda k, n: named.select("state", F.col("name").alias(n), F.col("first").alias(k))
+    links = close.join(first("f", "v"), ["state", "v"]).join(first("g", "v2"), ["state", "v2"]).select(F.least("f", "g").alias("a"), F.greatest("f", "g").alias("b"), "ratio")
+    members = fires.join(named, ["state", "name"]).filter("fire <> first").select(F.col("first").alias("a"), F.col("fire").alias("b"), F.lit(100.0).alias("ratio"))
+    return links.unionByName(members)
 
 
 def match_forecast_slugs(slugs: DataFrame, documents: DataFrame, fires: DataFrame) -> DataFrame:
@@ -101,22 +153,22 @@ def match_forecast_slugs(slugs: DataFrame, documents: DataFrame, fires: DataFram
     ids = documents.select("slug", tx.norm_guid(F.col("cornea_id")).alias("guid"))
     uid = F.col("unique_fire_id") if "unique_fire_id" in fires.columns else F.lit(None).cast("string")
     own = fires.select("fire", "name", "state", tx.norm_guid(F.col("cornea_id")).alias("guid"), tx.slugify(F.col("name")).alias("form"), F.element_at(F.split(uid, "-"), -1).try_cast("long").alias("incident"))
-    by_doc = slugs.join(ids, "slug").join(own.select("guid", "fire"), "guid").groupBy("slug").agg(F.min("fire").alias("fire")).select("slug", "fire", F.lit("document").alias("method"), F.lit(1.0).alias("score"))
-    rest = slugs.join(by_doc.select("slug"), "slug", "left_anti").filter(F.contains("slug", F.lit("-")))
+    found = lambda stage, fire, method, score: ("slug", F.lit(stage).alias("stage"), F.struct(fire.alias("fire"), method.alias("method"), score.alias("score")).alias("m"))
+    by_doc = slugs.join(ids, "slug").join(own.select("guid", "fire"), "guid").groupBy("slug").agg(F.min("fire").alias("fire")).select(*found(0, F.col("fire"), F.lit("document"), F.lit(1.0)))
     head = F.substring_index("slug", "-", 1)
-    rest = rest.select("slug", F.upper(head).alias("state"), F.substr("slug", F.length(head) + 2).alias("whole"))
-    rest = rest.withColumns({"number": F.regexp_extract("whole", r"-([0-9]{4,6})$", 1).try_cast("long"), "bare": F.regexp_replace("whole", r"-[0-9]{4,6}$", "")})
+    split = slugs.filter(F.contains("slug", F.lit("-"))).select("slug", F.upper(head).alias("state"), F.substr("slug", F.length(head) + 2).alias("whole"))
+    split = split.withColumns({"number": F.regexp_extract("whole", r"-([0-9]{4,6})$", 1).try_cast("long"), "bare": F.regexp_replace("whole", r"-[0-9]{4,6}$", "")})
     unique = own.groupBy("state", "form").agg(F.min("fire").alias("fire"), F.min("incident").alias("incident"), F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
-    tries = rest.select("slug", "state", "number", F.posexplode(F.array_distinct(F.array("bare", "whole"))).alias("k", "form"))
+    tries = split.select("slug", "state", "number", F.posexplode(F.array_distinct(F.array("bare", "whole"))).alias("k", "form"))
     hits = tries.join(unique, ["state", "form"]).groupBy("slug").agg(F.min_by(F.struct("fire", "number", "incident"), "k").alias("h"))
     sure = F.coalesce(F.endswith(F.col("h.number").cast("string"), F.col("h.incident").cast("string")), F.lit(False))
-    exact = hits.select("slug", "h.fire", F.when(sure, "unit_num").otherwise("name_exact").alias("method"), F.when(sure, 1.0).otherwise(EXACT).alias("score"))
-    rest = rest.join(exact.select("slug"), "slug", "left_anti")
-    left = rest.withColumn("v", tx.normalize_name(F.replace("bare", F.lit("-"), F.lit(" ")))).withColumn("size", F.explode(allowed_lengths(F.length("v"))))
-    right = own.select("fire", "state", tx.normalize_name(F.col("name")).alias("v2")).withColumn("size", F.length("v2"))
-    scored = left.join(right, ["state", "size"]).withColumn("score", tx.indel_ratio(F.col("v"), F.col("v2"))).filter(F.col("score") >= FUZZY)
-    best = scored.groupBy("slug").agg(F.max_by(F.struct("fire", "score"), F.struct("score", -F.col("fire"))).alias("b"))
-    return by_doc.unionByName(exact).unionByName(best.select("slug", "b.fire", F.lit("name_fuzzy").alias("method"), F.bround(F.col("b.score") / 100, 3).alias("score")))
+    exact = hits.select(*found(1, F.col("h.fire"), F.when(sure, "unit_num").otherwise("name_exact"), F.when(sure, 1.0).otherwise(EXACT)))
+    forms = split.select("slug", "state", tx.normalize_name(F.replace("bare", F.lit("-"), F.lit(" "))).alias("v")).filter("v <> ''")
+    known = own.select("fire", "state", tx.normalize_name(F.col("name")).alias("v2")).filter("v2 <> '' and state is not null").groupBy("state", "v2").agg(F.min("fire").alias("fire"))
+    close = close_names(forms.select("state", "v").distinct(), known.select("state", "v2"), ["state"]).join(known, ["state", "v2"])
+    best = close.groupBy("state", "v").agg(F.max_by(F.struct("fire", "ratio"), F.struct("ratio", -F.col("fire"))).alias("b"))
+    fuzzy = forms.join(best, ["state", "v"]).select(*found(2, F.col("b.fire"), F.lit("name_fuzzy"), F.bround(F.col("b.ratio") / 100, 3)))
+    return by_doc.unionByName(exact).unionByName(fuzzy).groupBy("slug").agg(F.min_by("m", "stage").alias("m")).select("slug", "m.*")
 
 
 def parse_sitrep_lines(lines: DataFrame) -> DataFrame:

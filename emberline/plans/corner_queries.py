@@ -106,12 +106,23 @@ def historic_shapes(spark, sf_dir):
     return lk.historic_perimeters(rows, (-109.75, 38.25, -106.25, 40.75), 2026, "{F00000021}").select("guid", "year")
 
 
+#: Rows of a page: some days of some fires have more at every size of the given tables.
+PAGE_ROWS = 20
+
+
+def synced_days(spark, sf_dir):
+    """The days of each fire's pages and which of them are final."""
+    d = view(spark, sf_dir, "detections").select((F.col("ordinal") % 40).alias("fire"), "ordinal", "acq_date")
+    cursors = d.select("fire").distinct().select("fire", F.date_add(F.lit("2024-01-02").cast("date"), (F.col("fire") % 18).cast("int")).cast("string").alias("cursor"))
+    return det.mark_synced(det.page_by_fire(d, cursors, PAGE_ROWS, 3), det.next_cursors(d, cursors, _now(), PAGE_ROWS, 3), _now())
+
+
 def resumed_pages(spark, sf_dir):
     """Per fire the page from its cursor, and where the next one begins."""
     d = view(spark, sf_dir, "detections").select((F.col("ordinal") % 40).alias("fire"), "ordinal", "acq_date")
     cursors = d.select("fire").distinct().select("fire", F.date_add(F.lit("2024-01-02").cast("date"), (F.col("fire") % 18).cast("int")).cast("string").alias("cursor"))
-    page = det.page_by_fire(d, cursors, 2, 3)
-    after = det.next_cursors(page, cursors, _now(), 2, 3)
+    page = det.page_by_fire(d, cursors, PAGE_ROWS, 3)
+    after = det.next_cursors(d, cursors, _now(), PAGE_ROWS, 3)
     taken = page.groupBy("fire").agg(F.count(F.lit(1)).alias("taken"), F.max("ordinal").alias("last_taken"))
     return after.join(taken, "fire", "left").select("fire", "cursor", "stalled", "stalled_day", F.coalesce("taken", F.lit(0)).alias("taken"), "last_taken")
 
@@ -132,7 +143,7 @@ def zones_known(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    clashing_slugs, state_search, zoned_days, forecast_links, gathered_tokens, accepted_sheets, run_products, arrival_areas, advertised_hours, historic_shapes, resumed_pages, sql_functions, zones_known)}
+    clashing_slugs, state_search, zoned_days, forecast_links, gathered_tokens, accepted_sheets, run_products, arrival_areas, advertised_hours, historic_shapes, resumed_pages, synced_days, sql_functions, zones_known)}
 
 _SLUG = "nullif(trim(regexp_replace(lower({}), '[^a-z0-9]+', '-', 'g'), '-'), '')"
 _NORM = r"trim(regexp_replace(regexp_replace(lower(regexp_replace({}, '[_-]+', ' ', 'g')), '[^a-z0-9 ]+', '', 'g'), '\s+', ' ', 'g'))"
@@ -177,7 +188,22 @@ def links(slugs: str, docs: str, with_incident: bool = True) -> dict[str, str]:
 _LINKS = "SELECT * FROM by_doc UNION ALL SELECT * FROM exact UNION ALL SELECT * FROM fuzzy"
 _CUT = {f"k{i + 1}": f"SELECT sheet, axis, pos, val, a, b FROM (SELECT *, median(r) OVER (PARTITION BY sheet, axis) AS m FROM (SELECT k.sheet, k.axis, k.pos, k.val, l.a, l.b, abs(k.val - l.a * k.pos - l.b) AS r FROM k{i} k JOIN (SELECT sheet, axis, regr_slope(val, pos) AS a, regr_intercept(val, pos) AS b FROM k{i} GROUP BY ALL) l USING (sheet, axis))) WHERE r <= greatest(3 * m, 1e-4)" for i in range(3)}
 _DAYS = "CASE fire % 7 " + " ".join(f"WHEN {i} THEN '{z if z and z != 'Nowhere/Land' else 'UTC'}'" for i, z in enumerate(ZONES)) + " END"
-_PAGED = "SELECT * FROM (SELECT d.fire, d.ordinal, d.acq_date, c.cursor, row_number() OVER (PARTITION BY d.fire ORDER BY d.acq_date, d.ordinal) AS k FROM d JOIN c USING (fire) WHERE d.acq_date >= c.cursor) WHERE k <= 6"
+_CURSORS = {
+    "d": "SELECT ordinal % 40 AS fire, ordinal, acq_date FROM detections", "c": "SELECT DISTINCT fire, CAST(DATE '2024-01-02' + CAST(fire % 18 AS INT) AS VARCHAR) AS cursor FROM d",
+}
+
+
+def paging(limit: int, pages: int) -> dict[str, str]:
+    """one page after the other, over the sorted days and ordinals of each fire's rows from d, from its cursor in c."""
+    return {
+        "lists": "SELECT c.fire, c.cursor, coalesce(list(acq_date ORDER BY acq_date, ordinal) FILTER (ordinal IS NOT NULL), []) AS days, coalesce(list(ordinal ORDER BY acq_date, ordinal) FILTER (ordinal IS NOT NULL), []) AS ids FROM c LEFT JOIN d ON d.fire = c.fire AND d.acq_date >= c.cursor GROUP BY ALL",
+        "walk": f"""SELECT fire, cursor AS since, cursor, days, ids, 0 AS page, 'go' AS state, 0::BIGINT AS reached FROM lists
+ UNION ALL SELECT fire, since, CASE WHEN newest IS NULL THEN cursor ELSE newest END, days, ids, page + 1, CASE WHEN newest IS NULL THEN 'complete' WHEN newest = cursor THEN 'stalled' WHEN page + 1 = {pages} THEN 'capped' ELSE 'go' END, least(before + {limit}, len(days))::BIGINT
+  FROM (SELECT *, days[before + {limit}] AS newest FROM (SELECT *, len(list_filter(days, lambda x: x < cursor)) AS before FROM walk WHERE state = 'go'))""",
+        "ended": "SELECT fire, CASE state WHEN 'stalled' THEN CAST(CAST(cursor AS DATE) + 1 AS VARCHAR) WHEN 'complete' THEN greatest(since, '2024-01-19') ELSE least(cursor, '2024-01-19') END AS cursor, state = 'stalled' AS stalled, CASE WHEN state = 'stalled' THEN cursor END AS stalled_day, days[1 : reached] AS days, ids[1 : reached] AS ids FROM walk WHERE state <> 'go'",
+    }
+
+
 _BOX_GAP = "greatest(-109.75 - x, 0, x - -106.25) + greatest(38.25 - y, 0, y - 40.75)"
 
 ORACLE = {
@@ -194,11 +220,11 @@ ORACLE = {
         walk="""SELECT DISTINCT actor, 0::BIGINT AS ordinal, 0::BIGINT AS i, CAST(NULL AS TIMESTAMP) AS since, 0 AS n, 0 AS total, false AS kept FROM ev
  UNION ALL SELECT actor, ordinal, i, since, CASE WHEN n < 2 AND total < 60 THEN n + 1 ELSE n END, CASE WHEN n < 2 AND total < 60 THEN total + 1 ELSE total END, n < 2 AND total < 60 FROM (
   SELECT ev.actor, ev.ordinal, ev.i, CASE WHEN since IS NULL OR epoch_us(ts) - epoch_us(since) > 60000000 THEN ts ELSE since END AS since, CASE WHEN since IS NULL OR epoch_us(ts) - epoch_us(since) > 60000000 THEN 0 ELSE n END AS n, total FROM walk JOIN ev ON ev.actor = walk.actor AND ev.i = walk.i + 1)"""),
-    "name_ratios": cte(f"SELECT a, b, round({ratio('x', 'y')}, 4) AS ratio FROM (SELECT f.fire AS a, g.fire AS b, f.name AS x, g.name AS y FROM link f JOIN link g ON f.state = g.state AND f.fire < g.fire AND length(g.name) BETWEEN ceil(length(f.name) * 9 / 11) AND floor(length(f.name) * 11 / 9))", "fires", link=_LINK),
+    "name_ratios": cte(f"SELECT least(f.fire, g.fire) AS a, greatest(f.fire, g.fire) AS b, round({ratio('f.name', 'g.name')}, 4) AS ratio FROM named f JOIN named g ON f.state = g.state AND f.name < g.name AND {ratio('f.name', 'g.name')} >= 90 UNION ALL SELECT named.fire, link.fire, 100.0 FROM link JOIN named USING (state, name) WHERE link.fire <> named.fire", "fires", link=_LINK, named="SELECT state, name, min(fire) AS fire FROM link GROUP BY ALL"),
     "matched_slugs": cte(_LINKS, "fires", **links(
         "SELECT DISTINCT lower(state) || '-' || " + _SLUG.format("CASE WHEN fire % 4 = 1 THEN name || 's' ELSE name END") + " || CASE WHEN fire % 2 = 0 THEN '-' || CAST(fire AS VARCHAR) ELSE '' END AS slug FROM link",
         "SELECT lower(state) || '-' || form || '-' || CAST(fire AS VARCHAR) AS slug, cornea_id FROM link WHERE fire % 10 = 0")),
-    "matched_incidents": cte("SELECT dir, fire, 'override' AS method, 1.0::DOUBLE AS score FROM by_pin UNION ALL SELECT dir, fire, 'unit_num', 1.0 FROM by_id UNION ALL SELECT dir, fire, 'name_exact', 0.95 FROM hits WHERE fire = other UNION ALL SELECT dir, fire, 'name_fuzzy', round_even(score / 100, 3)::DOUBLE FROM best WHERE ties = 1 AND k = 1", "fires",
+    "matched_incidents": cte("SELECT dir, fire, 'override' AS method, 1.0::DOUBLE AS score FROM by_pin UNION ALL SELECT dir, fire, 'unit_id', 1.0 FROM by_id UNION ALL SELECT dir, fire, 'name_exact', 0.95 FROM hits WHERE fire = other UNION ALL SELECT dir, fire, 'name_fuzzy', round_even(score / 100, 3)::DOUBLE FROM best WHERE ties = 1 AND k = 1", "fires",
         link=_LINK, dirs="SELECT fire + 1000 AS dir, CASE fire % 3 WHEN 0 THEN name || ' fire' WHEN 1 THEN name || 's' ELSE name END AS name, state, CASE WHEN fire % 7 = 0 THEN unique_fire_id END AS token FROM link",
         pins="SELECT fire + 1000 AS dir, CASE WHEN fire % 2 = 0 THEN 'ignore' ELSE unique_fire_id END AS pin FROM link WHERE fire % 25 = 4",
         by_pin="SELECT dir, fire FROM pins JOIN link ON pin = unique_fire_id", by_id="SELECT dir, fire FROM dirs JOIN link ON upper(token) = upper(unique_fire_id) WHERE dir NOT IN (SELECT dir FROM pins)",
@@ -207,6 +233,12 @@ ORACLE = {
         hits="SELECT dir, min(fire) AS fire, max(fire) AS other FROM lforms JOIN rforms USING (state, v) GROUP BY dir",
         scored=f"SELECT dir, fire, max({ratio('l.v', 'r.v')}) AS score FROM lforms l JOIN rforms r USING (state) WHERE dir NOT IN (SELECT dir FROM hits) GROUP BY ALL",
         best="SELECT *, count(*) OVER (PARTITION BY dir, score) AS ties, rank() OVER (PARTITION BY dir ORDER BY score DESC) AS k FROM scored WHERE score >= 90"),
+    "pinned_incidents": cte("SELECT dir, CASE WHEN fire % 3 = 1 THEN fire END AS fire, 'override' AS method, 1.0::DOUBLE AS score, CASE WHEN fire % 3 = 1 THEN unique_fire_id ELSE 'gone-' || CAST(fire AS VARCHAR) END AS pin FROM pins WHERE fire % 3 < 2 UNION ALL SELECT dir, fire, 'name_exact', 0.95, NULL FROM hits WHERE fire = other UNION ALL SELECT dir, fire, 'name_fuzzy', round_even(score / 100, 3)::DOUBLE, NULL FROM best WHERE ties = 1 AND k = 1", "fires",
+        link=_LINK, dirs="SELECT fire + 1000 AS dir, * FROM link", pins="SELECT * FROM dirs WHERE fire % 5 < 3", open="SELECT * FROM dirs WHERE fire % 5 >= 3",
+        lforms=_FORMS.format(key="dir", source="open"), rforms=_FORMS.format(key="fire", source="link"),
+        hits="SELECT dir, min(fire) AS fire, max(fire) AS other FROM (SELECT l.dir, r.fire FROM lforms l JOIN rforms r USING (v)) GROUP BY dir",
+        scored=f"SELECT dir, r.fire, max({ratio('l.v', 'r.v')}) AS score FROM lforms l JOIN rforms r ON length(r.v) BETWEEN length(l.v) * 9 / 11 AND length(l.v) * 11 / 9 WHERE dir NOT IN (SELECT dir FROM hits) GROUP BY ALL",
+        best="SELECT *, count(*) OVER (PARTITION BY dir, score) AS ties, rank() OVER (PARTITION BY dir ORDER BY score DESC) AS k FROM scored WHERE score >= 90"),
     "state_search": cte("""SELECT ordinal, 'carolina' AS query FROM t WHERE name LIKE '%carolina%' OR st = 'NC' UNION ALL SELECT ordinal, 'ma' FROM t WHERE name LIKE '%ma%' OR st = 'MA' UNION ALL SELECT ordinal, 'mas' FROM t WHERE name LIKE '%mas%' OR st = 'MA'
  UNION ALL SELECT ordinal, ' West V' FROM t WHERE name LIKE '%west v%' OR st = 'WV'""", "fires", t="SELECT ordinal, lower(post_title) AS name, substr('TXGANCFLOHMAMNMIDCPRWVKS', CAST(ordinal % 12 * 2 + 1 AS BIGINT), 2) AS st FROM fires"),
     "zoned_days": cte(f"SELECT fire, CAST(timezone({_DAYS}, timezone('UTC', acq_ts)) AS DATE) AS local_day, count(*) AS n FROM (SELECT ordinal % 14 AS fire, acq_ts FROM detections) GROUP BY ALL", "detections"),
@@ -235,9 +267,8 @@ ORACLE = {
         listed="SELECT * FROM o WHERE fhour <= 18 UNION ALL SELECT cycle, unnest(range(0, 19)), 0 FROM (SELECT DISTINCT cycle FROM o WHERE hour(cycle) = 5)"),
     # a diamond meets a box just if the box's nearest point lies within its radius, streets measured
     "historic_shapes": cte(f"SELECT guid, year FROM (SELECT cornea_id AS guid, 2000 + ordinal % 27 AS year, -124.0 + ordinal % 50 AS x, 32.0 + ordinal % 15 AS y, 0.5 + ordinal % 9 AS r FROM fires) WHERE year >= 2016 AND {_BOX_GAP} <= r AND lower(trim(guid, '{{}}')) <> 'f00000021' ORDER BY year DESC, guid LIMIT 2000", "fires"),
-    "resumed_pages": cte("""SELECT c.fire, CASE WHEN coalesce(n, 0) >= 6 AND newest = c.cursor THEN CAST(CAST(c.cursor AS DATE) + 1 AS VARCHAR) WHEN coalesce(n, 0) >= 6 THEN least(newest, '2024-01-19') ELSE greatest(c.cursor, '2024-01-19') END AS cursor, coalesce(coalesce(n, 0) >= 6 AND newest = c.cursor, false) AS stalled,
- CASE WHEN coalesce(n, 0) >= 6 AND newest = c.cursor THEN c.cursor END AS stalled_day, coalesce(n, 0) AS taken, last_taken FROM c LEFT JOIN (SELECT fire, count(*) AS n, max(acq_date) AS newest, max(ordinal) AS last_taken FROM page GROUP BY fire) USING (fire)""", "detections",
-        d="SELECT ordinal % 40 AS fire, ordinal, acq_date FROM detections", c="SELECT DISTINCT fire, CAST(DATE '2024-01-02' + CAST(fire % 18 AS INT) AS VARCHAR) AS cursor FROM d", page=_PAGED),
+    "resumed_pages": recursive("SELECT fire, cursor, stalled, stalled_day, len(ids)::BIGINT AS taken, list_max(ids) AS last_taken FROM ended", "detections", **_CURSORS, **paging(20, 3)),
+    "synced_days": recursive("SELECT fire, acq_date, count(*) AS n, acq_date < any_value(cursor) AND acq_date < '2024-01-19' AND acq_date <> coalesce(any_value(stalled_day), '') AS final FROM (SELECT *, unnest(days) AS acq_date FROM ended) GROUP BY fire, acq_date", "detections", **_CURSORS, **paging(20, 3)),
     "sql_functions": cte("SELECT ordinal, " + _SLUG.format("post_title") + r""" AS slug, lower(trim(cornea_id, '{}')) AS guid, """ + _NORM.format("post_title") + r""" AS name, lower(firetype) = 'wildfire' AS wildfire, firetype ILIKE 'prescribed%' AS prescribed,
  CASE WHEN poly_last_updated IS NULL THEN 'none' WHEN epoch_ms(TIMESTAMP '1996-01-01') - epoch_ms(poly_last_updated) < 43200000 THEN 'fresh' WHEN epoch_ms(TIMESTAMP '1996-01-01') - epoch_ms(poly_last_updated) < 172800000 THEN 'recent' ELSE 'stale' END AS freshness,
  CASE WHEN ordinal < 30 THEN 'low' WHEN ordinal >= 80 THEN 'high' ELSE 'nominal' END AS conf, lower(unique_fire_id) AS readable, ordinal % 20 BETWEEN 1 AND 12 AS valid, round((ordinal + 180) % 360, 3)::DOUBLE AS bearing, round(sqrt(power(ordinal % 7, 2) + 16) * 2.23694, 4) AS mph FROM fires""", "fires"),

@@ -112,7 +112,7 @@ def stitched_pages(spark, sf_dir):
 
 
 def detection_pages(spark, sf_dir):
-    return ops.page(view(spark, sf_dir, "detections"), F.lit("2024-01-10"), 100).select("ordinal", "acq_date")
+    return ops.page(view(spark, sf_dir, "detections"), F.lit("2024-01-10"), 700).select("ordinal", "acq_date")
 
 
 def generations(spark, sf_dir):
@@ -173,7 +173,14 @@ ORACLE = {
     "final_days": cte("SELECT fire, acq_date, n, n > 5 AS over_cap, acq_date < '2024-01-18' AND acq_date < '2024-01-19' AND n <= 5 AS final FROM (SELECT fire, acq_date, count(*) AS n FROM matched GROUP BY ALL)", "fires", "detections", **_M),
     "history_since": cte("SELECT ordinal, CAST(greatest(CAST(created_on AS DATE), DATE '2024-01-20' - 45) AS VARCHAR) AS since FROM fires", "fires"),
     "stitched_pages": cte("SELECT min(ordinal) AS ordinal, lon, lat, acq_date, acq_time, source FROM (SELECT ordinal, round(lon, 1) AS lon, round(lat, 1) AS lat, acq_date, substr(acq_time, 1, 1) AS acq_time, source FROM detections) GROUP BY ALL", "detections"),
-    "detection_pages": cte("SELECT ordinal, acq_date FROM detections WHERE acq_date >= '2024-01-10' ORDER BY acq_date, ordinal LIMIT 400", "detections"),
+    # page after page: its newest day begins the next one
+    "detection_pages": "WITH RECURSIVE " + cte("", "detections").removeprefix("WITH ").rstrip() + """,
+ d AS (SELECT ordinal, acq_date, row_number() OVER (ORDER BY acq_date, ordinal) AS r FROM detections WHERE acq_date >= '2024-01-10'),
+ first AS (SELECT acq_date, min(r) AS r FROM d GROUP BY 1),
+ walk AS (SELECT 0 AS page, '2024-01-10' AS cursor, 0::BIGINT AS reached, true AS go
+  UNION ALL SELECT page + 1, coalesce(e.acq_date, cursor), coalesce(e.r, (SELECT count(*) FROM d))::BIGINT, coalesce(e.acq_date <> cursor, false) AND page < 3
+   FROM (SELECT w.*, (SELECT min(r) FROM first WHERE acq_date >= w.cursor) AS start FROM walk w WHERE go) w LEFT JOIN d e ON e.r = start + 699)
+ SELECT ordinal, acq_date FROM d WHERE r <= (SELECT max(reached) FROM walk)""",
     "generations": cte(f"""SELECT fire, {_R('', '')}, CAST(CASE WHEN fire % 4 = 0 THEN 1 WHEN fire % 3 = 0 AND grown THEN 3 ELSE 2 END AS INT) AS gen, fire % 4 <> 0 AND fire % 3 = 0 AND grown AS restarted
  FROM (SELECT *, NOT (floor((w + (e-w)*0.2)/0.25)*0.25 <= w AND floor((s + (n-s)*0.2)/0.25)*0.25 <= s AND ceil((e - (e-w)*0.2)/0.25)*0.25 >= e AND ceil((n - (n-s)*0.2)/0.25)*0.25 >= n) AS grown FROM boxes)""", "fires", placed=_PLACED, boxes=_BOXES),
     "recovered_state": cte("""SELECT fire, coalesce(s.gen, p.gen) AS gen, coalesce(s.day, p.day) AS day FROM (SELECT fire, 5 AS gen, CASE WHEN fire % 4 = 0 THEN day END AS day FROM f WHERE fire % 2 = 0) s

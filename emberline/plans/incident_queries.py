@@ -304,7 +304,15 @@ def matched_incidents(spark, sf_dir):
     f = _link_fires(spark, sf_dir)
     dirs = f.select((F.col("fire") + 1000).alias("dir"), F.when(F.col("fire") % 3 == 0, F.concat("name", F.lit(" fire"))).when(F.col("fire") % 3 == 1, F.concat("name", F.lit("s"))).otherwise(F.col("name")).alias("name"), "state", F.when(F.col("fire") % 7 == 0, F.col("unique_fire_id")).alias("token"))
     pins = f.filter("fire % 25 = 4").select((F.col("fire") + 1000).alias("dir"), F.when(F.col("fire") % 2 == 0, "ignore").otherwise(F.col("unique_fire_id")).alias("pin"))
-    return lk.match_incidents(dirs, f, pins).withColumn("score", F.round("score", 3))
+    return lk.match_incidents(dirs, f, pins).select("dir", "fire", "method", F.round("score", 3).alias("score"))
+
+
+def pinned_incidents(spark, sf_dir):
+    """Pins to fires that are there, to one that is gone, and none."""
+    f = _link_fires(spark, sf_dir)
+    dirs = f.select((F.col("fire") + 1000).alias("dir"), "name", F.lit(None).cast("string").alias("state"), F.lit(None).cast("string").alias("token"))
+    pin = F.when(F.col("fire") % 3 == 0, F.concat(F.lit("gone-"), F.col("fire").cast("string"))).when(F.col("fire") % 3 == 1, F.col("unique_fire_id")).otherwise("ignore")
+    return lk.match_incidents(dirs, f, f.filter("fire % 5 < 3").select((F.col("fire") + 1000).alias("dir"), pin.alias("pin"))).withColumn("score", F.round("score", 3))
 
 
 def matched_slugs(spark, sf_dir):
@@ -360,7 +368,7 @@ QUERIES = {f.__name__: f for f in (
     product_names, product_vocabulary, unit_token_lists, candidate_dirs, folder_keys, size_hints, stamps, coordinate_labels, flight_names, content_shards, sheet_fields, first_copies, file_revisions, file_diff, replayed_files,
     changed_folders, sibling_folders, token_votes, incident_summaries, manifest_sheets, manifest_flights, manifest_meta, assembled_flights, flight_backlog, series_counts, run_totals, current_periods, ordered_sheets, budgeted_sheets,
     pending_sheets, inactive_incidents, day_unions, changed_documents, retry_ledger, repair_queue, adopted_markers, retention, ranked_candidates, asset_classes, throttled_events, once_per_scope, heartbeat_latest, heartbeat_history,
-    recent_runs, listing_rows, matched_incidents, matched_slugs, sitrep_rows, narratives, matched_sitrep, name_ratios, label_fits, label_spacing, envelopes, historic_perimeters)}
+    recent_runs, listing_rows, matched_incidents, pinned_incidents, matched_slugs, sitrep_rows, narratives, matched_sitrep, name_ratios, label_fits, label_spacing, envelopes, historic_perimeters)}
 
 _F = "files"
 _DAY = "lpad(CAST(ordinal % 28 + 1 AS VARCHAR), 2, '0')"

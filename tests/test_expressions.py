@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from emberline.functions import geo
@@ -81,7 +83,7 @@ def test_incident_cascade(spark):
     dirs = spark.createDataFrame([("a", "Elk", "CO", "2026-COGMF-000114"), ("b", "HayCreekComplex", "MT", None), ("c", "Moose", "MT", None), ("d", "Hay Crek", "MT", None), ("e", "Elk", "CO", None)], "dir string, name string, state string, token string")
     pins = spark.createDataFrame([("e", "ignore")], "dir string, pin string")
     got = {r.dir: (r.fire, r.method) for r in linkage.match_incidents(dirs, fires, pins).collect()}
-    assert got == {"a": (1, "unit_num"), "b": (2, "name_exact"), "d": (2, "name_fuzzy")}
+    assert got == {"a": (1, "unit_id"), "b": (2, "name_exact"), "d": (2, "name_fuzzy")}
 
 
 def test_incident_names_by_variants_regions_and_ranked_ids(spark):
@@ -96,7 +98,7 @@ def test_incident_names_by_variants_regions_and_ranked_ids(spark):
     got = {r.dir: (r.fire, r.method, r.score) for r in linkage.match_incidents(dirs, fires, spark.createDataFrame([], "dir string, pin string")).collect()}
     assert got == {
         "variants": (1, "name_fuzzy", 0.947), "second state": (3, "name_fuzzy", 0.947), "unknown region": (2, "name_exact", 0.95), "no region": (7, "name_exact", 0.95),
-        "one of two": (4, "name_exact", 0.95), "ranked": (3, "unit_num", 1.0),
+        "one of two": (4, "name_exact", 0.95), "ranked": (3, "unit_id", 1.0),
     }
 
 
@@ -107,32 +109,115 @@ def test_slugs_are_compared_by_normalised_names(spark):
     assert {r.slug: (r.fire, r.method) for r in got} == {"mt-hay-creek": (1, "name_fuzzy"), "co-obrien-draw-500153": (2, "name_fuzzy")}
 
 
-def test_name_ratios_meet_every_pair_of_a_state(spark):
+def test_name_ratios_link_all_names_of_a_state_that_are_alike(spark):
     made = [(i, n, st) for i, (n, st) in enumerate([("elk creek", "CO"), ("elk creeks", "CO"), ("elk creek", "CO"), ("hay ridge", "CO"), ("elk creek", "MT"), ("", "CO"), ("", "CO"), (None, "CO"), ("elk", "CO")], 11)]
-    got = {(r.a, r.b): r.ratio for r in linkage.name_pairs(spark.createDataFrame(made, "fire int, name string, state string")).collect()}
-    assert set(got) == {(11, 12), (11, 13), (12, 13), (11, 14), (12, 14), (13, 14), (16, 17)}
-    assert got[11, 13] == got[16, 17] == 100 and round(got[11, 12], 4) == round(got[12, 13], 4) == 94.7368 and got[11, 14] < 60
-
-
-def test_pages_go_past_a_hot_day(spark):
-    days = ["2024-01-01"] * 3 + ["2024-01-02"] * 11 + ["2024-01-03"] * 2 + ["2024-01-04"] * 3 + ["2024-01-05"]
-    made = [(1, i, d) for i, d in enumerate(days)] + [(2, 100, "2024-01-02")]
-    rows = spark.createDataFrame(made, "fire int, ordinal int, acq_date string")
-    state = [(1, "2024-01-01"), (2, "2024-01-01"), (3, "2024-01-01")]
-    now = F.lit("2024-01-06 12:00:00").cast("timestamp_ntz")
-    got, stalls, walk = set(), [], []
-    for _ in range(5):
-        cursors = spark.createDataFrame(state, "fire int, cursor string")
-        page = detections.page_by_fire(rows, cursors, 2)
-        took = [(r.fire, r.ordinal) for r in page.collect()]
-        assert sum(f == 1 for f, _ in took) <= 8
-        got |= set(took)
-        after = sorted(detections.next_cursors(page, cursors, now, 2).collect())
-        state = [(r.fire, r.cursor) for r in after]
-        walk.append(state[0][1])
-        stalls += [(r.fire, r.stalled_day) for r in after if r.stalled]
-    assert walk == ["2024-01-02", "2024-01-03", "2024-01-05", "2024-01-05", "2024-01-05"] and stalls == [(1, "2024-01-02")]
-    assert got == {(f, i) for f, i, _ in made} - {(1, i) for i in range(11, 14)}  # the hot day stays partial
-    assert state[1:] == [(2, "2024-01-05"), (3, "2024-01-05")]
-    early = detections.next_cursors(page.limit(0), spark.createDataFrame([(9, "2024-01-09")], "fire int, cursor string"), now, 2).collect()
-    assert early[0].cursor == "2024-01-09" and not early[0].stalled
+    got = {(r.a, r.b): round(r.ratio, 4) for r in linkage.name_pairs(spark.createDataFrame(made, "fire int, name string, state string")).collect()}
+    assert got == {(11, 12): 94.7368, (11, 13): 100, (16, 17): 100}
+
+
+def plain_ratio(a: str, b: str) -> float:
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = row[:]
+        for j, y in enumerate(b):
+            row[j + 1] = before[j] + 1 if x == y else max(before[j + 1], row[j])
+    return 200 * row[-1] / (len(a) + len(b)) if a or b else 100.0
+
+
+def test_close_names_lose_no_pair_and_score_few(spark):
+    """Against all pairs: names of a small alphabet, repeated letters, empty and short ones, and edits right at the bound."""
+    rng = random.Random(11)
+    names = {"", "a", "b", "aa", "ab", "a" * 29, "a" * 30, "a" * 33, "ab" * 12, "ab" * 13, "straße", "strasse", "漢字の山火事です", "漢字の山火事でした"}
+    for _ in range(150):
+        n = list("".join(rng.choice("abcdefgh ") for _ in range(rng.randint(1, 24))))
+        names.add("".join(n))
+        for _ in range(rng.randint(1, 4)):
+            at = rng.randrange(len(n) + 1)
+            n[at : at + rng.choice([0, 1])] = rng.choice([[], ["x"]])
+        names.add("".join(n))
+    rows = spark.createDataFrame([(st, n) for n in sorted(names) for st in ("CO", "MT")], "state string, v string")
+    other = rows.withColumnRenamed("v", "v2")
+    want = {(st, a, b): plain_ratio(a, b) for a in names for b in names if plain_ratio(a, b) >= 90 for st in ("CO", "MT")}
+    got = {(r.state, r.v, r.v2): r.ratio for r in linkage.close_names(rows, other, ["state"]).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    low = {(a, b) for a in names for b in names if plain_ratio(a, b) >= 80}
+    assert {(r.v, r.v2) for r in linkage.close_names(rows.filter("state = 'CO'"), other, ["state"], 80.0).collect()} == low
+
+
+def test_the_prefix_filter_compares_far_fewer_names_than_their_lengths_allow(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice(["ka", "lo", "mi", "ser", "ton", "el", "ridge", "creek", "bu", "ha"]) for _ in range(rng.randint(1, 3))) for _ in range(300)]
+    names = sorted({f"{rng.choice(words)} {rng.choice(words)}" for _ in range(1500)})
+    fires = spark.createDataFrame([("CO", n) for n in names], "state string, v string")
+    other = fires.withColumnRenamed("v", "v2")
+    by_length = fires.join(other, "state").filter("length(v2) between ceil(length(v) * 9 / 11) and floor(length(v) * 11 / 9)").count()
+    met, scored = linkage.candidate_names(fires, other, ["state"]).count(), linkage.likely_names(fires, other, ["state"]).count()
+    close = linkage.close_names(fires, other, ["state"]).count()
+    assert len(names) <= close <= scored < 2 * close and met < by_length / 4 and scored < by_length / 100
+
+
+def test_pins_hold_without_a_fire(spark):
+    fires = spark.createDataFrame([(1, "Elk", "CO", "2026-COGMF-000114")], "fire int, name string, state string, unique_fire_id string")
+    dirs = spark.createDataFrame([(d, "Elk", "CO", "2026-COGMF-000114") for d in "abcd"], "dir string, name string, state string, token string")
+    pins = spark.createDataFrame([("a", "gone-fire"), ("b", "ignore"), ("c", "2026-COGMF-000114"), ("x", "gone-fire")], "dir string, pin string")
+    got = {r.dir: (r.fire, r.method, r.pin) for r in linkage.match_incidents(dirs, fires, pins).collect()}
+    assert got == {"a": (None, "override", "gone-fire"), "c": (1, "override", "2026-COGMF-000114"), "d": (1, "unit_id", None)}
+
+
+def test_a_name_that_many_have_gives_no_pairs_of_all(spark):
+    """Folders and fires of one name: one row for each folder, and none of them a match."""
+    fires = spark.range(400).select(F.col("id").cast("int").alias("fire"), F.lit("Elk Creek").alias("name"), F.lit("CO").alias("state"), F.lit(None).cast("string").alias("unique_fire_id"))
+    dirs = spark.range(400).select(F.col("id").alias("dir"), F.lit("Elk Creeks").alias("name"), F.lit("CO").alias("state"), F.lit(None).cast("string").alias("token"))
+    assert linkage.match_incidents(dirs, fires, spark.createDataFrame([], "dir long, pin string")).count() == 0
+    assert linkage.name_pairs(fires).count() == 399
+
+
+def plain_pages(rows: list[tuple[str, int]], since: str, limit: int, pages: int) -> tuple[set[int], str, str | None]:
+    """Page after page as a client would: ids taken, how it ended, and the day it stalled on or reached."""
+    taken: set[int] = set()
+    cursor = since
+    for _ in range(pages):
+        page = [(d, i) for d, i in sorted(rows) if d >= cursor][:limit]
+        new = [d for d, i in page if i not in taken]
+        taken |= {i for _, i in page}
+        if len(page) < limit:
+            return taken, "complete", None
+        if not new or max(new) == cursor:
+            return taken, "stalled", cursor
+        cursor = max(new)
+    return taken, "capped", cursor
+
+
+def test_pages_equal_the_plain_loop(spark):
+    rng = random.Random(8)
+    now, made, state, want = F.lit("2024-02-20 12:00:00").cast("timestamp_ntz"), [], [], {}
+    for fire in range(150):
+        counts = [rng.choice([0, 0, 1, 2, 3, 4, 5, 6, 11, 30]) for _ in range(rng.randint(0, 12))]
+        own = [(f"2024-01-{d + 1:02}", fire * 1000 + d * 40 + k) for d, n in enumerate(counts) for k in range(n)]
+        since = f"2024-01-{rng.randint(1, 6):02}"
+        made += [(fire, i, d) for d, i in own]
+        state.append((fire, since))
+        want[fire] = plain_pages(own, since, 5, 4)
+    rows, cursors = spark.createDataFrame(made, "fire int, ordinal int, acq_date string"), spark.createDataFrame(state, "fire int, cursor string")
+    got: dict[int, set] = {}
+    for r in detections.page_by_fire(rows, cursors, 5).collect():
+        assert r.ordinal not in got.setdefault(r.fire, set())
+        got[r.fire].add(r.ordinal)
+    after = {r.fire: r for r in detections.next_cursors(rows, cursors, now, 5).collect()}
+    assert {w[1] for w in want.values()} == {"complete", "stalled", "capped"}
+    for fire, (taken, how, day) in want.items():
+        assert got.get(fire, set()) == taken
+        r = after[fire]
+        next_day = "2024-02-19" if how == "complete" else day if how == "capped" else f"2024-01-{int(day[-2:]) + 1:02}"
+        assert (r.cursor, r.stalled, r.stalled_day) == (next_day, how == "stalled", day if how == "stalled" else None)
+
+
+def test_pages_stall_at_once_on_a_hot_day(spark):
+    """Four pages of two: one row of the first day, two of the hot one, which stalls in the same sync and stays partial."""
+    rows = spark.createDataFrame([(1, i, "2024-01-01" if i == 0 else "2024-01-02") for i in range(21)] + [(2, 50, "2024-01-02")], "fire int, ordinal int, acq_date string")
+    cursors, now = spark.createDataFrame([(1, "2024-01-01"), (2, "2024-01-01"), (3, "2024-01-09")], "fire int, cursor string"), F.lit("2024-01-06 12:00:00").cast("timestamp_ntz")
+    page, after = detections.page_by_fire(rows, cursors, 2), detections.next_cursors(rows, cursors, now, 2)
+    assert sorted((r.fire, r.ordinal) for r in page.collect()) == [(1, 0), (1, 1), (1, 2), (2, 50)]
+    assert sorted(map(tuple, after.collect())) == [(1, "2024-01-03", True, "2024-01-02"), (2, "2024-01-05", False, None), (3, "2024-01-09", False, None)]
+    days = {(r.fire, r.acq_date): (r.n, r.final) for r in detections.mark_synced(page, after, now).collect()}
+    assert days == {(1, "2024-01-01"): (1, True), (1, "2024-01-02"): (2, False), (2, "2024-01-02"): (1, True)}
