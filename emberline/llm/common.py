@@ -221,4 +221,5 @@ def spans_within(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     inner = offsets[1:-1]
     at = np.searchsorted(starts, inner, "right") - 1
     split = inner[(at >= 0) & (starts[np.maximum(at, 0)] < inner) & (ends[np.maximum(at, 0)] > inner)]
-    return np.union1d(starts, split), np.union1d(ends, split)
+    split = split[np.diff(split, prepend=-1) != 0]  # empty texts end where they begin
+    return np.sort(np.concatenate((starts, split)), kind="stable"), np.sort(np.concatenate((ends, split)), kind="stable")

@@ -7,8 +7,8 @@ first sized by Spark and then fitted in slices by hash of the term, each of abou
 SLICE_TERMS terms: more text gives more slices, a slice reads its own terms only,
 and neither the driver nor a broadcast holds more than one of them.
 
-Vectors are summed by language and source as they are, sparse: an entry becomes a
-row, summed before it shuffles. Two sources are compared over the terms that either
+Vectors are summed by source (a term has its language) as they are, sparse, first
+within a batch of them and then by Spark. Two sources are compared over the terms that either
 has. With p0 for a term that a group lacks and f the term's divergence,
 
     sum over all V kept terms = V f(p0, q0) + [terms of one: f(p, q0) - f(p0, q0)]
@@ -29,7 +29,6 @@ so other columns may have any name.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -56,18 +55,8 @@ _IS_TERM = np.zeros(256, bool)
 _IS_TERM[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
-@dataclass
-class Keys:
-    """Terms of a slice of texts, each followed by a space and its language: bytes, offsets, the text of each and a hash."""
-
-    data: np.ndarray
-    offsets: np.ndarray
-    text: np.ndarray
-    hashed: np.ndarray
-
-
-def keys_of(batch: pa.RecordBatch) -> Keys:
-    """Terms are runs of letters and of characters beyond ASCII, with A-Z in lower case."""
+def keys_of(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
+    """Terms of a slice of texts, each followed by a space and its language, and the text of each. Terms are runs of letters and of characters beyond ASCII, with A-Z in lower case."""
     data, offsets = values(batch.column("text"))
     term = _IS_TERM[data]
     starts, ends = spans_within(term, offsets)
@@ -77,69 +66,97 @@ def keys_of(batch: pa.RecordBatch) -> Keys:
     lang = np.array(langs.indices, np.int64)[text]
     more = np.array([len(x) for x in names], np.int64)[lang]
     upto = np.concatenate(([0], np.cumsum(size + more)))
-    out = np.empty(upto[-1], np.uint8)
-    out[np.arange(size.sum()) + np.repeat(np.concatenate(([0], np.cumsum(more)[:-1])) if len(more) else more, size)] = _LOW[data[term]]
+    out, own = np.empty(upto[-1], np.uint8), np.ones(upto[-1], bool)
     for k, name in enumerate(names):
-        own = lang == k
-        out[(upto[:-1] + size)[own, None] + np.arange(len(name))] = np.frombuffer(name, np.uint8)
-    return Keys(out, upto, text, span_hash(byte_values(out), upto[:-1], upto[1:]))
+        at = (upto[:-1] + size)[lang == k]
+        for i, byte in enumerate(name):
+            out[at + i] = byte
+            own[at + i] = False
+    out[own] = _LOW[data[term]]
+    return pa.Array.from_buffers(pa.large_string(), len(text), [None, pa.py_buffer(upto.astype(np.int64)), pa.py_buffer(out)]), text
 
 
-def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of terms and the number of texts of a slice that have each."""
-    for whole in batches:
-        for batch in chunks(whole, "text", SLICE_BYTES):
-            k = keys_of(batch)
-            once = np.unique(k.hashed + k.text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_index=True)[1]
-            hashed, n = np.unique(k.hashed[once], return_counts=True)
-            yield pa.record_batch({"key": pa.array(hashed.view(np.int64)), "n": pa.array(n.astype(np.int64))})
+def hashes(terms: pa.Array) -> np.ndarray:
+    data, offsets = values(terms)
+    return span_hash(byte_values(data), offsets[:-1], offsets[1:])
+
+
+def _lists(keys: pa.Array, first: np.ndarray) -> pa.Array:
+    return pa.LargeListArray.from_arrays(pa.array(np.append(first, len(keys)).astype(np.int64)), keys).cast(pa.list_(pa.string()))
 
 
-def _split_keys(parts: int):
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The keys of each text; the first row of a slice also has hashes of its distinct keys and the number of its texts that have each."""
+    for whole in batches:
+        for batch in chunks(whole, "text", SLICE_BYTES):
+            keys, text = keys_of(batch)
+            found = keys.dictionary_encode()
+            code = np.array(found.indices, np.int64)
+            pairs = np.sort(text * max(len(found.dictionary), 1) + code)
+            new = np.diff(pairs, prepend=-1) != 0
+            n = np.bincount(pairs[new] % max(len(found.dictionary), 1), minlength=len(found.dictionary))
+            rest = np.zeros(batch.num_rows - 1, np.int64)
+            once = lambda x, rest=rest: pa.ListArray.from_arrays(pa.array(np.concatenate(([0, len(x)], rest + len(x))).astype(np.int32)), pa.array(x))
+            first = np.searchsorted(text, np.arange(batch.num_rows))
+            yield pa.record_batch({"source": batch.column("source"), "keys": _lists(keys, first), "hashes": once(hashes(found.dictionary).view(np.int64)), "texts": once(n.astype(np.int32))})
+
+
+def _split(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The terms of each text by slice of the vocabulary: a row for each text and slice that it has terms of."""
-        for whole in batches:
-            for batch in chunks(whole, "text", SLICE_BYTES):
-                k = keys_of(batch)
-                keys = pa.Array.from_buffers(pa.large_string(), len(k.text), [None, pa.py_buffer(k.offsets.astype(np.int64)), pa.py_buffer(k.data)])
-                place = (k.hashed % np.uint64(parts)).astype(np.int64) * batch.num_rows + k.text
-                if parts > 1:
-                    order = np.argsort(place, kind="stable")
-                    keys, place = keys.take(pa.array(order)), place[order]
-                own, first = np.unique(place, return_index=True)
-                lists = pa.LargeListArray.from_arrays(pa.array(np.append(first, len(place)).astype(np.int64)), keys).cast(pa.list_(pa.string()))
-                part, text = np.divmod(own, max(batch.num_rows, 1))
-                yield pa.record_batch({"source": batch.column("source").take(pa.array(text)), "keys": lists, "part": pa.array(part.astype(np.int32))})
+        """The keys of each text by slice of the vocabulary: a row for each text and slice that it has keys of."""
+        for batch in batches:
+            lists = batch.column("keys")
+            ends = np.array(lists.offsets, np.int64)
+            keys = lists.flatten()
+            found = keys.dictionary_encode()
+            part = (hashes(found.dictionary) % np.uint64(parts)).astype(np.int64)[np.array(found.indices, np.int64)]
+            place = part * batch.num_rows + np.repeat(np.arange(batch.num_rows), np.diff(ends))
+            order = np.argsort(place, kind="stable")
+            own, first = np.unique(place[order], return_index=True)
+            part, text = np.divmod(own, max(batch.num_rows, 1))
+            yield pa.record_batch({"source": batch.column("source").take(pa.array(text)), "keys": _lists(keys.take(pa.array(order)), first), "part": pa.array(part.astype(np.int32))})
 
     return run
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of sparse vectors by source over a batch of them, sparse again."""
+    for batch in batches:
+        source = batch.column("source").dictionary_encode()
+        of = np.repeat(np.array(source.indices, np.int64), np.diff(np.array(batch.column("at").offsets)))
+        at, x = np.array(batch.column("at").flatten(), np.int64), np.array(batch.column("x").flatten())
+        cell, where = np.unique(of * NO_BOUND + at, return_inverse=True)
+        n = np.bincount(where, x, len(cell)).astype(np.int64)
+        of, at = np.divmod(cell, NO_BOUND)
+        yield pa.record_batch({"source": source.dictionary.take(pa.array(of)), "at": pa.array(at.astype(np.int32)), "n": pa.array(n)})
+
+
 def group_counts(docs: DataFrame, min_df: int = 10) -> tuple[DataFrame, DataFrame]:
     """(counts, groups): lang, source, term, n > 0 for kept terms; and every (lang, source) that occurs."""
     spark = docs.sparkSession
     rows = docs.select(text_or_empty("lang").alias("lang"), text_or_empty("source").alias("source"), text_or_empty().alias("text"))
     groups = written(rows.select("lang", "source").distinct(), "divergence-groups")
+    terms = written(rows.mapInArrow(_keyed, "source string, keys array<string>, hashes array<long>, texts array<int>"), "divergence-terms")
     # how large the vocabulary is, by hashes of its terms; which terms are in it is for the fit to say
-    used = rows.select("lang", "text").mapInArrow(_document_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    used = terms.select(F.inline(F.arrays_zip("hashes", "texts"))).groupBy("hashes").agg(F.sum("texts").alias("n"))
     parts = -(-used.filter(F.col("n") >= min_df).count() // SLICE_TERMS)
     schema = "lang string, source string, term string, n long"
     if not parts:
         return spark.createDataFrame([], schema), groups
-    terms, path = shared_path(spark, "divergence-terms"), shared_path(spark, "divergence-counts")
-    split = rows.mapInArrow(_split_keys(parts), "source string, keys array<string>, part int")
-    with tidy(spark):
-        # a slice is read on its own later, so its rows come together; one slice needs no exchange
-        (split.hint("rebalance", "part") if parts > 1 else split).write.partitionBy("part").parquet(terms)
-    own = spark.read.schema("source string, keys array<string>, part int").parquet(terms)
+    if parts > 1:  # a slice is read on its own later, so its rows come together
+        split, path = terms.select("source", "keys").mapInArrow(_split(parts), "source string, keys array<string>, part int"), shared_path(spark, "divergence-slices")
+        with tidy(spark):
+            split.hint("rebalance", "part").write.partitionBy("part").parquet(path)
+        terms = spark.read.schema(split.schema).parquet(path)
+    path = shared_path(spark, "divergence-counts")
     for part in range(parts):
-        keys = own.filter(F.col("part") == part).select("source", "keys")
+        keys = (terms.filter(F.col("part") == part) if parts > 1 else terms).select("source", "keys")
         model = CountVectorizer(inputCol="keys", outputCol="vector", minDF=float(min_df), vocabSize=NO_BOUND).fit(keys)
         saved = shared_path(spark, "divergence-vocabulary")
         model.save(saved)
         names = spark.read.parquet(f"{saved}/data").select(F.posexplode("vocabulary").alias("at", "key"))
-        vectors = model.transform(keys).select("source", F.unwrap_udt("vector").alias("v"))
-        entries = vectors.select("source", F.inline(F.arrays_zip(F.col("v.indices").alias("at"), F.col("v.values").alias("x"))))
-        sums = entries.groupBy("source", "at").agg(F.sum(F.col("x").cast("long")).alias("n"))
+        vectors = model.transform(keys).select("source", F.unwrap_udt("vector").alias("v")).select("source", F.col("v.indices").alias("at"), F.col("v.values").alias("x"))
+        sums = vectors.mapInArrow(_summed, "source string, at int, n long").groupBy("source", "at").agg(F.sum("n").alias("n"))
         lang = F.substr("key", F.length(F.substring_index("key", " ", 1)) + 2)
         with tidy(spark):
             sums.join(names, "at").select(lang.alias("lang"), "source", F.substring_index("key", " ", 1).alias("term"), "n").write.mode("append").parquet(path)
