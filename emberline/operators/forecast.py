@@ -114,14 +114,15 @@ def class_census(pixels: DataFrame) -> DataFrame:
 def ramp_color(values: DataFrame, ramp: DataFrame, discrete: bool = False) -> DataFrame:
     """R, g, b of each value on its product's ramp: ends held, linear between stops, or exact stops only. 0 has no colour.
 
-    A ramp is a handful of stops: it becomes one array for each product, so a value
-    meets its ramp once, in an equi join on the product, and the interval is found
-    in the array.
+    A ramp is a handful of stops and there are as many as products, so all of them
+    become one map, a scalar of the query; the interval is found in a product's
+    array. Products without a ramp have no colour.
     """
     channel = lambda c, k: F.conv(F.substr(c, F.lit(2 + 2 * k), F.lit(2)), 16, 10).cast("int")
     ramps = ramp.groupBy("product").agg(F.sort_array(F.collect_list(F.struct("stop", "color"))).alias("__ramp"))
+    ramps = ramps.agg(F.map_from_entries(F.collect_list(F.struct("product", "__ramp"))).alias("m"))
     v, stops = F.col("value"), F.col("__ramp")
-    met = values.filter("value <> 0").join(ramps, "product")
+    met = values.filter("value <> 0").withColumn("__ramp", F.try_element_at(ramps.scalar(), F.col("product"))).filter("__ramp is not null")
     below = F.size(F.filter(stops, lambda x: x["stop"] <= v))
     if discrete:
         met = met.withColumn("__at", F.array_position(F.transform(stops, lambda x: x["stop"]), v)).filter("__at > 0")

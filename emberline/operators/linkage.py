@@ -205,21 +205,6 @@ def match_sitrep(rows: DataFrame, fires: DataFrame, narratives: DataFrame) -> Da
     return last.join(first, ["key", "state"]).join(named, "key", "left").select("fire", "r.*", "narrative")
 
 
-def fit_labels(points: DataFrame, rounds: int = 3) -> DataFrame:
-    """Per sheet and axis a line through its labels, by rounds of least squares that drop what lies far off (over three median residuals and 1e-4).
-
-    points: sheet, axis, pos, val. Grouped built-in aggregates, unrolled.
-    """
-    keys = ["sheet", "axis"]
-    w, kept = W.partitionBy(*keys), points
-    for _ in range(rounds):  # the windows share one exchange; a sheet has as many labels as its margin holds
-        off = kept.withColumns({"a": F.regr_slope("val", "pos").over(w), "b": F.regr_intercept("val", "pos").over(w)})
-        off = off.withColumn("r", F.abs(F.col("val") - F.col("a") * F.col("pos") - F.col("b")))
-        kept = off.withColumn("middle", F.percentile("r", F.lit(0.5)).over(w)).filter("r <= greatest(3 * middle, 1e-4)").select(points.columns)
-    return kept.groupBy(*keys).agg(
-        F.regr_slope("val", "pos").alias("a"), F.regr_intercept("val", "pos").alias("b"), F.count(F.lit(1)).alias("n"), F.sqrt(F.regr_syy("val", "pos") * (1 - F.coalesce(F.regr_r2("val", "pos"), F.lit(1.0))) / F.count(F.lit(1))).alias("rms"))
-
-
 def median_spacing(points: DataFrame) -> DataFrame:
     """Median gap (over 1) between a sheet's sorted distinct label places."""
     gaps = points.select("sheet", "axis", "pos").distinct().withColumn("gap", F.col("pos") - F.lag("pos").over(W.partitionBy("sheet", "axis").orderBy("pos")))
@@ -271,7 +256,7 @@ def accepted_fits(points: DataFrame, pages: DataFrame) -> DataFrame:
     return bounded.filter(spans & middle).select("sheet", "lon_a", "lon_b", "lat_a", "lat_b", "lon_n", "lat_n", "x0", "y0", "x1", "y1", "w", "s", "e", "n")
 
 
-def meets_box(rings: Column, w: float, s: float, e: float, n: float) -> Column:
+def meets_box(rings: Column, w: float | Column, s: float | Column, e: float | Column, n: float | Column) -> Column:
     """Whether a polygon (rings of [lon, lat], the first point again at the end) and a box have a point in common.
 
     Either an edge meets the box (their extents overlap and the box's corners are
@@ -295,6 +280,44 @@ def meets_box(rings: Column, w: float, s: float, e: float, n: float) -> Column:
     return F.exists(edges, touches) | (F.size(F.filter(edges, crossed)) % 2 == 1)
 
 
+#: Side of the finest grid cell in degrees, and how often it doubles until one cell holds the globe.
+FINEST, LEVELS = 0.25, 12
+
+
+def _cells(w: Column, s: Column, e: Column, n: Column, level: Column) -> Column:
+    """The grid cells (cx, cy) of a level that a box meets."""
+    side = F.lit(FINEST) * F.pow(F.lit(2.0), level)
+    span = lambda a, b: F.sequence(F.floor(a / side), F.floor(b / side))
+    return F.flatten(F.transform(span(w, e), lambda x: F.transform(span(s, n), lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
+
+
+def histories_of_fires(rows: DataFrame, fires: DataFrame, now_year: int, most: int = 2000) -> DataFrame:
+    """A15, C19 for all fires at once: fire, guid, year of the perimeters of the last ten years that meet each fire's box, without the fire itself; the `most` newest of each fire.
+
+    rows: guid, year, envelope (w, s, e, n), and if there are any rings, which
+    decide; fires: fire, guid, w, s, e, n. A perimeter lies in the cells of the
+    level whose side its envelope doesn't exceed, four of them at most, and a fire's
+    box covers cells of every level: an equi join on level and cell. A pair counts
+    in its first common cell only, so that none has to be told apart later.
+    """
+    recent = rows.filter((F.col("year") >= now_year - 10) & (F.col("w") <= F.col("e")) & (F.col("s") <= F.col("n")))
+    extent = F.greatest(F.col("e") - F.col("w"), F.col("n") - F.col("s"))
+    level = F.least(F.greatest(F.ceil(F.log2(F.greatest(extent, F.lit(FINEST)) / FINEST)), F.lit(0)), F.lit(LEVELS)).cast("int")
+    held = recent.withColumn("level", level)
+    mine = held.select("*", F.inline(_cells(F.col("w"), F.col("s"), F.col("e"), F.col("n"), F.col("level"))))
+    boxes = fires.select("fire", tx.norm_guid(F.col("guid")).alias("own"), *(F.col(c).alias(f"b{c}") for c in "wsen")).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))))
+    theirs = boxes.select("*", F.inline(_cells(F.col("bw"), F.col("bs"), F.col("be"), F.col("bn"), F.col("level"))))
+    met = theirs.join(mine, ["level", "cx", "cy"])
+    side = F.lit(FINEST) * F.pow(F.lit(2.0), F.col("level"))
+    first = (F.col("cx") == F.floor(F.greatest("w", "bw") / side)) & (F.col("cy") == F.floor(F.greatest("s", "bs") / side))
+    near = met.filter(first & (F.col("w") <= F.col("be")) & (F.col("e") >= F.col("bw")) & (F.col("s") <= F.col("bn")) & (F.col("n") >= F.col("bs")))
+    near = near.filter(~F.coalesce(tx.norm_guid(F.col("guid")) == F.col("own"), F.lit(False)))
+    if "rings" in rows.columns:
+        near = near.filter(meets_box(F.col("rings"), F.col("bw"), F.col("bs"), F.col("be"), F.col("bn")))
+    newest = F.row_number().over(W.partitionBy("fire").orderBy(F.col("year").desc(), "guid"))
+    return near.select("fire", "guid", "year").withColumn("k", newest).filter(F.col("k") <= most).drop("k")
+
+
 def envelope(rings: DataFrame) -> DataFrame:
     """Box around nested coordinate rings (array of arrays of [lon, lat])."""
     flat = F.flatten("rings")

@@ -24,13 +24,14 @@ def assign_slugs(fires: DataFrame) -> DataFrame:
     """Slugs, told apart. The first fire takes its name; one whose name is taken name-state (xx if unknown); if that is taken too, name-n.
 
     Whether a slug is taken depends on all fires before, but only fires of one
-    root meet, the name without numbers and two-letter words at its end. Where a
-    root has one name, windows give the places; only roots with several names
-    (elk and elk-co) are folded in order. Fires have a unique ordinal.
+    root meet: the name without what a state or a number may have put behind it.
+    Where a root has one name, windows give the places; only roots with several
+    names (elk and elk-co) are folded in order. Fires have a unique ordinal.
     """
     base = F.coalesce(tx.slugify(F.col("post_title")), tx.slugify(F.col("cornea_id")), F.lit("unknown"))
     state = F.coalesce(F.nullif(F.lower("state"), F.lit("")), F.lit("xx"))
-    named = fires.withColumns({"__base": base, "__state": state}).withColumn("__root", F.regexp_replace("__base", r"(-([a-z]{2}|[0-9]+))+$", ""))
+    named = fires.withColumns({"__base": base, "__state": state})
+    named = named.join(_roots(named), "__base")
     root = W.partitionBy("__root")
     named = named.withColumn("__mixed", F.min("__base").over(root) != F.max("__base").over(root))
     by_name = W.partitionBy("__root", "__base").orderBy("ordinal")
@@ -46,6 +47,23 @@ def assign_slugs(fires: DataFrame) -> DataFrame:
     return plain.withColumn("fire_slug", slug).select(*fires.columns, "fire_slug").unionByName(told.select(*fires.columns, "fire_slug"))
 
 
+def _roots(named: DataFrame) -> DataFrame:
+    """__base and __root: the shortest other name that it could be a slug of, else itself.
+
+    A slug is a name, maybe with a state or a number behind it, so a name can meet
+    those it begins with if the rest are words of states that occur, or numbers.
+    """
+    bases = named.select("__base").distinct()
+    words = named.select(F.explode(F.split("__state", "-")).alias("__word")).distinct().withColumn("__known", F.lit(True))
+    parts = bases.select("__base", F.posexplode(F.split("__base", "-")).alias("__at", "__word")).join(words, "__word", "left")
+    # the last word that no slug adds: a root has at least the words up to there
+    own = F.max(F.when(~(F.coalesce("__known", F.lit(False)) | F.col("__word").rlike("^[0-9]+$")), F.col("__at") + 1))
+    least = parts.groupBy("__base").agg(F.greatest(F.coalesce(own, F.lit(1)), F.lit(1)).alias("__least"), F.count(F.lit(1)).cast("int").alias("__words"))
+    begins = least.select("__base", F.explode(F.sequence("__least", "__words")).alias("__n"))
+    begins = begins.withColumn("__root", F.array_join(F.slice(F.split("__base", "-"), 1, F.col("__n")), "-"))
+    return begins.join(bases.withColumnRenamed("__base", "__root"), "__root", "left_semi").groupBy("__base").agg(F.min_by("__root", "__n").alias("__root"))
+
+
 def _fold_slugs(order: Column) -> Column:
     """Slugs of fires (ordinal, base, state) in order; a map holds those taken, and for names how often a number was needed."""
     start = F.struct(F.create_map().cast("map<string,int>").alias("taken"), F.array().cast("array<struct<ordinal:bigint,fire_slug:string>>").alias("out"))

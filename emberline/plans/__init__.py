@@ -6,3 +6,5 @@ _MODULES = (detection_queries, roster_queries, time_queries, incident_queries, c
 
 PLANS = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}
+#: The stream keeps what the batch operator keeps.
+ORACLES["streamed_throttle"] = ORACLES["throttled_events"]

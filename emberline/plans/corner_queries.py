@@ -97,13 +97,25 @@ def advertised_hours(spark, sf_dir):
     return r.select("cycle", "listed", "rendered", "complete", "full", "done", F.array_join(F.transform("hours", lambda x: x.cast("string")), ",").alias("hours"))
 
 
-def historic_shapes(spark, sf_dir):
+def _shapes(spark, sf_dir):
     """Diamonds around places, of many sizes; their envelopes reach further than they do."""
     f = view(spark, sf_dir, "fires").select(F.col("cornea_id").alias("guid"), (F.lit(2000) + F.col("ordinal") % 27).alias("year"), (F.lit(-124.0) + F.col("ordinal") % 50 * 1.0).alias("x"), (F.lit(32.0) + F.col("ordinal") % 15 * 1.0).alias("y"), (F.lit(0.5) + F.col("ordinal") % 9).alias("r"))
     point = lambda dx, dy: F.array(F.col("x") + dx * F.col("r"), F.col("y") + dy * F.col("r"))
     ring = F.array(point(1, 0), point(0, 1), point(-1, 0), point(0, -1), point(1, 0))
-    rows = f.select("guid", "year", (F.col("x") - F.col("r")).alias("w"), (F.col("y") - F.col("r")).alias("s"), (F.col("x") + F.col("r")).alias("e"), (F.col("y") + F.col("r")).alias("n"), F.array(ring).alias("rings"))
-    return lk.historic_perimeters(rows, (-109.75, 38.25, -106.25, 40.75), 2026, "{F00000021}").select("guid", "year")
+    return f.select("guid", "year", (F.col("x") - F.col("r")).alias("w"), (F.col("y") - F.col("r")).alias("s"), (F.col("x") + F.col("r")).alias("e"), (F.col("y") + F.col("r")).alias("n"), F.array(ring).alias("rings"))
+
+
+def histories(spark, sf_dir):
+    """The three newest shapes around every fire, all fires at once."""
+    f = view(spark, sf_dir, "fires")
+    box = lambda k, d: (F.col(k) + d).alias
+    fires = f.select(F.col("ordinal").alias("fire"), F.col("cornea_id").alias("guid"), (F.lit(-124.0) + F.col("ordinal") * 7 % 50).alias("x"), (F.lit(32.0) + F.col("ordinal") * 3 % 15).alias("y"))
+    fires = fires.select("fire", "guid", box("x", -0.75)("w"), box("y", -0.75)("s"), box("x", 0.75)("e"), box("y", 0.75)("n"))
+    return lk.histories_of_fires(_shapes(spark, sf_dir), fires, 2026, 3)
+
+
+def historic_shapes(spark, sf_dir):
+    return lk.historic_perimeters(_shapes(spark, sf_dir), (-109.75, 38.25, -106.25, 40.75), 2026, "{F00000021}").select("guid", "year")
 
 
 #: Rows of a page: some days of some fires have more at every size of the given tables.
@@ -143,7 +155,7 @@ def zones_known(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    clashing_slugs, state_search, zoned_days, forecast_links, gathered_tokens, accepted_sheets, run_products, arrival_areas, advertised_hours, historic_shapes, resumed_pages, synced_days, sql_functions, zones_known)}
+    clashing_slugs, state_search, zoned_days, forecast_links, gathered_tokens, accepted_sheets, run_products, arrival_areas, advertised_hours, historic_shapes, histories, resumed_pages, synced_days, sql_functions, zones_known)}
 
 _SLUG = "nullif(trim(regexp_replace(lower({}), '[^a-z0-9]+', '-', 'g'), '-'), '')"
 _NORM = r"trim(regexp_replace(regexp_replace(lower(regexp_replace({}, '[_-]+', ' ', 'g')), '[^a-z0-9 ]+', '', 'g'), '\s+', ' ', 'g'))"
@@ -267,6 +279,8 @@ ORACLE = {
         listed="SELECT * FROM o WHERE fhour <= 18 UNION ALL SELECT cycle, unnest(range(0, 19)), 0 FROM (SELECT DISTINCT cycle FROM o WHERE hour(cycle) = 5)"),
     # a diamond meets a box just if the box's nearest point lies within its radius, streets measured
     "historic_shapes": cte(f"SELECT guid, year FROM (SELECT cornea_id AS guid, 2000 + ordinal % 27 AS year, -124.0 + ordinal % 50 AS x, 32.0 + ordinal % 15 AS y, 0.5 + ordinal % 9 AS r FROM fires) WHERE year >= 2016 AND {_BOX_GAP} <= r AND lower(trim(guid, '{{}}')) <> 'f00000021' ORDER BY year DESC, guid LIMIT 2000", "fires"),
+    "histories": cte("""SELECT f.fire, m.guid, m.year FROM (SELECT ordinal AS fire, cornea_id AS own, -124.0 + ordinal * 7 % 50 AS px, 32.0 + ordinal * 3 % 15 AS py FROM fires) f JOIN (SELECT cornea_id AS guid, 2000 + ordinal % 27 AS year, -124.0 + ordinal % 50 AS x, 32.0 + ordinal % 15 AS y, 0.5 + ordinal % 9 AS r FROM fires) m
+ ON m.guid <> f.own AND m.year >= 2016 AND greatest(abs(x - px) - 0.75, 0) + greatest(abs(y - py) - 0.75, 0) <= r QUALIFY row_number() OVER (PARTITION BY f.fire ORDER BY m.year DESC, m.guid) <= 3""", "fires"),
     "resumed_pages": recursive("SELECT fire, cursor, stalled, stalled_day, len(ids)::BIGINT AS taken, list_max(ids) AS last_taken FROM ended", "detections", **_CURSORS, **paging(20, 3)),
     "synced_days": recursive("SELECT fire, acq_date, count(*) AS n, acq_date < any_value(cursor) AND acq_date < '2024-01-19' AND acq_date <> coalesce(any_value(stalled_day), '') AS final FROM (SELECT *, unnest(days) AS acq_date FROM ended) GROUP BY fire, acq_date", "detections", **_CURSORS, **paging(20, 3)),
     "sql_functions": cte("SELECT ordinal, " + _SLUG.format("post_title") + r""" AS slug, lower(trim(cornea_id, '{}')) AS guid, """ + _NORM.format("post_title") + r""" AS name, lower(firetype) = 'wildfire' AS wildfire, firetype ILIKE 'prescribed%' AS prescribed,

@@ -346,7 +346,7 @@ def _labels(spark, sf_dir):
 
 
 def label_fits(spark, sf_dir):
-    return lk.fit_labels(_labels(spark, sf_dir)).select("sheet", "axis", F.round("a", 4).alias("a"), F.round("b", 3).alias("b"), "n")
+    return lk.fit_axes(_labels(spark, sf_dir)).select("sheet", "axis", F.round("a", 4).alias("a"), F.round("b", 3).alias("b"), "n")
 
 
 def label_spacing(spark, sf_dir):
@@ -440,6 +440,7 @@ ORACLE = {
     "label_spacing": cte("SELECT sheet, axis, median(g) AS spacing FROM (SELECT sheet, axis, pos - lag(pos) OVER (PARTITION BY sheet, axis ORDER BY pos) AS g FROM (SELECT DISTINCT sheet_key AS sheet, axis, pos FROM label_points)) WHERE g > 1 GROUP BY ALL", "label_points"),
     "envelopes": cte("SELECT ordinal % 50 AS id, round(min(lon), 6) AS w, round(min(lat), 6) AS s, round(max(lon), 6) AS e, round(max(lat), 6) AS n FROM detections GROUP BY 1", "detections"),
     "historic_perimeters": cte("SELECT cornea_id AS guid, 2000 + ordinal % 27 AS year FROM fires WHERE -124 + ordinal % 50 <= -90 AND -123 + ordinal % 50 >= -120 AND 32 + ordinal % 15 <= 44 AND 33 + ordinal % 15 >= 34 AND ordinal % 27 >= 16 AND ordinal <> 21 ORDER BY year DESC, guid LIMIT 30", "fires"),
-    "label_fits": cte("SELECT sheet, axis, round(regr_slope(val, pos), 4) AS a, round(regr_intercept(val, pos), 3) AS b, count(*) AS n FROM k3 GROUP BY ALL", "label_points", k0="SELECT sheet_key AS sheet, axis, pos, val FROM label_points", **{
-        f"k{i + 1}": f"SELECT sheet, axis, pos, val FROM (SELECT *, median(r) OVER (PARTITION BY sheet, axis) AS m FROM (SELECT k.*, abs(val - a * pos - b) AS r FROM k{i} k JOIN (SELECT sheet, axis, regr_slope(val, pos) AS a, regr_intercept(val, pos) AS b FROM k{i} GROUP BY ALL) USING (sheet, axis))) WHERE r <= greatest(3 * m, 1e-4)" for i in range(3)}),
+    # the line of the third round, which then drops what lies off it once more
+    "label_fits": cte("SELECT sheet, axis, round(any_value(a), 4) AS a, round(any_value(b), 3) AS b, count(*) AS n FROM k3 GROUP BY ALL", "label_points", k0="SELECT sheet_key AS sheet, axis, pos, val FROM label_points", **{
+        f"k{i + 1}": f"SELECT sheet, axis, pos, val, a, b FROM (SELECT *, median(r) OVER (PARTITION BY sheet, axis) AS m FROM (SELECT k.sheet, k.axis, k.pos, k.val, l.a, l.b, abs(k.val - l.a * k.pos - l.b) AS r FROM k{i} k JOIN (SELECT sheet, axis, regr_slope(val, pos) AS a, regr_intercept(val, pos) AS b FROM k{i} GROUP BY ALL) l USING (sheet, axis))) WHERE r <= greatest(3 * m, 1e-4)" for i in range(3)}),
 }

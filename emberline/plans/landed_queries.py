@@ -145,8 +145,50 @@ def streamed_activity(spark, sf_dir):
     return out.groupBy("fire", "local_day").agg(F.sum("n").alias("n"))
 
 
+def streamed_throttle(spark, sf_dir):
+    """The throttle as a stream with timers."""
+    e = view(spark, sf_dir, "user_actions").select((F.col("actor") % 20).alias("actor"), "ordinal", "ts")
+    with streams.keyed_state(spark):
+        return _streamed(e, "stream-throttle", lambda s: streams.throttle_stream(s, 2, 60))
+
+
+def streamed_generations(spark, sf_dir):
+    """A stream without a checkpoint takes the published index of most fires, then sees each fire's box."""
+    f = view(spark, sf_dir, "fires").filter("ordinal % 3 <> 0")
+    boxes = f.select(F.col("ordinal").alias("fire"), *((F.col("ordinal") % 50 + x).cast("double").alias(c) for c, x in zip("wsen", (0, 1, 3, 4), strict=True)))
+    inner = F.when(F.col("fire") % 2 == 0, 0.5).otherwise(0.0)
+    published = boxes.filter("fire % 4 <> 1").select("fire", (F.col("w") + inner).alias("w"), "s", "e", (F.col("n") + inner).alias("n"), F.lit(3).alias("gen"))
+    source, target = work_path(spark, "generations-source"), work_path(spark, "generations")
+    boxes.write.parquet(source)
+    with streams.keyed_state(spark):
+        out = streams.generation_stream(spark.readStream.schema(boxes.schema).parquet(source), published)
+        writer = out.writeStream.outputMode("update").option("checkpointLocation", f"{target}-state").trigger(availableNow=True)
+        writer.foreachBatch(lambda rows, batch: rows.write.mode("overwrite").parquet(f"{target}/batch={batch}")).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(target).select("fire", "w", "s", "e", "n", "gen")
+
+
+def streamed_archive(spark, sf_dir):
+    """Every batch of a stream is added once, and then once more by a stream that begins again under its name."""
+    d = view(spark, sf_dir, "detections").select((F.col("ordinal") % 12).cast("string").alias("fire_slug"), F.when((F.col("ordinal") % 12 < 5) & (F.col("ordinal") % 2 == 1), 2).otherwise(1).alias("gen"), "acq_date", "lon", "lat", "ordinal")
+    source, target = work_path(spark, "archive-source"), work_path(spark, "archive-stream")
+    d.write.parquet(source)
+    for run in range(2):
+        stream = spark.readStream.schema(d.schema).parquet(source)
+        streams.archive_stream(stream, target, "detections").option("checkpointLocation", f"{target}-state-{run}").trigger(availableNow=True).start().awaitTermination()
+    rows = sinks.read_streamed(spark, target, "lon double, lat double, ordinal long")
+    index = sinks.streamed_index(spark, target).select("fire_slug", "gen", F.size("days").alias("days"), "rows", *(F.round(c, 6).alias(c) for c in "wsen"))
+    return rows.groupBy("fire_slug", "gen").agg(F.sum("ordinal").alias("ordinals")).join(index, ["fire_slug", "gen"])
+
+
+def hashed_files(spark, sf_dir):
+    """Files hashed whole, and in pieces where they are larger (here beyond a few kilobytes)."""
+    f = view(spark, sf_dir, "files").filter("content is not null and content <> ''").select(F.regexp_replace("content", "[\\r\\n]", " ").alias("content"))
+    return readers.hash_files(spark, land_documents(f, F.col("content"), "blobs"), 3000).select("sha16", "size").groupBy("sha16", "size").agg(F.count(F.lit(1)).alias("files"))
+
+
 QUERIES = {f.__name__: f for f in (
-    landed_fires, landed_detections, landed_manifest, landed_matches, landed_index, landed_reports, landed_layers, landed_pins, landed_heat, archived_detections, published_catalog, streamed_keys, streamed_days, streamed_activity)}
+    landed_fires, landed_detections, landed_manifest, landed_matches, landed_index, landed_reports, landed_layers, landed_pins, landed_heat, archived_detections, published_catalog, streamed_keys, streamed_days, streamed_activity,
+    streamed_throttle, streamed_generations, streamed_archive, hashed_files)}
 
 _LAT = "CASE WHEN fire_coordinates LIKE '%,%' THEN try_cast(trim(split_part(fire_coordinates, ',', {})) AS DOUBLE) END"
 _FINAL = "(SELECT max(acq_ts) FROM detections) - INTERVAL 1 DAY"
@@ -168,4 +210,10 @@ ORACLE = {
     "streamed_keys": cte("SELECT round(lon, 6) AS lon, round(lat, 6) AS lat, acq_date, acq_time, source FROM (SELECT DISTINCT lon, lat, acq_date, acq_time, source FROM detections)", "detections"),
     "streamed_days": cte(f"SELECT date_trunc('day', acq_ts)::TIMESTAMP AS day, count(*) AS n FROM detections WHERE date_trunc('day', acq_ts) + INTERVAL 1 DAY <= {_FINAL} GROUP BY 1", "detections"),
     "streamed_activity": cte(f"SELECT ordinal % 6 AS fire, CAST(timezone(CASE WHEN ordinal % 2 = 0 THEN 'America/Denver' ELSE 'Asia/Tokyo' END, timezone('UTC', acq_ts)) AS DATE) AS local_day, count(*) AS n FROM detections WHERE date_trunc('day', acq_ts) + INTERVAL 1 DAY <= {_FINAL} GROUP BY ALL", "detections"),
+    "streamed_generations": cte("""SELECT fire, x AS w, x + 1 AS s, x + 3 AS e, x + 4 + CASE WHEN has AND fire % 2 = 0 THEN 0.5 ELSE 0 END AS n, CASE WHEN NOT has THEN 1 WHEN fire % 2 = 0 THEN 4 ELSE 3 END::INT AS gen
+ FROM (SELECT ordinal AS fire, (ordinal % 50)::DOUBLE AS x, ordinal % 4 <> 1 AS has FROM fires WHERE ordinal % 3 <> 0)""", "fires"),
+    "streamed_archive": cte("SELECT fire_slug, gen, sum(ordinal)::BIGINT AS ordinals, count(DISTINCT acq_date)::INT AS days, count(*) AS rows, round(min(lon), 6) AS w, round(min(lat), 6) AS s, round(max(lon), 6) AS e, round(max(lat), 6) AS n FROM d WHERE gen = CASE WHEN CAST(fire_slug AS INT) IN (1, 3) THEN 2 ELSE 1 END GROUP BY ALL", "detections",
+        d="SELECT CAST(ordinal % 12 AS VARCHAR) AS fire_slug, CASE WHEN ordinal % 12 < 5 AND ordinal % 2 = 1 THEN 2 ELSE 1 END AS gen, acq_date, lon, lat, ordinal FROM detections"),
+    # a line of a text file ends with a line feed
+    "hashed_files": cte("SELECT substr(sha256(t), 1, 16) AS sha16, strlen(t)::BIGINT AS size, count(*) AS files FROM (SELECT regexp_replace(content, '[\\r\\n]', ' ', 'g') || chr(10) AS t FROM files WHERE content <> '') GROUP BY ALL", "files"),
 }

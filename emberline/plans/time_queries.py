@@ -199,9 +199,18 @@ def wind_vectors(spark, sf_dir):
     return g.select("hour", "row", "col", F.round(geo.wind_speed_mph(F.col("u"), F.col("v")), 3).alias("speed"), F.round(geo.wind_bearing(F.col("u"), F.col("v")), 3).alias("bearing"))
 
 
+def _wind_probes(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.floor(F.col("vec_id") / 2).alias("hour"), (F.col("vec_id") % 90 / 10.0 - 0.5).alias("fr"), (F.col("vec_id") % 70 / 8.0).alias("fc"))
+
+
 def wind_samples(spark, sf_dir):
-    p = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("vec_id % 2 = 0").select(F.col("vec_id").alias("id"), F.floor(F.col("vec_id") / 2).alias("hour"), (F.col("vec_id") % 90 / 10.0 - 0.5).alias("fr"), (F.col("vec_id") % 70 / 8.0).alias("fc"))
-    s = wx.sample_grid(p, _grid(spark, sf_dir), 8, 8)
+    s = wx.sample_grid(_wind_probes(spark, sf_dir).filter("id % 2 = 0"), _grid(spark, sf_dir), 8, 8)
+    return s.select("id", "hour", F.round("u", 4).alias("u"), F.round("v", 4).alias("v"))
+
+
+def wind_probes(spark, sf_dir):
+    """All probes."""
+    s = wx.sample_grid(_wind_probes(spark, sf_dir), _grid(spark, sf_dir), 8, 8)
     return s.select("id", "hour", F.round("u", 4).alias("u"), F.round("v", 4).alias("v"))
 
 
@@ -265,7 +274,7 @@ def offered_products(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     perimeter_asof, nearest_hours, series_asof, version_neighbours, newest_runs, run_offers, legend_bands, reach_stops, nearest_choices, arrival_census, arrival_histogram, burn_curve, class_census,
     ramp_colors, member_asof, thinned_instants, run_ticks, expected_hours, run_completeness, discovered_cycles, picked_runs, carried_runs, coverage_bands, frame_times, utm_bounds, weather_index, weather_messages,
-    listed_hours, wind_vectors, wind_samples, coarse_winds, wind_export, unit_conversion, point_weather_rows, weather_labels, daily_weather, six_hourly_weather, seam_slots, day_boundaries, offered_products)}
+    listed_hours, wind_vectors, wind_samples, wind_probes, coarse_winds, wind_export, unit_conversion, point_weather_rows, weather_labels, daily_weather, six_hourly_weather, seam_slots, day_boundaries, offered_products)}
 
 _V = dict(versions="SELECT fire_key, version_ts AS t, max(path) AS path FROM perimeter_index GROUP BY ALL", probes="SELECT probe_id, probe_line, fire_key, t, count(*) AS copies FROM time_probes GROUP BY ALL")
 _R = "SELECT DISTINCT run_key, slug_key, run_time, complete, expired FROM run_availability"
@@ -293,6 +302,10 @@ _UTM = """SELECT grid, min(lon) AS w, min(lat) AS s, max(lon) AS e, max(lat) AS
 _COR = "SELECT ordinal AS grid, 300000.0::DOUBLE + ordinal*1000 + a*30000 AS e, 4500000.0::DOUBLE + ordinal*2000 + b*20000 AS nn, ordinal % 9 + 10 AS zone, ordinal % 5 <> 0 AS north FROM fires, (VALUES (0,0),(1,0),(1,1),(0,1)) v(a,b)"
 _KEY = "'hrrr.20260817/conus/hrrr/' || lpad(CAST(ordinal % 24 AS VARCHAR), 2, '0') AS cycle, CAST(ordinal % 49 AS INT) AS fhour"
 
+_PROBED = """SELECT id, p.hour, CASE WHEN count(u) = 4 THEN round(sum(w * u), 4) END AS u, CASE WHEN count(v) = 4 THEN round(sum(w * v), 4) END AS v FROM (
+ SELECT id, hour, r0 + i AS row, c0 + j AS col, (CASE WHEN i = 1 THEN r - r0 ELSE 1 - r + r0 END) * (CASE WHEN j = 1 THEN c - c0 ELSE 1 - c + c0 END) AS w FROM (SELECT *, least(floor(r), 6)::INT AS r0, least(floor(c), 6)::INT AS c0 FROM (
+ SELECT vec_id AS id, vec_id // 2 AS hour, greatest(0, least(7, vec_id % 90 / 10.0::DOUBLE - 0.5)) AS r, greatest(0, least(7, vec_id % 70 / 8.0::DOUBLE)) AS c FROM embeddings {where})), (VALUES (0,0),(0,1),(1,0),(1,1)) k(i, j)) p LEFT JOIN grid g ON g.hour = p.hour AND g.row = p.row AND g.col = p.col GROUP BY id, p.hour"""
+
 ORACLE = {
     "perimeter_asof": cte("SELECT p.fire_key, p.t, probe_id, probe_line, copies, v.t AS version_t, v.path FROM probes p ASOF LEFT JOIN versions v ON p.fire_key = v.fire_key AND p.t >= v.t", "perimeter_index", "time_probes", **_V),
     "nearest_hours": cte("""SELECT fire_key, t, probe_id, probe_line, copies, CASE WHEN abs(epoch_ms(h) - epoch_ms(t)) <= 300*60000 THEN h END AS hour_t FROM (SELECT *, CASE WHEN f IS NULL OR epoch_ms(t) - epoch_ms(b) <= epoch_ms(f) - epoch_ms(t) THEN b ELSE f END AS h FROM (
@@ -328,9 +341,8 @@ ORACLE = {
  JOIN (VALUES ('ws','STANDARD',0,0,2),('ws','STANDARD',1,1,2),('wg','PROMO',2,0,1),('rh','ECONOMY',0,0,2),('rh','MEDIUM',1,1,2)) s(product, v, lv, part, need) ON var = v AND m % 3 = lv GROUP BY ALL) GROUP BY file_key, product HAVING count(*) = max(need)""", "weather_index_lines"),
     "listed_hours": cte(f"SELECT DISTINCT {_KEY} FROM fires WHERE ordinal % 3 <> 0 INTERSECT SELECT {_KEY} FROM fires WHERE ordinal % 4 <> 0", "fires"),
     "wind_vectors": cte("SELECT hour, row, col, CASE WHEN sqrt(u*u + v*v) * 2.23694 >= 1 THEN round(sqrt(u*u + v*v) * 2.23694, 3) END AS speed, round((degrees(atan2(u, v)) + 360) % 360, 3) AS bearing FROM grid", **_W),
-    "wind_samples": cte("""SELECT id, p.hour, CASE WHEN count(u) = 4 THEN round(sum(w * u), 4) END AS u, CASE WHEN count(v) = 4 THEN round(sum(w * v), 4) END AS v FROM (
- SELECT id, hour, r0 + i AS row, c0 + j AS col, (CASE WHEN i = 1 THEN r - r0 ELSE 1 - r + r0 END) * (CASE WHEN j = 1 THEN c - c0 ELSE 1 - c + c0 END) AS w FROM (SELECT *, least(floor(r), 6)::INT AS r0, least(floor(c), 6)::INT AS c0 FROM (
- SELECT vec_id AS id, vec_id // 2 AS hour, greatest(0, least(7, vec_id % 90 / 10.0::DOUBLE - 0.5)) AS r, greatest(0, least(7, vec_id % 70 / 8.0::DOUBLE)) AS c FROM embeddings WHERE vec_id % 2 = 0)), (VALUES (0,0),(0,1),(1,0),(1,1)) k(i, j)) p LEFT JOIN grid g ON g.hour = p.hour AND g.row = p.row AND g.col = p.col GROUP BY id, p.hour""", **_W),
+    "wind_samples": cte(_PROBED.format(where="WHERE vec_id % 2 = 0"), **_W),
+    "wind_probes": cte(_PROBED.format(where=""), **_W),
     "coarse_winds": cte(f"SELECT hour, row, col, round(u, 4) AS u, round(v, 4) AS v FROM ({_COARSE})", **_W),
     "wind_export": cte(f"SELECT hour, 2::BIGINT AS nx, 2::BIGINT AS ny, round(sum(round_even(u, 1)), 1) + 0.0::DOUBLE AS sum_u, round(sum(round_even(v, 1)), 1) + 0.0::DOUBLE AS sum_v, round(max(round_even(u, 1)) FILTER (row = 0 AND col = 1), 1) + 0.0::DOUBLE AS u_1, round(max(round_even(v, 1)) FILTER (row = 0 AND col = 1), 1) + 0.0::DOUBLE AS v_1 FROM ({_COARSE}) GROUP BY hour", **_W),
     "unit_conversion": cte("SELECT ordinal, product, round(CASE product WHEN 'ws' THEN sqrt(frp*frp + frp*frp/4) * 2.23694 WHEN 'wg' THEN frp * 2.23694 WHEN 'tmpf' THEN (frp - 273.15) * 9 / 5 + 32 WHEN 'smoke' THEN frp * 1e9 WHEN 'apcp01' THEN frp / 25.4 ELSE frp END, 4) AS x FROM (SELECT *, ['ws','wg','tmpf','rh','smoke','apcp01'][ordinal % 6 + 1] AS product FROM detections)", "detections"),

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,10 +88,35 @@ def read_listing(pages: DataFrame) -> DataFrame:
     return good.select("url", tx.unquote(F.regexp_replace("href", "/+$", "")).alias("name"), "href", F.concat("url", "href").alias("link"), mtime.alias("mtime"), F.col("href").endswith("/").alias("is_dir"), tx.size_bytes(F.col("size")).alias("size_hint"))
 
 
-def hash_files(spark: SparkSession, path: str) -> DataFrame:
-    """Content id and size of every file below a path."""
+#: Files up to this size are hashed where Spark reads them; larger ones don't fit a row and are read in pieces.
+WHOLE_BYTES, PIECE_BYTES = 128 << 20, 8 << 20
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SHA-256 of each file, read piece by piece: a task holds one piece, however large the file."""
+    for batch in batches:
+        for path, length in zip(*(batch.column(c).to_pylist() for c in ("path", "length")), strict=True):
+            system, place = fs.FileSystem.from_uri("/" + path[5:].lstrip("/") if path.startswith("file:") else path)
+            sha = hashlib.sha256()
+            with system.open_input_stream(place) as file:
+                while piece := file.read(PIECE_BYTES):
+                    sha.update(piece)
+            yield pa.record_batch({"path": [path], "sha": [sha.hexdigest()], "length": [length]}, schema=pa.schema([("path", pa.string()), ("sha", pa.string()), ("length", pa.int64())]))
+
+
+def hash_files(spark: SparkSession, path: str, whole: int = WHOLE_BYTES) -> DataFrame:
+    """Content id and size of every file below a path, whatever its size.
+
+    A row can't hold more than 2 GB, so files beyond `whole` bytes are streamed
+    through the digest; they have to lie where a task can open them (a mounted
+    folder, HDFS, S3), the others anywhere that Spark reads. Spark's file scans
+    leave out empty files, so these have no row.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.substr(F.sha2("content", 256), F.lit(1), F.lit(16)).alias("sha16"), F.col("length").alias("size"))
+    small = files.filter(F.col("length") <= whole).select("path", F.sha2("content", 256).alias("sha"), "length")
+    # a task per file: names are dealt out by hash, contents aren't read here
+    large = files.filter(F.col("length") > whole).select("path", "length").repartition("path").mapInArrow(_digests, "path string, sha string, length long")
+    return small.unionByName(large).select("path", F.substr("sha", F.lit(1), F.lit(16)).alias("sha16"), F.col("length").alias("size"))
 
 
 def read_sitrep(spark: SparkSession, path: str) -> DataFrame:

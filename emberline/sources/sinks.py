@@ -26,6 +26,55 @@ def read_archive(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
     return rows.join(index.select("fire_slug", "gen"), ["fire_slug", "gen"], "left_semi")
 
 
+INDEX = "fire_slug string, gen int, days array<string>, w double, s double, e double, n double, rows long"
+
+
+def append_to_archive(batch: DataFrame, path: str, name: str, batch_id: int) -> bool:
+    """Add a batch to the archive exactly once; whether it was added now. Input: fire_slug, gen, acq_date, lon, lat and the row.
+
+    The batch's rows lie in folders of its own below each fire, generation and day.
+    Its manifest, one file that is also the batch's part of the index, is written
+    after them: without it readers don't see the batch. A batch that runs again
+    finds its manifest and does nothing, or else writes its own folders anew.
+    """
+    spark, key = batch.sparkSession, f"{name}-{batch_id:012d}"
+    manifest = f"{path}/manifests/batch={key}"
+    if _written(spark, manifest):
+        return False
+    rows = batch.withColumn("batch", F.lit(key)).repartition("fire_slug", "gen", "acq_date")
+    rows.write.partitionBy("fire_slug", "gen", "acq_date", "batch").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{path}/rows")
+    box = [F.min("lon").alias("w"), F.min("lat").alias("s"), F.max("lon").alias("e"), F.max("lat").alias("n")]
+    index = batch.groupBy("fire_slug", "gen").agg(F.sort_array(F.collect_set("acq_date")).alias("days"), *box, F.count(F.lit(1)).alias("rows"))
+    index.coalesce(1).write.mode("overwrite").json(manifest)
+    return True
+
+
+def _written(spark: SparkSession, manifest: str) -> bool:
+    """Whether a manifest has been committed; its one file appears whole or not at all."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return not spark.read.schema(INDEX).json(manifest).isEmpty()
+    except AnalysisException:  # no such folder yet
+        return False
+
+
+def streamed_index(spark: SparkSession, path: str) -> DataFrame:
+    """Per fire the newest generation with its days, envelope and number of rows, over the manifests of all batches."""
+    parts = spark.read.schema(INDEX).json(f"{path}/manifests")
+    whole = parts.groupBy("fire_slug", "gen").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("days")))).alias("days"), F.min("w").alias("w"), F.min("s").alias("s"), F.max("e").alias("e"), F.max("n").alias("n"), F.sum("rows").alias("rows"))
+    return whole.groupBy("fire_slug").agg(F.max_by(F.struct("gen", "days", "w", "s", "e", "n", "rows"), "gen").alias("i")).select("fire_slug", "i.*")
+
+
+def read_streamed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The archived rows (columns of schema beside the folders) of batches that have a manifest."""
+    folders = "fire_slug string, gen int, acq_date string, batch string"
+    rows = spark.read.schema(f"{schema}, {folders}").option("ignoreMissingFiles", "true").parquet(f"{path}/rows")
+    done = spark.read.schema(f"{INDEX}, batch string").json(f"{path}/manifests").select("batch").distinct()
+    return rows.join(done, "batch", "left_semi")
+
+
 def write_version(rows: DataFrame, path: str, version: int) -> None:
     """Data first, the pointer after it; a version that exists is written again whole."""
     rows.write.mode("overwrite").parquet(f"{path}/version={version}")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import re
+import statistics
 
 from pyspark.sql import functions as F
 
@@ -60,6 +62,33 @@ def test_slug_assignment(spark):
     assert [r.fire_slug for r in roster.assign_slugs(f).orderBy("ordinal").collect()] == ["elk", "elk-ca", "elk-2", "x"]
 
 
+def plain_slugs(fires: list[tuple[str, str | None]]) -> list[str]:
+    out, taken = [], {}
+    for name, state in fires:
+        base = "-".join(w for w in re.split("[^a-z0-9]+", name.lower()) if w)
+        slug = base
+        if base in taken:
+            slug = f"{base}-{(state or 'xx').lower()}"
+            if slug in taken:
+                taken[base] += 1
+                slug = f"{base}-{taken[base]}"
+        taken.setdefault(slug, 1)
+        out.append(slug)
+    return out
+
+
+def test_slugs_are_told_apart_for_any_state(spark):
+    """States of any length and text, names that end in a state, a number or xx, chains of them, and words that only look like a state."""
+    rng = random.Random(1)
+    cases = [[("Elk", "CAL"), ("Elk", "CAL"), ("Elk Cal", "CAL")], [("Elk", "New-York"), ("Elk", "New-York"), ("Elk New York", "CO"), ("Elk", None), ("Elk xx", None), ("Elk", None)]]
+    cases += [[(" ".join(["Elk", *rng.choices(["cal", "co", "2", "3", "creek", "xx", "new", "york"], k=rng.choice([0, 0, 1, 2]))]), rng.choice(["CAL", "CO", "New-York", "New York", None])) for _ in range(30)] for _ in range(6)]
+    for fires in cases:
+        rows = spark.createDataFrame([(i, n, st, "x") for i, (n, st) in enumerate(fires)], "ordinal int, post_title string, state string, cornea_id string")
+        got = [r.fire_slug for r in roster.assign_slugs(rows).orderBy("ordinal").collect()]
+        assert got == plain_slugs(fires), fires
+        assert got[:3] == ["elk", "elk-cal", "elk-cal-cal"] or fires is not cases[0]
+
+
 def test_wind_sampling_holds_edges_and_misses(spark):
     grid = spark.createDataFrame([(0, r, c, float(r), None if (r, c) == (1, 1) else float(c)) for r in range(2) for c in range(2)], "hour long, row int, col int, u double, v double")
     p = spark.createDataFrame([(1, 0, 0.5, 0.5), (2, 0, -3.0, 9.0)], "id long, hour long, fr double, fc double")
@@ -74,10 +103,32 @@ def test_throttle_restarts_at_first_event_after_a_minute(spark):
 
 def test_label_fit_drops_strays(spark):
     p = spark.createDataFrame([(1, "lat", x, y) for x, y in [(100.0, 43.0), (300.0, 42.9), (500.0, 42.8), (700.0, 42.7), (410.0, 45.0)]], "sheet int, axis string, pos double, val double")
-    r = linkage.fit_labels(p).first()
+    r = linkage.fit_axes(p).first()
     assert (r.n, round(r.a, 6)) == (4, -0.0005)
 
 
+def plain_fit(pairs: list[tuple[float, float]]) -> tuple[float, float, int]:
+    for _ in range(3):
+        mx, my = statistics.fmean(x for x, _ in pairs), statistics.fmean(y for _, y in pairs)
+        a = sum((x - mx) * (y - my) for x, y in pairs) / sum((x - mx) ** 2 for x, _ in pairs)
+        b = my - a * mx
+        off = [abs(y - a * x - b) for x, y in pairs]
+        pairs = [p for p, r in zip(pairs, off, strict=True) if r <= max(3 * statistics.median(off), 1e-4)]
+    return a, b, len(pairs)
+
+
+def test_the_line_of_the_last_round_stays(spark):
+    """Strays large enough that every round still drops some: a fourth fit would give another line."""
+    rng, made = random.Random(9), {}
+    for sheet in range(20):
+        made[sheet] = [(10.0 * i, 43 - 0.002 * i + rng.choice([0.0] * 6 + [0.5, 2.0, 8.0]) * rng.random() + 0.01 * rng.random()) for i in range(25)]
+    p = spark.createDataFrame([(s, "lat", x, y) for s, own in made.items() for x, y in own], "sheet int, axis string, pos double, val double")
+    got = {r.sheet: (r.a, r.b, r.n) for r in linkage.fit_axes(p).collect()}
+    for sheet, own in made.items():
+        a, b, n = plain_fit(own)
+        assert got[sheet][2] == n and abs(got[sheet][0] - a) < 1e-9 and abs(got[sheet][1] - b) < 1e-6
+
+
 def test_incident_cascade(spark):
     fires = spark.createDataFrame([(1, "Elk", "CO", "2026-COGMF-000114"), (2, "Hay Creek", "MT", "2026-MTX-000001"), (3, "Moose", "MT", "2026-MTX-000002"), (4, "Moose", "MT", "2026-MTX-000003")], "fire int, name string, state string, unique_fire_id string")
     dirs = spark.createDataFrame([("a", "Elk", "CO", "2026-COGMF-000114"), ("b", "HayCreekComplex", "MT", None), ("c", "Moose", "MT", None), ("d", "Hay Crek", "MT", None), ("e", "Elk", "CO", None)], "dir string, name string, state string, token string")
@@ -221,3 +272,23 @@ def test_pages_stall_at_once_on_a_hot_day(spark):
     assert sorted(map(tuple, after.collect())) == [(1, "2024-01-03", True, "2024-01-02"), (2, "2024-01-05", False, None), (3, "2024-01-09", False, None)]
     days = {(r.fire, r.acq_date): (r.n, r.final) for r in detections.mark_synced(page, after, now).collect()}
     assert days == {(1, "2024-01-01"): (1, True), (1, "2024-01-02"): (2, False), (2, "2024-01-02"): (1, True)}
+
+
+def test_histories_of_all_fires_equal_those_of_each(spark):
+    """Perimeters from a point to a continent, boxes on cell edges, the fire itself, shapes that only their envelope meets."""
+    rng, rows = random.Random(4), []
+    for i in range(120):
+        x, y, r = rng.choice([-120.0, -119.75, -119.6, -118.0, 0.0, 10.2]), rng.choice([40.0, 40.25, 41.1, -3.0]), rng.choice([0.0, 0.01, 0.25, 0.3, 1.0, 7.0, 90.0])
+        ring = [[x + r, y], [x, y + r], [x - r, y], [x, y - r], [x + r, y]]
+        rows.append((f"{{G{i}}}", 2010 + i % 17, x - r, y - r, x + r, y + r, [ring]))
+    shapes = spark.createDataFrame(rows, "guid string, year int, w double, s double, e double, n double, rings array<array<array<double>>>")
+    fires = [(k, f"g{k}", x - d, y - d, x + d, y + d) for k, (x, y, d) in enumerate([(-120.0, 40.0, 0.5), (-119.75, 40.25, 0.0), (-119.0, 40.5, 0.6), (0.0, 0.0, 2.0), (170.0, 80.0, 0.5)])]
+    all_at_once = linkage.histories_of_fires(shapes, spark.createDataFrame(fires, "fire int, guid string, w double, s double, e double, n double"), 2026, 15)
+    got = {}
+    for r in all_at_once.collect():
+        got.setdefault(r.fire, []).append((r.guid, r.year))
+    for k, own, *box in fires:
+        want = [(r.guid, r.year) for r in linkage.historic_perimeters(shapes, tuple(box), 2026, own, 15).collect()]
+        assert sorted(got.get(k, [])) == sorted(want)
+    plan = all_at_once._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

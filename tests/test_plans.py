@@ -35,7 +35,7 @@ def test_query_equals_sql(spark, name):
     assert got == sorted((tuple(map(_norm, r)) for r in want.fetchall()), key=key)
 
 
-@pytest.mark.parametrize("name", ["detections_in_boxes", "perimeter_asof", "nearest_hours", "wind_samples", "matched_slugs", "matched_sitrep", "asset_classes", "frame_times", "forecast_links"])
+@pytest.mark.parametrize("name", ["detections_in_boxes", "perimeter_asof", "nearest_hours", "wind_samples", "matched_slugs", "matched_sitrep", "asset_classes", "frame_times", "forecast_links", "ramp_colors", "matched_incidents", "name_ratios", "resumed_pages", "clashing_slugs"])
 def test_no_products(spark, name):
     plan = PLANS[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import shutil
 
 from pyspark.sql import functions as F
 
@@ -89,14 +91,108 @@ def test_dedupe_and_daily_windows(spark, tmp_path):
     assert all((newest - r.day).total_seconds() >= 2 * 86400 for r in out.collect()) and out.count() > 0
 
 
-def test_throttle_and_generations(spark, tmp_path):
-    e = spark.range(60).select((F.col("id") % 3).alias("actor"), F.col("id").alias("ordinal"), F.timestamp_seconds(F.col("id") * 7).alias("ts"))
+def test_throttle_stream_equals_the_batch(spark, tmp_path):
+    e = spark.range(60).select((F.col("id") % 3).alias("actor"), F.col("id").alias("ordinal"), F.timestamp_seconds(F.col("id") * 7 + 1_700_000_000).alias("ts"))
     want = {(r.actor, r.ordinal) for r in incidents.throttle(e.withColumn("ts", F.col("ts").cast("timestamp_ntz")), 2, 8).collect()}
-    got = _run(st.throttle_stream(_stream(spark, e, str(tmp_path / "e"), 1), 2, 8), "throttled")
+    with st.keyed_state(spark):
+        got = _run(st.throttle_stream(_stream(spark, e, str(tmp_path / "e"), 1), 2, 8), "throttled")
     assert {(r.actor, r.ordinal) for r in got.collect()} == want
-    boxes = spark.createDataFrame([(1, 0.0, 0.0, 2.0, 2.0), (2, 0.0, 0.0, 1.0, 1.0)], "fire long, w double, s double, e double, n double")
-    out = _run(st.generation_stream(_stream(spark, boxes, str(tmp_path / "g"), 1), {1: (0.0, 0.0, 1.0, 1.0, 3)}), "generations_out", "update")
-    assert {(r.fire, r.e, r.gen) for r in out.collect()} == {(1, 2.0, 4), (2, 1.0, 1)}
+
+
+def test_a_quiet_minute_leaves_the_state_and_the_session_stays(spark, tmp_path):
+    """Three actors fall silent; a fourth one's event an hour later moves the watermark past their minutes. The second run goes on from the checkpoint."""
+    source, state = str(tmp_path / "in"), str(tmp_path / "state")
+    at = lambda rows: spark.createDataFrame(rows, "actor long, ordinal long, s long").select("actor", "ordinal", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("ts"))
+    at([(a, 10 * a + i, i) for a in range(3) for i in range(4)]).coalesce(1).write.parquet(source)
+    stream = lambda: st.throttle_stream(spark.readStream.schema("actor long, ordinal long, ts timestamp").parquet(source), 2, 3, "1 minute")
+    rows = lambda name: spark.read.format("statestore").option("path", state).option("stateVarName", name).load()
+    out = str(tmp_path / "out")
+
+    def run():
+        stream().writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination(180)
+
+    with st.keyed_state(spark):
+        run()
+        assert rows("minute").count() == 3
+        at([(9, 90, 3600)]).coalesce(1).write.mode("append").parquet(source)
+        run()
+        assert {r.key.actor for r in rows("minute").collect()} == {9}
+        assert {r.key.actor: r.value.total for r in rows("session").collect()} == {0: 2, 1: 2, 2: 2, 9: 1}
+        at([(a, 10 * a + 100 + i, 7200) for a in range(3) for i in range(3)]).coalesce(1).write.mode("append").parquet(source)
+        run()
+    # a new minute, but the session has one event left
+    assert sorted(r.ordinal for r in spark.read.parquet(out).collect()) == [0, 1, 10, 11, 20, 21, 90, 100, 110, 120]
+
+
+def test_generations_go_on_and_a_lost_state_takes_the_index(spark, tmp_path):
+    source = str(tmp_path / "g")
+    box = lambda rows: spark.createDataFrame(rows, "fire long, w double, s double, e double, n double")
+    published = spark.createDataFrame([(1, 0.0, 0.0, 1.0, 1.0, 3), (7, 0.0, 0.0, 9.0, 9.0, 5)], "fire long, w double, s double, e double, n double, gen int")
+    box([(1, 0.0, 0.0, 2.0, 2.0), (2, 0.0, 0.0, 1.0, 1.0)]).coalesce(1).write.parquet(source)
+    stream = lambda: st.generation_stream(spark.readStream.schema("fire long, w double, s double, e double, n double").parquet(source), published)
+    rows = {}
+
+    def run(state):
+        def keep(batch, _):
+            rows.update({r.fire: (r.w, r.e, r.gen) for r in batch.collect()})
+
+        stream().writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / state)).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination(180)
+
+    with st.keyed_state(spark):
+        run("kept")
+        assert rows == {1: (0.0, 2.0, 4), 2: (0.0, 1.0, 1)}
+        box([(1, -1.0, 0.0, 1.0, 1.0), (7, 1.0, 1.0, 2.0, 2.0)]).coalesce(1).write.mode("append").parquet(source)
+        run("kept")  # goes on from its state, the index doesn't count again
+        assert rows == {1: (-1.0, 2.0, 5), 2: (0.0, 1.0, 1), 7: (0.0, 9.0, 5)}
+        rows.clear()
+        run("lost")  # both files at once, from the index
+        assert rows[7] == (0.0, 9.0, 5) and rows[1][:2] == (-1.0, 2.0) and rows[1][2] in (4, 5)
+
+
+def test_a_batch_that_crashed_before_its_manifest_leaves_one_copy(spark, tmp_path):
+    path = str(tmp_path / "archive")
+    schema = "fire_slug string, gen int, acq_date string, lon double, lat double, ordinal long"
+    one = spark.createDataFrame([("elk", 1, "2026-08-18", -120.0, 48.0, 1), ("elk", 1, "2026-08-19", -119.0, 47.0, 2)], schema)
+    two = spark.createDataFrame([("elk", 1, "2026-08-19", -121.0, 46.0, 3), ("elk", 2, "2026-08-20", -121.0, 46.0, 4), ("hay", 1, "2026-08-20", -100.0, 40.0, 5)], schema)
+    read = lambda: sorted(r.ordinal for r in sinks.read_streamed(spark, path, "lon double, lat double, ordinal long").collect())
+    assert sinks.append_to_archive(one, path, "d", 0) and not sinks.append_to_archive(one, path, "d", 0)
+    index = sinks.streamed_index(spark, path).first()
+    assert read() == [1, 2] and (index.days, index.w, index.n, index.rows) == (["2026-08-18", "2026-08-19"], -120.0, 48.0, 2)
+    # the rows of the second batch are there, the crash came before its manifest
+    assert sinks.append_to_archive(two, path, "d", 1)
+    shutil.rmtree(f"{path}/manifests/batch=d-000000000001")
+    assert read() == [1, 2] and sinks.streamed_index(spark, path).count() == 1
+    assert sinks.append_to_archive(two, path, "d", 1) and read() == [1, 2, 3, 4, 5]
+    assert {(r.fire_slug, r.gen, r.rows) for r in sinks.streamed_index(spark, path).collect()} == {("elk", 2, 1), ("hay", 1, 1)}
+    # another stream has its own batches; an empty batch adds nothing
+    assert sinks.append_to_archive(one, path, "other", 0) and read() == [1, 1, 2, 2, 3, 4, 5]
+    assert sinks.append_to_archive(one.limit(0), path, "d", 2) and read() == [1, 1, 2, 2, 3, 4, 5]
+
+
+def test_a_stream_that_is_run_again_archives_once(spark, tmp_path):
+    rows = spark.range(90).select((F.col("id") % 3).cast("string").alias("fire_slug"), F.lit(1).alias("gen"), F.concat(F.lit("2026-08-0"), (1 + F.col("id") % 4).cast("string")).alias("acq_date"), F.lit(1.0).alias("lon"), F.lit(2.0).alias("lat"), F.col("id").alias("ordinal"))
+    stream, path = _stream(spark, rows, str(tmp_path / "in"), 3), str(tmp_path / "archive")
+    for state in ("a", "a", "b"):  # the last one has lost its checkpoint
+        st.archive_stream(stream, path, "d").option("checkpointLocation", str(tmp_path / state)).trigger(availableNow=True).start().awaitTermination(180)
+    assert sorted(r.ordinal for r in sinks.read_streamed(spark, path, "lon double, lat double, ordinal long").collect()) == list(range(90))
+
+
+def test_files_beyond_a_row_are_hashed_in_pieces(spark, tmp_path):
+    """A sparse file of 3 GB: its task holds a piece of it at a time."""
+    folder = tmp_path / "blobs"
+    folder.mkdir()
+    (folder / "small.bin").write_bytes(b"abc")
+    (folder / "empty.bin").write_bytes(b"")
+    (folder / "with space.bin").write_bytes(b"x" * 5000)
+    with open(folder / "large.bin", "wb") as f:
+        f.truncate(3 << 30)
+    sha, piece = hashlib.sha256(), bytes(1 << 20)
+    for _ in range(3 << 10):
+        sha.update(piece)
+    got = {r.path.rsplit("/", 1)[-1]: (r.sha16, r.size) for r in readers.hash_files(spark, str(folder), 4000).collect()}
+    short = lambda b: hashlib.sha256(b).hexdigest()[:16]
+    assert got.pop("large.bin") == (sha.hexdigest()[:16], 3 << 30)
+    assert sorted(got.values()) == sorted([(short(b"abc"), 3), (short(b"x" * 5000), 5000)])
 
 
 def test_heartbeats_and_activity(spark, tmp_path):
