@@ -75,11 +75,13 @@ def allowed_lengths(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.ceil(n * 9 / 11).cast("int"), F.floor(n * 11 / 9).cast("int")))
 
 
-def name_grams(name: Column) -> Column:
-    """Pairs of neighbouring characters, ends included, each with its number among its equals, so that the array is a set."""
-    marked = F.concat(F.lit("\x01"), name, F.lit("\x02"))
+def with_grams(rows: DataFrame, name: str, grams: str) -> DataFrame:
+    """rows with the pairs of neighbouring characters of a name, ends included, each with its number among its equals, so that the array is a set."""
+    marked = F.concat(F.lit("\x01"), F.col(name), F.lit("\x02"))
     pairs = F.array_sort(F.transform(F.sequence(F.lit(1), F.length(name) + 1), lambda i: F.substring(marked, i, F.lit(2))))
-    return F.transform(pairs, lambda x, i: F.concat(x, (i + 2 - F.array_position(pairs, x)).cast("string")))
+    # a column of its own, so that the sorted pairs are made once and not for each of them
+    number = lambda x, i: F.concat(x, (i + 2 - F.array_position("__pairs", x)).cast("string"))
+    return rows.withColumn("__pairs", pairs).withColumn(grams, F.transform("__pairs", number)).drop("__pairs")
 
 
 def _edits(total: Column, least: float) -> Column:
@@ -88,35 +90,35 @@ def _edits(total: Column, least: float) -> Column:
 
 
 def candidate_names(left: DataFrame, right: DataFrame, keys: list[str], least: float = FUZZY) -> DataFrame:
-    """keys, v, v2: pairs of left's names v and right's names v2 of equal keys that may reach `least`. Both have distinct rows.
+    """keys, v, v2 and the grams of both: names v of left and v2 of right, of equal keys, that may reach `least`, once for each gram they meet at. Both sides have distinct rows.
 
     With d characters inserted or deleted, i of them deleted from a, at most d + i
     of a's grams aren't in b: a deletion spoils two of a's pairs, an insertion one.
     So of any d + i + 1 grams of a one is in b, and the rarest ones are taken on
     both sides (prefix filter): no pair is lost, and common grams never meet.
     """
-    rare = right.select(F.explode(name_grams(F.col("v2"))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("__n"))
+    left, right = with_grams(left.select(*keys, "v"), "v", "__a"), with_grams(right.select(*keys, "v2"), "v2", "__b")
+    rare = right.select(F.explode("__b").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("__n"))
 
-    def prefix(rows: DataFrame, name: str) -> DataFrame:
+    def prefix(rows: DataFrame, name: str, own: str) -> DataFrame:
         n = F.length(name)
         spoilt = lambda m: F.floor((3 * _edits(n + m, least) + n - m) / 2)
         sizes = F.sequence(F.ceil(n * (least / (200 - least)) - 1e-9).cast("int"), F.floor(n * ((200 - least) / least) + 1e-9).cast("int"))
-        grams = rows.select(*keys, name, (F.array_max(F.transform(sizes, spoilt)) + 1).alias("__take"), F.explode(name_grams(F.col(name))).alias("gram"))
+        grams = rows.select(*keys, name, own, (F.array_max(F.transform(sizes, spoilt)) + 1).alias("__take"), F.explode(own).alias("gram"))
         place = F.row_number().over(W.partitionBy(*keys, name).orderBy(F.coalesce("__n", F.lit(0)), "gram"))
-        return grams.join(rare, "gram", "left").withColumn("__k", place).filter("__k <= __take").select(*keys, name, "gram")
+        return grams.join(rare, "gram", "left").withColumn("__k", place).filter("__k <= __take").select(*keys, name, own, "gram")
 
-    met = prefix(left, "v").join(prefix(right, "v2"), [*keys, "gram"])
-    total = F.length("v") + F.length("v2")
+    met = prefix(left, "v", "__a").join(prefix(right, "v2", "__b"), [*keys, "gram"])
     longer, shorter = F.greatest(F.length("v"), F.length("v2")), F.least(F.length("v"), F.length("v2"))
-    return met.filter(longer - shorter <= _edits(total, least)).select(*keys, "v", "v2").distinct()
+    return met.filter(longer - shorter <= _edits(F.length("v") + F.length("v2"), least)).select(*keys, "v", "v2", "__a", "__b")
 
 
 def likely_names(left: DataFrame, right: DataFrame, keys: list[str], least: float = FUZZY) -> DataFrame:
-    """Candidates that also pass two cheap tests which no pair of that ratio fails: grams they share, and a Levenshtein distance within the bound, as it is never above the number of insertions and deletions."""
+    """keys, v, v2: candidates that also pass two cheap tests which no pair of that ratio fails: grams they share, and a Levenshtein distance within the bound, as it is never above the number of insertions and deletions."""
     total = F.length("v") + F.length("v2")
     edits = _edits(total, least)
-    shared = F.size(F.array_intersect(name_grams(F.col("v")), name_grams(F.col("v2")))) >= 1 + F.ceil((total - 3 * edits) / 2)
-    return candidate_names(left, right, keys, least).filter(shared).filter(F.levenshtein("v", "v2") <= edits)
+    shared = F.size(F.array_intersect("__a", "__b")) >= 1 + F.ceil((total - 3 * edits) / 2)
+    return candidate_names(left, right, keys, least).filter(shared).filter(F.levenshtein("v", "v2") <= edits).select(*keys, "v", "v2").distinct()
 
 
 def close_names(left: DataFrame, right: DataFrame, keys: list[str], least: float = FUZZY) -> DataFrame:

@@ -179,7 +179,7 @@ def test_close_names_lose_no_pair_and_score_few(spark):
     """Against all pairs: names of a small alphabet, repeated letters, empty and short ones, and edits right at the bound."""
     rng = random.Random(11)
     names = {"", "a", "b", "aa", "ab", "a" * 29, "a" * 30, "a" * 33, "ab" * 12, "ab" * 13, "straße", "strasse", "漢字の山火事です", "漢字の山火事でした"}
-    for _ in range(150):
+    for _ in range(80):
         n = list("".join(rng.choice("abcdefgh ") for _ in range(rng.randint(1, 24))))
         names.add("".join(n))
         for _ in range(rng.randint(1, 4)):
@@ -198,13 +198,13 @@ def test_close_names_lose_no_pair_and_score_few(spark):
 def test_the_prefix_filter_compares_far_fewer_names_than_their_lengths_allow(spark):
     rng = random.Random(3)
     words = ["".join(rng.choice(["ka", "lo", "mi", "ser", "ton", "el", "ridge", "creek", "bu", "ha"]) for _ in range(rng.randint(1, 3))) for _ in range(300)]
-    names = sorted({f"{rng.choice(words)} {rng.choice(words)}" for _ in range(1500)})
+    names = sorted({f"{rng.choice(words)} {rng.choice(words)}" for _ in range(600)})
     fires = spark.createDataFrame([("CO", n) for n in names], "state string, v string")
     other = fires.withColumnRenamed("v", "v2")
     by_length = fires.join(other, "state").filter("length(v2) between ceil(length(v) * 9 / 11) and floor(length(v) * 11 / 9)").count()
-    met, scored = linkage.candidate_names(fires, other, ["state"]).count(), linkage.likely_names(fires, other, ["state"]).count()
+    met, scored = linkage.candidate_names(fires, other, ["state"]).select("v", "v2").distinct().count(), linkage.likely_names(fires, other, ["state"]).count()
     close = linkage.close_names(fires, other, ["state"]).count()
-    assert len(names) <= close <= scored < 2 * close and met < by_length / 4 and scored < by_length / 100
+    assert len(names) <= close <= scored < 2 * close and met < by_length / 4 and scored < by_length / 50
 
 
 def test_pins_hold_without_a_fire(spark):
