@@ -54,6 +54,61 @@ def detections_for_fires(detections: DataFrame, boxes: DataFrame) -> DataFrame:
     return placed.join(wanted, ["cx", "cy"]).filter(in_box(F.col("lon"), F.col("lat"), F.col("box")) & (F.col("acq_date") >= F.col("since"))).drop("cx", "cy", "box", "since")
 
 
+#: How often a crowded grid cell is halved, and from which share of all rows on a cell counts as crowded: at most 256 cells of a level do.
+SPLITS, CROWDED = 4, 1 / 256
+
+
+def crowded_cells(detections: DataFrame, share: float = CROWDED, splits: int = SPLITS) -> DataFrame:
+    """level, cx, cy, salts: grid cells of any level with more than `share` of all rows, 1 / share of a level at most; salts: how many shares the rows make."""
+    scale = F.pow(F.lit(2.0), F.col("level"))
+    fine = detections.groupBy(F.floor(F.col("lon") * (2**splits / CELL)).alias("fx"), F.floor(F.col("lat") * (2**splits / CELL)).alias("fy")).agg(F.count(F.lit(1)).alias("n"))
+    up = F.pow(F.lit(2.0), splits - F.col("level"))
+    cells = fine.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(splits)))).groupBy("level", F.floor(F.col("fx") / up).alias("cx"), F.floor(F.col("fy") / up).alias("cy")).agg(F.sum("n").alias("n"))
+    least = F.greatest(detections.agg(F.count(F.lit(1)).alias("n")).scalar() * share, F.lit(1.0))
+    return cells.filter(F.col("n") > least).select("level", "cx", "cy", F.ceil(F.col("n") / least).cast("int").alias("salts"))
+
+
+def _on_tree(rows: DataFrame, crowded: DataFrame, splits: int, descend) -> DataFrame:
+    """rows (level 0 cells cx, cy) moved down while their cell is crowded: descend(rows) gives them the cells of the next level."""
+    done, open_ = None, rows
+    for level in range(splits + 1):
+        here = crowded.filter(F.col("level") == level).select("cx", "cy", "salts")
+        met = open_.join(here, ["cx", "cy"], "left")
+        last = level == splits
+        leaves = (met if last else met.filter("salts is null")).withColumn("level", F.lit(level)).withColumn("salts", F.coalesce("salts", F.lit(1)))
+        done = leaves if done is None else done.unionByName(leaves)
+        if not last:
+            open_ = descend(met.filter("salts is not null").drop("salts"), level + 1)
+    return done
+
+
+def detections_on_tree(detections: DataFrame, boxes: DataFrame, share: float = CROWDED, splits: int = SPLITS) -> DataFrame:
+    """C6 where detections crowd: the rows of detections_for_fires, met in a quadtree instead of a fixed grid.
+
+    A cell with more than `share` of all rows is halved both ways, `splits` times at
+    most; what is crowded even then, one spot say, is dealt out by salts. So no key
+    of the join has much more than that share of the rows, however they lie. Boxes
+    are covered by the leaves they meet; each row has one leaf and one salt.
+    """
+    crowded = crowded_cells(detections, share, splits)
+    at = lambda c, level: F.floor(F.col(c) * (2.0**level / CELL))
+
+    def finer(rows: DataFrame, level: int) -> DataFrame:
+        return rows.withColumns({"cx": at("lon", level), "cy": at("lat", level)})
+
+    def covered(rows: DataFrame, level: int) -> DataFrame:
+        quarters = F.array(*(F.struct((F.col("cx") * 2 + i).alias("x"), (F.col("cy") * 2 + j).alias("y")) for i in (0, 1) for j in (0, 1)))
+        own = rows.withColumn("q", F.explode(quarters)).withColumns({"cx": F.col("q.x"), "cy": F.col("q.y")}).drop("q")
+        return own.filter((F.col("cx") <= at("box.e", level)) & (F.col("cx") >= at("box.w", level)) & (F.col("cy") <= at("box.n", level)) & (F.col("cy") >= at("box.s", level)))
+
+    placed = _on_tree(finer(detections, 0), crowded, splits, finer)
+    placed = placed.withColumn("salt", F.pmod(F.xxhash64(*detections.columns), F.col("salts")).cast("int")).drop("salts")
+    wanted = _on_tree(boxes.select("fire", "since", "box", F.inline(cells_of(F.col("box")))), crowded, splits, covered)
+    wanted = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    met = placed.join(wanted, ["level", "cx", "cy", "salt"])
+    return met.filter(in_box(F.col("lon"), F.col("lat"), F.col("box")) & (F.col("acq_date") >= F.col("since"))).drop("level", "cx", "cy", "salt", "box", "since")
+
+
 def with_zone(fires: DataFrame) -> DataFrame:
     """The fire's own zone; unknown and invalid ones count as UTC (a cluster has no viewer)."""
     return fires.withColumn("zone", known_zone(F.col("timezone")))

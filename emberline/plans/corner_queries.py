@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import geo
 from ..functions import text as tx
 from ..functions import time as tm
 from ..operators import detections as det
 from ..operators import forecast, incidents, weather
 from ..operators import linkage as lk
 from ..operators import roster
+from ..operators import vocabulary as vocab
 from ..sources.sinks import register_functions
+from ..sources.sql import register_row_functions
 from . import incident_queries as base
 from .adapters import cte, view
 
@@ -154,8 +157,49 @@ def zones_known(spark, sf_dir):
     return f.select("ordinal", tm.known_zone(F.col("timezone")).alias("zone"))
 
 
+def sql_product_names(spark, sf_dir):
+    """What product_names gives, by a table function in SQL."""
+    register_row_functions(spark)
+    return spark.sql("SELECT ordinal, p.* FROM {f}, LATERAL parse_product_filename(name) p", f=base._files(spark, sf_dir))
+
+
+def sql_unit_tokens(spark, sf_dir):
+    register_row_functions(spark)
+    return spark.sql("SELECT ordinal, array_join(unit_tokens(name, 2026), ',') AS tokens FROM {f}", f=base._files(spark, sf_dir))
+
+
+def sql_coordinates(spark, sf_dir):
+    register_row_functions(spark)
+    p = view(spark, sf_dir, "label_points").select((F.col("ordinal") % 190).alias("d"), (F.col("sub") * 11 % 70).alias("m"), (F.col("ordinal") % 5).alias("h")).distinct()
+    text = "concat(CASE WHEN h = 4 THEN '-' ELSE '' END, d, '° ', m, \"'\", CASE h WHEN 0 THEN 'N' WHEN 1 THEN 'S' WHEN 2 THEN 'W' ELSE '' END)"
+    return spark.sql(f"SELECT d, m, h, c.axis AS axis, round(c.deg, 6) AS deg FROM (SELECT d, m, h, parse_coord({text}) AS c FROM {{p}})", p=p)
+
+
+def sql_boxes(spark, sf_dir):
+    register_row_functions(spark)
+    f = view(spark, sf_dir, "fires").withColumn("p", geo.parse_lat_lon(F.col("fire_coordinates"), True)).filter("p is not null").select("ordinal", "p.lon", "p.lat")
+    steps = "SELECT ordinal, r, box_snap(r, 0.25D) AS g, box_pad(r, 0.1D, 85D) AS q, box_union(rect(lon, lat, 1D, 0.1D), r) AS u FROM (SELECT *, rect(lon, lat, 0.6D, 0.5D) AS r FROM {f})"
+    columns = ", ".join(f"round({k}.{c}, 6) AS {name}_{c}" for k, name in (("g", "snap"), ("q", "pad"), ("u", "union")) for c in "wsen")
+    return spark.sql(f"SELECT ordinal, {columns}, box_contains(g, r) AS holds, box_contains(r, u) AS held FROM ({steps})", f=f)
+
+
+def sql_days(spark, sf_dir):
+    """Local days of spans of up to four days, clock changes among them."""
+    register_row_functions(spark)
+    f = view(spark, sf_dir, "fires").select("ordinal", (F.lit("2024-03-08 00:00:00").cast("timestamp_ntz") + F.make_interval(hours=F.col("ordinal") % 96)).alias("begins"))
+    return spark.sql("SELECT ordinal, CAST(d.local_day AS STRING) AS local_day, d.start_utc, d.end_utc FROM {f}, LATERAL local_days('America/Denver', begins, begins + INTERVAL 30 HOURS) d", f=f)
+
+
+def labelled_products(spark, sf_dir):
+    """Labels from a table of the caller's, which knows fewer products and one more."""
+    p = view(spark, sf_dir, "files").select("ordinal", F.concat(F.trim("product_raw"), F.when(F.col("ordinal") % 3 == 0, "_arche").otherwise(""), F.when(F.col("ordinal") % 6 == 3, "_Ortho").otherwise("")).alias("product"))
+    table = spark.createDataFrame([("ops", "Operations", 1), ("iap_arche", "Action plan, large", 2), ("briefpio", "Briefing", 3), ("ops_arche_ortho", "Photo", 4)], "base string, label string, rank int")
+    return vocab.label_products(p, table).select("ordinal", "base", "label", "rank")
+
+
 QUERIES = {f.__name__: f for f in (
-    clashing_slugs, state_search, zoned_days, forecast_links, gathered_tokens, accepted_sheets, run_products, arrival_areas, advertised_hours, historic_shapes, histories, resumed_pages, synced_days, sql_functions, zones_known)}
+    clashing_slugs, state_search, zoned_days, forecast_links, gathered_tokens, accepted_sheets, run_products, arrival_areas, advertised_hours, historic_shapes, histories, resumed_pages, synced_days, sql_functions, zones_known,
+    sql_product_names, sql_unit_tokens, sql_coordinates, sql_boxes, sql_days, labelled_products)}
 
 _SLUG = "nullif(trim(regexp_replace(lower({}), '[^a-z0-9]+', '-', 'g'), '-'), '')"
 _NORM = r"trim(regexp_replace(regexp_replace(lower(regexp_replace({}, '[_-]+', ' ', 'g')), '[^a-z0-9 ]+', '', 'g'), '\s+', ' ', 'g'))"
@@ -286,5 +330,11 @@ ORACLE = {
     "sql_functions": cte("SELECT ordinal, " + _SLUG.format("post_title") + r""" AS slug, lower(trim(cornea_id, '{}')) AS guid, """ + _NORM.format("post_title") + r""" AS name, lower(firetype) = 'wildfire' AS wildfire, firetype ILIKE 'prescribed%' AS prescribed,
  CASE WHEN poly_last_updated IS NULL THEN 'none' WHEN epoch_ms(TIMESTAMP '1996-01-01') - epoch_ms(poly_last_updated) < 43200000 THEN 'fresh' WHEN epoch_ms(TIMESTAMP '1996-01-01') - epoch_ms(poly_last_updated) < 172800000 THEN 'recent' ELSE 'stale' END AS freshness,
  CASE WHEN ordinal < 30 THEN 'low' WHEN ordinal >= 80 THEN 'high' ELSE 'nominal' END AS conf, lower(unique_fire_id) AS readable, ordinal % 20 BETWEEN 1 AND 12 AS valid, round((ordinal + 180) % 360, 3)::DOUBLE AS bearing, round(sqrt(power(ordinal % 7, 2) + 16) * 2.23694, 4) AS mph FROM fires""", "fires"),
+    "sql_days": cte("""SELECT ordinal, CAST(CAST(d AS DATE) AS VARCHAR) AS local_day, timezone('UTC', timezone('America/Denver', d)) AS start_utc, timezone('UTC', timezone('America/Denver', d + INTERVAL 1 DAY)) AS end_utc
+ FROM (SELECT ordinal, unnest(generate_series(date_trunc('day', l(b)), date_trunc('day', l(b + INTERVAL 30 HOURS)), INTERVAL 1 DAY)) AS d FROM (SELECT ordinal, TIMESTAMP '2024-03-08' + INTERVAL (ordinal % 96) HOURS AS b FROM fires))""".replace("l(b)", "timezone('America/Denver', timezone('UTC', b))").replace("l(b + INTERVAL 30 HOURS)", "timezone('America/Denver', timezone('UTC', b + INTERVAL 30 HOURS))"), "fires"),
+    "labelled_products": cte("""SELECT ordinal, CASE WHEN p IN ('ops_arche_ortho') THEN p WHEN p = 'ops' OR starts_with(p, 'ops_') THEN 'ops' WHEN p = 'iap_arche' OR starts_with(p, 'iap_arche_') THEN 'iap_arche' WHEN p = 'briefpio' OR starts_with(p, 'briefpio_') THEN 'briefpio' ELSE 'other' END AS base,
+ CASE p WHEN 'ops' THEN 'Operations' WHEN 'ops_arche' THEN 'Operations (arche)' WHEN 'ops_arche_ortho' THEN 'Photo' WHEN 'iap_arche' THEN 'Action plan, large' WHEN 'iap_arche_ortho' THEN 'Action plan, large (ortho)' WHEN 'briefpio' THEN 'Briefing' WHEN 'briefpio_arche' THEN 'Briefing (arche)' WHEN 'briefpio_arche_ortho' THEN 'Briefing (arche ortho)' ELSE 'Other' END AS label,
+ CASE WHEN p = 'ops_arche_ortho' THEN 4 WHEN starts_with(p, 'ops') THEN 1 WHEN starts_with(p, 'iap_arche') THEN 2 WHEN starts_with(p, 'briefpio') THEN 3 END AS rank
+ FROM (SELECT ordinal, lower(trim(product_raw) || CASE WHEN ordinal % 3 = 0 THEN '_arche' ELSE '' END || CASE WHEN ordinal % 6 = 3 THEN '_ortho' ELSE '' END) AS p FROM files)""", "files"),
     "zones_known": cte("SELECT ordinal, CASE WHEN timezone = 'Not/AZone' THEN 'UTC' ELSE timezone END AS zone FROM fires", "fires"),
 }

@@ -70,6 +70,12 @@ def detections_in_boxes(spark, sf_dir):
     return _matched(spark, sf_dir).select("fire", "ordinal", "acq_date")
 
 
+def detections_in_leaves(spark, sf_dir):
+    """C6 on the quadtree: the rows of detections_in_boxes."""
+    found = ops.detections_on_tree(view(spark, sf_dir, "detections"), _boxes(spark, sf_dir).select("fire", "since", "box"), 1 / 64)
+    return found.select("fire", "ordinal", "acq_date")
+
+
 def daily_detections(spark, sf_dir):
     return _daily(spark, sf_dir).withColumn("local_day", F.col("local_day").cast("string"))
 
@@ -135,7 +141,7 @@ def detections_source(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    detection_fields, detections_slim, detections_at, box_algebra, mercator, detections_in_boxes, daily_detections, local_days, zero_filled_activity, activity_by_local_day,
+    detection_fields, detections_slim, detections_at, box_algebra, mercator, detections_in_boxes, detections_in_leaves, daily_detections, local_days, zero_filled_activity, activity_by_local_day,
     activity_samples, archive_index, final_days, history_since, stitched_pages, detection_pages, generations, recovered_state, detections_source)}
 
 _N = f"TIMESTAMP '{NOW}'"
@@ -164,6 +170,7 @@ ORACLE = {
  FROM placed WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180""", "fires", placed=_PLACED),
     "mercator": cte("SELECT ordinal, round(radians(lon) * 6378137, 3) AS x, round(ln(tan(pi()/4 + radians(lat)/2)) * 6378137, 3) AS y, round(lat, 6) AS lat_back FROM detections", "detections"),
     "detections_in_boxes": cte("SELECT fire, ordinal, acq_date FROM matched", "fires", "detections", **_M),
+    "detections_in_leaves": cte("SELECT fire, ordinal, acq_date FROM matched", "fires", "detections", **_M),
     "daily_detections": cte("SELECT * REPLACE (CAST(local_day AS VARCHAR) AS local_day) FROM daily", "fires", "detections", **_M, zones=_ZONES, daily=_DAILY),
     "local_days": cte("SELECT * REPLACE (CAST(local_day AS VARCHAR) AS local_day) FROM days", "fires", placed=_PLACED, zones=_ZONES, days=_DAYS),
     "zero_filled_activity": cte("SELECT fire, CAST(local_day AS VARCHAR) AS local_day, n FROM zero", "fires", "detections", **_ALL),

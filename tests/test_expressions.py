@@ -292,3 +292,23 @@ def test_histories_of_all_fires_equal_those_of_each(spark):
         assert sorted(got.get(k, [])) == sorted(want)
     plan = all_at_once._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_a_crowded_cell_is_dealt_out(spark):
+    """Half of the rows on one spot, more crowded around it, boxes with edges on cells of every level: the rows of the fixed grid, and no key with much more than its share."""
+    rng, rows = random.Random(5), []
+    for i in range(2000):
+        x, y = (-114.0, 44.0) if i % 2 else (-114 + rng.random() / 4, 44 + rng.random() / 4) if i % 3 else (-120 + 12 * rng.random(), 40 + 8 * rng.random())
+        rows.append((i, x, y, f"2024-01-{1 + i % 9:02}"))
+    d = spark.createDataFrame(rows, "ordinal int, lon double, lat double, acq_date string").withColumn("pad", F.lit("x"))
+    boxes = [(1, "2024-01-03", -114.25, 43.75, -113.5, 44.5), (2, "2024-01-01", -114.0, 44.0, -114.0, 44.0), (3, "2024-01-01", -113.99, 44.001, -113.95, 44.02), (4, "2024-01-01", -119.0, 41.0, -115.0, 47.0), (5, "2024-01-01", 10.0, 10.0, 11.0, 11.0)]
+    b = spark.createDataFrame(boxes, "fire int, since string, w double, s double, e double, n double").select("fire", "since", F.struct("w", "s", "e", "n").alias("box"))
+    want = sorted((f, i) for i, x, y, day in rows for f, since, w, s, e, n in boxes if w <= x <= e and s <= y <= n and day >= since)
+    for share in (1.0, 1 / 20, 1 / 100):
+        assert sorted((r.fire, r.ordinal) for r in detections.detections_on_tree(d, b, share).collect()) == want
+    assert sorted((r.fire, r.ordinal) for r in detections.detections_for_fires(d, b).collect()) == want
+    crowded = detections.crowded_cells(d, 1 / 20)
+    assert max(r.salts for r in crowded.collect()) >= 10 and crowded.count() < 20 * 5
+    placed = detections._on_tree(d.withColumns({"cx": F.floor(F.col("lon") / 0.25), "cy": F.floor(F.col("lat") / 0.25)}), crowded, 4, lambda r, k: r.withColumns({"cx": F.floor(F.col("lon") * 2.0**k / 0.25), "cy": F.floor(F.col("lat") * 2.0**k / 0.25)}))
+    keys = placed.withColumn("salt", F.pmod(F.xxhash64(*d.columns), F.col("salts"))).groupBy("level", "cx", "cy", "salt").count()
+    assert placed.count() == 2000 and keys.agg(F.max("count")).first()[0] <= 2 * 2000 / 20
