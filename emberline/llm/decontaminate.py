@@ -42,7 +42,7 @@ BLOCK_BYTES = 4 << 20
 #: Blocks that a Python worker keeps from shard to shard instead of reading them again.
 KEPT_BYTES = 32 << 20
 #: Text of a shard, text whose words are taken at once, and every how manieth suffix position is kept.
-SHARD_BYTES, SLICE_BYTES, SAMPLE = 8 << 20, 1 << 20, 8
+SHARD_BYTES, SLICE_BYTES, SAMPLE = 4 << 20, 1 << 20, 8
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -286,7 +286,7 @@ class Shard:
         begin, end = runs(known)
         edge = np.flatnonzero(np.diff(self.doc)) + 1
         inside = edge[known[edge] & known[edge - 1]]
-        begin, end = np.union1d(begin, inside), np.union1d(end, inside)
+        begin, end = np.sort(np.concatenate((begin, inside)), kind="stable"), np.sort(np.concatenate((end, inside)), kind="stable")
         long = end - begin >= shortest
         return begin[long], end[long]
 
@@ -338,7 +338,7 @@ def _search(path: str, window: int, cut: bool):
                 begin, end = runs(hit)
                 edge = np.flatnonzero(np.diff(shard.doc)) + 1
                 inside = edge[hit[edge] & hit[edge - 1]]
-                begin, end = np.union1d(begin, inside), np.union1d(end, inside)
+                begin, end = np.sort(np.concatenate((begin, inside)), kind="stable"), np.sort(np.concatenate((end, inside)), kind="stable")
                 upto = np.searchsorted(shard.doc, np.arange(len(offsets)))
                 at, rel = np.searchsorted(shard.doc[begin], np.arange(len(offsets))), upto[shard.doc[begin]]
                 if cut:
