@@ -29,7 +29,7 @@ def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     zones = ops.with_zone(view(spark, sf_dir, "fires")).select(F.col("ordinal").alias("fire"), "zone")
-    return ops.daily_counts(_matched(spark, sf_dir), zones)
+    return ops.daily_counts_in_boxes(view(spark, sf_dir, "detections"), _boxes(spark, sf_dir).select("fire", "since", "box"), zones)
 
 
 def _days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,12 +99,12 @@ def activity_samples(spark, sf_dir):
 
 
 def archive_index(spark, sf_dir):
-    i = ops.archive_index(_matched(spark, sf_dir))
+    i = ops.archive_index_in_boxes(view(spark, sf_dir, "detections"), _boxes(spark, sf_dir).select("fire", "since", "box"))
     return i.select("fire", F.array_join("days", ",").alias("days"), *(F.round(c, 6).alias(c) for c in "wsen"))
 
 
 def final_days(spark, sf_dir):
-    days = _matched(spark, sf_dir).groupBy("fire", "acq_date").agg(F.count(F.lit(1)).alias("n"))
+    days = ops.acquired_days_in_boxes(view(spark, sf_dir, "detections"), _boxes(spark, sf_dir).select("fire", "since", "box"))
     return ops.mark_final(days, F.lit("2024-01-18"), _now(), 5)
 
 

@@ -312,3 +312,19 @@ def test_a_crowded_cell_is_dealt_out(spark):
     placed = detections._on_tree(d.withColumns({"cx": F.floor(F.col("lon") / 0.25), "cy": F.floor(F.col("lat") / 0.25)}), crowded, 4, lambda r, k: r.withColumns({"cx": F.floor(F.col("lon") * 2.0**k / 0.25), "cy": F.floor(F.col("lat") * 2.0**k / 0.25)}))
     keys = placed.withColumn("salt", F.pmod(F.xxhash64(*d.columns), F.col("salts"))).groupBy("level", "cx", "cy", "salt").count()
     assert placed.count() == 2000 and keys.agg(F.max("count")).first()[0] <= 2 * 2000 / 20
+
+
+def test_fires_that_share_a_box_meet_its_detections_once(spark):
+    """Shared boxes with other dates and zones, edges, a fire without detections: the rows of each fire on its own, and joins that don't grow with the fires of a box."""
+    rows = [(i, -120 + i % 9 * 0.25, 40 + i % 7 * 0.125, f"2024-01-0{1 + i % 5}", i % 24) for i in range(400)]
+    d = spark.createDataFrame(rows, "ordinal int, lon double, lat double, acq_date string, h int").withColumn("acq_ts", F.to_timestamp("acq_date").cast("timestamp_ntz") + F.make_interval(hours=F.col("h")))
+    own = [(k, f"2024-01-0{1 + k % 4}", *((-120.0, 40.0, -119.0, 40.5) if k % 3 else (-119.5, 40.25, -118.75, 41.0)), ["UTC", "America/Denver"][k % 2]) for k in range(40)] + [(99, "2024-01-01", 10.0, 10.0, 11.0, 11.0, "UTC")]
+    f = spark.createDataFrame(own, "fire int, since string, w double, s double, e double, n double, zone string")
+    boxes, zones = f.select("fire", "since", F.struct("w", "s", "e", "n").alias("box")), f.select("fire", "zone")
+    each = detections.detections_for_fires(d, boxes)
+    told = lambda x: sorted(map(str, x.collect()))
+    daily = detections.daily_counts_in_boxes(d, boxes, zones)
+    assert told(daily) == told(detections.daily_counts(each, zones)) and daily.count() > 40
+    assert told(detections.acquired_days_in_boxes(d, boxes)) == told(each.groupBy("fire", "acq_date").agg(F.count(F.lit(1)).alias("n")))
+    assert told(detections.archive_index_in_boxes(d, boxes)) == told(detections.archive_index(each))
+    assert detections._met_once(d, boxes, ["box"]).count() < 2 * 400 < each.count()
