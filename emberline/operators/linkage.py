@@ -301,23 +301,39 @@ def histories_of_fires(rows: DataFrame, fires: DataFrame, now_year: int, most: i
     level whose side its envelope doesn't exceed, four of them at most, and a fire's
     box covers cells of every level: an equi join on level and cell. A pair counts
     in its first common cell only, so that none has to be told apart later.
+
+    Equal shapes and equal boxes meet once: a shape stands for its newest perimeters
+    and a box for its fires. A fire leaves out one guid, so `most` perimeters of each
+    guid and twice `most` in all hold what any fire of a box can ask for.
     """
     recent = rows.filter((F.col("year") >= now_year - 10) & (F.col("w") <= F.col("e")) & (F.col("s") <= F.col("n")))
     extent = F.greatest(F.col("e") - F.col("w"), F.col("n") - F.col("s"))
     level = F.least(F.greatest(F.ceil(F.log2(F.greatest(extent, F.lit(FINEST)) / FINEST)), F.lit(0)), F.lit(LEVELS)).cast("int")
-    held = recent.withColumn("level", level)
+    shape = [c for c in ("w", "s", "e", "n", "rings") if c in rows.columns]
+    place = F.struct(*shape)
+    newest = _newest_of_any(recent.select(place.alias("place"), "guid", "year"), ["place"], most)
+    held = newest.select("place").distinct().select("place", "place.*").withColumn("level", level)
     mine = held.select("*", F.inline(_cells(F.col("w"), F.col("s"), F.col("e"), F.col("n"), F.col("level"))))
-    boxes = fires.select("fire", tx.norm_guid(F.col("guid")).alias("own"), *(F.col(c).alias(f"b{c}") for c in "wsen")).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))))
+    asked = fires.select("fire", tx.norm_guid(F.col("guid")).alias("own"), F.struct(*(F.col(c).alias(f"b{c}") for c in "wsen")).alias("box"))
+    boxes = asked.select("box").distinct().select("box", "box.*").withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))))
     theirs = boxes.select("*", F.inline(_cells(F.col("bw"), F.col("bs"), F.col("be"), F.col("bn"), F.col("level"))))
     met = theirs.join(mine, ["level", "cx", "cy"])
     side = F.lit(FINEST) * F.pow(F.lit(2.0), F.col("level"))
     first = (F.col("cx") == F.floor(F.greatest("w", "bw") / side)) & (F.col("cy") == F.floor(F.greatest("s", "bs") / side))
     near = met.filter(first & (F.col("w") <= F.col("be")) & (F.col("e") >= F.col("bw")) & (F.col("s") <= F.col("bn")) & (F.col("n") >= F.col("bs")))
-    near = near.filter(~F.coalesce(tx.norm_guid(F.col("guid")) == F.col("own"), F.lit(False)))
     if "rings" in rows.columns:
         near = near.filter(meets_box(F.col("rings"), F.col("bw"), F.col("bs"), F.col("be"), F.col("bn")))
-    newest = F.row_number().over(W.partitionBy("fire").orderBy(F.col("year").desc(), "guid"))
-    return near.select("fire", "guid", "year").withColumn("k", newest).filter(F.col("k") <= most).drop("k")
+    of_box = _newest_of_any(near.select("box", "place").join(newest, "place").select("box", "guid", "year"), ["box"], most)
+    others = asked.join(of_box, "box").filter(~F.coalesce(tx.norm_guid(F.col("guid")) == F.col("own"), F.lit(False)))
+    by_fire = F.row_number().over(W.partitionBy("fire").orderBy(F.col("year").desc(), "guid"))
+    return others.select("fire", "guid", "year").withColumn("k", by_fire).filter(F.col("k") <= most).drop("k")
+
+
+def _newest_of_any(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """Of each key's rows (guid, year) those that can be among the `most` newest once any one guid is left out."""
+    newest = lambda *by: F.row_number().over(W.partitionBy(*keys, *by).orderBy(F.col("year").desc(), "guid"))
+    of_guid = rows.withColumn("k", newest(tx.norm_guid(F.col("guid")))).filter(F.col("k") <= most)
+    return of_guid.withColumn("k", newest()).filter(F.col("k") <= 2 * most).drop("k")
 
 
 def envelope(rings: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 import statistics
 
 from pyspark.sql import functions as F
@@ -328,3 +329,18 @@ def test_fires_that_share_a_box_meet_its_detections_once(spark):
     assert told(detections.acquired_days_in_boxes(d, boxes)) == told(each.groupBy("fire", "acq_date").agg(F.count(F.lit(1)).alias("n")))
     assert told(detections.archive_index_in_boxes(d, boxes)) == told(detections.archive_index(each))
     assert detections._met_once(d, boxes, ["box"]).count() < 2 * 400 < each.count()
+
+
+def test_histories_of_shared_boxes_and_shapes(spark):
+    """Many fires in one box, perimeters of one guid that come before all others, guids without a value, equal shapes: the rows of each fire on its own, and few pairs of boxes and shapes."""
+    rows = [(None if i % 50 == 0 else f"{{G{i % 7}}}" if i < 200 else f"{{H{i}}}", 2026 - i // 100, 0.0 + i % 3, 0.0, 1.0 + i % 3, 1.0) for i in range(400)]
+    shapes = spark.createDataFrame(rows, "guid string, year int, w double, s double, e double, n double")
+    fires = [(k, f"{{g{k}}}" if k < 9 else None, *((0.2, 0.2, 0.8, 0.8) if k % 2 else (1.2, 0.2, 2.8, 0.8))) for k in range(30)]
+    for most in (1, 3, 40):
+        got = {}
+        for r in linkage.histories_of_fires(shapes, spark.createDataFrame(fires, "fire int, guid string, w double, s double, e double, n double"), 2026, most).collect():
+            got.setdefault(r.fire, []).append((r.guid or "", -r.year))
+        for k, own, w, s, e, n in fires:
+            other = [(-y, g or "") for g, y, a, b, c, d in rows if a <= e and c >= w and b <= n and d >= s and (g is None or own is None or g.strip("{}").lower() != own.strip("{}"))]
+            assert sorted((y, g) for g, y in got[k]) == sorted(other)[:most]
+    assert linkage._newest_of_any(shapes.select(F.lit(1).alias("box"), "guid", "year"), ["box"], 3).count() == 6
