@@ -126,16 +126,24 @@ def close_names(left: DataFrame, right: DataFrame, keys: list[str], least: float
     return likely_names(left, right, keys, least).withColumn("ratio", tx.indel_ratio(F.col("v"), F.col("v2"))).filter(F.col("ratio") >= least)
 
 
-def name_pairs(fires: DataFrame, least: float = FUZZY) -> DataFrame:
+def name_pairs(fires: DataFrame, least: float | None = FUZZY) -> DataFrame:
     """Fires of a state whose names are alike by a ratio of `least` or more, as links a, b, ratio (a < b). fires: fire, name, state.
 
+    Without `least` all names whose lengths allow a ratio of FUZZY are linked,
+    whatever their ratio: as many rows as there are such pairs of different names.
+
     The first fire of each name stands for it: names are linked between those, and
     the other fires of a name hang on its first one at 100. Nothing is lost, and a
     name that many fires have gives as many rows as fires.
     """
     named = fires.filter("name is not null and state is not null").groupBy("state", "name").agg(F.min("fire").alias("first"))
     one = named.select("state", F.col("name").alias("v"))
-    close = close_names(one, one.withColumnRenamed("v", "v2"), ["state"], least).filter("v < v2")
+    two = one.withColumnRenamed("v", "v2")
+    if least is None:
+        sized = one.withColumn("size", F.explode(allowed_lengths(F.length("v"))))
+        close = sized.join(two.withColumn("size", F.length("v2")), ["state", "size"]).filter("v < v2").select("state", "v", "v2", tx.indel_ratio(F.col("v"), F.col("v2")).alias("ratio"))
+    else:
+        close = close_names(one, two, ["state"], least).filter("v < v2")
     first = lambda k, n: named.select("state", F.col("name").alias(n), F.col("first").alias(k))
     links = close.join(first("f", "v"), ["state", "v"]).join(first("g", "v2"), ["state", "v2"]).select(F.least("f", "g").alias("a"), F.greatest("f", "g").alias("b"), "ratio")
     members = fires.join(named, ["state", "name"]).filter("fire <> first").select(F.col("first").alias("a"), F.col("fire").alias("b"), F.lit(100.0).alias("ratio"))

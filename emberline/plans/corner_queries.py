@@ -276,7 +276,7 @@ ORACLE = {
         walk="""SELECT DISTINCT actor, 0::BIGINT AS ordinal, 0::BIGINT AS i, CAST(NULL AS TIMESTAMP) AS since, 0 AS n, 0 AS total, false AS kept FROM ev
  UNION ALL SELECT actor, ordinal, i, since, CASE WHEN n < 2 AND total < 60 THEN n + 1 ELSE n END, CASE WHEN n < 2 AND total < 60 THEN total + 1 ELSE total END, n < 2 AND total < 60 FROM (
   SELECT ev.actor, ev.ordinal, ev.i, CASE WHEN since IS NULL OR epoch_us(ts) - epoch_us(since) > 60000000 THEN ts ELSE since END AS since, CASE WHEN since IS NULL OR epoch_us(ts) - epoch_us(since) > 60000000 THEN 0 ELSE n END AS n, total FROM walk JOIN ev ON ev.actor = walk.actor AND ev.i = walk.i + 1)"""),
-    "name_ratios": cte(f"SELECT least(f.fire, g.fire) AS a, greatest(f.fire, g.fire) AS b, round({ratio('f.name', 'g.name')}, 4) AS ratio FROM named f JOIN named g ON f.state = g.state AND f.name < g.name AND {ratio('f.name', 'g.name')} >= 90 UNION ALL SELECT named.fire, link.fire, 100.0 FROM link JOIN named USING (state, name) WHERE link.fire <> named.fire", "fires", link=_LINK, named="SELECT state, name, min(fire) AS fire FROM link GROUP BY ALL"),
+    "name_ratios": cte(f"SELECT least(f.fire, g.fire) AS a, greatest(f.fire, g.fire) AS b, round({ratio('f.name', 'g.name')}, 4) AS ratio FROM named f JOIN named g ON f.state = g.state AND f.name < g.name AND length(g.name) BETWEEN ceil(length(f.name) * 9 / 11) AND floor(length(f.name) * 11 / 9) UNION ALL SELECT named.fire, link.fire, 100.0 FROM link JOIN named USING (state, name) WHERE link.fire <> named.fire", "fires", link=_LINK, named="SELECT state, name, min(fire) AS fire FROM link GROUP BY ALL"),
     "matched_slugs": cte(_LINKS, "fires", **links(
         "SELECT DISTINCT lower(state) || '-' || " + _SLUG.format("CASE WHEN fire % 4 = 1 THEN name || 's' ELSE name END") + " || CASE WHEN fire % 2 = 0 THEN '-' || CAST(fire AS VARCHAR) ELSE '' END AS slug FROM link",
         "SELECT lower(state) || '-' || form || '-' || CAST(fire AS VARCHAR) AS slug, cornea_id FROM link WHERE fire % 10 = 0")),

@@ -338,7 +338,7 @@ def matched_sitrep(spark, sf_dir):
 
 
 def name_ratios(spark, sf_dir):
-    return lk.name_pairs(_link_fires(spark, sf_dir)).select("a", "b", F.round("ratio", 4).alias("ratio"))
+    return lk.name_pairs(_link_fires(spark, sf_dir), None).select("a", "b", F.round("ratio", 4).alias("ratio"))
 
 
 def _labels(spark, sf_dir):

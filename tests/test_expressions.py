@@ -344,3 +344,9 @@ def test_histories_of_shared_boxes_and_shapes(spark):
             other = [(-y, g or "") for g, y, a, b, c, d in rows if a <= e and c >= w and b <= n and d >= s and (g is None or own is None or g.strip("{}").lower() != own.strip("{}"))]
             assert sorted((y, g) for g, y in got[k]) == sorted(other)[:most]
     assert linkage._newest_of_any(shapes.select(F.lit(1).alias("box"), "guid", "year"), ["box"], 3).count() == 6
+
+
+def test_names_of_all_ratios_are_paired(spark):
+    made = [(11, "elk creek", "CO"), (12, "elk ridge", "CO"), (13, "elk ridge", "CO"), (14, "elk ridge x", "MT"), (15, "elk", "CO")]
+    got = {(r.a, r.b): round(r.ratio, 4) for r in linkage.name_pairs(spark.createDataFrame(made, "fire int, name string, state string"), None).collect()}
+    assert got == {(11, 12): round(plain_ratio("elk creek", "elk ridge"), 4), (12, 13): 100}
