@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,8 +44,8 @@ def assign_slugs(fires: DataFrame) -> DataFrame:
     rest = F.sum(F.when(first | by_state, 0).otherwise(1)).over(by_name.rowsBetween(W.unboundedPreceding, 0))
     slug = F.when(first, F.col("__base")).when(by_state, F.concat_ws("-", "__base", "__state")).otherwise(F.concat_ws("-", F.col("__base"), (rest + 1).cast("string")))
     mixed = named.filter("__mixed")
-    order = F.sort_array(F.collect_list(F.struct("ordinal", F.col("__base").alias("base"), F.col("__state").alias("state"))))
-    folded = mixed.groupBy("__root").agg(_fold_slugs(order).alias("x")).select(F.inline("x")).withColumnRenamed("ordinal", "__ordinal")
+    in_order = mixed.select("__root", F.col("ordinal").cast("long").alias("__ordinal"), "__base", "__state").repartition("__root").sortWithinPartitions("__root", "__ordinal")
+    folded = in_order.mapInArrow(_fold_slugs, "__ordinal long, fire_slug string")
     told = mixed.join(folded, F.col("ordinal") == F.col("__ordinal"))
     return plain.withColumn("fire_slug", slug).select(*fires.columns, "fire_slug").unionByName(told.select(*fires.columns, "fire_slug"))
 
@@ -64,21 +67,34 @@ def _roots(named: DataFrame) -> DataFrame:
     return begins.join(bases.withColumnRenamed("__base", "__root"), "__root", "left_semi").groupBy("__base").agg(F.min_by("__root", "__n").alias("__root"))
 
 
-def _fold_slugs(order: Column) -> Column:
-    """Slugs of fires (ordinal, base, state) in order; a map holds those taken, and for names how often a number was needed."""
-    start = F.struct(F.create_map().cast("map<string,int>").alias("taken"), F.array().cast("array<struct<ordinal:bigint,fire_slug:string>>").alias("out"))
-    has = lambda m, k: F.map_contains_key(m, k)
-    put = lambda m, k: F.when(has(m, k), m).otherwise(F.map_concat(m, F.create_map(k, F.lit(1))))
-
-    def step(acc: Column, f: Column) -> Column:
-        taken, base, by_state = acc["taken"], f["base"], F.concat_ws("-", f["base"], f["state"])
-        n = F.coalesce(F.try_element_at(taken, base), F.lit(0)) + 1
-        numbered = has(taken, base) & has(taken, by_state)
-        slug = F.when(~has(taken, base), base).when(~numbered, by_state).otherwise(F.concat_ws("-", base, n.cast("string")))
-        counted = F.when(numbered, F.map_concat(F.map_filter(taken, lambda k, _: k != base), F.create_map(base, n))).otherwise(taken)
-        return F.struct(put(counted, slug).alias("taken"), F.concat(acc["out"], F.array(F.struct(f["ordinal"].cast("bigint").alias("ordinal"), slug.alias("fire_slug")))).alias("out"))
+def _fold_slugs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slugs of fires that come by root and in order (__root, __ordinal, __base, __state), a step for each.
 
-    return F.aggregate(order, start, step, lambda acc: acc["out"])
+    Kept of a root: the names and names with states that are taken, and how often a
+    name needed a number; name-2 to name-n are taken by that.
+    """
+    at, taken, numbers = None, set(), {}
+
+    def has(slug: str) -> bool:
+        name, _, n = slug.rpartition("-")
+        return slug in taken or (n.isdecimal() and n == str(int(n)) and 2 <= int(n) <= numbers.get(name, 1))
+
+    for batch in batches:
+        roots, bases, states = (batch.column(c).to_pylist() for c in ("__root", "__base", "__state"))
+        slugs = []
+        for root, base, state in zip(roots, bases, states, strict=True):
+            if root != at:
+                at, taken, numbers = root, set(), {}
+            slug = base
+            if has(base):
+                slug = f"{base}-{state}"
+                if has(slug):
+                    numbers[base] = numbers.get(base, 1) + 1
+                    slugs.append(f"{base}-{numbers[base]}")
+                    continue
+            taken.add(slug)
+            slugs.append(slug)
+        yield pa.RecordBatch.from_arrays([batch.column("__ordinal"), pa.array(slugs, pa.string())], names=["__ordinal", "fire_slug"])
 
 
 def build_catalog(fires: DataFrame, incidents: DataFrame, spread: DataFrame, perimeters: DataFrame, archives: DataFrame) -> DataFrame:

@@ -350,3 +350,13 @@ def test_names_of_all_ratios_are_paired(spark):
     made = [(11, "elk creek", "CO"), (12, "elk ridge", "CO"), (13, "elk ridge", "CO"), (14, "elk ridge x", "MT"), (15, "elk", "CO")]
     got = {(r.a, r.b): round(r.ratio, 4) for r in linkage.name_pairs(spark.createDataFrame(made, "fire int, name string, state string"), None).collect()}
     assert got == {(11, 12): round(plain_ratio("elk creek", "elk ridge"), 4), (12, 13): 100}
+
+
+def test_many_fires_of_a_root_are_named_in_a_step_each(spark):
+    """A root of 30,000 fires with several names: a fold that copies what it has would take minutes."""
+    names, states = ["Elk", "Elk co", "Elk 2", "Elk 7", "Elk xx", "Elk ut 3"], ["CO", "UT", None, "MT", "3"]
+    fires = [(names[i * 7 % 11 % 6], states[i * 5 % 13 % 5]) for i in range(30000)]
+    rows = spark.createDataFrame([(i, n, st, "x") for i, (n, st) in enumerate(fires)], "ordinal int, post_title string, state string, cornea_id string")
+    began = time.time()
+    got = [r.fire_slug for r in roster.assign_slugs(rows).orderBy("ordinal").collect()]
+    assert got == plain_slugs(fires) and time.time() - began < 60
