@@ -150,6 +150,11 @@ def name_pairs(fires: DataFrame, least: float | None = FUZZY) -> DataFrame:
     return links.unionByName(members)
 
 
+def _once(c: Column) -> Column:
+    """The column as a generator of one row: computed once and here, as the planner neither copies it into filters nor moves these below joins and distinct rows."""
+    return F.explode(F.array(c))
+
+
 def match_forecast_slugs(slugs: DataFrame, documents: DataFrame, fires: DataFrame) -> DataFrame:
     """C4: forecast slug ('st-name' or 'st-name-number', 4 to 6 digits) to fire, with method and score.
 
@@ -162,6 +167,7 @@ def match_forecast_slugs(slugs: DataFrame, documents: DataFrame, fires: DataFram
     """
     ids = documents.select("slug", tx.norm_guid(F.col("cornea_id")).alias("guid"))
     uid = F.col("unique_fire_id") if "unique_fire_id" in fires.columns else F.lit(None).cast("string")
+    slugs = slugs.select(_once(F.col("slug")).alias("slug"))
     own = fires.select("fire", "name", "state", tx.norm_guid(F.col("cornea_id")).alias("guid"), tx.slugify(F.col("name")).alias("form"), F.element_at(F.split(uid, "-"), -1).try_cast("long").alias("incident"))
     found = lambda stage, fire, method, score: ("slug", F.lit(stage).alias("stage"), F.struct(fire.alias("fire"), method.alias("method"), score.alias("score")).alias("m"))
     by_doc = slugs.join(ids, "slug").join(own.select("guid", "fire"), "guid").groupBy("slug").agg(F.min("fire").alias("fire")).select(*found(0, F.col("fire"), F.lit("document"), F.lit(1.0)))
@@ -173,8 +179,9 @@ def match_forecast_slugs(slugs: DataFrame, documents: DataFrame, fires: DataFram
     hits = tries.join(unique, ["state", "form"]).groupBy("slug").agg(F.min_by(F.struct("fire", "number", "incident"), "k").alias("h"))
     sure = F.coalesce(F.endswith(F.col("h.number").cast("string"), F.col("h.incident").cast("string")), F.lit(False))
     exact = hits.select(*found(1, F.col("h.fire"), F.when(sure, "unit_num").otherwise("name_exact"), F.when(sure, 1.0).otherwise(EXACT)))
-    forms = split.select("slug", "state", tx.normalize_name(F.replace("bare", F.lit("-"), F.lit(" "))).alias("v")).filter("v <> ''")
-    known = own.select("fire", "state", tx.normalize_name(F.col("name")).alias("v2")).filter("v2 <> '' and state is not null").groupBy("state", "v2").agg(F.min("fire").alias("fire"))
+    forms = split.select("slug", "state", _once(tx.normalize_name(F.replace("bare", F.lit("-"), F.lit(" ")))).alias("v")).filter("v <> ''")
+    named = own.filter("state is not null").groupBy("state", "name").agg(F.min("fire").alias("fire"))
+    known = named.select("fire", "state", _once(tx.normalize_name(F.col("name"))).alias("v2")).filter("v2 <> ''").groupBy("state", "v2").agg(F.min("fire").alias("fire"))
     close = close_names(forms.select("state", "v").distinct(), known.select("state", "v2"), ["state"]).join(known, ["state", "v2"])
     best = close.groupBy("state", "v").agg(F.max_by(F.struct("fire", "ratio"), F.struct("ratio", -F.col("fire"))).alias("b"))
     fuzzy = forms.join(best, ["state", "v"]).select(*found(2, F.col("b.fire"), F.lit("name_fuzzy"), F.bround(F.col("b.ratio") / 100, 3)))

@@ -360,3 +360,12 @@ def test_many_fires_of_a_root_are_named_in_a_step_each(spark):
     began = time.time()
     got = [r.fire_slug for r in roster.assign_slugs(rows).orderBy("ordinal").collect()]
     assert got == plain_slugs(fires) and time.time() - began < 60
+
+
+def test_names_are_normalised_once(spark):
+    """Slugs and names made by expressions: filters on what comes of them don't copy these below the distinct rows and joins."""
+    fires = spark.range(9).select(F.col("id").alias("fire"), F.concat(F.lit("Elk "), F.col("id").cast("string")).alias("name"), F.lit("CO").alias("state"), F.lit("x").alias("cornea_id"))
+    slugs = fires.select(F.concat(F.lit("co-"), tx.slugify(F.col("name"))).alias("slug")).distinct()
+    found = linkage.match_forecast_slugs(slugs, fires.select(F.lit("a-b").alias("slug"), "cornea_id").limit(0), fires)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() == 9 and plan.count("regexp_replace") < 150, plan.count("regexp_replace")
