@@ -6,8 +6,11 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import cache
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 
 
@@ -33,3 +36,30 @@ def land_documents(documents: DataFrame, text: Column, name: str) -> str:
     path = work_path(documents.sparkSession, name)
     documents.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     return path
+
+
+def open_place(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path and the path within it, for tasks."""
+    return fs.FileSystem.from_uri("/" + path[5:].lstrip("/") if path.startswith("file:") else path)
+
+
+def land_files(documents: DataFrame, text: Column, name: str) -> list[str]:
+    """Write each row's text and a line feed as a file of its own, for very many rows; returns the folders.
+
+    Tasks write by themselves, as Spark's writer opens, renames and lists files one
+    by one. Each attempt has a folder, and only those of successful ones are named.
+    """
+    path = work_path(documents.sparkSession, name)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folder, n = f"{path}/{uuid.uuid4().hex}", 0
+        system, place = open_place(folder)
+        system.create_dir(place, recursive=True)
+        for batch in batches:
+            for value in batch.column(0):
+                with system.open_output_stream(f"{place}/{n}") as file:
+                    file.write((value.as_py() + "\n").encode())
+                n += 1
+        yield pa.record_batch({"folder": [folder]})
+
+    return [r.folder for r in documents.select(text.alias("value")).mapInArrow(write, "folder string").collect()]

@@ -9,7 +9,7 @@ import shutil
 from pyspark.sql import functions as F
 
 from emberline.operators import incidents
-from emberline.sources import readers, sinks
+from emberline.sources import landing, readers, sinks
 from emberline.streaming import detection_streams as st
 
 
@@ -205,3 +205,12 @@ def test_heartbeats_and_activity(spark, tmp_path):
     zones = spark.createDataFrame([(1, "America/Denver")], "fire long, zone string")
     s = st.activity_stream(st.with_lateness(_stream(spark, d, str(tmp_path / "z"), 1)), zones)
     assert {(str(r.local_day), r.n) for r in _run(s, "activity").collect()} >= {("1969-12-31", 1)}
+
+
+def test_files_of_tasks_are_listed_by_tasks(spark):
+    """Files that tasks wrote into folders of their own: all are hashed, none by a scan that the driver lists."""
+    texts = spark.range(300).select(F.concat(F.lit("é "), F.col("id").cast("string")).alias("t")).repartition(3)
+    folders = landing.land_files(texts, F.col("t"), "blobs")
+    found = readers.hash_files(spark, folders)
+    assert {(r.sha16, r.size) for r in found.collect()} == {(hashlib.sha256(b).hexdigest()[:16], len(b)) for b in (f"é {i}\n".encode() for i in range(300))}
+    assert len(folders) == 3 and "binaryFile" not in found._jdf.queryExecution().executedPlan().toString()
