@@ -57,11 +57,31 @@ FROM {events} GROUP BY 1, 2""",
     "user_actions": """SELECT user_id AS actor, event_id AS ordinal, event_type AS event, props AS properties, ts FROM {events}""",
 }
 
+#: Rows that a task sorts or groups at once.
+PART_ROWS = 1 << 19
+
+#: Views of two tables that both grow, and the key by which they meet.
+MEET = {"run_availability": {"orders": "o_orderkey", "lineitem": "l_orderkey"}}
+
+
+def parts_of(*tables: DataFrame) -> int:
+    """How many parts of PART_ROWS rows the largest of the tables makes (the footers tell); 1 where one is enough."""
+    return max(-(-t.count() // PART_ROWS) for t in tables)
+
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A domain view as a DataFrame over the parquet tables of sf_dir."""
+    """A domain view as a DataFrame over the parquet tables of sf_dir.
+
+    Large tables that meet by key are dealt out by it in as many parts as their rows
+    make, so what a task holds doesn't grow with them; what is grouped by that key
+    afterwards stays in these parts.
+    """
     sql = VIEWS[name]
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in sql}
+    keys = MEET.get(name, {})
+    if keys and (parts := parts_of(*(used[t] for t in keys))) > 1:
+        parts = max(parts, spark.sparkContext.defaultParallelism)
+        used |= {t: used[t].repartition(parts, key) for t, key in keys.items()}
     return spark.sql(sql, **used)
 
 
