@@ -18,12 +18,23 @@ def newest_runs(runs: DataFrame, n: int = 2) -> DataFrame:
     return runs.filter("complete and not expired").withColumn("rank", rank).filter(F.col("rank") <= n)
 
 
+def told_horizon(longest: Column) -> Column:
+    """The longest horizon of a run's good files, 336 where nothing tells."""
+    return F.coalesce(F.nullif(longest, F.lit(0)), F.lit(DEFAULT_HORIZON))
+
+
 def run_availability(files: DataFrame) -> DataFrame:
     """Percentiles with a good file, products on offer and horizon of each run; horizon 336 where nothing tells."""
     known = F.col("product").isin(KNOWN_PRODUCTS)
     return files.groupBy("run_key").agg(
         F.sort_array(F.collect_set(F.when(F.col("ok"), F.col("pct")))).alias("toa_pcts"), F.sort_array(F.collect_set(F.when(F.col("ok") & known, F.col("product")))).alias("products"),
-        F.coalesce(F.nullif(F.max(F.when(F.col("ok"), F.col("n"))), F.lit(0)), F.lit(DEFAULT_HORIZON)).alias("horizon_hours"))
+        told_horizon(F.max(F.when(F.col("ok"), F.col("n")))).alias("horizon_hours"))
+
+
+def runs_with_horizon(files: DataFrame, *of_run: str) -> DataFrame:
+    """The distinct runs (run_key and the columns of_run) with the horizon of their run_key, in one pass over the files."""
+    each = files.groupBy("run_key", *of_run).agg(F.max(F.when(F.col("ok"), F.col("n"))).alias("n"))
+    return each.select("run_key", *of_run, told_horizon(F.max("n").over(W.partitionBy("run_key"))).alias("horizon_hours"))
 
 
 def build_runs(files: DataFrame, known: list[str] = KNOWN_PRODUCTS) -> DataFrame:
@@ -35,8 +46,7 @@ def build_runs(files: DataFrame, known: list[str] = KNOWN_PRODUCTS) -> DataFrame
     each = files.groupBy("run_key", F.when(good, F.col("product")).alias("product")).agg(
         F.sort_array(F.collect_set(F.when(good, F.col("pct")))).alias("percentiles"), F.max(F.when(good, F.col("n"))).alias("n"), F.collect_set(F.when(F.col("ok") & F.col("product").isNull(), F.col("pct"))).alias("toa"))
     offered = F.sort_array(F.collect_list(F.when(F.col("product").isNotNull(), F.struct("product", "percentiles"))))
-    horizon = F.coalesce(F.nullif(F.max("n"), F.lit(0)), F.lit(DEFAULT_HORIZON))
-    return each.groupBy("run_key").agg(F.sort_array(F.flatten(F.collect_list("toa"))).alias("toa_pcts"), F.map_from_entries(offered).alias("products"), horizon.alias("horizon_hours"))
+    return each.groupBy("run_key").agg(F.sort_array(F.flatten(F.collect_list("toa"))).alias("toa_pcts"), F.map_from_entries(offered).alias("products"), told_horizon(F.max("n")).alias("horizon_hours"))
 
 
 def arrival_band(hours: Column, bands: list[tuple[int, str]] = BANDS) -> Column:

@@ -122,8 +122,8 @@ def thinned_instants(spark, sf_dir):
 
 
 def run_ticks(spark, sf_dir):
-    r = _runs(spark, sf_dir).join(_horizons(spark, sf_dir).withColumn("horizon_hours", F.col("horizon_hours") % 30), "run_key")
-    return fc.run_ticks(r, _ntz("1995-01-01 00:00:00"), _ntz("1995-06-30 00:00:00"))
+    r = fc.runs_with_horizon(_avail(spark, sf_dir), "slug_key", "run_time", "complete", "expired")
+    return fc.run_ticks(r.withColumn("horizon_hours", F.col("horizon_hours") * 7 % 30), _ntz("1995-01-01 00:00:00"), _ntz("1995-06-30 00:00:00"))
 
 
 def _cycles(spark, sf_dir):
