@@ -75,9 +75,8 @@ def reach_stops(spark, sf_dir):
 
 
 def nearest_choices(spark, sf_dir):
-    stop = fc.nearest_stop(_horizons(spark, sf_dir))
-    pct = fc.nearest_percentile(_avail(spark, sf_dir).filter("ok"), 40)
-    return stop.join(pct, "run_key", "left").select("run_key", "stop", "pct")
+    runs = _avail(spark, sf_dir).groupBy("run_key").agg(fc.told_horizon(F.max(F.when(F.col("ok"), F.col("n")))).alias("horizon_hours"), fc.nearest_percentile_of(F.col("pct"), 40, F.col("ok")).alias("pct"))
+    return runs.select("run_key", fc.nearest_stop_of(F.col("horizon_hours") * 7).alias("stop"), "pct")
 
 
 def _pixels(spark, sf_dir):
