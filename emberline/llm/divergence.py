@@ -2,13 +2,20 @@
 
 A term carries its language, so that one CountVectorizer (document frequency at
 least `min_df`, no bound on the vocabulary) holds the vocabulary of every language
-on its own and turns each document into an exact sparse vector. The vocabulary is
-first sized by Spark and then fitted in slices by hash of the term, each of about
-SLICE_TERMS terms: more text gives more slices, a slice reads its own terms only,
-and neither the driver nor a broadcast holds more than one of them.
-
-Vectors are summed by source (a term has its language) as they are, sparse, first
-within a batch of them and then by Spark. Two sources are compared over the terms that either
+on its own and turns its terms into exact sparse vectors. The vocabulary is first
+sized by Spark, which counts documents by hash of the term, and then fitted in
+slices by that hash, each of about SLICE_TERMS terms: more text gives more slices,
+a slice reads its own terms only, and neither the driver nor a broadcast holds more
+than one of them.
+
+The vectorizer gets the documents condensed, SLICE_BYTES of text at a time: a term
+that a source repeats there is in one row with a weight, and in further rows until
+they are as many as its documents or `min_df`, so that the fit finds the same
+vocabulary. Terms that a Bloom filter over the hashes of frequent ones rejects are
+in too few documents and left out; those that it lets pass are for the fit to judge.
+
+Vectors are summed by source (a term has its language), times their weights,
+sparse, first within a batch of them and then by Spark. Two sources are compared over the terms that either
 has. With p0 for a term that a group lacks and f the term's divergence,
 
     sum over all V kept terms = V f(p0, q0) + [terms of one: f(p, q0) - f(p0, q0)]
@@ -28,7 +35,7 @@ so other columns may have any name.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .bloom import filter_of
 from .common import byte_values, chunks, shared_path, span_hash, spans_within, text_or_empty, tidy, values, written
 
 #: Terms of all languages in a slice of the vocabulary.
@@ -85,46 +93,65 @@ def _lists(keys: pa.Array, first: np.ndarray) -> pa.Array:
     return pa.LargeListArray.from_arrays(pa.array(np.append(first, len(keys)).astype(np.int64)), keys).cast(pa.list_(pa.string()))
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The keys of each text; the first row of a slice also has hashes of its distinct keys and the number of its texts that have each."""
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of the distinct keys of a slice of texts and how many of its texts have each."""
     for whole in batches:
         for batch in chunks(whole, "text", SLICE_BYTES):
             keys, text = keys_of(batch)
             found = keys.dictionary_encode()
-            code = np.array(found.indices, np.int64)
-            pairs = np.sort(text * max(len(found.dictionary), 1) + code)
-            new = np.diff(pairs, prepend=-1) != 0
-            n = np.bincount(pairs[new] % max(len(found.dictionary), 1), minlength=len(found.dictionary))
-            rest = np.zeros(batch.num_rows - 1, np.int64)
-            once = lambda x, rest=rest: pa.ListArray.from_arrays(pa.array(np.concatenate(([0, len(x)], rest + len(x))).astype(np.int32)), pa.array(x))
-            first = np.searchsorted(text, np.arange(batch.num_rows))
-            yield pa.record_batch({"source": batch.column("source"), "keys": _lists(keys, first), "hashes": once(hashes(found.dictionary).view(np.int64)), "texts": once(n.astype(np.int32))})
+            code, size = np.array(found.indices, np.int64), max(len(found.dictionary), 1)
+            pairs = np.sort(text * size + code)
+            n = np.bincount(pairs[np.diff(pairs, prepend=-1) != 0] % size, minlength=len(found.dictionary))
+            yield pa.record_batch({"hash": pa.array(hashes(found.dictionary).view(np.int64)), "n": pa.array(n.astype(np.int32))})
 
 
-def _split(parts: int):
+def _condensed(frequent: Callable[[np.ndarray], np.ndarray], parts: int, min_df: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The keys of each text by slice of the vocabulary: a row for each text and slice that it has keys of."""
-        for batch in batches:
-            lists = batch.column("keys")
-            ends = np.array(lists.offsets, np.int64)
-            keys = lists.flatten()
-            found = keys.dictionary_encode()
-            part = (hashes(found.dictionary) % np.uint64(parts)).astype(np.int64)[np.array(found.indices, np.int64)]
-            place = part * batch.num_rows + np.repeat(np.arange(batch.num_rows), np.diff(ends))
-            order = np.argsort(place, kind="stable")
-            own, first = np.unique(place[order], return_index=True)
-            part, text = np.divmod(own, max(batch.num_rows, 1))
-            yield pa.record_batch({"source": batch.column("source").take(pa.array(text)), "keys": _lists(keys.take(pa.array(order)), first), "part": pa.array(part.astype(np.int32))})
+        """The frequent keys of a slice of texts, as few rows of distinct keys. The times that a source has a key are the sum of the weights of its rows with it; a key is in
+        as many rows as texts, or in fewer that are still min_df at least."""
+        for whole in batches:
+            for batch in chunks(whole, "text", SLICE_BYTES):
+                keys, text = keys_of(batch)
+                found = keys.dictionary_encode()
+                code, hashed = np.array(found.indices, np.int64), hashes(found.dictionary)
+                own = frequent(hashed)[code]
+                code, text = code[own], text[own]
+                if not len(code):
+                    continue
+                source = batch.column("source").dictionary_encode()
+                many = len(source.dictionary)
+                places = np.sort((code * many + np.array(source.indices, np.int64)[text]) * batch.num_rows + text)
+                cells = places // batch.num_rows
+                first = np.flatnonzero(np.diff(cells, prepend=-1))
+                times = np.diff(np.append(first, len(cells)))
+                texts = np.add.reduceat((np.diff(places, prepend=-1) != 0).astype(np.int64), first)
+                key, of = np.divmod(cells[first], many)
+                # beside its row in each source, a key needs more rows until they are as many as its texts or min_df
+                begin = np.flatnonzero(np.diff(key, prepend=-1))
+                sources, before = np.diff(np.append(begin, len(key))), np.cumsum(texts - 1) - (texts - 1)
+                more = np.maximum(np.minimum(np.add.reduceat(texts, begin), min_df) - sources, 0)
+                more = np.clip(np.repeat(more + before[begin], sources) - before, 0, texts - 1)
+                cell = np.repeat(np.arange(len(key)), more + 1)
+                layer = np.arange(len(cell)) - np.repeat(np.cumsum(more + 1) - (more + 1), more + 1)
+                weight = np.where(layer == 0, (times - more)[cell], 1)
+                part = (hashed % np.uint64(parts)).astype(np.int64)[key[cell]]
+                by = np.stack((weight, layer, of[cell], part))
+                order = np.lexsort(by)
+                by = by[:, order]
+                row = np.flatnonzero(np.concatenate(([True], (by[:, 1:] != by[:, :-1]).any(axis=0))))
+                weight, _, of, part = by[:, row]
+                yield pa.record_batch({"source": source.dictionary.take(pa.array(of)), "weight": pa.array(weight), "keys": _lists(found.dictionary.take(pa.array(key[cell[order]])), row), "part": pa.array(part.astype(np.int32))})
 
     return run
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of sparse vectors by source over a batch of them, sparse again."""
+    """Weighted sums of sparse vectors by source over a batch of them, sparse again."""
     for batch in batches:
         source = batch.column("source").dictionary_encode()
         of = np.repeat(np.array(source.indices, np.int64), np.diff(np.array(batch.column("at").offsets)))
         at, x = np.array(batch.column("at").flatten(), np.int64), np.array(batch.column("x").flatten())
+        x = x * np.repeat(np.array(batch.column("weight")), np.diff(np.array(batch.column("at").offsets)))
         cell, where = np.unique(of * NO_BOUND + at, return_inverse=True)
         n = np.bincount(where, x, len(cell)).astype(np.int64)
         of, at = np.divmod(cell, NO_BOUND)
@@ -136,26 +163,30 @@ def group_counts(docs: DataFrame, min_df: int = 10) -> tuple[DataFrame, DataFram
     spark = docs.sparkSession
     rows = docs.select(text_or_empty("lang").alias("lang"), text_or_empty("source").alias("source"), text_or_empty().alias("text"))
     groups = written(rows.select("lang", "source").distinct(), "divergence-groups")
-    terms = written(rows.mapInArrow(_keyed, "source string, keys array<string>, hashes array<long>, texts array<int>"), "divergence-terms")
     # how large the vocabulary is, by hashes of its terms; which terms are in it is for the fit to say
-    used = terms.select(F.inline(F.arrays_zip("hashes", "texts"))).groupBy("hashes").agg(F.sum("texts").alias("n"))
-    parts = -(-used.filter(F.col("n") >= min_df).count() // SLICE_TERMS)
+    hashed = rows.mapInArrow(_hashed, "hash long, n int").groupBy("hash").agg(F.sum("n").alias("n"))
+    used = written(hashed.filter(F.col("n") >= min_df).select("hash"), "divergence-hashes")
+    size = used.count()
+    parts = -(-size // SLICE_TERMS)
     schema = "lang string, source string, term string, n long"
     if not parts:
         return spark.createDataFrame([], schema), groups
+    terms = rows.mapInArrow(_condensed(filter_of(used, size, repeats=False).has, parts, min_df), "source string, weight long, keys array<string>, part int")
     if parts > 1:  # a slice is read on its own later, so its rows come together
-        split, path = terms.select("source", "keys").mapInArrow(_split(parts), "source string, keys array<string>, part int"), shared_path(spark, "divergence-slices")
+        whole, path = terms, shared_path(spark, "divergence-slices")
         with tidy(spark):
-            split.hint("rebalance", "part").write.partitionBy("part").parquet(path)
-        terms = spark.read.schema(split.schema).parquet(path)
+            whole.hint("rebalance", "part").write.partitionBy("part").parquet(path)
+        terms = spark.read.schema(whole.schema).parquet(path)
+    else:
+        terms = written(terms.drop("part"), "divergence-terms")
     path = shared_path(spark, "divergence-counts")
     for part in range(parts):
-        keys = (terms.filter(F.col("part") == part) if parts > 1 else terms).select("source", "keys")
+        keys = (terms.filter(F.col("part") == part) if parts > 1 else terms).select("source", "weight", "keys")
         model = CountVectorizer(inputCol="keys", outputCol="vector", minDF=float(min_df), vocabSize=NO_BOUND).fit(keys)
         saved = shared_path(spark, "divergence-vocabulary")
         model.save(saved)
         names = spark.read.parquet(f"{saved}/data").select(F.posexplode("vocabulary").alias("at", "key"))
-        vectors = model.transform(keys).select("source", F.unwrap_udt("vector").alias("v")).select("source", F.col("v.indices").alias("at"), F.col("v.values").alias("x"))
+        vectors = model.transform(keys).select("source", "weight", F.unwrap_udt("vector").alias("v")).select("source", "weight", F.col("v.indices").alias("at"), F.col("v.values").alias("x"))
         sums = vectors.mapInArrow(_summed, "source string, at int, n long").groupBy("source", "at").agg(F.sum("n").alias("n"))
         lang = F.substr("key", F.length(F.substring_index("key", " ", 1)) + 2)
         with tidy(spark):

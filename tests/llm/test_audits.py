@@ -7,6 +7,7 @@ import os
 import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -221,6 +222,36 @@ def test_keys_equal_plain_terms():
     assert list(zip(text.tolist(), keys.to_pylist(), strict=True)) == want
 
 
+@pytest.mark.parametrize("min_df", [1, 3, 10])
+def test_fit_gets_few_keys_with_all_counts_and_enough_rows(monkeypatch, min_df):
+    """Common keys go to the fit min_df times, or once for each source, not once for each text; weights keep the counts."""
+    monkeypatch.setattr(divergence, "SLICE_BYTES", 20_000)
+    rng = random.Random(7)
+    names = [f"w{chr(97 + i)}" for i in range(26)]
+    docs = [(" ".join(rng.choices(names, [2.0**-i for i in range(26)], k=rng.choice([0, 1, 30, 90]))), rng.choice(["en", "de"]), rng.choice(["", "s", "t"])) for _ in range(600)] + [("", "en", "s"), ("wa " * 30_000, "de", "t")]
+    batch = pa.record_batch([pa.array(x, pa.string()) for x in zip(*docs, strict=True)], ["text", "lang", "source"])
+    times, texts = Counter(), Counter()
+    for text, lang, source in docs:
+        for w in text.split():
+            times[source, f"{w} {lang}"] += 1
+        texts.update({f"{w} {lang}" for w in text.split()})
+    frequent = {k for k, n in texts.items() if n >= min_df}
+    known = divergence.hashes(pa.array(sorted(frequent), pa.large_string()))
+    for parts in (1, 3):
+        got, rows, keys = Counter(), Counter(), 0
+        for out in divergence._condensed(lambda h: np.isin(h, known), parts, min_df)(iter([batch])):
+            for r in out.to_pylist():
+                assert len(set(r["keys"])) == len(r["keys"]) and r["weight"] > 0
+                assert {int(h % parts) for h in divergence.hashes(pa.array(r["keys"], pa.large_string()))} == {r["part"]}
+                for k in r["keys"]:
+                    got[r["source"], k] += r["weight"]
+                    rows[k] += 1
+                    keys += 1
+        assert got == Counter({c: n for c, n in times.items() if c[1] in frequent})
+        assert all(min(min_df, texts[k]) <= rows[k] <= texts[k] for k in frequent)
+        assert keys < (0.2 if min_df < 10 else 0.5) * sum(texts.values())
+
+
 def test_pairs_are_compared_in_blocks(spark, monkeypatch):
     rng = random.Random(4)
     docs = spark.createDataFrame([("x", f"s{i % 37}", " ".join(rng.choice(["aa", "bb", "cc", "dd", "ee"]) for _ in range(1 + i % 9))) for i in range(300)], "lang string, source string, text string")
