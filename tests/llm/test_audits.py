@@ -252,6 +252,60 @@ def test_fit_gets_few_keys_with_all_counts_and_enough_rows(monkeypatch, min_df):
         assert keys < (0.2 if min_df < 10 else 0.5) * sum(texts.values())
 
 
+@pytest.mark.parametrize("held", [50, 1 << 20])
+def test_slices_of_a_task_are_condensed_together(monkeypatch, held):
+    """A key that comes in many slices goes to the fit once for each source, or min_df times, for the whole task; also when only few sums are held, counts stay whole."""
+    monkeypatch.setattr(divergence, "SLICE_BYTES", 500)
+    monkeypatch.setattr(divergence, "HELD", held)
+    rng = random.Random(3)
+    names = [f"w{chr(97 + i)}" for i in range(20)]
+    docs = [(" ".join(rng.choices(names, [2.0**-i for i in range(20)], k=40)), rng.choice(["en", "de"]), rng.choice("rst")) for _ in range(400)]
+    batch = pa.record_batch([pa.array(x, pa.string()) for x in zip(*docs, strict=True)], ["text", "lang", "source"])
+    times, texts, rows, got, hashed = Counter(), Counter(), Counter(), Counter(), Counter()
+    for text, lang, source in docs:
+        times.update((source, f"{w} {lang}") for w in text.split())
+        texts.update({f"{w} {lang}" for w in text.split()})
+    for out in divergence._condensed(lambda h: np.ones(len(h), bool), 1, 4)(iter([batch.slice(0, 150), batch.slice(150)])):
+        for r in out.to_pylist():
+            rows.update(r["keys"])
+            for k in r["keys"]:
+                got[r["source"], k] += r["weight"]
+    assert got == times
+    assert all(min(4, texts[k]) <= rows[k] <= texts[k] for k in texts)
+    assert held == 50 or all(rows[k] <= max(4, len({s for s, key in times if key == k})) for k in texts)
+    for out in divergence._hashed(iter([batch])):
+        assert held == 50 or len(set(out.column("hash").to_pylist())) == out.num_rows == len(texts)
+        for h, n in zip(out.column("hash").to_pylist(), out.column("n").to_pylist(), strict=True):
+            hashed[h] += n
+    keys = sorted(texts)
+    assert hashed == dict(zip(divergence.hashes(pa.array(keys, pa.large_string())).view(np.int64).tolist(), (texts[k] for k in keys), strict=True))
+
+
+@pytest.mark.parametrize("held", [10, 1 << 20])
+def test_vectors_are_summed_by_term(monkeypatch, held):
+    """Weighted vectors of several tasks, dealt out in blocks, give each term its sources and their sums once."""
+    monkeypatch.setattr(divergence, "HELD", held)
+    monkeypatch.setattr(divergence, "TERM_ROWS", 7)
+    rng, want, blobs = random.Random(8), Counter(), {}
+    for task in range(3):
+        rows = [(rng.choice(["", "s", "t"][task:] + ["u"]), rng.randint(1, 9), sorted(rng.sample(range(90), rng.choice([0, 1, 30])))) for _ in range(40)]
+        for source, weight, at in rows:
+            want.update({(a, source): weight for a in at})
+        batch = pa.record_batch({"source": pa.array([r[0] for r in rows]), "weight": pa.array([r[1] for r in rows]), "at": pa.array([r[2] for r in rows], pa.list_(pa.int32())), "x": pa.array([[1.0] * len(r[2]) for r in rows], pa.list_(pa.float64()))})
+        for out in divergence._summed(5)(iter([batch.slice(0, 0), batch])):
+            for r in out.to_pylist():
+                blobs.setdefault(r["block"], []).append(r["cells"])
+    got, seen = Counter(), set()
+    for own in blobs.values():
+        for out in divergence._by_term(iter([pa.record_batch({"cells": pa.array(own, pa.binary())})])):
+            for r in out.to_pylist():
+                assert r["at"] not in seen and r["n_lang"] == sum(g["n"] for g in r["groups"])
+                seen.add(r["at"])
+                got.update({(r["at"], g["source"]): g["n"] for g in r["groups"]})
+    assert got == want and len(blobs) == 5
+    assert not list(divergence._by_term(iter([])))
+
+
 def test_pairs_are_compared_in_blocks(spark, monkeypatch):
     rng = random.Random(4)
     docs = spark.createDataFrame([("x", f"s{i % 37}", " ".join(rng.choice(["aa", "bb", "cc", "dd", "ee"]) for _ in range(1 + i % 9))) for i in range(300)], "lang string, source string, text string")
