@@ -55,6 +55,8 @@ SLICE_TERMS = 1 << 19
 SLICE_BYTES = 1 << 20
 #: Sums that a task holds while it reads on, and terms in a batch of its result.
 HELD, TERM_ROWS = 1 << 20, 1 << 14
+#: Keys in a row for the vectorizer, which builds a map of each row.
+ROW_KEYS = 1 << 11
 #: Sources of a language that are compared at once, and pair sums that a task holds.
 BLOCK, HELD_PAIRS = 1 << 10, 1 << 20
 #: The largest value that CountVectorizer takes: the vocabulary isn't cut.
@@ -122,7 +124,7 @@ class _Sums:
         """The keys in order, and their sums; nothing is held afterwards."""
         whole = [np.concatenate(x) for x in zip(*self.pieces, strict=True)] or [np.zeros(0, np.int64)] * (1 + self.columns)
         self.pieces, self.come = [], 0
-        order = np.argsort(whole[0], kind="stable")
+        order = np.argsort(whole[0])
         keys = whole[0][order]
         first = _firsts(keys)
         return [keys[first], *(np.add.reduceat(x[order], first) if len(first) else x for x in whole[1:])]
@@ -160,12 +162,16 @@ def _condensed(frequent: Callable[[np.ndarray], np.ndarray], parts: int, min_df:
         cell = np.repeat(np.arange(len(key)), more + 1)
         layer = np.arange(len(cell)) - np.repeat(np.cumsum(more + 1) - (more + 1), more + 1)
         weight = np.where(layer == 0, (times - more)[cell], 1)
-        part = (hashes(keys) % np.uint64(parts)).astype(np.int64)[key[cell]]
-        by = np.stack((weight, layer, of[cell], part))
-        order = np.lexsort(by)
-        by = by[:, order]
-        row = np.flatnonzero(np.concatenate(([True], (by[:, 1:] != by[:, :-1]).any(axis=0))))
-        weight, _, of, part = by[:, row]
+        part = (hashes(keys) % np.uint64(parts)).astype(np.int64)[key[cell]] if parts > 1 else np.zeros(len(cell), np.int64)
+        # rows by part and source, in them by weight and layer
+        layers = layer.max() + 1
+        outer, inner = part * many + of[cell], weight * layers + layer
+        order = np.lexsort((inner, outer))
+        outer, inner = outer[order], inner[order]
+        row = np.flatnonzero(np.concatenate(([True], (np.diff(outer) != 0) | (np.diff(inner) != 0))))
+        at = np.arange(len(order))
+        row = np.flatnonzero((at - np.repeat(row, np.diff(np.append(row, len(at))))) % ROW_KEYS == 0)
+        (part, of), weight = np.divmod(outer[row], many), inner[row] // layers
         return pa.record_batch({"source": pa.array(names, pa.string()).take(pa.array(of)), "weight": pa.array(weight), "keys": _lists(keys.take(pa.array(key[cell[order]])), row), "part": pa.array(part.astype(np.int32))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

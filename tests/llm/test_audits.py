@@ -281,6 +281,22 @@ def test_slices_of_a_task_are_condensed_together(monkeypatch, held):
     assert hashed == dict(zip(divergence.hashes(pa.array(keys, pa.large_string())).view(np.int64).tolist(), (texts[k] for k in keys), strict=True))
 
 
+def test_rows_for_the_vectorizer_are_short(monkeypatch):
+    """However many keys a task has of a source with equal weights, a row has ROW_KEYS at most and a key stands in one of them."""
+    monkeypatch.setattr(divergence, "ROW_KEYS", 8)
+    names = [a + b for a in "abcdefgh" for b in "abcdefgh"]
+    docs = [(" ".join(names), "en", s) for s in "rst"] + [(" ".join(names[:20] * 3), "en", "r")]
+    batch = pa.record_batch([pa.array(x, pa.string()) for x in zip(*docs, strict=True)], ["text", "lang", "source"])
+    for parts in (1, 3):
+        got, rows = Counter(), Counter()
+        for out in divergence._condensed(lambda h: np.ones(len(h), bool), parts, 2)(iter([batch])):
+            for r in out.to_pylist():
+                assert len(r["keys"]) == len(set(r["keys"])) <= 8
+                rows.update(r["keys"])
+                got.update({(r["source"], k): r["weight"] for k in r["keys"]})
+        assert got == Counter({(s, f"{w} en"): 1 + 3 * (s == "r" and w in names[:20]) for s in "rst" for w in names}) and set(rows.values()) == {3}
+
+
 @pytest.mark.parametrize("held", [10, 1 << 20])
 def test_vectors_are_summed_by_term(monkeypatch, held):
     """Weighted vectors of several tasks, dealt out in blocks, give each term its sources and their sums once."""
