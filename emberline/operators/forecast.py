@@ -168,11 +168,13 @@ def thin_instants(instants: DataFrame) -> DataFrame:
     return spaced.filter(keep).drop("s")
 
 
-def run_ticks(runs: DataFrame, start: Column, end: Column) -> DataFrame:
-    """H3: hourly ticks from each run's start over its horizon, within [start, end]."""
-    hours = F.sequence(F.lit(0), F.col("horizon_hours").cast("int"))
-    ticks = runs.select("run_key", F.explode(F.transform(hours, lambda h: F.col("run_time") + F.make_interval(hours=h))).alias("t"))
-    return ticks.filter(F.col("t").between(start, end))
+def run_ticks(runs: DataFrame, start: Column | None = None, end: Column | None = None) -> DataFrame:
+    """H3: hourly ticks from each run's start over its horizon, within [start, end] where these are given."""
+    last = F.col("run_time") + F.make_dt_interval(hours=F.col("horizon_hours").cast("int"))
+    ticks = runs.filter("horizon_hours >= 0").select("run_key", F.explode(F.sequence("run_time", last, F.expr("INTERVAL '1' HOUR"))).alias("t"))
+    if start is not None:
+        ticks = ticks.filter(F.col("t") >= start)
+    return ticks if end is None else ticks.filter(F.col("t") <= end)
 
 
 def expected_hours(cycles: DataFrame) -> DataFrame:

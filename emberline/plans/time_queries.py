@@ -122,7 +122,7 @@ def thinned_instants(spark, sf_dir):
 
 def run_ticks(spark, sf_dir):
     r = fc.runs_with_horizon(_avail(spark, sf_dir), "slug_key", "run_time", "complete", "expired")
-    return fc.run_ticks(r.withColumn("horizon_hours", F.col("horizon_hours") * 7 % 30), _ntz("1995-01-01 00:00:00"), _ntz("1995-06-30 00:00:00"))
+    return fc.run_ticks(r.withColumn("horizon_hours", F.col("horizon_hours") * 7))
 
 
 def _cycles(spark, sf_dir):
@@ -325,7 +325,7 @@ ORACLE = {
  CASE WHEN value >= 200 THEN [255,150,40] WHEN value >= 100 THEN [255,220,80] ELSE [80,170,150] END AS c1, CASE WHEN value >= 300 THEN 0 ELSE (value % 100) / 100 END AS share FROM (SELECT DISTINCT toa_hours AS value FROM toa_pixels) WHERE value <> 0)""", "toa_pixels"),
     "member_asof": cte("SELECT p.run_key, p.t, probe_id, probe_line, copies, m.t AS version_t FROM p ASOF LEFT JOIN m ON p.run_key = m.run_key AND p.t >= m.t", "time_probes", "run_availability", r=_R, p="SELECT probe_id % 40 AS run_key, t, probe_id, probe_line, copies FROM (" + _V["probes"] + ")", m="SELECT DISTINCT run_key % 40 AS run_key, run_time AS t FROM r"),
     "thinned_instants": cte("SELECT run_key, t FROM (SELECT *, epoch(t - min(t) OVER (PARTITION BY run_key)) AS s FROM d) WHERE s <= 86400 OR (s <= 259200 AND floor(s/3600) % 3 = 0) OR (s > 259200 AND floor(s/3600) % 6 = 0)", "detections", d="SELECT DISTINCT ordinal % 7 AS run_key, date_trunc('hour', acq_ts) AS t FROM detections"),
-    "run_ticks": cte("SELECT run_key, t FROM (SELECT run_key, unnest(generate_series(run_time, run_time + to_hours(CAST(h % 30 AS INT)), INTERVAL 1 HOUR)) AS t FROM r JOIN hz USING (run_key)) WHERE t BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1995-06-30'", "run_availability", r=_R, **_F),
+    "run_ticks": cte("SELECT run_key, unnest(generate_series(run_time, run_time + to_hours(CAST(h AS INT)), INTERVAL 1 HOUR)) AS t FROM r JOIN hz USING (run_key)", "run_availability", r=_R, **_F),
     "expected_hours": cte("SELECT * FROM ex", "detections", cyc=_CYC, ex=_EXP),
     "run_completeness": cte("SELECT cycle, coalesce(g, 0) AS rendered, expected, coalesce(g, 0) >= expected AS complete FROM (SELECT cycle, count(*) AS expected FROM ex GROUP BY 1) LEFT JOIN (SELECT cycle, count(*) AS g FROM cyc SEMI JOIN ex USING (cycle, fhour) GROUP BY 1) USING (cycle)", "detections", cyc=_CYC, ex=_EXP),
     "discovered_cycles": cte("SELECT cycle, count(DISTINCT fhour) AS hours FROM cyc WHERE cycle <= TIMESTAMP '2024-01-20 12:30:00' AND cycle > TIMESTAMP '2024-01-20 00:00:00' GROUP BY 1 HAVING count(DISTINCT fhour) >= 2 ORDER BY cycle DESC LIMIT 2", "detections", cyc=_CYC),
