@@ -134,10 +134,10 @@ def recovered_state(spark, sf_dir):
 
 
 def detections_source(spark, sf_dir):
-    m = _matched(spark, sf_dir)
-    index = m.groupBy("fire").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3").select("fire")
-    a = m.filter("ordinal % 2 = 0").select("fire", "ordinal", F.lit("archive").alias("origin"))
-    return ops.detections_source(a, m.select("fire", "ordinal", F.lit("direct").alias("origin")), index)
+    d, boxes = view(spark, sf_dir, "detections"), _boxes(spark, sf_dir).select("fire", "since", "box")
+    index = ops.counts_in_boxes(d, boxes).filter("n >= 3").select("fire")
+    archived, direct = d.filter("ordinal % 2 = 0").withColumn("origin", F.lit("archive")), d.withColumn("origin", F.lit("direct"))
+    return ops.detections_source_in_boxes(archived, direct, boxes, index).select("fire", "ordinal", "origin")
 
 
 QUERIES = {f.__name__: f for f in (
