@@ -72,7 +72,7 @@ def detections_in_boxes(spark, sf_dir):
 
 def detections_in_leaves(spark, sf_dir):
     """C6 on the quadtree: the rows of detections_in_boxes."""
-    found = ops.detections_on_tree(view(spark, sf_dir, "detections"), _boxes(spark, sf_dir).select("fire", "since", "box"), 1 / 64)
+    found = ops.detections_on_tree(view(spark, sf_dir, "detections"), _boxes(spark, sf_dir).select("fire", "since", "box"), 1 / 64, apart=["ordinal"])
     return found.select("fire", "ordinal", "acq_date")
 
 
